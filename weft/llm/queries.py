@@ -6,9 +6,12 @@ from importlib import import_module
 
 #: query name -> module of this package
 _MODULES = {
+    "op1_topk": "topk",
     "op2_language_id": "langid",
     "op3_mixing": "mixing",
     "op5_exact_dedup": "exactdedup",
+    "op6_packing": "packing",
+    "op7_warc": "warc",
     "op9_url_filters": "urlfilter",
 }
 
