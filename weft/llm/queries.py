@@ -12,7 +12,9 @@ _MODULES = {
     "op5_exact_dedup": "exactdedup",
     "op6_packing": "packing",
     "op7_warc": "warc",
+    "op8_substring_dedup": "substrings",
     "op9_url_filters": "urlfilter",
+    "op10_lm_scoring": "lmscore",
 }
 
 
