@@ -9,6 +9,7 @@ _MODULES = {
     "op1_topk": "topk",
     "op2_language_id": "langid",
     "op3_mixing": "mixing",
+    "op4_jaccard_join": "jaccardjoin",
     "op5_exact_dedup": "exactdedup",
     "op6_packing": "packing",
     "op7_warc": "warc",
