@@ -313,4 +313,22 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-ORACLE = {}
+ORACLE = {
+    "op4_jaccard_join": r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS g
+  FROM d),
+c AS (SELECT g, min(doc_id) AS rep, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT rep, n, unnest(g) AS x FROM c),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep <> b.rep AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS node, rep AS root FROM c UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(least.root, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN least ON c.rep = least.node
+""",
+}

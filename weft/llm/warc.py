@@ -171,9 +171,9 @@ def choose_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     narrow = cut(pages.select("page_id", "payload_bytes", "payload_digest"))
     repeated = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1")
-    revisits = narrow.alias("p").join(repeated.alias("r"), "payload_digest").where("p.page_id is null or p.page_id < r.winner").select("page_id", "winner").where("winner is not null").distinct()
-    known = revisits.select(F.col("page_id").alias("__id"), F.col("winner").alias("refers_to"))
-    out = pages.join(known, F.col("page_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    revisits = narrow.alias("p").join(repeated.alias("r"), "payload_digest").where("p.page_id is null or p.page_id < r.winner").select("page_id", "payload_digest", "winner").where("winner is not null").distinct()
+    known = revisits.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("winner").alias("refers_to"))
+    out = pages.join(known, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left").drop("__id", "__digest")
     return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -253,4 +253,16 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(cut(normalise(written, folder)), folder)
 
 
-ORACLE = {}
+ORACLE = {
+    "op7_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS winner FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 40, 5), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i + 1, 5))::INT >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM g
+""",
+}
