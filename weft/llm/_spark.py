@@ -26,10 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+UNKNOWN_BYTES = 1 << 52  # estimates from here on stand for inputs without statistics
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; it needs no job. Only sizes partitions."""
+    """The optimizer's size estimate, which only sizes partitions. Where the input
+    has no statistics, one pass adds up the columns' lengths."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    size = int(str(stats.sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    lengths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    return df.agg(F.sum(sum(lengths[1:], lengths[0]))).first()[0] or 0
 
 
 def blocks(df: DataFrame, block_bytes: int, least: int = 1, most: int = 65536) -> int:
