@@ -228,11 +228,11 @@ def test_word_encoder_equals_whole_text(spark):
 
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nb", None), (2, None, ""), (3, "u", "x\r\n\r\ny"), (4, "u", "x\r\n\r\ny"), (5, "u", "\u00e9" * 2_000_000), (6, "v", "x\r\n\r\ny")]
-    pages = warc.choose_responses(warc.with_digests(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    pages = warc.dealt(warc.with_digests(spark.createDataFrame(rows, "page_id long, url string, html string")), 2)
     folder = f"{shared_dir(spark)}/warc-test"
     fs, root = warc.file_system(folder)
     fs.create_dir(root, recursive=True)
-    files = warc.normalise(warc.write_archives(pages, folder, 2), folder)
+    files = warc.normalise(warc.write_archives(pages, warc.revisits_of(pages), folder), folder)
     files.write.parquet(f"{folder}/files")
     files = spark.read.parquet(f"{folder}/files")
     got = {r.page_id: r for r in warc.read_archives(files, folder).collect()}
@@ -249,8 +249,10 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_empty(spark):
-    pages = warc.choose_responses(warc.with_digests(spark.createDataFrame([], "page_id long, url string, html string")))
-    assert pages.count() == 0
+    pages = warc.dealt(warc.with_digests(spark.createDataFrame([], "page_id long, url string, html string")), 2)
+    assert warc.revisits_of(pages).count() == 0
+    folder = f"{shared_dir(spark)}/warc-empty"
+    assert warc.normalise(warc.write_archives(pages, warc.revisits_of(pages), folder), folder).count() == 0
 
 
 # --- substring dedup ---

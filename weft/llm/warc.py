@@ -163,33 +163,43 @@ def with_digests(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes")).withColumn("payload_digest", sha("payload"))
 
 
-def choose_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds record_type and refers_to.
+def dealt(pages: DataFrame, archives: int) -> DataFrame:
+    """Adds the ``archive`` of each page, by a hash of its id and url."""
+    return pages.withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)))
 
-    Only payloads that repeat are joined back; counting combines before it
-    shuffles. Of rows that repeat the winner's id and payload, all are responses.
+
+def revisits_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(archive, page_id, payload_digest, refers_to) of the pages whose payload a
+    larger id holds as well.
+
+    Counting combines before it shuffles, and no payload is moved. Of rows that
+    repeat the winner's id and payload, all are responses.
     """
-    narrow = cut(pages.select("page_id", "payload_bytes", "payload_digest"))
-    repeated = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1")
-    revisits = narrow.alias("p").join(repeated.alias("r"), "payload_digest").where("p.page_id is null or p.page_id < r.winner").select("page_id", "payload_digest", "winner").where("winner is not null").distinct()
-    known = revisits.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("winner").alias("refers_to"))
-    out = pages.join(known, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest")), "left").drop("__id", "__digest")
-    return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    narrow = cut(pages.select("archive", "page_id", "payload_bytes", "payload_digest"))
+    repeated = narrow.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null")
+    repeated = repeated.withColumnRenamed("payload_digest", "digest")
+    found = narrow.join(repeated, F.col("payload_digest") == F.col("digest")).where("page_id is null or page_id < winner")
+    return found.select("archive", "page_id", "payload_digest", F.col("winner").alias("refers_to")).distinct()
+
 
+def write_archives(pages: DataFrame, revisits: DataFrame, folder: str) -> DataFrame:
+    """One gzip stream of many records for each archive; (path, records).
 
-def write_archives(pages: DataFrame, folder: str, archives: int) -> DataFrame:
-    """One gzip stream of many records for each group of pages; (path, records)."""
+    Pages meet their archive's revisits in the task that writes it, so payloads
+    are shuffled once.
+    """
 
-    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         fs, root = file_system(folder)
         path, count = f"{root}/mono-{int(key[0]):06d}.warc.gz", 0
+        refers = dict(zip(zip(known["id"], known["digest"]), known["to"]))
 
         def stream() -> Iterator[bytes]:
             nonlocal count
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             for row in frame.itertuples(index=False):
-                revisit = row.record_type == "revisit"
-                data = record(row.record_type, _id(row.page_id), "" if row.url is None else row.url, b"" if revisit else row.payload, row.payload_bytes, row.payload_digest, _id(row.refers_to) if revisit else None)
+                to = refers.get((row.id, row.payload_digest))
+                data = record("response" if to is None else "revisit", row.id, "" if row.url is None else row.url, row.payload if to is None else b"", row.payload_bytes, row.payload_digest, to)
                 count += 1
                 yield z.compress(data)
             yield z.flush()
@@ -197,12 +207,10 @@ def write_archives(pages: DataFrame, folder: str, archives: int) -> DataFrame:
         _publish(fs, path, parts=stream())
         return pd.DataFrame({"path": [path], "records": [count]})
 
-    dealt = pages.withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)))
-    return dealt.groupBy("archive").applyInPandas(write, "path string, records long")
-
-
-def _id(value) -> str:
-    return "null" if value is None or value != value else str(int(value))
+    own = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("id")
+    left = pages.select("archive", own, "url", "payload", "payload_bytes", "payload_digest")
+    right = revisits.select(F.col("archive").alias("at"), own, F.col("payload_digest").alias("digest"), F.col("refers_to").cast("string").alias("to"))
+    return left.groupBy("archive").cogroup(right.groupBy("at")).applyInPandas(write, "path string, records long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -244,12 +252,12 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    pages = choose_responses(with_digests(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = dealt(with_digests(table), max(8, -(-table.count() // ARCHIVE_ROWS)))
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
-    count = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
-    written = cut(write_archives(pages, folder, max(8, -(-count // ARCHIVE_ROWS))))
+    written = cut(write_archives(pages, revisits_of(pages), folder))
     return read_archives(cut(normalise(written, folder)), folder)
 
 
