@@ -43,3 +43,13 @@ def runs(values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit ``values`` with all first bytes first, then all second bytes, and so
+    on: bytes that repeat from value to value lie together, and shuffles compress them."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._groups import grouped, runs, shard_edges
+from ._groups import from_planes, grouped, planes, runs, shard_edges
 from ._words import U, bounds, slices, window_hashes, word_hashes
 
 WINDOW = 13
@@ -67,7 +67,7 @@ def _request(width: int, shards: int):
         hashes, least = _smallest(table, width)
         edges = shard_edges(hashes, shards)
         some = np.flatnonzero(np.diff(edges))
-        part = lambda a: [a[edges[k] : edges[k + 1]].tobytes() for k in some]
+        part = lambda a: [planes(a[edges[k] : edges[k + 1]]) for k in some]
         return pa.table({"asker": pa.array([key[0].as_py()] * len(some), pa.int64()), "shard": pa.array(some, pa.int64()), "hashes": pa.array(part(hashes), pa.binary()), "least": pa.array(part(least), pa.binary())})
 
     return request
@@ -75,8 +75,8 @@ def _request(width: int, shards: int):
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     asker = table["asker"].to_numpy()
-    hashes = [np.frombuffer(b.as_py(), U) for b in table["hashes"]]
-    least = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in table["least"]])
+    hashes = [from_planes(b.as_py()) for b in table["hashes"]]
+    least = np.concatenate([from_planes(b.as_py()).astype(np.int64) for b in table["least"]])
     owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
     hashes = np.concatenate(hashes)
     order = np.argsort(hashes)
@@ -86,7 +86,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     elsewhere = np.flatnonzero(lowest < least)
     edges = np.searchsorted(owner[elsewhere], np.arange(len(asker) + 1))
     some = np.flatnonzero(np.diff(edges))
-    part = lambda a: [a[elsewhere[edges[k] : edges[k + 1]]].tobytes() for k in some]
+    part = lambda a: [planes(a[elsewhere[edges[k] : edges[k + 1]]]) for k in some]
     return pa.table({"asker": pa.array(asker[some], pa.int64()), "hashes": pa.array(part(hashes), pa.binary()), "least": pa.array(part(lowest), pa.binary())})
 
 
@@ -100,8 +100,8 @@ def _remove(width: int, texts: bool):
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, least = _smallest(left, width)
         for h, low in zip(right["hashes"], right["least"]):
-            spot = np.searchsorted(hashes, np.frombuffer(h.as_py(), U))
-            least[spot] = np.minimum(least[spot], np.frombuffer(low.as_py(), np.int64))
+            spot = np.searchsorted(hashes, from_planes(h.as_py()))
+            least[spot] = np.minimum(least[spot], from_planes(low.as_py()).astype(np.int64))
         ids = _ids(left["doc_id"])
         words, gone, digest, spans, kept_text = [], [], [], [], []
         for row, end, data, start, stop, first, h, document, inside in _windows(left, width):
