@@ -302,6 +302,39 @@ def test_elias_fano():
     assert len(eliasfano.EliasFano.build(values[:0], 1).find(np.zeros(3, np.uint64))) == 3
 
 
+def test_trie_of_many_contexts(tmp_path):
+    """More contexts than ranks that fit beside a successor, the last ones included."""
+    rng = np.random.default_rng(6)
+    contexts = np.unique(rng.integers(0, 1 << 63, 150_000).astype(np.uint64))
+    first = np.concatenate([[0], np.cumsum(rng.integers(0, 3, len(contexts)))])
+    owner = np.repeat(np.arange(len(contexts)), np.diff(first))
+    successors = rng.integers(0, 1 << 20, len(owner)).astype(np.uint64)
+    successors[1:][owner[1:] == owner[:-1]] += np.uint64(1 << 30)
+    codes = rng.integers(1, 256, len(owner)).astype(np.uint8)
+    backoff = rng.random(len(contexts)).astype(np.float32)
+    with open(tmp_path / "trie", "wb") as file:
+        eliasfano.BigramTrie.build(contexts, first, successors, codes, backoff).tofile(file)
+    trie = eliasfano.BigramTrie.open(tmp_path / "trie")
+    code, weight = trie.look_up(contexts, owner, successors)
+    assert (code == codes).all() and (weight == backoff).all()
+    # the same successor of a context 2^16 further on is another bigram
+    have = set(zip(owner.tolist(), successors.tolist()))
+    far = (owner + (1 << 16)) % len(contexts)
+    want = np.array([(o, s) in have for o, s in zip(far.tolist(), successors.tolist())])
+    assert ((trie.look_up(contexts, far, successors)[0] > 0) == want).all()
+    assert (trie.look_up(contexts + np.uint64(1), owner, successors)[0] == 0).mean() > 0.99
+
+
+def test_shard_of_many_contexts():
+    n = 70_000
+    contexts = np.arange(n, dtype=np.uint64) << np.uint64(40)
+    owner = np.repeat(np.arange(n), 2)
+    successors = np.tile(np.array([3, 9], np.uint64), n)
+    trie = lmscore.build_shard(contexts, owner, successors, np.tile(np.array([2, 6]), n))
+    code, backoff = trie.look_up(contexts, owner, successors)
+    assert (code == lmscore.code_of(np.tile(np.array([1.25, 5.25]) / 8, n))).all() and len(set(backoff.tolist())) == 1
+
+
 def test_lm_odd(spark):
     docs = odd(spark).withColumn("held_out", F.col("doc_id") % 4 == 0).select("doc_id", "text", "held_out")
     rows = {r.doc_id: r for r in lmscore.score_documents(docs).collect()}

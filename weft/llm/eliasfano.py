@@ -11,6 +11,7 @@ import numpy as np
 
 U = np.uint64
 SUCCESSOR_BITS = 48
+RANK_BITS = 64 - SUCCESSOR_BITS
 
 
 class EliasFano:
@@ -88,22 +89,27 @@ class BigramTrie:
     """Contexts, pointers to their successors, successors, and their codes.
 
     Level 1: sorted context hashes. Pointers: monotone, where a context's
-    successors begin. Level 2: successor ids made monotone by their context's rank.
+    successors begin. Level 2: successor ids made monotone by their context's rank,
+    in a sequence for each 2^RANK_BITS contexts, as no more ranks fit beside an id.
     Codes: quantised probabilities, a byte each.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, backoff: np.ndarray) -> None:
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: list[EliasFano], codes: np.ndarray, backoff: np.ndarray) -> None:
         self.contexts, self.pointers, self.successors = contexts, pointers, successors
         self.codes, self.backoff = codes, backoff
 
     @classmethod
     def build(cls, contexts: np.ndarray, first: np.ndarray, successors: np.ndarray, codes: np.ndarray, backoff: np.ndarray) -> BigramTrie:
         """contexts sorted; context k has successors[first[k]:first[k + 1]], sorted."""
-        rank = np.repeat(np.arange(len(contexts), dtype=U), np.diff(first))
+        parts = []
+        for a in range(0, len(contexts), 1 << RANK_BITS):
+            edges = first[a : a + (1 << RANK_BITS) + 1]
+            rank = np.repeat(np.arange(len(edges) - 1, dtype=U), np.diff(edges))
+            parts.append(EliasFano.build((rank << U(SUCCESSOR_BITS)) | successors[edges[0] : edges[-1]], len(edges) - 1 << SUCCESSOR_BITS))
         return cls(
             EliasFano.build(contexts, 1 << 64),
             EliasFano.build(first.astype(U), int(first[-1]) + 1),
-            EliasFano.build((rank << U(SUCCESSOR_BITS)) | successors, max(1, len(contexts)) << SUCCESSOR_BITS),
+            parts,
             codes.astype(np.uint8),
             backoff.astype("<f4"),
         )
@@ -118,7 +124,13 @@ class BigramTrie:
         code = np.zeros(len(owner), np.uint8)
         at = np.flatnonzero(rank[owner] >= 0)
         own = rank[owner[at]]
-        spot = self.successors.find((own.astype(U) << U(SUCCESSOR_BITS)) | successors[at])
+        key = (own.astype(U) << U(SUCCESSOR_BITS)) | successors[at]  # the rank's leading bits fall out: they number the part
+        spot, part = np.full(len(at), -1, np.int64), own >> RANK_BITS
+        begin = self.pointers.get(np.arange(len(self.successors)) << RANK_BITS).astype(np.int64)
+        for k, level in enumerate(self.successors):
+            mine = np.flatnonzero(part == k)
+            found = level.find(key[mine])
+            spot[mine] = np.where(found >= 0, found + begin[k], -1)
         # relative to the context: the successor lies between its pointers
         hit = np.flatnonzero(spot >= 0)
         edge = self.pointers.get(np.concatenate([own[hit], own[hit] + 1]))
@@ -128,7 +140,7 @@ class BigramTrie:
         return code, backoff
 
     def tofile(self, file) -> None:
-        levels = (self.contexts, self.pointers, self.successors)
+        levels = (self.contexts, self.pointers, *self.successors)
         arrays = [a for level in levels for a in level.parts()] + [self.codes, self.backoff.view(np.uint8)]
         header = json.dumps({"levels": [[level.n, level.low_bits] for level in levels], "bytes": [len(a) for a in arrays]}).encode()
         file.write(len(header).to_bytes(8, "little") + header)
@@ -148,4 +160,4 @@ class BigramTrie:
             at += n
         unaligned = lambda a, kind: np.ndarray((len(a) // np.dtype(kind).itemsize,), kind, a)
         levels = [EliasFano(n, bits, arrays[2 * k], unaligned(arrays[2 * k + 1], "<u8")) for k, (n, bits) in enumerate(header["levels"])]
-        return cls(*levels, arrays[6], unaligned(arrays[7], "<f4"))
+        return cls(*levels[:2], levels[2:], arrays[-2], unaligned(arrays[-1], "<f4"))
