@@ -172,6 +172,38 @@ def test_exact_dedup_odd(spark):
     assert exactdedup.drop_repeats(none(spark)).count() == 0
 
 
+def test_exact_dedup_decides_by_row(spark):
+    """Ids that are null or stand at several texts: the rows that op5 marks stay."""
+    for rows in (
+        [(None, "A"), (9, "A"), (None, "B")], [(None, "A"), (None, "A"), (None, "B")], [(5, "A"), (9, "A"), (5, "B")],
+        [(5, "A"), (5, "A"), (5, "B"), (3, "B"), (5, None), (5, ""), (None, "")],
+    ):
+        docs = odd(spark).limit(0).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+        marked = [(r.doc_id, r.digest) for r in exactdedup.group_digests(exactdedup.digests_of(docs)).where("kept").collect()]
+        kept = exactdedup.drop_repeats(docs)
+        assert kept.columns == docs.columns
+        got = [(r.doc_id, hashlib.sha256((r.text or "").encode()).digest()) for r in kept.collect()]
+        key = lambda x: (x[0] is None, x)
+        assert sorted(got, key=key) == sorted(((i, bytes(d)) for i, d in marked), key=key)
+        assert sorted({r.text or "" for r in kept.collect()}) == sorted({t or "" for _, t in rows})
+
+
+def test_jaccard_keeps_one_row(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [
+        (5, one + " end"), (3, one), (5, two), (9, two + " end"), (7, three), (7, three + " end"), (7, three), (None, three.upper()), (8, three),
+        (4, ""), (4, None), (None, "only here"), (None, "Only here"), (None, "or here"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccardjoin.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert (3, one) in got and (5, two) in got
+    assert len([t for _, t in got if t and t.startswith("c0")]) == 1 and {i for i, t in got if t and t.lower().startswith("c0")} == {7}
+    assert sum(not t for _, t in got) == 2 and sorted(t.lower() for i, t in got if i is None) == ["only here", "or here"]
+    assert len(got) == 7
+
+
 def test_minimal_perfect_hash():
     digests = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), np.uint8).reshape(-1, 32)
     perfect = exactdedup.PerfectHash(digests)

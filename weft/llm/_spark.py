@@ -53,3 +53,22 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def crc_fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def text_digest():
+    """SHA-256 of the unchanged text in UTF-8, as 32 bytes; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """``docs`` less the rows named by ``gone`` (doc_id, digest); of each of
+    ``twice`` (alike) one row stays. An id, or none, may stand at several texts, so
+    it names no row alone."""
+    names = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__at")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__at"))
+    plain = docs.withColumn("__digest", text_digest()).join(names(gone), same, "left_anti")
+    twice = cut(names(twice))
+    if twice.isEmpty():
+        return plain.drop("__digest")
+    once = plain.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return plain.join(twice, same, "left_anti").unionByName(once).drop("__digest")

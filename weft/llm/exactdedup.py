@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, text_digest, without
 
 PART_KEYS = 50_000
 TASK_ROWS = 100_000
@@ -131,20 +131,14 @@ def group_digests(digests: DataFrame, history: DataFrame | None = None) -> DataF
 
 def digests_of(docs: DataFrame) -> DataFrame:
     """SHA-256 of the unchanged text in UTF-8, as 32 bytes."""
-    return docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", text_digest().alias("digest"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline form: the row that stays of each group, with its own columns."""
-    gone = group_digests(cut(digests_of(docs))).where("not kept")
     # only rows of repeated texts are looked at again
-    rep = gone.select(F.col("doc_id").alias("__id"), F.col("keep_id").alias("__keep")).where("__id is null or __id <> __keep").distinct()
-    plain = docs.join(rep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    twice = cut(gone.where("doc_id <=> keep_id").select(F.col("doc_id").alias("__id")).distinct())
-    if twice.isEmpty():
-        return plain
-    once = plain.join(twice, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return plain.join(twice, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(once)
+    repeats = cut(group_digests(cut(digests_of(docs))).where("not kept").select("doc_id", "keep_id", "digest"))
+    return without(docs, repeats.where("not doc_id <=> keep_id"), repeats.where("doc_id <=> keep_id"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import runs, shard_edges
-from ._spark import cut, planned_bytes, small_batches
+from ._spark import cut, planned_bytes, small_batches, text_digest, without
 from ._words import U, bounds, lower_ascii, mix, slices, span_hashes, window_hashes, word_hashes
 from .components import components
 
@@ -124,8 +124,9 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, set) of every row; ``set`` is null where it is empty."""
+def sets_of(docs: DataFrame, width: int = WIDTH, digests: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set) of every row, and its text's digest if wanted;
+    ``set`` is null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +134,11 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             name = np.zeros(batch.num_rows, np.int64)
             for row, elements in shingle_sets(batch.column(1), width):
                 size[row], name[row] = len(elements), set_hash(elements) if len(elements) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0)], names=["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0), *batch.columns[2:]], names=["doc_id", "n_shingles", "set", "digest"][: 1 + batch.num_columns])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set long")
+    more = [text_digest().alias("digest")] if digests else []
+    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, n_shingles long, set long" + ", digest binary" * digests)
 
 
 def _five(signatures: np.ndarray) -> bytes:
@@ -290,23 +292,34 @@ def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int
     return components(edges)
 
 
+def classes_of(docs: DataFrame, sets: DataFrame, width: int, link: int) -> DataFrame:
+    """(set, least, class): the component of every distinct set, and its least id."""
+    roots = link_classes(docs, sets, width, link)
+    least = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
+    return cut(least.join(roots, least["set"] == roots["node"], "left").select("set", "least", F.coalesce("root", "set").alias("class")))
+
+
 def classify(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     sets = cut(sets_of(docs, width))
-    roots = link_classes(docs, sets, width, link)
+    classes = classes_of(docs, sets, width, link)
     some, none = sets.where("set is not null"), sets.where("set is null")
-    least = some.groupBy("set").agg(F.min("doc_id").alias("least"))
-    classes = cut(least.join(roots, least["set"] == roots["node"], "left").select("set", "least", F.coalesce("root", "set").alias("class")))
     smallest = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "class").select(F.col("set").alias("of"), "component_id")
     joined = some.join(named, F.col("set") == F.col("of")).select("doc_id", "n_shingles", "component_id")
     return joined.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each component the row with the smallest id stays."""
-    gone = classify(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+def keep_one(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
+    """Pipeline form: of each component the row with the smallest id stays, a null id
+    last; of rows that share this id the one with the smallest digest."""
+    sets = cut(sets_of(docs, width, digests=True))
+    classes = classes_of(docs, sets, width, link).select(F.col("set").alias("of"), "class")
+    rows = sets.where("set is not null").join(classes, F.col("set") == F.col("of")).select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").alias("row"))
+    first = rows.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("class", "in")
+    more = cut(rows.join(first, F.col("class") == F.col("in")).select("row.doc_id", "row.digest", (F.col("row") == F.col("first")).alias("stays")))
+    twice = more.where("stays").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    return without(docs, more.where("not stays"), twice)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
