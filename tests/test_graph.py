@@ -33,6 +33,12 @@ def test_paths_on_a_cycle(spark):
     assert ("d", "d") in rows(paths.pairs(g, paths.star(paths.alt("r", "q"))))
 
 
+def test_closure_of_a_long_path(spark):
+    chain = spark.range(130).select(F.lit(1).alias("conv_id"), F.col("id").alias("s"), (F.col("id") + 1).alias("o"))
+    got = paths.closure(chain, within=["conv_id"])
+    assert got.count() == 130 * 131 // 2 and got.where("s >= o").count() == 0
+
+
 def test_closure_stops_at_its_levels(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "s long, o long")
     assert paths.closure(chain).count() == 21
@@ -123,3 +129,12 @@ def test_stream(spark, tmp_path):
     related = streaming.relate(streaming.read_stream(spark, f"{tmp_path}/in"), known, "r")
     query = related.writeStream.format("memory").queryName("related").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     assert query.awaitTermination(120) and spark.table("related").count() == 1
+
+
+def test_ntriples_lines(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('<s><p>"x # y"@en.# said\n<s> <p> _:b . # more\n_:b<p><o>.\n# all\n\n')
+    got = {(r.p, r.o_kind, r.o_lang) for r in files.read_ntriples(spark, str(tmp_path / "a.nt")).collect()}
+    assert got == {("p", "literal", "en"), ("p", "bnode", None), ("p", "iri", None)}
+    (tmp_path / "b.nt").write_text("<s> <p> .\n")
+    with pytest.raises(Exception, match="not a triple"):
+        files.read_ntriples(spark, str(tmp_path / "b.nt")).collect()

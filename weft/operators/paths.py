@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,15 +75,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, within: list[str] | None = None, levels: int = LEVELS) -> DataFrame:
+def closure(edges: DataFrame, within: list[str] | None = None, levels: int | None = None) -> DataFrame:
     """Transitive closure of (s, o), semi-naive: only pairs found in the last round
     are extended. ``within`` names columns that both edges of a step share, which
-    keeps independent graphs apart and their joins co-located. Cycles end."""
+    keeps independent graphs apart and their joins co-located. Cycles end. Paths double
+    each round until nothing is new; with ``levels`` they grow by an edge, so many times."""
     keys = within or []
     edges = settle(edges.select(*keys, "s", "o").distinct())
     every = fresh = edges
-    step = edges.select(*keys, F.col("s").alias("via"), F.col("o").alias("end"))
-    for _ in range(levels):
+    for _ in count() if levels is None else range(levels):
+        step = (every if levels is None else edges).select(*keys, F.col("s").alias("via"), F.col("o").alias("end"))
         on = F.col("o") == F.col("via")
         if keys:
             grown = fresh.withColumnRenamed("o", "via").join(step, [*keys, "via"]).select(*keys, "s", F.col("end").alias("o"))

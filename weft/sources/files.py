@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from .graph import SCHEMA, TYPE
 
-_TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+_TERM = r'(<[^>]*>|_:[^\s<"]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """Triples of line-based files: splittable, by expressions alone. Blank nodes
-    are told apart by file."""
+    are told apart by file. A line that cannot be read ends the query."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("value").rlike(r"^\s*(#|$)"))
-    part = lambda k: F.regexp_extract("value", rf"^\s*{_TERM}\s+{_TERM}\s+{_TERM}\s*\.\s*$", k)
+    part = lambda k: F.regexp_extract("value", rf"^\s*{_TERM}\s*{_TERM}\s*{_TERM}\s*\.\s*(?:#.*)?$", k)
 
     def plain(term):
         iri = F.regexp_extract(term, "^<(.*)>$", 1)
@@ -30,7 +30,8 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     kind = F.when(o.startswith("<"), "iri").when(o.startswith("_:"), "bnode").otherwise("literal")
     data_type = F.nullif(F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1), F.lit(""))
     lang = F.nullif(F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))
-    return lines.where(p != "").select(plain(s).alias("s"), plain(p).alias("p"), plain(o).alias("o"), kind.alias("o_kind"), data_type.alias("o_dt"), lang.alias("o_lang")).distinct()
+    bad = F.raise_error(F.concat(F.lit("not a triple in "), "file", F.lit(": "), "value")).cast("boolean")
+    return lines.where(F.when(p == "", bad).otherwise(True)).select(plain(s).alias("s"), plain(p).alias("p"), plain(o).alias("o"), kind.alias("o_kind"), data_type.alias("o_dt"), lang.alias("o_lang")).distinct()
 
 
 _TOKEN = re.compile(
