@@ -204,6 +204,14 @@ def test_jaccard_keeps_one_row(spark):
     assert len(got) == 7
 
 
+def test_exact_dedup_with_a_history(spark):
+    digests = lambda rows: exactdedup.digests_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    history = exactdedup.history_of(digests([(1, "old"), (50, "old"), (2, "less"), (3, "less")]))
+    new = digests([(10, "old"), (11, "new"), (12, "new"), (13, "one"), (14, "less")])
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdedup.group_digests(new, history).collect()}
+    assert got == {10: (50, 3, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 1, True), 14: (14, 3, True)}
+
+
 def test_minimal_perfect_hash():
     digests = np.frombuffer(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(5000)), np.uint8).reshape(-1, 32)
     perfect = exactdedup.PerfectHash(digests)

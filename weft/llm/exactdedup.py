@@ -103,17 +103,21 @@ def _look_up(rows: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
     return out[["doc_id", "keep_id", "group_size", "kept", "digest"]]
 
 
-def history_of(digests: DataFrame) -> DataFrame:
+def history_of(digests: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Distinct digests of more than one row, with winner and count."""
-    return digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n")).where("n > 1")
+    counts = digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n"))
+    if earlier is not None:
+        counts = counts.unionByName(earlier.select("digest", "winner", "n")).groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"))
+    return counts.where("n > 1")
 
 
 def group_digests(digests: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """``digests`` (doc_id long, digest 32 bytes) with keep_id, group_size, kept.
 
-    ``history`` (digest, winner, n) may come from earlier runs.
+    ``history`` (digest, winner, n) may come from earlier runs, on other rows: members
+    gain its count and the larger winner, nonmembers are grouped by themselves.
     """
-    history = history_of(digests) if history is None else history
+    history = history_of(digests, history)
     history = cut(history.select(F.col("digest").alias("known"), "winner", "n"))
     parts = int(min(MAX_PARTS, max(64, history.count() // PART_KEYS, digests.count() // TASK_ROWS)))
     part = lambda digest: F.pmod(F.hash(digest), F.lit(parts))
