@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -52,6 +54,32 @@ def test_topk_bounds_drop_outsiders_only():
         assert set(best) <= set(score[row == q])
 
 
+def test_topk_reads_no_further_than_it_must():
+    """One component outweighs the rest: reading stops early, and cells are counted."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-3, 4, (4000, 12))
+    vectors[:, 0] = rng.integers(-1000, 1001, 4000)
+    lists = topk.SortedLists(np.arange(4000), vectors, 5)
+    queries = np.tile(np.array([[50] + [1] * 11]), (3, 1))
+    row, col, score = lists.search(queries, 5, np.full(3, -np.inf))
+    assert lists.cells == 3 * len(lists.vectors) * 12 and lists.cells_read <= 0.15 * lists.cells
+    assert sorted(score[row == 1])[-5:] == sorted(vectors @ queries[0])[-5:]
+
+
+def test_topk_huge_components(spark):
+    """Beyond the range of long a component counts as its end; scores are clamped."""
+    rows = [(0, [1e30, 1.0]), (20, [-1e30, 1.0]), (3, [3e17, 0.0]), (4, [0.0, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in topk.search(v, v.where("vec_id = 0")).collect()}
+    assert got == {(0, 20): -(2**63), (0, 3): 2**63 - 1, (0, 4): 4096}
+
+
+def test_topk_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted((r.vec_id, r.score) for r in topk.search(v, v.where("vec_id = 0")).collect()) == [(1, 4096), (1, 4096)]
+
+
 def test_topk_empty(spark):
     v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.search(v, v).count() == 0
@@ -73,13 +101,58 @@ def test_suffix_automaton_parses_greedily():
 def test_vector_parse_equals_the_automaton():
     samples = {"x": "the cat sat on the mat ", "y": "le chat est sur le tapis "}
     parser = langid.CrossParser(samples)
-    for text in ("the mat sat", "sur le mat", "zzz the", "\u00e9t\u00e9 chat"):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("the cat sat onm lur") for _ in range(12_000))
+    for text in (long, "x" * 3000, "the cat sat on the mat " * 100, "the mat sat", "sur le mat", "zzz the", "\u00e9t\u00e9 chat"):
         rates, size = parser.rates([text])
         plain = langid.normalise(text) + " "
         for k, name in enumerate(parser.languages):
             assert round(rates[k, 0] * size[0]) == langid.SuffixAutomaton(samples[name]).phrases(plain)
 
 
+def test_parse_with_listed_transitions(monkeypatch):
+    """More symbols than a table has columns: the rest is looked up, alike."""
+    rnd = random.Random(3)
+    chars = [chr(0x4E00 + k) for k in range(900)]
+    text = lambda n: "".join(rnd.choice(chars) for _ in range(n))
+    samples = {"zh": text(4000), "mix": text(2000) + "latin letters " * 20}
+    parser = langid.CrossParser(samples)
+    assert all(len(a.keys) for a in parser.automata)
+    for t in (text(1500), samples["zh"][100:1700] + text(700), "latin " + text(3), samples["mix"] * 3):
+        rates, size = parser.rates([t, t[::-1]])
+        for k, name in enumerate(parser.languages):
+            assert round(rates[k, 0] * size[0]) == langid.SuffixAutomaton(samples[name]).phrases(langid.normalise(t) + " ")
+
+
+def test_large_alphabets_stay_in_bounds():
+    rnd = random.Random(4)
+    chars = [chr(0x4E00 + k) for k in range(6000)]
+    samples = {f"l{k}": "".join(rnd.choice(chars) for _ in range(langid.SAMPLE_CHARS)) for k in range(3)}
+    for a in langid.CrossParser(samples).automata:
+        assert a.table.nbytes <= 2 * langid.SAMPLE_CHARS * 4 * (langid.COMMON + 1) and len(a.keys) <= 3 * langid.SAMPLE_CHARS
+
+
+def test_contradicted_labels_go(spark):
+    english, german = "the cat sat on the mat and the dog ran ", "der hund lief auf die katze und das haus "
+    rows = [(i, (english if i % 2 else german) * (1 + i % 3) + f"w{i}", "en" if i % 2 else "de") for i in range(60)]
+    wrong = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 5 == 0)  # not learned from
+    rows += [(wrong, german * 3, "en"), (101, english, None), (102, "123", "en"), (103, None, None), (None, english, "en"), (104, "qqq zzz", None), (105, english, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.training_samples(docs)
+    plain = lambda t: langid.normalise(t) + " "
+    want = set()
+    for i, t, lang in rows:
+        rate = {name: langid.SuffixAutomaton(s).phrases(plain(t or "")) for name, s in samples.items()}
+        best = min(rate.values())
+        if not any(c.isalpha() for c in t or ""):
+            continue
+        others = (sum(rate.values()) - best) / (len(rate) - 1)
+        if (1 - best / rate[lang] < langid.CONTRADICTED) if lang in rate else (1 - best / others >= langid.MIN_SCORE):
+            want.add(i)
+    assert {r.doc_id for r in langid.keep_identified(docs).collect()} == want
+    assert {wrong, 102, 103, 104} & want == set() and {101, None, 1, 2} <= want
+
+
 def test_language_id_odd(spark):
     docs = odd(spark)
     rows = langid.identify(docs, {"de": "wort und lang ", "en": "one two three same "}).collect()
@@ -146,6 +219,34 @@ def test_jaccard_near_the_threshold(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_of_large_components(spark, monkeypatch):
+    """Components of many blocks: families of near copies, joined by a common passage
+    that makes them candidates, and chains that leave the largest class."""
+    monkeypatch.setattr(jaccardjoin, "BLOCK", 6)
+    rnd = random.Random(8)
+    rows, n = [], 0
+    for family in range(5):
+        text = [f"f{family}w{k}" for k in range(40)]
+        for _ in range(12):
+            rows.append((n, " ".join(text)))
+            n += 1
+            if rnd.random() < 0.8:
+                text[rnd.randrange(40)] = f"x{rnd.randrange(10**6)}"
+    rows += [(n + k, f"all share these four words {k % 9}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccardjoin.classify(docs.unionByName(docs.where("doc_id < 3"))).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_links_through_null_ids(spark):
+    """Documents that only a row without an id joins are one component."""
+    word = [f"w{i}" for i in range(100)]
+    change = lambda at: " ".join("y" if i in at else w for i, w in enumerate(word))
+    rows = [(4, change([0])), (None, change([])), (9, change([99])), (None, None), (None, "alone here"), (7, "other text of a few words")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccardjoin.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 97): 4, (None, 97): 4, (9, 97): 4, (None, 0): None, (None, 1): None, (7, 3): 7}
+
+
 def test_block_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (5, 40, 90, 3)]
@@ -327,6 +428,19 @@ def test_url_rules(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_very_long_urls_and_many_rules(spark, monkeypatch):
+    long = "x" * 300_000
+    urls = [f"http://a.b.net/{long}/de", f"http://{long}.org/fr/{long}", "http://s7.example.com/p3/q", "http://s7.example.com/p3", "http://u.s9.example.com/p9x", "http://s8.example.com/"]
+    rules = [*urlfilter.RULES, *[("block", f"s{i}.example.com", f"/p{i % 4}/") for i in range(10)], ("allow", "s9.example.com", "/p"), ("block", "s9.example.com", "/p9"), ("allow", "s8.example.com", "/"), ("block", "s8.example.com", "/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    once = [(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, rules).orderBy("page_id").collect()]
+    assert time.time() - began < 20
+    assert [x[1] for x in once] == ["net/", "org/fr/", "s7.example.com/p3/", None, "s9.example.com/p9", "s8.example.com/"] and once[-1][2] == "allow"
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 3)
+    assert [(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(df, rules).orderBy("page_id").collect()] == once
+
+
 # --- language-model scoring ---
 
 

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a temporary folder is set.
+    Only in a local session that names none (a test) a temporary folder is set; on a
+    cluster no other folder would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -45,9 +48,16 @@ def blocks(df: DataFrame, block_bytes: int, least: int = 1, most: int = 65536) -
     return max(least, min(most, planned_bytes(df) // block_bytes + 1))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most ``rows`` rows, so that long texts stay bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` (or one row), so that long texts stay
+    bounded. A smaller bound of the session stays as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = int(spark.conf.get(name).removesuffix("b"))
+    if have <= 0 or have > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def crc_fold(column: str, folds: int):

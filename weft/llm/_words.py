@@ -1,8 +1,10 @@
 """Vectorised words and rolling hashes over Arrow string columns.
 
-A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``. All hashes are
-64 bits wide: polynomial prefix sums over random byte values (Rabin-Karp with an
-odd base modulo 2**64), then an avalanche step. A slice of rows is processed at
+A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``. Its 64-bit hash is a sum
+of its bytes, each times a random number of its place in the word (multilinear
+hashing: no rule of the bytes, such as a Thue-Morse order, makes two words alike), then
+an avalanche step. Windows of words are hashed by Rabin-Karp: prefix sums over the
+words' hashes and powers of an odd base modulo 2**64. A slice of rows is processed at
 once, so no Python code runs per word.
 """
 
@@ -31,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WORD = ~_SEPARATOR
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_BYTE = np.arange(1, 257, dtype=U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -52,7 +54,22 @@ class _Powers:
                 setattr(self, name, np.cumprod(powers, dtype=U))
 
 
-_BYTES, _TOKENS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
+_TOKENS = _Powers(0xD1342543DE82EF95)
+
+
+class _Places:
+    """A random number for each place in a word, grown on demand."""
+
+    def __init__(self) -> None:
+        self.at = np.zeros(0, U)
+
+    def reach(self, n: int) -> np.ndarray:
+        if len(self.at) < n:
+            self.at = mix(np.arange(1, 2 * n + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+        return self.at
+
+
+_PLACES = _Places()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +118,16 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     n = len(data)
     if not len(start):
         return np.zeros(0, U)
-    _BYTES.reach(n + 1)
+    # places count from the start of the word that a byte is in, or that is before it
+    begin = np.zeros(n, np.int64)
+    begin[start[1:]] = np.diff(start)
+    begin[start[0]] = start[0]
+    place = np.arange(n) - np.cumsum(begin)
+    places = _PLACES.reach(int((end - start).max()))
     total = np.empty(n + 1, U)
     total[0] = 0
-    np.cumsum(_BYTE[data] * _BYTES.up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * _BYTES.down[start])
+    np.cumsum(_BYTE[data] * places.take(place, mode="clip"), out=total[1:])
+    return mix(total[end] - total[start])
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

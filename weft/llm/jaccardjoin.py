@@ -13,15 +13,19 @@ agree. A signature of few elements says little. A set leaves out those below the
 largest size for which it has no more weak groups than there are spare ones: one of
 the agreeing groups is then strong, and what both hold there has that size.
 
-Sets that share a signature are candidates. Their connected components are found
-first, on narrow rows; then only the candidates' sets are gathered, by component,
-and all links inside are found exactly. A component of more than ``BLOCK`` sets is
-split into blocks, and every two blocks meet in a task of their own; pairs are
-counted there, never emitted. Copies have one set: they are one class from the
-start, known by a 64-bit hash of it.
+Sets that share a signature are candidates. A task links what shares a signature in
+its own rows, so a signature that many sets hold is one row of each flush. The
+candidates' connected components are found first, on narrow rows; then only the
+candidates' sets are gathered, by component, and links inside are found exactly. A
+component of more than ``BLOCK`` sets is split into blocks. First all meet one block of
+pivots, each set travelling once. Sets that are then in one class need no more links
+among them; only the others (sets outside their component's largest class) meet all of
+its blocks. Pairs are counted in the tasks, never emitted. Copies have one set: they
+are one class from the start, known by a 64-bit hash of it.
 
 Texts without words link with nothing. Null texts are such. Rows that repeat an id
-are one document if their texts are equal; else they are told apart.
+are one document if their texts are equal; else they are told apart. A null id links
+like any other, but is no component's smallest id unless there is none.
 """
 
 from __future__ import annotations
@@ -125,8 +129,8 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH, digests: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set) of every row, and its text's digest if wanted;
-    ``set`` is null where it is empty."""
+    """(doc_id, n_shingles, set, at) of every row, and its text's digest if wanted;
+    ``set`` is null where it is empty; ``at`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +138,11 @@ def sets_of(docs: DataFrame, width: int = WIDTH, digests: bool = False) -> DataF
             name = np.zeros(batch.num_rows, np.int64)
             for row, elements in shingle_sets(batch.column(1), width):
                 size[row], name[row] = len(elements), set_hash(elements) if len(elements) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0), *batch.columns[2:]], names=["doc_id", "n_shingles", "set", "digest"][: 1 + batch.num_columns])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0), *batch.columns[2:]], names=["doc_id", "n_shingles", "set", "at", "digest"][: 1 + batch.num_columns])
 
     small_batches(docs.sparkSession)
     more = [text_digest().alias("digest")] if digests else []
-    return docs.select("doc_id", "text", *more).mapInArrow(run, "doc_id long, n_shingles long, set long" + ", digest binary" * digests)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("at"), *more).mapInArrow(run, "doc_id long, n_shingles long, set long, at long" + ", digest binary" * digests)
 
 
 def _five(signatures: np.ndarray) -> bytes:
@@ -157,18 +161,26 @@ def candidate_edges(docs: DataFrame, width: int, link: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             s, n = np.concatenate(have), np.concatenate(names)
-            order = np.argsort(s)
+            order = np.lexsort((n, s))
             s, n = s[order], n[order]
+            each = runs(s)
+            # what shares a signature here links here; the smallest set asks for all of them
+            star = np.repeat(n[each[:-1]], np.diff(each))
+            here = np.unique(np.stack([star, n])[:, star != n], axis=1)
+            s, n = s[each[:-1]], n[each[:-1]]
             edges = shard_edges(s, shards)
             some = np.flatnonzero(np.diff(edges))
+            owner = np.searchsorted(some, here[0].view(U) % U(shards)) % max(1, len(some))
+            order = np.argsort(owner, kind="stable")
+            here, cuts = here[:, order], np.searchsorted(owner[order], np.arange(len(some) + 1))
             rows = []
-            for k in some:
+            for i, k in enumerate(some):
                 part = np.argsort(n[edges[k] : edges[k + 1]], kind="stable") + edges[k]
                 each = runs(n[part])
-                rows.append((_five(s[part]), n[part][each[:-1]].tobytes(), np.diff(each).astype("<u4").tobytes()))
+                rows.append((_five(s[part]), n[part][each[:-1]].tobytes(), np.diff(each).astype("<u4").tobytes(), here[:, cuts[i] : cuts[i + 1]].tobytes()))
             have.clear(), names.clear(), known.clear()
-            columns = [pa.array([r[c] for r in rows], pa.binary()) for c in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *columns], names=["shard", "signatures", "sets", "counts"])
+            columns = [pa.array([r[c] for r in rows], pa.binary()) for c in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *columns], names=["shard", "signatures", "sets", "counts", "here"])
 
         for batch in batches:
             for _, elements in shingle_sets(batch.column(0), width):
@@ -199,11 +211,12 @@ def candidate_edges(docs: DataFrame, width: int, link: int) -> DataFrame:
         s, n = s[order], n[order]
         edges = runs(s)
         star = np.repeat(n[edges[:-1]], np.diff(edges))
-        pairs = np.unique(np.stack([star, n])[:, star != n], axis=1)
+        there = [np.frombuffer(b.as_py(), np.int64).reshape(2, -1) for b in table["here"]]
+        pairs = np.unique(np.concatenate([np.stack([star, n])[:, star != n], *there], axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     small_batches(docs.sparkSession)
-    signed = docs.select("text").mapInArrow(sign, "shard long, signatures binary, sets binary, counts binary")
+    signed = docs.select("text").mapInArrow(sign, "shard long, signatures binary, sets binary, counts binary, here binary")
     return signed.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -267,29 +280,59 @@ def _link_blocks(link: int):
     return run
 
 
-def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
-    """(node, root) of every set that links with a different one."""
-    found = cut(components(candidate_edges(docs, width, link)))
-    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-    plan = found.join(sizes, "root").select("node", "root", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    # one document stands for all that have its set
-    holder = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("holder"))
-    wanted = plan.join(holder, plan["node"] == holder["set"]).select("node", "root", "blocks", F.pmod("node", "blocks").alias("block"), "holder")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("holder")).select("node", "root", "blocks", "block", "text")
+def _elements_of(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """``wanted`` (set, id, at, ...) with each set's ``elements``, from its holder's
+    text; once, also where rows repeat the holder."""
+    more = [c for c in wanted.columns if c not in ("id", "at")]
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("is")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("is") == F.col("at"))).select(*more, "text")
+    if repeated:
+        texts = texts.dropDuplicates(["set"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = dict(shingle_sets(batch.column(4), width))
+            got = dict(shingle_sets(batch.column(batch.num_columns - 1), width))
             keep = [k for k in range(batch.num_rows) if len(got[k]) and set_hash(got[k]) == batch.column(0)[k].as_py()]
             rows = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([got[k].tobytes() for k in keep], pa.binary())], names=["set", "root", "blocks", "block", "elements"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array([got[k].tobytes() for k in keep], pa.binary())], names=[*more, "elements"])
 
     small_batches(docs.sparkSession)
-    loaded = texts.mapInArrow(load, "set long, root long, blocks long, block long, elements binary")
-    # each two blocks meet in one group; most components have one block
-    meet = loaded.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set", "block", "elements")
-    edges = meet.groupBy("root", "i", "j").applyInArrow(_link_blocks(link), "a long, b long")
-    return components(edges)
+    return texts.mapInArrow(load, ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in more) + ", elements binary")
+
+
+def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
+    """(node, root) of every set that links with a different one."""
+    found = cut(components(candidate_edges(docs, width, link)))
+    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
+    # one document stands for all that have its set; ``n`` rows may repeat it
+    holder = sets.where("set is not null").groupBy("set", "doc_id", "at").agg(F.count("*").alias("n"))
+    holder = holder.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n")).alias("h"))
+    plan = found.join(sizes, "root").select("node", "root", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
+    plan = cut(plan.join(holder, F.col("node") == F.col("set")).select("set", "root", "blocks", F.pmod("set", "blocks").alias("block"), F.col("h.doc_id").alias("id"), "h.at", "h.n"))
+    repeated = not plan.where("n > 1").isEmpty()
+    meeting = "a long, b long"
+    # every block meets the pivots, block 0; most components have no other
+    pivots = _elements_of(docs, plan.drop("n"), width, repeated)
+    other = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    meet = pivots.withColumn("j", F.explode(other)).select("root", F.lit(0).cast("long").alias("i"), "j", "set", "block", "elements")
+    edges = meet.groupBy("root", "i", "j").applyInArrow(_link_blocks(link), meeting)
+    large = plan.where("blocks > 1")
+    if large.isEmpty():
+        return components(edges)
+    edges = cut(edges)
+    classes = large.join(components(edges).select("node", F.col("root").alias("class")), F.col("set") == F.col("node"), "left").select("set", "root", F.coalesce("class", "set").alias("class"))
+    main = classes.groupBy("root", "class").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
+    others = cut(classes.join(main, "root").where(F.col("class") != F.col("main")).select("root", "set"))
+    if others.isEmpty():
+        return components(edges)
+    # sets outside the largest class meet everything of their component
+    count = others.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rows"))
+    again = large.join(count, "root").join(others.select(F.col("set").alias("other")), F.col("set") == F.col("other"), "left")
+    again = again.select("set", "root", "block", "id", "at", "rows", F.when(F.col("other").isNotNull(), F.pmod("set", "rows")).alias("own"), "blocks")
+    whole = _elements_of(docs, again, width, repeated)
+    column = whole.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).select("root", "i", (F.col("block") + 1).alias("j"), "set", (F.col("block") + 1).alias("block"), "elements")
+    row = whole.where("own is not null").withColumn("j", F.explode(F.expr("sequence(1L, blocks)"))).select("root", (-1 - F.col("own")).alias("i"), "j", "set", (-1 - F.col("own")).alias("block"), "elements")
+    meet = column.withColumn("i", -1 - F.col("i")).unionByName(row)
+    return components(edges.unionByName(meet.groupBy("root", "i", "j").applyInArrow(_link_blocks(link), meeting)))
 
 
 def classes_of(docs: DataFrame, sets: DataFrame, width: int, link: int) -> DataFrame:

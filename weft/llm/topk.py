@@ -1,17 +1,21 @@
 """Exact top-k search by inner product with no random access.
 
-Vectors are split into blocks. In a block every dimension has a list of the
-block's vectors sorted by component, read from the top for a positive query
-weight and from the bottom for a negative one. Lists are read in rounds, each
-round some depth further and for many queries at once (a masked matrix product).
-What was read gives each vector a lower and an upper score bound: an unread
-component lies between the list's far end and the last value read. A vector whose
-upper bound is below the k-th best lower bound is an outsider and is dropped; the
-bound carries over to the next blocks of a task. Reading stops when few vectors
-are left in question or the lists end, and their final scores are resolved.
-
-Components become floor(scale * x). Identical vectors of a block are searched
-once and take their ids from a list; k + 1 of its smallest are enough.
+Vectors are packed into blocks. In a block every dimension has a list of the block's
+vectors sorted by component, read from the top for a positive query weight and from
+the bottom for a negative one. A round reads the next ``STEP`` part of every list, for
+a batch of queries at once; only the cells it reads are touched. What was read gives
+each vector a lower score bound (unread components lie at the list's far end) and an
+upper one (they lie at the last value read). A vector whose upper bound is below the
+k-th best lower bound is an outsider: its cells are skipped from then on. Reading goes
+on until hardly any vector is in question or the lists end; the final scores of the
+few are then resolved. The k-th best score carries over to a task's next blocks.
+
+How early reading can stop depends on the vectors: of unit vectors in 64 dimensions
+most cells must be read (see the README).
+
+Components become floor(scale * x); one beyond the range of long counts as its end.
+Scores are exact, and clamped to the range of long. Identical vectors of a block are
+searched once and take their ids from a list; k + 1 of its smallest are enough.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,83 +32,101 @@ from ._spark import cut
 K = 20
 SCALE = 64
 BLOCK_ROWS = 4096
-QUERY_ROWS = 1024
-LANE_BLOCKS = 2  # vector blocks that a task reads in turn
-DEPTHS = (0.25, 0.5, 0.75)
+QUERY_ROWS = 8192  # queries of a task
+LANE_ROWS = 1 << 16  # vectors that a task reads, block by block
+BATCH = 64  # queries that read in step
+STEP = 0.125  # of a list, in one round
 FEW = 4  # resolve when a query has at most FEW * k vectors in question
 
 
 def exact_dtype(a: np.ndarray, b: np.ndarray):
     """The smallest type in which all partial sums of a @ b.T are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
     return np.float32 if most < 2**23 else np.float64 if most < 2**52 else object
 
 
 class SortedLists:
-    """One block's lists: per depth, what a reader from either end has seen."""
+    """One block's lists, sorted by component, and what readers have cost so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         vectors, inverse = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, inverse.ravel()))
         ids, owner = ids[order], inverse.ravel()[order]
         first = np.searchsorted(owner, np.arange(len(vectors) + 1))
-        nth = np.arange(len(ids)) - first[owner]
-        keep = nth <= k
+        keep = np.arange(len(ids)) - first[owner] <= k
         self.ids, self.owner, self.vectors = ids[keep], owner[keep], vectors
         self.first = np.searchsorted(self.owner, np.arange(len(vectors) + 1))
-        n, dims = vectors.shape
-        rank = np.empty((n, dims), np.int64)
-        np.put_along_axis(rank, np.argsort(vectors, axis=0, kind="stable"), np.arange(n)[:, None], 0)
-        ends = np.sort(vectors, axis=0)
-        self.low, self.high = ends[0], ends[-1]
-        self.rank, self.ends, self.rounds, self.kind = rank, ends, [], None
-
-    def bounds(self, kind) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per depth, with unread components bounded: upper bound of what readers
-        from the top and from the bottom know, and the lower bounds."""
-        if self.kind != kind:
-            n, v = len(self.vectors), self.vectors
-            self.kind, self.rounds = kind, []
-            for depth in DEPTHS:
-                read = max(1, int(n * depth))
-                top, bottom = self.rank >= n - read, self.rank < read
-                # an unread component is at most the frontier, at least the far end
-                sides = (np.where(top, v, self.ends[n - read]), np.where(bottom, v, self.ends[read - 1]), np.where(top, v, self.low), np.where(bottom, v, self.high))
-                self.rounds.append(tuple(np.ascontiguousarray(x.astype(kind).T) for x in sides))
-        return self.rounds
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)  # ascending, a row for each dimension
+        self.sorted = np.take_along_axis(np.ascontiguousarray(vectors.T), self.order, 1)
+        self.cells_read = self.cells = 0  # by single queries
+
+    def _read(self, lower: np.ndarray, unread: np.ndarray, live: np.ndarray, weights: np.ndarray, span: slice, far: np.ndarray) -> None:
+        """All dimensions' lists over ``span``, for queries with these one-sided weights."""
+        for d in np.flatnonzero(weights.any(0)):
+            at = self.order[d, span]
+            mine = live[at]
+            at = at[mine]
+            lower[at] += (self.sorted[d, span][mine] - far[d]).astype(lower.dtype)[:, None] * weights[:, d][None, :]
+            unread[at, d] = 0
+            self.cells_read += len(at) * int(np.count_nonzero(weights[:, d]))
 
     def search(self, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vector row, score) of all that may be in a query's top k.
 
-        ``floor`` holds each query's lower bound so far and is raised.
+        ``floor`` holds each query's k-th best score so far and is raised.
         """
-        kind = exact_dtype(queries, self.vectors)
-        q, v = queries.astype(kind), self.vectors.astype(kind)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        live = np.ones((len(q), len(v)), bool)
-        for most_top, most_bottom, least_top, least_bottom in self.bounds(kind):
-            upper, lower = up @ most_top + down @ most_bottom, up @ least_top + down @ least_bottom
-            # k + 1 as the query's own row takes no part
-            if len(v) > k:
-                np.maximum(floor, np.partition(lower, -(k + 1), axis=1)[:, -(k + 1)].astype(float), out=floor)
-            live &= upper >= floor[:, None]
-            if live.sum(1).max() <= FEW * k:
-                break
-        row, col = np.nonzero(live)
-        score = np.empty(len(row), np.int64)
-        for a in range(0, len(row), 1 << 16):
-            score[a : a + (1 << 16)] = np.einsum("ij,ij->i", q[row[a : a + (1 << 16)]], v[col[a : a + (1 << 16)]], dtype=kind).astype(np.int64) if kind is not object else [int(sum(x * y for x, y in zip(q[r], v[c]))) for r, c in zip(row[a : a + (1 << 16)], col[a : a + (1 << 16)])]
+        kind, n = exact_dtype(queries, self.vectors), len(self.vectors)
+        live = np.ones((n, len(queries)), bool)
+        if kind is not object:
+            self._outsiders(queries.astype(kind), k, floor, live)
+        col, row = np.nonzero(live)
+        if kind is object:
+            least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            score = np.array([min(most, max(least, sum(int(x) * int(y) for x, y in zip(queries[r], self.vectors[c])))) for r, c in zip(row, col)], np.int64)
+        else:
+            score = np.empty(len(row), np.int64)
+            for a in range(0, len(row), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                score[part] = np.einsum("ij,ij->i", queries[row[part]].astype(kind), self.vectors[col[part]].astype(kind))
         return row, col, score
 
-
-def best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k first of each query by falling score, then id."""
-    frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-    return frame[frame.groupby("query_id").cumcount() < k]
+    def _outsiders(self, q: np.ndarray, k: int, floor: np.ndarray, live: np.ndarray) -> None:
+        """Read in rounds and strike outsiders from ``live`` (vectors x queries)."""
+        n, step = len(self.vectors), max(1, int(len(self.vectors) * STEP))
+        self.cells += n * int(np.count_nonzero(q))
+        if n <= k:
+            return
+        bottom, top = self.sorted[:, 0].astype(q.dtype), self.sorted[:, -1].astype(q.dtype)
+        up, down, open_ = np.maximum(q, 0), np.minimum(q, 0), np.arange(len(q))
+        lower = np.repeat((up @ bottom + down @ top)[None, :], n, 0)
+        unread_top = np.ones((n, q.shape[1]), q.dtype)
+        unread_bottom = unread_top.copy()
+        for read in range(step, n + step, step):
+            some = live.any(1) if len(open_) == len(q) else live[:, open_].any(1)
+            self._read(lower, unread_top, some, up, slice(max(0, n - read), n - read + step), bottom)
+            self._read(lower, unread_bottom, some, down, slice(read - step, min(n, read)), top)
+            if read >= n:
+                break
+            # k + 1 as the query's own row takes no part
+            floor[open_] = np.maximum(floor[open_], np.partition(lower, n - k - 1, axis=0)[n - k - 1].astype(float))
+            rows = np.flatnonzero(some)
+            gap_top, gap_bottom = self.sorted[:, n - read].astype(q.dtype) - bottom, self.sorted[:, read - 1].astype(q.dtype) - top
+            upper = lower[rows] + unread_top[rows] @ (gap_top[:, None] * up.T) + unread_bottom[rows] @ (gap_bottom[:, None] * down.T)
+            live[np.ix_(rows, open_)] &= upper >= floor[open_][None, :]
+            left = live[:, open_].sum(0) > FEW * k
+            if not left.any():
+                break
+            if not left.all():
+                open_, up, down, lower = open_[left], up[left], down[left], np.ascontiguousarray(lower[:, left])
 
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return frame["vec_id"].to_numpy(np.int64), np.stack(frame["v"].to_numpy()).astype(np.int64)
+def _merge(found: list[np.ndarray], k: int) -> np.ndarray:
+    """The k first rows of each query by falling score, then id, of (query, id, score)."""
+    rows = np.concatenate(found, axis=1)
+    order = np.lexsort((rows[1], np.invert(rows[2]), rows[0]))  # ~x falls as x rises, without overflow
+    rows = rows[:, order]
+    first = np.searchsorted(rows[0], rows[0], side="left")
+    return rows[:, np.arange(rows.shape[1]) - first < k]
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -119,48 +141,94 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
 
 
+def packed(vectors: DataFrame) -> DataFrame:
+    """Blocks of rows of one length: (dims, n, ids, cells), packed where the rows lie,
+    with cells as narrow as the block's components allow."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), batch.column(1)
+            if not len(ids):
+                continue
+            dims, flat, start = np.diff(v.offsets.to_numpy()), v.values.to_numpy(), v.offsets.to_numpy()[:-1]
+            rows: dict[str, list] = {"dims": [], "n": [], "ids": [], "cells": []}
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                for a in range(0, len(at), BLOCK_ROWS):
+                    part = at[a : a + BLOCK_ROWS]
+                    cells = flat[start[part][:, None] + np.arange(d)[None, :]]
+                    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= cells.min() and cells.max() <= np.iinfo(t).max)
+                    for name, value in zip(rows, (int(d), len(part), ids[part].astype("<i8").tobytes(), cells.astype(kind).tobytes())):
+                        rows[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows.values(), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=list(rows))
+
+    return vectors.select("vec_id", "v").mapInArrow(pack, "dims int, n long, ids binary, cells binary")
+
+
+def _unpacked(table: pa.Table, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a group's blocks."""
+    ids, vectors = [], []
+    for n, i, c in zip(table["n"].to_pylist(), table["ids"], table["cells"]):
+        data = c.as_buffer()
+        vectors.append(np.frombuffer(data, f"<i{data.size // (n * dims)}").reshape(n, dims))
+        ids.append(np.frombuffer(i.as_buffer(), "<i8"))
+    return np.concatenate(ids), np.concatenate(vectors).astype(np.int64)
+
+
+def _searcher(k: int):
+    def lane(key: tuple[pa.Scalar, ...], queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        """A block of queries reads a lane of vectors."""
+        out = [np.zeros((3, 0), np.int64)]
+        if queries.num_rows and vectors.num_rows:
+            dims = key[2].as_py()
+            q_ids, q = _unpacked(queries, dims)
+            ids, v = _unpacked(vectors, dims)
+            floor = np.full(len(q_ids), -np.inf)
+            for a in range(0, len(ids), BLOCK_ROWS):
+                lists = SortedLists(ids[a : a + BLOCK_ROWS], v[a : a + BLOCK_ROWS], k)
+                found = [out[0]]
+                for b in range(0, len(q_ids), BATCH):
+                    row, col, score = lists.search(q[b : b + BATCH], k, floor[b : b + BATCH])
+                    count = lists.first[col + 1] - lists.first[col]
+                    at = np.repeat(lists.first[col] + count - np.cumsum(count), count) + np.arange(count.sum())
+                    new = np.stack([np.repeat(b + row, count), lists.ids[at], np.repeat(score, count)])
+                    found.append(new[:, q_ids[new[0]] != new[1]])
+                out = [_merge(found, k)]
+                # the k-th best so far is a bound for all blocks to come
+                full = np.flatnonzero(np.bincount(out[0][0], minlength=len(q_ids)) == k)
+                last = np.searchsorted(out[0][0], full, side="right") - 1
+                floor[full] = np.maximum(floor[full], out[0][2][last].astype(float))
+            out = [np.stack([q_ids[out[0][0]], out[0][1], out[0][2]])]
+        return pa.table({"query_id": out[0][0], "vec_id": out[0][1], "score": out[0][2]})
+
+    return lane
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, itself left out.
 
-    Both inputs are (vec_id, v). Every query block meets every vector block, so
-    the work is their product, in tasks of bounded size; vectors only meet queries
-    of their own length. Rows that repeat a query's id answer it once.
+    Both inputs are (vec_id, v). A task holds a block of queries and reads a lane of
+    vectors, block by block; every query block meets every lane, so the work is the
+    product of both, in tasks of bounded size. Vectors only meet queries of their own
+    length. Of rows that repeat a query's id the smallest vector asks.
     """
-    vectors, queries = cut(vectors), cut(queries.dropDuplicates(["vec_id"]))
-    n_queries, n_vectors = queries.count(), vectors.count()
-    q_blocks, v_blocks = -(-n_queries // QUERY_ROWS) or 1, -(-n_vectors // BLOCK_ROWS) or 1
-    q = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("dims", F.size("v"))
-    v = vectors.withColumn("q_block", F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)"))).withColumn("dims", F.size("v"))
-    # a task holds one query block and reads its share of the vectors block by block
-    lanes = -(-v_blocks // LANE_BLOCKS)
-    v = v.withColumn("lane", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lanes)))
-    q = q.withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
-
-    def block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        if not len(queries) or not len(vectors):
-            return out
-        q_ids, q_matrix = _arrays(queries)
-        ids, matrix = _arrays(vectors)
-        floor = np.full(len(q_ids), -np.inf)
-        for a in range(0, len(ids), BLOCK_ROWS):
-            lists = SortedLists(ids[a : a + BLOCK_ROWS], matrix[a : a + BLOCK_ROWS], k)
-            for b in range(0, len(q_ids), 256):
-                row, col, score = lists.search(q_matrix[b : b + 256], k, floor[b : b + 256])
-                count = lists.first[col + 1] - lists.first[col]
-                at = np.repeat(lists.first[col] + count - np.cumsum(count), count) + np.arange(count.sum())
-                found = pd.DataFrame({"query_id": np.repeat(q_ids[b : b + 256][row], count), "vec_id": lists.ids[at], "score": np.repeat(score, count)})
-                out = best(pd.concat([out, found[found["query_id"] != found["vec_id"]]]), k)
-        return out
-
-    found = q.groupBy("q_block", "lane", "dims").cogroup(v.groupBy("q_block", "lane", "dims")).applyInPandas(block, "query_id long, vec_id long, score long")
+    v = cut(packed(vectors))
+    q = cut(packed(queries.groupBy("vec_id").agg(F.min("v").alias("v"))))
+    n_vectors, n_queries = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (v, q))
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    lanes = -(-n_vectors // LANE_ROWS) or 1
+    q_blocks = max(1, -(-n_queries // QUERY_ROWS), min(-(-n_queries // BATCH), -(-tasks // lanes)))
+    q = q.withColumn("q_block", F.pmod(F.xxhash64("ids"), F.lit(q_blocks))).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    v = v.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes))).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    keys = ("q_block", "lane", "dims")
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk(spark, sf_dir: str) -> DataFrame:
-    v = cut(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
-    return search(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v")))
+    v = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return search(v, v.where("vec_id % 20 = 0"))
 
 
 ORACLE = {
