@@ -86,7 +86,7 @@ def test_lm_scores(spark):
     seen = Counter()
     for (a, _), n in pair.items():
         seen[a] += n
-    q = {ab: 10 ** -(math.ceil(-math.log10((n - lmscore.DISCOUNT) / seen[ab[0]]) * lmscore.STEPS - 1e-9) / lmscore.STEPS) for ab, n in pair.items() if n >= 2}
+    q = {ab: 10 ** -(math.ceil(-math.log10((n - lmscore.DISCOUNT) / seen[ab[0]]) * lmscore.STEPS - 1e-9) / lmscore.STEPS) for ab, n in pair.items()}
     spent = Counter()
     for (a, _), x in q.items():
         spent[a] += x
@@ -97,7 +97,8 @@ def test_lm_scores(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(x in count for x in t), total)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
         assert math.isclose(r.base_score, sum(math.log10(p(x)) for x in t), rel_tol=1e-9)
-        model = sum(math.log10(q.get((a, b), 0) + (1 - spent[a]) * p(b)) for a, b in zip([None, *t[:-1]], t))
+        back = lambda a: 10 ** -(math.ceil(-math.log10(1 - spent[a]) * lmscore.BACKOFF_STEPS - 1e-9) / lmscore.BACKOFF_STEPS) if a in seen else 1
+        model = sum(math.log10(q.get((a, b), 0) + back(a) * p(b)) for a, b in zip([None, *t[:-1]], t))
         assert math.isclose(r.score, model, rel_tol=1e-4), (r.doc_id, r.score, model)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than word counts

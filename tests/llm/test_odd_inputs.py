@@ -181,6 +181,33 @@ def test_mixing_odd(spark):
     assert mixing.mix(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [50_000, 0])  # both ways to join the plan
+def test_mixing_with_ties(spark, monkeypatch, broadcast):
+    """Rows without an id, with one id, or alike in all columns: sources meet targets."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rows = [(None, "a", "one two three")] * 40 + [(None, "b", f"w{i} x y") for i in range(40)] + [(7, "c", f"v{i} x") for i in range(50)] + [(8, None, "q r s t")] * 30 + [(9, "c", None), (9, "c", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, size, again = {}, {}, mixing.mix(docs).collect()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(words(r.text))
+    for _, source, text in rows:
+        size[source] = size.get(source, 0) + len(words(text))
+    weights = {"a": 5, "b": 2, "c": 1, None: 5}
+    total, full = sum(size.values()), set()
+    while True:
+        level = (total - sum(3 * size[s] for s in full)) / sum(weights[s] for s in size if s not in full)
+        over = {s for s in size if s not in full and weights[s] * level > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    for s in size:
+        assert abs(taken[s] - (3 * size[s] if s in full else weights[s] * level)) <= 2.5, s
+    key = lambda rows: sorted(map(str, rows))
+    assert key(again) == key(mixing.mix(docs).collect())
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("__mix_n", F.lit(1)))
+
+
 def test_water_filling(spark):
     totals = spark.createDataFrame([("a", 5, 10), ("b", 2, 100), ("c", 1, 1000)], "source string, weight long, source_size long")
     got = {r.source: r.target for r in mixing.water_fill(totals).collect()}
@@ -336,6 +363,27 @@ def test_best_fit_takes_the_tightest_bin():
     assert max(fill.values()) <= 100
 
 
+def test_packing_in_rounds(spark, monkeypatch):
+    """Many groups: underfull bins are packed again with those of other groups."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 40)
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 7, i]), 0, 0, rnd.choice([rnd.randint(1, 2048), rnd.randint(900, 1300), 2048]), i) for i in range(1500)]
+    pieced = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieced).collect()
+    assert sorted(r.ids_crc32 for r in got) == list(range(1500))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    once = packing.best_fit(np.array([r[3] for r in rows]), 2048)[0].max() + 1
+    assert len(bins) <= 1.06 * once
+
+
 def test_packing_odd(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -368,7 +416,7 @@ def test_word_encoder_equals_whole_text(spark):
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/\r\nb", None), (2, None, ""), (3, "u", "x\r\n\r\ny"), (4, "u", "x\r\n\r\ny"), (5, "u", "\u00e9" * 2_000_000), (6, "v", "x\r\n\r\ny")]
+    rows = [(1, "http://a/\r\nb c", None), (2, None, ""), (3, "u", "x\r\n\r\ny"), (4, "u", "x\r\n\r\ny"), (5, "u", "\u00e9" * 2_000_000), (6, "v", "x\r\n\r\ny")]
     pages = warc.dealt(warc.with_digests(spark.createDataFrame(rows, "page_id long, url string, html string")), 2)
     folder = f"{shared_dir(spark)}/warc-test"
     fs, root = warc.file_system(folder)
@@ -388,8 +436,32 @@ def test_warc_round_trip(spark):
     for r in files.collect():
         for line in open(r.path + ".idx"):
             entry = json.loads(line)
-            headers, _ = warc.read_member(fs, r.path, entry["offset"], entry["length"])
+            headers, _ = warc.read_member(fs.open_input_file(r.path), entry["offset"], entry["length"])
             assert headers["WARC-Record-ID"] == entry["id"]
+            if entry["id"].endswith(":1>"):
+                assert headers["WARC-Target-URI"] == "http://a/%0D%0Ab%20c"
+
+
+def test_warc_null_and_repeated_ids(spark):
+    rows = [(None, "a", "x"), (None, "b", "y"), (None, "c", "y"), (4, "d", "x"), (4, "e", "x"), (3, "f", "x"), (3, "g", "z")]
+    pages = warc.dealt(warc.with_digests(spark.createDataFrame(rows, "page_id long, url string, html string")), 3)
+    folder = f"{shared_dir(spark)}/warc-nulls"
+    fs, root = warc.file_system(folder)
+    fs.create_dir(root, recursive=True)
+    read = warc.read_archives(warc.normalise(warc.write_archives(pages, warc.revisits_of(pages), folder).checkpoint(), folder).checkpoint(), folder).checkpoint()
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.resolved(read).collect()), key=key)
+    assert got == sorted([(None, "revisit", 4), (None, "response", None), (None, "response", None), (4, "response", None), (4, "response", None), (3, "revisit", 4), (3, "response", None)], key=key)
+    with pytest.raises(Exception, match="without its response"):
+        warc.resolved(read.where("page_id = 3")).collect()
+
+
+def test_truncated_streams_are_errors():
+    data = warc.member(warc.record("response", "1", "u", b"x" * 100, 100, "D", None))
+    assert len(list(warc.records(warc.inflate(iter([data[:20], data[20:], data]))))) == 2
+    for part in (data[:-1], data[:-8], data + data[:5]):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflate(iter([part]))))
 
 
 def test_warc_empty(spark):
@@ -456,6 +528,21 @@ def test_elias_fano():
     assert len(eliasfano.EliasFano.build(values[:0], 1).find(np.zeros(3, np.uint64))) == 3
 
 
+def test_select_in_word():
+    rng = np.random.default_rng(7)
+    words = np.concatenate([rng.integers(1, 1 << 63, 500).astype(np.uint64), np.array([1, 1 << 63, 2**64 - 1], np.uint64)])
+    for w in words.tolist():
+        ones = [k for k in range(64) if w >> k & 1]
+        assert eliasfano.select_in_word(np.full(len(ones), w, np.uint64), np.arange(len(ones))).tolist() == ones
+
+
+def test_successors_lie_between_their_pointers():
+    """The same successor id under another context is not found."""
+    values = np.array([3, 9, 9, 9, 12], np.uint64)
+    ef = eliasfano.EliasFano.build(values, 16)
+    assert ef.find(np.array([9, 9, 3], np.uint64), np.array([2, 4, 1]), np.array([3, 5, 5])).tolist() == [2, -1, -1]
+
+
 def test_trie_of_many_contexts(tmp_path):
     """More contexts than ranks that fit beside a successor, the last ones included."""
     rng = np.random.default_rng(6)
@@ -465,7 +552,7 @@ def test_trie_of_many_contexts(tmp_path):
     successors = rng.integers(0, 1 << 20, len(owner)).astype(np.uint64)
     successors[1:][owner[1:] == owner[:-1]] += np.uint64(1 << 30)
     codes = rng.integers(1, 256, len(owner)).astype(np.uint8)
-    backoff = rng.random(len(contexts)).astype(np.float32)
+    backoff = rng.integers(1, 65536, len(contexts)).astype(np.uint16)
     with open(tmp_path / "trie", "wb") as file:
         eliasfano.BigramTrie.build(contexts, first, successors, codes, backoff).tofile(file)
     trie = eliasfano.BigramTrie.open(tmp_path / "trie")
@@ -486,6 +573,7 @@ def test_shard_of_many_contexts():
     successors = np.tile(np.array([3, 9], np.uint64), n)
     trie = lmscore.build_shard(contexts, owner, successors, np.tile(np.array([2, 6]), n))
     code, backoff = trie.look_up(contexts, owner, successors)
+    assert np.allclose(lmscore.backoff_of(backoff), 1 - lmscore.share_of(code[:2]).sum(), rtol=1e-3)
     assert (code == lmscore.code_of(np.tile(np.array([1.25, 5.25]) / 8, n))).all() and len(set(backoff.tolist())) == 1
 
 

@@ -14,6 +14,23 @@ SUCCESSOR_BITS = 48
 RANK_BITS = 64 - SUCCESSOR_BITS
 
 
+_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+_BYTE_SELECT = np.zeros((256, 8), np.int64)  # position of the nth one of a byte
+for _b in range(256):
+    _at = [k for k in range(8) if _b >> k & 1]
+    _BYTE_SELECT[_b, : len(_at)] = _at
+
+
+def select_in_word(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Position of the nth (from 0) one of each 64-bit word, which has that many."""
+    sums = word - ((word >> U(1)) & U(0x5555555555555555))
+    sums = (sums & U(0x3333333333333333)) + ((sums >> U(2)) & U(0x3333333333333333))
+    sums = ((sums + (sums >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES  # ones up to each byte's end
+    whole = np.bitwise_count((((nth.astype(U) * _ONES) | _TOPS) - sums) & _TOPS).astype(U) << U(3)
+    before = ((sums << U(8)) >> whole) & U(255)
+    return whole.astype(np.int64) + _BYTE_SELECT[((word >> whole) & U(255)).astype(np.int64), nth - before.astype(np.int64)]
+
+
 class EliasFano:
     """A sorted sequence of numbers below ``universe`` in about 2 + log2(u/n) bits
     each: low bits packed, high bits in unary with a rank directory."""
@@ -51,21 +68,16 @@ class EliasFano:
     def _select(self, directory: np.ndarray, nth: np.ndarray, one: bool) -> np.ndarray:
         """Bit position of the nth (from 0) one or zero."""
         block = np.searchsorted(directory, nth, side="right") - 1
-        out = np.empty(len(nth), np.int64)
-        for a in range(0, len(nth), 1 << 15):
-            b = block[a : a + (1 << 15)]
-            bits = np.unpackbits(self.high[b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            seen = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.int16)
-            out[a : a + (1 << 15)] = b * 64 + (seen == (nth[a : a + (1 << 15)] - directory[b] + 1)[:, None]).argmax(1)
-        return out
+        word = self.high[block].astype(U)
+        return block * 64 + select_in_word(word if one else ~word, nth - directory[block])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         top = self._select(self.rank, i, True) - i
         return (top.astype(U) << U(self.low_bits)) | self._lows(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: successor search among the values that share
-        its high bits."""
+    def find(self, x: np.ndarray, least: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
+        """Index of each x, or -1: successor search from index ``least`` up to ``most``,
+        among the values there that share its high bits."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
@@ -73,7 +85,10 @@ class EliasFano:
         inside = top < self.zero_rank[-1]
         top = np.where(inside, top, 0)
         low = np.where(top > 0, self._select(self.zero_rank, np.maximum(top - 1, 0), False) - np.maximum(top - 1, 0), 0)
-        high = end = self._select(self.zero_rank, top, False) - top
+        high = self._select(self.zero_rank, top, False) - top
+        if least is not None:
+            low, high = np.maximum(low, least), np.minimum(high, most)
+        high = end = np.maximum(low, high)
         want = x & U((1 << self.low_bits) - 1)
         while (open_ := low < high).any():
             middle = (low + high) >> 1
@@ -91,7 +106,8 @@ class BigramTrie:
     Level 1: sorted context hashes. Pointers: monotone, where a context's
     successors begin. Level 2: successor ids made monotone by their context's rank,
     in a sequence for each 2^RANK_BITS contexts, as no more ranks fit beside an id.
-    Codes: quantised probabilities, a byte each.
+    Codes: quantised probabilities, a byte each, and quantised backoff weights, two
+    bytes for each context. A successor is searched between its context's pointers.
     """
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: list[EliasFano], codes: np.ndarray, backoff: np.ndarray) -> None:
@@ -111,32 +127,33 @@ class BigramTrie:
             EliasFano.build(first.astype(U), int(first[-1]) + 1),
             parts,
             codes.astype(np.uint8),
-            backoff.astype("<f4"),
+            backoff.astype("<u2"),
         )
 
     def look_up(self, contexts: np.ndarray, owner: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(code of each successor in contexts[owner], backoff of each context).
+        """(code of each successor in contexts[owner], backoff code of each context).
 
-        Code 0: not in the trie. An unknown context backs off with weight 1.
+        Code 0: not in the trie; backoff code 0: an unknown context.
         """
         rank = self.contexts.find(contexts)
-        backoff = np.where(rank >= 0, self.backoff[np.maximum(rank, 0)] if len(self.backoff) else 1, 1).astype("<f4")
+        backoff = np.where(rank >= 0, self.backoff[np.maximum(rank, 0)] if len(self.backoff) else 0, 0).astype("<u2")
         code = np.zeros(len(owner), np.uint8)
-        at = np.flatnonzero(rank[owner] >= 0)
-        own = rank[owner[at]]
+        own = rank[owner]
+        at = np.flatnonzero(own >= 0)
+        at = at[np.argsort(own[at] >> RANK_BITS, kind="stable")]  # by part
+        own = own[at]
+        known = np.flatnonzero(rank >= 0)
+        first, last = np.zeros((2, len(rank)), np.int64)
+        first[known], last[known] = self.pointers.get(rank[known]), self.pointers.get(rank[known] + 1)
+        first, last = first[owner[at]], last[owner[at]]
         key = (own.astype(U) << U(SUCCESSOR_BITS)) | successors[at]  # the rank's leading bits fall out: they number the part
-        spot, part = np.full(len(at), -1, np.int64), own >> RANK_BITS
         begin = self.pointers.get(np.arange(len(self.successors)) << RANK_BITS).astype(np.int64)
+        cuts = np.searchsorted(own >> RANK_BITS, np.arange(len(self.successors) + 1))
         for k, level in enumerate(self.successors):
-            mine = np.flatnonzero(part == k)
-            found = level.find(key[mine])
-            spot[mine] = np.where(found >= 0, found + begin[k], -1)
-        # relative to the context: the successor lies between its pointers
-        hit = np.flatnonzero(spot >= 0)
-        edge = self.pointers.get(np.concatenate([own[hit], own[hit] + 1]))
-        if not ((edge[: len(hit)] <= spot[hit].astype(U)) & (spot[hit].astype(U) < edge[len(hit) :])).all():
-            raise ValueError("a successor lies outside its context")
-        code[at[hit]] = self.codes[spot[hit]]
+            mine = slice(cuts[k], cuts[k + 1])
+            found = level.find(key[mine], first[mine] - begin[k], last[mine] - begin[k])
+            hit = np.flatnonzero(found >= 0)
+            code[at[mine][hit]] = self.codes[found[hit] + begin[k]]
         return code, backoff
 
     def tofile(self, file) -> None:
@@ -160,4 +177,4 @@ class BigramTrie:
             at += n
         unaligned = lambda a, kind: np.ndarray((len(a) // np.dtype(kind).itemsize,), kind, a)
         levels = [EliasFano(n, bits, arrays[2 * k], unaligned(arrays[2 * k + 1], "<u8")) for k, (n, bits) in enumerate(header["levels"])]
-        return cls(*levels[:2], levels[2:], arrays[-2], unaligned(arrays[-1], "<f4"))
+        return cls(*levels[:2], levels[2:], arrays[-2], unaligned(arrays[-1], "<u2"))

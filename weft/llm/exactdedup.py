@@ -8,8 +8,9 @@ A slot holds the full digest and the winner's locator. A lookup compares all 32
 bytes; rows whose digest is in no slot form groups of their own.
 
 Counting combines before the shuffle, so a text that a third of all rows hold is
-one row of each task. In the lookup, a part's rows are dealt over as many tasks as
-its count asks for, by id.
+one row of each task, and so are rows that repeat both id and text. In the lookup, a
+part's rows are dealt over as many tasks as its count asks for. There are as many parts
+as rows and history ask for.
 
 Null texts count as empty. Of rows that repeat the winner's id and text, one stays.
 A null id never wins against an id. An empty table gives an empty result.
@@ -26,7 +27,7 @@ from ._spark import cut, text_digest, without
 
 PART_KEYS = 50_000
 TASK_ROWS = 100_000
-MAX_PARTS = 8192
+BROADCAST_PARTS = 1_000_000  # rows of (part, ways)
 _LOAD = 1.5
 
 
@@ -55,6 +56,8 @@ class PerfectHash:
             size = max(2, int(len(left) * _LOAD))
             at = _seeded(lo[left], hi[left], len(self.levels), size)
             alone = np.bincount(at, minlength=size) == 1
+            if len(self.levels) > 200:  # distinct keys need some ten levels
+                raise ValueError("a history names each digest once")
             self.levels.append((alone, np.cumsum(alone) - 1 + before))
             before += int(alone.sum())
             left = left[~alone[at]]
@@ -79,10 +82,9 @@ def _matrix(digests: pd.Series) -> np.ndarray:
 
 
 def _look_up(rows: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
-    """One part: build its hash over the history, then check its rows."""
-    found = np.zeros(len(rows), bool)
+    """One part: build its hash over the history, then check its distinct rows."""
     keep = rows["doc_id"].to_numpy(object).copy()
-    size = np.ones(len(rows), np.int64)
+    size = rows["copies"].to_numpy(np.int64).copy()
     if len(history) and len(rows):
         keys = _matrix(history["known"])
         perfect = PerfectHash(keys)
@@ -95,17 +97,21 @@ def _look_up(rows: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
         at = perfect.slot(asked)
         found = (at >= 0) & (slots[at] == asked).all(1)
         keep[found], size[found] = winner[at[found]], count[at[found]]
-    out = pd.DataFrame({"doc_id": rows["doc_id"], "keep_id": pd.array(keep, "Int64"), "group_size": size, "digest": rows["digest"]})
-    wins = (pd.array(rows["doc_id"], "Int64") == out["keep_id"]).fillna(False).to_numpy(bool) | (rows["doc_id"].isna() & out["keep_id"].isna()).to_numpy()
-    again = out.duplicated(["digest", "doc_id"]).to_numpy()
-    out["kept"] = wins & ~again
-    out["doc_id"] = pd.array(out["doc_id"], "Int64")
-    return out[["doc_id", "keep_id", "group_size", "kept", "digest"]]
+    own, keep = pd.array(rows["doc_id"], "Int64"), pd.array(keep, "Int64")
+    wins = (own == keep).fillna(False).to_numpy(bool) | (own.isna() & keep.isna())
+    return pd.DataFrame({"doc_id": own, "keep_id": keep, "group_size": size, "wins": wins, "copies": rows["copies"], "digest": rows["digest"]})
+
+
+def _distinct(digests: DataFrame) -> DataFrame:
+    """(doc_id, digest, copies): rows that repeat both are one row."""
+    copies = F.sum("copies") if "copies" in digests.columns else F.count("*")
+    return digests.groupBy("doc_id", "digest").agg(copies.alias("copies"))
 
 
 def history_of(digests: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Distinct digests of more than one row, with winner and count."""
-    counts = digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("n"))
+    rows = F.sum("copies") if "copies" in digests.columns else F.count("*")
+    counts = digests.groupBy("digest").agg(F.max("doc_id").alias("winner"), rows.alias("n"))
     if earlier is not None:
         counts = counts.unionByName(earlier.select("digest", "winner", "n")).groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"))
     return counts.where("n > 1")
@@ -117,20 +123,23 @@ def group_digests(digests: DataFrame, history: DataFrame | None = None) -> DataF
     ``history`` (digest, winner, n) may come from earlier runs, on other rows: members
     gain its count and the larger winner, nonmembers are grouped by themselves.
     """
-    history = history_of(digests, history)
-    history = cut(history.select(F.col("digest").alias("known"), "winner", "n"))
-    parts = int(min(MAX_PARTS, max(64, history.count() // PART_KEYS, digests.count() // TASK_ROWS)))
+    digests = cut(_distinct(digests))
+    history = cut(history_of(digests, history).select(F.col("digest").alias("known"), "winner", "n"))
+    parts = int(max(64, history.count() // PART_KEYS, digests.count() // TASK_ROWS))
     part = lambda digest: F.pmod(F.hash(digest), F.lit(parts))
-    # rows of repeated digests in a part; at most MAX_PARTS rows
-    ways = history.groupBy(part("known").alias("part")).agg((F.sum("n") / TASK_ROWS + 1).cast("int").alias("ways")).where("ways > 1")
-    ways = F.broadcast(ways)
+    # parts in which repeated digests have many rows; there are at most rows / TASK_ROWS of them
+    ways = cut(history.groupBy(part("known").alias("part")).agg((F.sum("n") / TASK_ROWS + 1).cast("int").alias("ways")).where("ways > 1"))
+    if ways.count() <= BROADCAST_PARTS:
+        ways = F.broadcast(ways)
     left = digests.withColumn("part", part("digest")).join(ways, "part", "left")
-    left = left.withColumn("way", F.pmod(F.xxhash64("doc_id"), F.coalesce("ways", F.lit(1)))).drop("ways")
+    left = left.withColumn("way", F.pmod(F.xxhash64("doc_id", "digest"), F.coalesce("ways", F.lit(1)))).drop("ways")
     right = history.withColumn("part", part("known")).join(ways, "part", "left")
     right = right.withColumn("way", F.explode(F.expr("sequence(0L, coalesce(ways, 1) - 1L)"))).drop("ways")
-    return left.groupBy("part", "way").cogroup(right.groupBy("part", "way")).applyInPandas(
-        lambda a, b: _look_up(a, b), "doc_id long, keep_id long, group_size long, kept boolean, digest binary"
+    found = left.groupBy("part", "way").cogroup(right.groupBy("part", "way")).applyInPandas(
+        lambda a, b: _look_up(a, b), "doc_id long, keep_id long, group_size long, wins boolean, copies long, digest binary"
     )
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return found.select("*", copy).select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("copy") == 1)).alias("kept"), "digest")
 
 
 def digests_of(docs: DataFrame) -> DataFrame:
@@ -141,12 +150,12 @@ def digests_of(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline form: the row that stays of each group, with its own columns."""
     # only rows of repeated texts are looked at again
-    repeats = cut(group_digests(cut(digests_of(docs))).where("not kept").select("doc_id", "keep_id", "digest"))
+    repeats = cut(group_digests(digests_of(docs)).where("not kept").select("doc_id", "keep_id", "digest"))
     return without(docs, repeats.where("not doc_id <=> keep_id"), repeats.where("doc_id <=> keep_id"))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    digests = cut(digests_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    digests = digests_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return group_digests(digests).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -154,7 +154,7 @@ def _five(signatures: np.ndarray) -> bytes:
 def candidate_edges(docs: DataFrame, width: int, link: int) -> DataFrame:
     """(a, b) of sets that share a signature, as stars around the smallest."""
     size = planned_bytes(docs.select("text"))
-    shards = 1 << min(16, max(6, int(size // SHARD_BYTES).bit_length()))
+    shards = 1 << max(6, int(size // SHARD_BYTES).bit_length())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, have, names, count, known = Bands(link), [], [], 0, set()

@@ -1,11 +1,12 @@
 """Language-model scoring with an Elias-Fano bigram trie.
 
-The model is learned from all rows outside the held-out fold. Bigrams of at least
-``MIN_COUNT`` training occurrences are kept, discounted by ``DISCOUNT``; the mass
-of discounts and of rarer bigrams backs off to the unigram distribution:
-p(b|a) = q(a, b) + backoff(a) * p(b), where p(b) is add-0.1 smoothed and q is the
-discounted share, rounded down to a grid of ``STEPS`` a decade and held as a byte.
-So the model sums to one over known words and one unknown word.
+The model is learned from all rows outside the held-out fold, from every bigram that
+occurs there. Counts are discounted by ``DISCOUNT``; the mass of discounts backs off to
+the unigram distribution: p(b|a) = q(a, b) + backoff(a) * p(b), where p(b) is add-0.1
+smoothed and q is the discounted share, rounded down to a grid of ``STEPS`` a decade and
+held as a byte. backoff(a) is what the shares of a leave of 1, rounded down to a grid of
+``BACKOFF_STEPS`` a decade and held as two bytes. So the model sums to one, less 0.04 %
+of the backed-off mass at most, over known words and one unknown word.
 
 The trie is split over shards by context. A group of documents asks a shard about
 its distinct bigrams once; its training counts travel in the same rows. The shard
@@ -13,7 +14,8 @@ adds the counts of all groups, builds its trie, maps it into memory and answers
 every group. Unigram counts are gathered first, with totals.
 
 Tokens are words (A-Z lowered), then one end, which also stands before the first
-word. Null texts are empty: an end alone. Words are told apart by 64-bit hashes.
+word. Null texts are empty: an end alone. Words are told apart by 64-bit hashes. Rows
+that repeat an id, or have none, are scored and counted each by itself.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ from .eliasfano import SUCCESSOR_BITS, BigramTrie
 
 FOLDS = 10
 ADD = 0.1
-MIN_COUNT = 2
 DISCOUNT = 0.75
 STEPS = 28  # of a decade; code 1 + STEPS * -log10(q), 255 at most
+BACKOFF_STEPS = 6000  # likewise, 65535 at most
 END = U(0x5851F42D4C957F2D)
 FLUSH = 2_000_000
 
@@ -60,6 +62,15 @@ def share_of(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** -((code.astype(float) - 1) / STEPS), 0.0)
 
 
+def backoff_code(weight: np.ndarray) -> np.ndarray:
+    return np.clip(1 + np.ceil(-np.log10(weight) * BACKOFF_STEPS - 1e-9), 1, 65535).astype("<u2")
+
+
+def backoff_of(code: np.ndarray) -> np.ndarray:
+    """An unknown context (code 0) backs off with weight 1."""
+    return np.where(code > 0, 10.0 ** -((code.astype(float) - 1) / BACKOFF_STEPS), 1.0)
+
+
 def _packed(rows: dict) -> pa.Table:
     kinds = {"asker": pa.int64(), "shard": pa.int64(), "kind": pa.int32(), "n": pa.int64(), "v": pa.int64()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
@@ -148,7 +159,7 @@ def _asks(shards: int):
         six = np.ascontiguousarray(successor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
         per_context = np.diff(group.edges).astype("<i4")
         cuts = np.searchsorted(group.contexts, edges)
-        for k in range(shards):
+        for k in np.flatnonzero((np.diff(edges) > 0) | (np.diff(cuts) > 0)).tolist():
             if edges[k] < edges[k + 1]:
                 put(k, 1, group.words[edges[k] : edges[k + 1]])
             lo, hi = cuts[k], cuts[k + 1]
@@ -188,7 +199,7 @@ def build_shard(contexts: np.ndarray, owner: np.ndarray, successors: np.ndarray,
     total = np.add.reduceat(counts, edges) if len(edges) else counts
     context, successors = context[edges], successors[edges]
     seen = np.bincount(context, total, len(names)).astype(np.int64)
-    keep = total >= MIN_COUNT
+    keep = total > 0  # the others are only asked for
     context, successors, total = context[keep], successors[keep], total[keep]
     code = code_of((total - DISCOUNT) / seen[context]) if len(total) else np.zeros(0, np.uint8)
     backoff = 1 - np.bincount(context, share_of(code), len(names))
@@ -197,7 +208,7 @@ def build_shard(contexts: np.ndarray, owner: np.ndarray, successors: np.ndarray,
     number = np.full(len(names), -1)
     number[live] = np.arange(len(live))
     first = np.searchsorted(number[context], np.arange(len(live) + 1))
-    return BigramTrie.build(names[live], first, successors, code, backoff[live])
+    return BigramTrie.build(names[live], first, successors, code, backoff_code(backoff[live]))
 
 
 def _bigram_answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -228,9 +239,9 @@ def _scorer(total: int, kinds: int):
         right = right.sort_by("shard")
         kind = right["kind"].to_numpy()
         one, two = right.filter(pa.array(kind == 1)), right.filter(pa.array(kind == 2))
-        count, code, backoff = _concat(one["a"], np.int64), _concat(two["a"], np.uint8), _concat(two["b"], "<f4")
+        count, code, backoff = _concat(one["a"], np.int64), _concat(two["a"], np.uint8), backoff_of(_concat(two["b"], "<u2"))
         p = (count + ADD) / (total + ADD * (kinds + 1))
-        per_context = np.repeat(backoff.astype(float), np.diff(group.edges))
+        per_context = np.repeat(backoff, np.diff(group.edges))
         log_pair = np.log10(share_of(code) + per_context * p[group.successor])
         add = lambda x: np.add.reduceat(x, group.first[:-1]) if len(left) else np.zeros(0)
         return pa.table({

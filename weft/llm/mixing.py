@@ -7,14 +7,16 @@ A share of ``whole`` sizes and a rest is met by ``whole`` repetitions of every
 document and one more of the documents that come first in a seeded order, up to
 the one whose middle lies before the rest: the error is half a document at most.
 
-The seeded order is md5 of seed and id. Its leading hex digits are the buckets of
-a prefix sum, so only the one bucket of a source in which the rest ends is ever
-sorted; all other rows are aggregated where they are read. Nothing is collected
+The seeded order is md5 of seed and id, then of the text. Its leading hex digits are the
+buckets of a prefix sum (as many digits as rows ask for), so only the one bucket of a
+source in which the rest ends is ever sorted; all other rows are aggregated where they
+are read. Rows alike in id and text share a place in the order; where the rest ends
+among them, they are numbered and only as many as fit are taken. Nothing is collected
 but a few scalars.
 
-Null texts have size 0, a null source is a source of its own, null ids share one
-place in the order, rows that repeat an id are taken or left together, and an
-empty table gives an empty result.
+Null texts have size 0, a null source is a source of its own, rows without an id or
+with a repeated one take part each by itself, and an empty table gives an empty result.
+Column names that begin with ``__mix`` are reserved.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ._spark import cut
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 SEED = 17
-BUCKET_DIGITS = 3
+LEAST_DIGITS, MOST_DIGITS = 3, 6  # of a bucket
 BROADCAST_SOURCES = 50_000  # rows of (source, two numbers, a key)
 
 
@@ -35,13 +37,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def order_key(seed: int) -> Column:
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.concat(F.md5(own.cast("binary")), F.substring(F.md5(text.cast("binary")), 1, 16))
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The narrow columns all later steps work on, materialised once."""
-    return cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(F.col("doc_id"), seed).alias("key")))
+    return cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), order_key(seed).alias("key")))
 
 
 def ranked(totals: DataFrame) -> DataFrame:
@@ -75,12 +79,14 @@ def water_fill(totals: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def plan(docs_sized: DataFrame, weights: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per source: source_size, target, ``whole`` repetitions and ``last``, the
-    last key of the seeded order that gets one more ('' if none does).
+    """Per source: source_size, target, ``whole`` repetitions and ``last``, the last
+    key of the seeded order of which rows get one more ('' if none does): ``takes`` of
+    its ``ties`` rows.
 
     ``weights`` has a row (source, weight) for every source.
     """
-    digits = BUCKET_DIGITS
+    # some 16^digits buckets of 16^digits rows
+    digits = max(LEAST_DIGITS, min(MOST_DIGITS, -(-(docs_sized.count().bit_length()) // 8)))
     bucket = F.substring("key", 1, digits)
     per_bucket = cut(docs_sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size")))
     totals = per_bucket.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -93,29 +99,52 @@ def plan(docs_sized: DataFrame, weights: DataFrame, max_epochs: int = MAX_EPOCHS
     ends = cut(ends.select("source", "e.*"))
     few = ends.count() <= BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda df: df)
-    at_end = docs_sized.alias("d").join(hint(ends.alias("e")), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.substring("d.key", 1, digits) == F.col("e.bucket"))).select("e.source", "d.key", "d.size", "e.before", "e.rest")
-    inside = F.sum("size").over(Window.partitionBy("source").orderBy("key"))
-    taken = at_end.withColumn("middle", F.col("before") + inside - F.col("size") / 2).where("middle < rest").groupBy("source").agg(F.max("key").alias("top"))
-    last = ends.alias("e").join(taken.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.source", F.coalesce("top", "bucket").alias("last"))
-    return cut(filled.alias("f").join(last.alias("l"), F.col("f.source").eqNullSafe(F.col("l.source")), "left").select("f.source", "source_size", "target", "whole", F.coalesce("last", F.lit("")).alias("last")))
+    at_end = docs_sized.alias("d").join(hint(ends.alias("e")), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.substring("d.key", 1, digits) == F.col("e.bucket")))
+    places = at_end.groupBy("e.source", "d.key").agg(F.count("*").alias("ties"), F.max("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    inside = F.sum(F.col("ties") * F.col("size")).over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties") * F.col("size")
+    left = F.col("rest") - F.col("before") - inside  # what is wanted from this place on
+    # the k-th row of a place is taken if its middle, (k - 1/2) sizes on, lies before the rest
+    fits = F.when(left <= 0, 0).when(F.col("size") == 0, F.col("ties")).when(F.col("ties") == 1, F.when(F.col("size") / 2 < left, 1).otherwise(0))
+    fits = fits.otherwise(F.least(F.col("ties"), F.greatest(F.lit(0), F.ceil(left / F.col("size") - 0.5)))).cast("long")
+    taken = places.withColumn("takes", fits).where("takes > 0").groupBy("source").agg(F.max(F.struct("key", "takes", "ties")).alias("top"))
+    one = F.lit(1).cast("long")
+    last = ends.alias("e").join(taken.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")), "left").select("e.source", F.coalesce("top.key", "bucket").alias("last"), F.coalesce("top.takes", one).alias("takes"), F.coalesce("top.ties", one).alias("ties"))
+    return cut(filled.alias("f").join(last.alias("l"), F.col("f.source").eqNullSafe(F.col("l.source")), "left").select("f.source", "source_size", "target", "whole", F.coalesce("last", F.lit("")).alias("last"), "takes", "ties"))
 
 
 def with_plan(docs: DataFrame, sources: DataFrame, key: Column) -> DataFrame:
-    """``docs`` with its source's plan in ``__plan`` and its ``__copies``.
+    """``docs`` with its source's plan in ``__mix`` and its ``__mix_copies``.
 
     The plan is broadcast only up to ``BROADCAST_SOURCES`` rows. Beyond, it is
     joined by source and the key's first digits, so no source meets in one task.
     """
-    p = sources.select(F.col("source").alias("__s"), F.struct("source_size", "target", "whole", "last").alias("__plan"))
-    d = docs.withColumn("__key", key)
-    same = d["source"].eqNullSafe(p["__s"])
+    if taken := [c for c in docs.columns if c.startswith("__mix")]:
+        raise ValueError(f"reserved column names: {taken}")
+    p = sources.select(F.col("source").alias("__mix_s"), F.struct("source_size", "target", "whole", "last", "takes", "ties").alias("__mix"))
+    d = docs.withColumn("__mix_key", key)
+    same = d["source"].eqNullSafe(p["__mix_s"])
     if sources.count() <= BROADCAST_SOURCES:
         joined = d.join(F.broadcast(p), same, "left")
     else:
-        p = p.withColumn("__salt", F.explode(F.array(*[F.lit(x) for x in "0123456789abcdef"])))
-        joined = d.join(p, same & (F.substring("__key", 1, 1) == p["__salt"]), "left").drop("__salt")
-    extra = F.when(F.col("__key") <= F.col("__plan.last"), 1).otherwise(0)
-    return joined.withColumn("__copies", F.col("__plan.whole") + extra).drop("__s", "__key")
+        p = p.withColumn("__mix_salt", F.explode(F.array(*[F.lit(x) for x in "0123456789abcdef"])))
+        joined = d.join(p, same & (F.substring("__mix_key", 1, 1) == p["__mix_salt"]), "left").drop("__mix_salt")
+    place, last = F.col("__mix_key"), F.col("__mix.last")
+    if sources.where("takes < ties").isEmpty():
+        more = F.when(place <= last, 1).otherwise(0)
+    else:
+        # rows of one place, of which some are taken: numbered from partition to partition
+        tied = (place == last) & (F.col("__mix.takes") < F.col("__mix.ties"))
+        at = cut(joined.where(tied).withColumn("__mix_at", F.monotonically_increasing_id()))
+        of, part = F.coalesce(F.concat(F.lit("s"), "__mix_s"), F.lit("")), F.shiftright("__mix_at", 33)
+        at = at.withColumn("__mix_of", of).withColumn("__mix_part", part)
+        at = at.withColumn("__mix_nth", F.row_number().over(Window.partitionBy("__mix_of", "__mix_part").orderBy("__mix_at")))
+        sizes = at.groupBy("__mix_of", "__mix_part").agg(F.count("*").alias("__mix_rows"))
+        before = F.coalesce(F.sum("__mix_rows").over(Window.partitionBy("__mix_of").orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = at.join(sizes.select("__mix_of", "__mix_part", before.alias("__mix_before")), ["__mix_of", "__mix_part"])
+        at = at.withColumn("__mix_more", F.when(F.col("__mix_before") + F.col("__mix_nth") <= F.col("__mix.takes"), 1).otherwise(0))
+        others = joined.where(~F.coalesce(tied, F.lit(False))).withColumn("__mix_more", F.when(place <= last, 1).otherwise(0))
+        joined, more = others.unionByName(at.select(*others.columns)), F.col("__mix_more")
+    return joined.withColumn("__mix_copies", F.col("__mix.whole") + more).drop("__mix_s", "__mix_key", "__mix_more")
 
 
 def cycling_weights(docs_sized: DataFrame, weights=(5, 2, 1)) -> DataFrame:
@@ -128,21 +157,21 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX
     """Pipeline form: every row as often as the mix takes it, columns unchanged."""
     narrow = sized(docs, seed)
     sources = plan(narrow, weights if weights is not None else cycling_weights(narrow), max_epochs)
-    taken = with_plan(docs, sources, order_key(F.col("doc_id"), seed))
-    return taken.where("__copies > 0").withColumn("__n", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    taken = with_plan(docs, sources, order_key(seed))
+    return taken.where("__mix_copies > 0").withColumn("__mix_n", F.explode(F.expr("sequence(1L, __mix_copies)"))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     narrow = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = with_plan(narrow, plan(narrow, cycling_weights(narrow)), F.col("key"))
-    return taken.select("doc_id", "size", "__plan.source_size", "__plan.target", (F.col("size") * F.col("__copies")).alias("taken"))
+    return taken.select("doc_id", "size", "__mix.source_size", "__mix.target", (F.col("size") * F.col("__mix_copies")).alias("taken"))
 
 
 ORACLE = {
     "op3_mixing": f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) || substr(md5(coalesce(text, '')), 1, 16) AS key
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -165,7 +194,7 @@ p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY key) - size / 2.0 AS middle
+         sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN middle < rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """,

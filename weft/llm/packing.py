@@ -10,8 +10,9 @@ is left. Only whole bins' numbers and offsets are added to the narrow piece rows
 
 Token ids are those of the tokenizer on the whole text; see ``WordEncoder``.
 
-A null text is empty: one piece, the end id alone. Rows that repeat an id are
-separate documents.
+A null text is empty: one piece, the end id alone. Rows that repeat an id, or have
+none, are separate documents. An empty table gives an empty result; other columns than
+doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -234,7 +235,8 @@ def pack(pieced: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     done, turn = [full], 0
     while True:
         groups = -(-left.count() // GROUP_PIECES) or 1
-        group = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups))
+        # rows of a checkpoint keep their place, so repeated ids spread as well
+        group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups))
         last = groups == 1
         packed = left.withColumn("group", group).groupBy("group").applyInPandas(_packer(turn, last, sequence), _PACKED)
         if last:

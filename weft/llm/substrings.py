@@ -9,6 +9,10 @@ asks the hash's shard for the smallest id of all groups; only hashes whose small
 holder is in another group are answered. Hashes have 64 bits; a window is
 mistaken for another with a probability of (number of windows) / 2**64.
 
+The counting is a minimum for each hash, combined in each group first and finished per
+shard. It is done on arrays: as rows of their own, windows would shuffle more than four
+times the input (see the README).
+
 Texts without words keep nothing: the hash of an empty text. Null texts count as
 such. Rows that repeat an id are one id, so they never remove each other's words.
 Rows with a null id are never a smaller document; their windows yield to all ids.
@@ -40,14 +44,14 @@ def _windows(table: pa.Table, width: int):
         hashes = window_hashes(word_hashes(data, start, stop), width)
         document = np.searchsorted(first, np.arange(len(hashes)), side="right") - 1
         inside = np.arange(width, width + len(hashes)) <= first[document + 1]
-        yield row, end, data, start, stop, first, hashes, document, inside
+        yield row, end, data, at, start, stop, first, hashes, document, inside
 
 
 def _smallest(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The table's distinct window hashes, sorted, with the smallest id of each."""
     ids = _ids(table["doc_id"])
     hashes, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for row, _, _, _, _, _, h, document, inside in _windows(table, width):
+    for row, _, _, _, _, _, _, h, document, inside in _windows(table, width):
         hashes.append(h[inside])
         owners.append(ids[row + document[inside]])
     return _least(np.concatenate(hashes), np.concatenate(owners))
@@ -96,6 +100,19 @@ def intervals(removed: np.ndarray) -> np.ndarray:
     return np.flatnonzero(padded[1:] != padded[:-1]).reshape(-1, 2)
 
 
+def kept_text(data: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts' kept words, joined by single spaces, and each text's offset."""
+    kept = np.flatnonzero(~removed)
+    text = np.searchsorted(first, kept, side="right") - 1
+    more = np.append(text[1:] == text[:-1], False)[: len(kept)]  # another kept word follows in the text
+    stays, data = np.zeros(len(data) + 1, np.int8), data.copy()
+    stays[start[kept]] += 1
+    stays[stop[kept] + more] -= 1  # the byte after a word is a separator
+    data[stop[kept][more]] = 0x20
+    stays = np.cumsum(stays[:-1], dtype=np.int8) > 0
+    return data[stays], np.concatenate([[0], np.cumsum(stays)])[at]
+
+
 def _remove(width: int, texts: bool):
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, least = _smallest(left, width)
@@ -103,37 +120,29 @@ def _remove(width: int, texts: bool):
             spot = np.searchsorted(hashes, from_planes(h.as_py()))
             least[spot] = np.minimum(least[spot], from_planes(low.as_py()).astype(np.int64))
         ids = _ids(left["doc_id"])
-        words, gone, digest, spans, kept_text = [], [], [], [], []
-        for row, end, data, start, stop, first, h, document, inside in _windows(left, width):
+        words, gone, digest, spans, kept = [], [], [], [], []
+        for row, end, data, at, start, stop, first, h, document, inside in _windows(left, width):
             hit = np.zeros(len(h), bool)
             own = np.flatnonzero(inside)
             hit[own] = least[np.searchsorted(hashes, h[own])] < ids[row + document[own]]
             change = np.zeros(len(start) + 1, np.int64)
-            at = np.flatnonzero(hit)
-            change[at] += 1
-            np.add.at(change, at + width, -1)
+            begin = np.flatnonzero(hit)
+            change[begin] += 1
+            change[begin + width] -= 1
             removed = np.cumsum(change[:-1]) > 0
-            raw = data.tobytes()
+            text, upto = kept_text(data, at, start, stop, first, removed)
+            lost = np.concatenate([[0], np.cumsum(removed)])
+            words += np.diff(first).tolist()
+            gone += np.diff(lost[first]).tolist()
             for k in range(end - row):
-                a, b = int(first[k]), int(first[k + 1])
-                cut_at = intervals(removed[a:b]) if removed[a:b].any() else np.zeros((0, 2), np.int64)
-                low = start[a:b].tolist()
-                high = stop[a:b].tolist()
-                keep, last = [], 0
-                for x, y in cut_at.tolist():
-                    keep += [raw[s:e] for s, e in zip(low[last:x], high[last:x])]
-                    last = y
-                keep += [raw[s:e] for s, e in zip(low[last:], high[last:])]
-                text = b" ".join(keep)
-                words.append(b - a)
-                gone.append(b - a - len(keep))
-                digest.append(hashlib.sha256(text).hexdigest())
+                own = text[upto[k] : upto[k + 1]]
+                digest.append(hashlib.sha256(own).hexdigest())
                 if texts:
-                    spans.append(cut_at.tolist())
-                    kept_text.append(text.decode())
+                    spans.append(intervals(removed[first[k] : first[k + 1]]).tolist())
+                    kept.append(own.tobytes().decode())
         out = {"doc_id": left["doc_id"], "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         if texts:
-            out |= {"removed": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept_text, pa.string())}
+            out |= {"removed": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.string())}
         return pa.table(out)
 
     return remove
