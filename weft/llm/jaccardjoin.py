@@ -311,9 +311,9 @@ def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int
     repeated = not plan.where("n > 1").isEmpty()
     meeting = "a long, b long"
     # every block meets the pivots, block 0; most components have no other
-    pivots = _elements_of(docs, plan.drop("n"), width, repeated)
+    loaded = cut(_elements_of(docs, plan.drop("n"), width, repeated))
     other = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    meet = pivots.withColumn("j", F.explode(other)).select("root", F.lit(0).cast("long").alias("i"), "j", "set", "block", "elements")
+    meet = loaded.withColumn("j", F.explode(other)).select("root", F.lit(0).cast("long").alias("i"), "j", "set", "block", "elements")
     edges = meet.groupBy("root", "i", "j").applyInArrow(_link_blocks(link), meeting)
     large = plan.where("blocks > 1")
     if large.isEmpty():
@@ -326,9 +326,8 @@ def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int
         return components(edges)
     # sets outside the largest class meet everything of their component
     count = others.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rows"))
-    again = large.join(count, "root").join(others.select(F.col("set").alias("other")), F.col("set") == F.col("other"), "left")
-    again = again.select("set", "root", "block", "id", "at", "rows", F.when(F.col("other").isNotNull(), F.pmod("set", "rows")).alias("own"), "blocks")
-    whole = _elements_of(docs, again, width, repeated)
+    whole = loaded.join(count, "root").join(others.select(F.col("set").alias("other")), F.col("set") == F.col("other"), "left")
+    whole = whole.withColumn("own", F.when(F.col("other").isNotNull(), F.pmod("set", "rows")))
     column = whole.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).select("root", "i", (F.col("block") + 1).alias("j"), "set", (F.col("block") + 1).alias("block"), "elements")
     row = whole.where("own is not null").withColumn("j", F.explode(F.expr("sequence(1L, blocks)"))).select("root", (-1 - F.col("own")).alias("i"), "j", "set", (-1 - F.col("own")).alias("block"), "elements")
     meet = column.withColumn("i", -1 - F.col("i")).unionByName(row)

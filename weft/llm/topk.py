@@ -34,9 +34,9 @@ SCALE = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 8192  # queries of a task
 LANE_ROWS = 1 << 16  # vectors that a task reads, block by block
-BATCH = 64  # queries that read in step
+BATCH = 128  # queries that read in step
 STEP = 0.125  # of a list, in one round
-FEW = 4  # resolve when a query has at most FEW * k vectors in question
+FEW = 4  # resolve when a query has at most FEW * k vectors in question, or half of what a round reads
 
 
 def exact_dtype(a: np.ndarray, b: np.ndarray):
@@ -97,7 +97,7 @@ class SortedLists:
         if n <= k:
             return
         bottom, top = self.sorted[:, 0].astype(q.dtype), self.sorted[:, -1].astype(q.dtype)
-        up, down, open_ = np.maximum(q, 0), np.minimum(q, 0), np.arange(len(q))
+        up, down, open_, bounded = np.maximum(q, 0), np.minimum(q, 0), np.arange(len(q)), np.zeros(len(q), bool)
         lower = np.repeat((up @ bottom + down @ top)[None, :], n, 0)
         unread_top = np.ones((n, q.shape[1]), q.dtype)
         unread_bottom = unread_top.copy()
@@ -107,13 +107,20 @@ class SortedLists:
             self._read(lower, unread_bottom, some, down, slice(read - step, min(n, read)), top)
             if read >= n:
                 break
-            # k + 1 as the query's own row takes no part
-            floor[open_] = np.maximum(floor[open_], np.partition(lower, n - k - 1, axis=0)[n - k - 1].astype(float))
-            rows = np.flatnonzero(some)
+            # k + 1 as the query's own row takes no part; an earlier block's k-th score is the better bound
+            new = np.flatnonzero(np.isinf(floor[open_]) | bounded[open_])
+            if len(new):
+                bounded[open_[new]] = True
+                floor[open_[new]] = np.maximum(floor[open_[new]], np.partition(lower[:, new], n - k - 1, axis=0)[n - k - 1].astype(float))
+            if read < 3 * step:  # hardly anything is out so early
+                continue
+            rows = slice(None) if some.all() else np.flatnonzero(some)
             gap_top, gap_bottom = self.sorted[:, n - read].astype(q.dtype) - bottom, self.sorted[:, read - 1].astype(q.dtype) - top
             upper = lower[rows] + unread_top[rows] @ (gap_top[:, None] * up.T) + unread_bottom[rows] @ (gap_bottom[:, None] * down.T)
-            live[np.ix_(rows, open_)] &= upper >= floor[open_][None, :]
-            left = live[:, open_].sum(0) > FEW * k
+            mine = live[:, open_] if len(open_) < len(q) else live
+            mine[rows] &= upper >= floor[open_].astype(q.dtype)[None, :]
+            live[:, open_] = mine
+            left = mine.sum(0) > max(FEW * k, step // 2)
             if not left.any():
                 break
             if not left.all():
@@ -141,7 +148,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(fine, F.lit(False))).select("vec_id", v.alias("v"))
 
 
-def packed(vectors: DataFrame) -> DataFrame:
+def packed(vectors: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of rows of one length: (dims, n, ids, cells), packed where the rows lie,
     with cells as narrow as the block's components allow."""
 
@@ -154,8 +161,8 @@ def packed(vectors: DataFrame) -> DataFrame:
             rows: dict[str, list] = {"dims": [], "n": [], "ids": [], "cells": []}
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                for a in range(0, len(at), BLOCK_ROWS):
-                    part = at[a : a + BLOCK_ROWS]
+                for a in range(0, len(at), block_rows):
+                    part = at[a : a + block_rows]
                     cells = flat[start[part][:, None] + np.arange(d)[None, :]]
                     kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= cells.min() and cells.max() <= np.iinfo(t).max)
                     for name, value in zip(rows, (int(d), len(part), ids[part].astype("<i8").tobytes(), cells.astype(kind).tobytes())):
@@ -212,8 +219,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     product of both, in tasks of bounded size. Vectors only meet queries of their own
     length. Of rows that repeat a query's id the smallest vector asks.
     """
-    v = cut(packed(vectors))
-    q = cut(packed(queries.groupBy("vec_id").agg(F.min("v").alias("v"))))
+    v = cut(packed(vectors, BLOCK_ROWS))
+    q = cut(packed(queries.groupBy("vec_id").agg(F.min("v").alias("v")), BATCH))
     n_vectors, n_queries = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (v, q))
     tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
     lanes = -(-n_vectors // LANE_ROWS) or 1
