@@ -112,10 +112,12 @@ class SortedLists:
             if len(new):
                 bounded[open_[new]] = True
                 floor[open_[new]] = np.maximum(floor[open_[new]], np.partition(lower[:, new], n - k - 1, axis=0)[n - k - 1].astype(float))
-            if read < 3 * step:  # hardly anything is out so early
+            front_top, front_bottom = self.sorted[:, n - read].astype(q.dtype), self.sorted[:, read - 1].astype(q.dtype)
+            # what was read is no less than what is read last: none is out before these are
+            if (up @ front_top + down @ front_bottom >= floor[open_]).all():
                 continue
             rows = slice(None) if some.all() else np.flatnonzero(some)
-            gap_top, gap_bottom = self.sorted[:, n - read].astype(q.dtype) - bottom, self.sorted[:, read - 1].astype(q.dtype) - top
+            gap_top, gap_bottom = front_top - bottom, front_bottom - top
             upper = lower[rows] + unread_top[rows] @ (gap_top[:, None] * up.T) + unread_bottom[rows] @ (gap_bottom[:, None] * down.T)
             mine = live[:, open_] if len(open_) < len(q) else live
             mine[rows] &= upper >= floor[open_].astype(q.dtype)[None, :]
