@@ -31,6 +31,7 @@ class Field:
     infer: bool = True
     value: Any = None
     exact: tuple | None = None
+    templatize: bool = True
     label: str | None = None
     comment: str | None = None
 
@@ -38,6 +39,11 @@ class Field:
     def literal(self) -> bool:
         return self.target in LITERALS or self.target is None
 
+    @property
+    def skipped(self) -> bool:
+        """A pinned field that is not for templates: in no query and no template."""
+        return self.value is not None and not self.templatize
+
 
 LITERALS = {"string": str, "long": int, "double": float, "boolean": bool}
 
@@ -245,7 +251,7 @@ class Catalog:
             "classes": ([(c.name, c.label, c.comment, c.abstract, c.type) for c in cs], "name string, label string, comment string, abstract boolean, asserted string"),
             "class_parent": ([(c.name, p, i) for c in cs for i, p in enumerate(c.parents)], "class string, parent string, position int"),
             "class_mro": ([(c.name, a, d) for c in cs for a, d in self.mro(c.name)], "class string, ancestor string, depth int"),
-            "fields": ([(c.name, f.name, f.relation, f.target, f.min, f.max, f.qualified, f.optional, i) for c in cs for i, f in enumerate(self.fields(c.name))], "class string, field string, relation string, target string, min int, max int, qualified boolean, optional boolean, position int"),
+            "fields": ([(c.name, f.name, self.relation_of(c.name, f) if f.target or f.relation else None, f.target, f.min, f.max, f.qualified, f.optional, i) for c in cs for i, f in enumerate(self.fields(c.name))], "class string, field string, relation string, target string, min int, max int, qualified boolean, optional boolean, position int"),
             "valid_relations": ([(c.name, r, c.name if t == "Self" else t, i) for c in cs for i, (r, t) in enumerate(c.valid)], "class string, relation string, target string, position int"),
             "relations": ([(r.name, r.subproperty_of, r.domain, r.range, r.inverse_of, r.symmetric) for r in self.relations.values()], "name string, subproperty_of string, domain string, range string, inverse_of string, symmetric boolean"),
         }

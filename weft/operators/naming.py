@@ -19,19 +19,22 @@ def number_rows(df: DataFrame, *order: str) -> DataFrame:
 
 
 def make_unique(df: DataFrame, name: str, order: list[str], within: list[str] | None = None, alias: str = "unique_name") -> DataFrame:
-    """The first of a name keeps it, the n-th gets ``_n``. A suffixed name that is
-    another row's own name is skipped to ``_n_n``."""
-    w = Window.partitionBy(*(within or []), name).orderBy(*order)
-    k = F.row_number().over(w)
-    out = df.withColumn("__k", k).withColumn("__want", F.when(F.col("__k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("__k").cast("string"))))
-    taken = df.select(*(within or []), F.col(name).alias("__taken")).distinct()
-    clash = [F.col(f"__o.{c}").eqNullSafe(F.col(f"__t.{c}")) for c in within or []]
-    on = F.col("__o.__want") == F.col("__t.__taken")
-    for c in clash:
-        on = on & c
-    joined = out.where("__k > 1").alias("__o").join(taken.alias("__t"), on, "left").select("__o.*", "__taken")
-    later = joined.withColumn(alias, F.when(F.col("__taken").isNull(), F.col("__want")).otherwise(F.concat("__want", F.lit("_"), F.col("__k").cast("string")))).drop("__taken")
-    return out.where("__k = 1").withColumn(alias, F.col(name)).unionByName(later).drop("__k", "__want")
+    """The first of a name keeps it; others get ``_2``, ``_3`` and so on, without the
+    numbers that make another row's own name. A suffix and a name give a suffixed name
+    in one way only, so own names are all that can clash."""
+    keys = within or []
+    rows = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order)) - 1).withColumn("__own", F.col(name))
+    # numbers that own names take: the i-th of a name moves on whatever has a place of number - i or more
+    own = df.select(*keys, F.regexp_extract(name, "^(?s:(.*))_([1-9][0-9]{0,8})$", 1).alias("__own"), F.regexp_extract(name, "^(?s:(.*))_([1-9][0-9]{0,8})$", 2).try_cast("int").alias("__n"))
+    own = own.where("__n >= 2").distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys, "__own").orderBy("__n"))
+    blocks = own.select(*keys, "__own", (F.col("__n") - nth).alias("__r"), F.lit(1).alias("__block"))
+    both = rows.withColumn("__block", F.lit(0)).unionByName(blocks, allowMissingColumns=True)
+    # 1 for each taken number at or before a row's place
+    before = F.sum("__block").over(Window.partitionBy(*keys, "__own").orderBy("__r", F.desc("__block")).rowsBetween(Window.unboundedPreceding, 0))
+    number = F.col("__r") + 1 + F.col("__before")
+    found = both.withColumn("__before", before).where("__block = 0")
+    return found.withColumn(alias, F.when(F.col("__r") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number.cast("string")))).drop("__r", "__own", "__block", "__before")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from dataclasses import dataclass
 from itertools import count
@@ -41,37 +40,51 @@ def star(path) -> Path:
     return Path("star", (path,))
 
 
-def pairs(graph: Graph, path, nodes: DataFrame | None = None) -> DataFrame:
-    """Distinct (s, o) that a path joins. ``nodes`` (name) are the subjects and
-    objects that ``star`` also pairs with themselves; default: all on the path."""
+def pairs(graph: Graph, path, nodes: DataFrame | None = None, distinct: bool = True) -> DataFrame:
+    """(s, o) that a path joins; ``a`` is the type relation. ``nodes`` (name) are the
+    subjects and objects that ``star`` also pairs with themselves; default: all on the
+    path. Without ``distinct`` rows may repeat."""
+    out = _pairs(graph, path, nodes)
+    return out.distinct() if distinct else out
+
+
+def _pairs(graph: Graph, path, nodes: DataFrame | None) -> DataFrame:
     if isinstance(path, str):
-        return graph.edges(path).distinct()
+        return graph.edges(path)
     if path.kind == "inverse":
-        return pairs(graph, path.parts[0]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+        return _pairs(graph, path.parts[0], nodes).select(F.col("o").alias("s"), F.col("s").alias("o"))
     if path.kind == "seq":
-        out = pairs(graph, path.parts[0], nodes)
+        out = _pairs(graph, path.parts[0], nodes)
         for p in path.parts[1:]:
-            step = pairs(graph, p, nodes).select(F.col("s").alias("via"), F.col("o").alias("end"))
+            # ``*`` as a step pairs what it is reached from with itself, on or off its own path
+            at = out.select(F.col("o").alias("name")) if isinstance(p, Path) and p.kind == "star" else nodes
+            step = _pairs(graph, p, at).select(F.col("s").alias("via"), F.col("o").alias("end"))
             out = out.join(step, F.col("o") == F.col("via")).select("s", F.col("end").alias("o"))
-        return out.distinct()
+        return out
     if path.kind == "alt":
-        out = pairs(graph, path.parts[0], nodes)
+        out = _pairs(graph, path.parts[0], nodes)
         for p in path.parts[1:]:
-            out = out.unionByName(pairs(graph, p, nodes))
-        return out.distinct()
-    step = pairs(graph, path.parts[0], nodes)
+            out = out.unionByName(_pairs(graph, p, nodes))
+        return out
+    step = _pairs(graph, path.parts[0], nodes)
     closed = closure(step)
     if path.kind == "plus":
         return closed
-    own = nodes.select("name") if nodes is not None else step.select(F.col("s").alias("name")).union(step.select("o"))
+    own = step.select(F.col("s").alias("name")).union(step.select("o"))
+    if nodes is not None:
+        own = own.unionByName(nodes.select("name"))
     return closed.unionByName(own.select(F.col("name").alias("s"), F.col("name").alias("o"))).distinct()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage reliably: a checkpoint in the shared folder."""
+    """Cut a loop's lineage reliably: a checkpoint in the shared folder. Only a local
+    session that names none gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weft-checkpoints"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return df.checkpoint()
 
 

@@ -18,12 +18,14 @@ from ..model import Catalog, Field
 from ..sources.graph import Graph
 
 
-def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any", subclasses: bool = False, check_types: bool = True, optional: bool = False, fields: list[str] | None = None) -> DataFrame:
+def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any", subclasses: bool = False, check_types: bool = True, optional: bool = False, fields: list[str] | None = None, distinct: bool = True) -> DataFrame:
     """``match`` of fields with exact values: "any" gives a row for each value that
     is listed (column ``name_exact_values``), "exact" subjects that have precisely
-    the listed ones. ``optional`` adds optional fields by left joins."""
+    the listed ones. ``optional`` adds optional fields by left joins, or as they are
+    where they lie in the class's own table. Pinned fields that are not for templates
+    are left out. Without ``distinct`` rows may repeat."""
     spec = catalog.classes[name]
-    wanted = [f for f in catalog.fields(name) if fields is None or f.name in fields]
+    wanted = [f for f in catalog.fields(name) if (fields is None or f.name in fields) and not f.skipped]
     types = dict.fromkeys([spec.type, *(catalog.classes[c].type for c in catalog.subclasses(name))]) if subclasses else {spec.type: None}
     own = graph.types.get(spec.type) if len(types) == 1 and graph.triples is None else None
     inside = {f.name: graph.in_table_of(spec.type, catalog.relation_of(name, f)) for f in wanted if own and f.exact is None and catalog.relation_of(name, f)}
@@ -37,36 +39,42 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
                 elif not f.optional:
                     base = base.where(F.col(column).isNotNull())
                     columns.append(F.col(column).alias(f.name))
+                elif optional:
+                    columns.append(F.col(column).alias(f.name))
         out = base.select(*columns)
     else:
         out = graph.instances(*types)
+    typed = lambda f: not f.literal and f.target in catalog.classes and check_types and not f.optional
+    joined = [f for f in wanted if not inside.get(f.name) and f.value is None and f.exact is None and catalog.relation_of(name, f) and (optional or not f.optional)]
     for f in wanted:
         relation = catalog.relation_of(name, f)
-        if inside.get(f.name) or relation is None or (f.optional and not optional):
-            if not inside.get(f.name) or f.value is not None or f.optional:
-                continue
-        elif f.exact is not None:
-            continue
-        elif f.value is not None:
+        if inside.get(f.name):
+            if f.value is None and typed(f):
+                out = out.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
+        elif f.value is not None and f.exact is None and relation:
             only = graph.edges(relation).where(F.col("o") == F.lit(f.value)).select(F.col("s").alias("name"))
             out = out.join(only, "name", "left_semi")
-        else:
+        elif f in joined:
             step = graph.edges(relation).select(F.col("s").alias("name"), F.col("o").alias(f.name))
+            if typed(f):
+                # edges are narrow: their objects are checked before they are joined
+                step = step.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
+            if len(joined) > 1:
+                step = step.distinct()  # repeated edges would multiply
             out = out.join(step, "name", "left" if f.optional else "inner")
-        if not f.literal and f.target in catalog.classes and check_types and not f.optional:
-            out = out.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
     for b in catalog.between(name):
         edge = graph.edges(b.relation).select(F.col("s").alias(b.source), F.col("o").alias(b.target)).distinct()
         out = out.join(edge, [b.source, b.target])
     out = reduce(lambda df, f: _exact(graph, df, catalog.relation_of(name, f), f, match), [f for f in wanted if f.exact is not None], out)
     order = [c for c in ["name", *(f.name for f in wanted)] if c in out.columns]
-    return out.select(*order, *[c for c in out.columns if c not in order]).distinct()
+    out = out.select(*order, *[c for c in out.columns if c not in order])
+    return out.distinct() if distinct else out
 
 
 def _of_type(graph: Graph, catalog: Catalog, f: Field) -> DataFrame:
     """(name) of the field's class, with what that class pins."""
     pinned = [x.name for x in catalog.fields(f.target) if x.value is not None]
-    return class_query(graph, catalog, f.target, check_types=False, fields=pinned).select("name")
+    return class_query(graph, catalog, f.target, check_types=False, fields=pinned, distinct=False).select("name")
 
 
 def _exact(graph: Graph, out: DataFrame, relation: str, f: Field, match: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Graph patterns as join plans.
 
 A pattern is (subject, path, object); terms that start with ``?`` are variables,
-all others constants. Patterns join on the variables they share. Conditions,
+all others constants; the path may be a variable as well, over all relations of a
+graph. Patterns join on the variables they share; rows are made distinct at the end. Conditions,
 absent groups (anti-joins on shared variables) and alternatives are applied after
 all joins, so their place in the query does not matter.
 """
@@ -25,23 +26,26 @@ def _is_variable(term) -> bool:
 
 
 def _table(graph: Graph, pattern: Pattern) -> DataFrame:
+    """A pattern's bindings; rows may repeat."""
     subject, path, object_ = pattern
-    if path == "a":
+    if path == "a" and not _is_variable(object_):
         df = graph.instances(object_)
-        return df.select(F.col("name").alias(subject[1:])).distinct() if _is_variable(subject) else df.where(F.col("name") == F.lit(subject)).limit(1).select()
-    if path == "?any":
-        raise ValueError("a variable relation needs triples; use any_relation")
-    df = pairs(graph, path)
-    for column, term in (("s", subject), ("o", object_)):
+        return df.select(F.col("name").alias(subject[1:])) if _is_variable(subject) else df.where(F.col("name") == F.lit(subject)).limit(1).select()
+    terms = [("s", subject), ("o", object_)]
+    if _is_variable(path):
+        df = graph.as_triples()
+        terms.append(("p", path))
+    else:
+        df = pairs(graph, path, distinct=False)
+    seen: dict[str, str] = {}
+    for column, term in terms:
         if not _is_variable(term):
             df = df.where(F.col(column) == F.lit(term))
-    if subject == object_:
-        df = df.where("s = o")
-    names = dict.fromkeys((c, t) for c, t in (("s", subject), ("o", object_)) if _is_variable(t))
-    seen: dict[str, str] = {}
-    for c, t in names:
-        seen.setdefault(t[1:], c)
-    return df.select(*[F.col(c).alias(v) for v, c in seen.items()]).distinct()
+        elif term[1:] in seen:
+            df = df.where(F.col(column) == F.col(seen[term[1:]]))
+        else:
+            seen[term[1:]] = column
+    return df.select(*[F.col(c).alias(v) for v, c in seen.items()])
 
 
 def any_relation(graph: Graph, subject: str, object_: str) -> DataFrame:
@@ -55,9 +59,9 @@ def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
     left = sorted(patterns, key=lambda p: -sum(not _is_variable(t) for t in (p[0], p[2])))
     out, known = None, set()
     while left:
-        at = next((i for i, p in enumerate(left) if known & {t for t in (p[0], p[2]) if _is_variable(t)}), 0)
+        at = next((i for i, p in enumerate(left) if known & {t for t in p if _is_variable(t)}), 0)
         p = left.pop(at)
-        table, own = _table(graph, p), {t for t in (p[0], p[2]) if _is_variable(t)}
+        table, own = _table(graph, p), {t for t in p if _is_variable(t)}
         shared = sorted(t[1:] for t in known & own)
         if out is not None and not shared:
             raise ValueError(f"{p} shares no variable with the patterns before it")
@@ -80,13 +84,13 @@ def match(graph: Graph, patterns: Sequence[Pattern], *, where: Callable | None =
         if condition is not None:
             df = df.where(condition)
         shared = [c for c in df.columns if c in out.columns]
-        return df.select(*shared).distinct(), shared
+        return df.select(*shared), shared
 
     for g in absent:
         df, shared = group(g)
         out = out.join(df, shared, "left_anti")
     for choices in present:
         parts = [group(g) for g in choices]
-        both = reduce(lambda a, b: a.unionByName(b), [df for df, _ in parts]).distinct()
+        both = reduce(lambda a, b: a.unionByName(b), [df for df, _ in parts])
         out = out.join(both, parts[0][1], "left_semi")
     return (out.select(*select) if select else out).distinct()

@@ -162,22 +162,38 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """One row: the checksum over all files' checksums in order of their paths."""
+    """One row: the checksum over all files' checksums in order of their paths (not over
+    their bytes, so no file is moved)."""
     return checksums(spark, path).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))), lambda x: x["sha256"])), 256).alias("sha256"))
 
 
+def stale(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(file, state): what of (file, sha256) has changed, is new or is gone since it was
+    recorded; files that are as recorded are left out."""
+    a, b = now.select("file", F.col("sha256").alias("now")), recorded.select("file", F.col("sha256").alias("then"))
+    state = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("then"), "changed")
+    return a.join(b, "file", "full").withColumn("state", state).where("state is not null").select("file", "state")
+
+
 def _written(kind, value, data_type, lang):
+    """A term as text. Blank nodes are labelled by a hash, so labels of different
+    files stay apart."""
     escaped = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     text = F.concat(F.lit('"'), escaped, F.lit('"'))
     literal = F.when(lang.isNotNull(), F.concat(text, F.lit("@"), lang)).when(data_type.isNotNull(), F.concat(text, F.lit("^^<"), data_type, F.lit(">"))).otherwise(text)
-    node = F.when(value.contains("_:"), F.concat(F.lit("_:"), F.regexp_replace(value, "[^A-Za-z0-9]", ""))).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
-    return F.when(kind == "literal", literal).otherwise(node)
+    blank = F.concat(F.lit("_:b"), F.substring(F.md5(value.cast("binary")), 1, 20))
+    return F.when(kind == "literal", literal).when(kind == "bnode", blank).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
+
+
+def _node_kind(value):
+    """The kind of a subject: readers label blank nodes ``file#_:name`` or ``_:name``."""
+    return F.when(value.rlike("(^|#)_:"), "bnode").otherwise("iri")
 
 
 def ntriples_line(triples: DataFrame):
     iri, none = F.lit("iri"), F.lit(None).cast("string")
     col = lambda c: F.col(c) if c in triples.columns else none
-    return F.concat_ws(" ", _written(iri, F.col("s"), none, none), _written(iri, F.col("p"), none, none), _written(F.coalesce(col("o_kind"), iri), F.col("o"), col("o_dt"), col("o_lang")), F.lit("."))
+    return F.concat_ws(" ", _written(_node_kind(F.col("s")), F.col("s"), none, none), _written(iri, F.col("p"), none, none), _written(F.coalesce(col("o_kind"), iri), F.col("o"), col("o_dt"), col("o_lang")), F.lit("."))
 
 
 def as_ntriples(triples: DataFrame) -> DataFrame:
@@ -191,11 +207,16 @@ def write_ntriples(triples: DataFrame, path: str, mode: str = "errorifexists") -
 
 def as_turtle(triples: DataFrame) -> DataFrame:
     """(value): a block for each subject, its predicates in order."""
-    lines = triples.select(F.col("s"), F.split(ntriples_line(triples), " ", 2)[1].alias("rest"))
-    return lines.groupBy("s").agg(F.array_sort(F.collect_list("rest")).alias("rest")).select(F.concat(F.lit("<"), "s", F.lit("> "), F.array_join(F.transform("rest", lambda r: F.regexp_replace(r, r" \.$", "")), " ;\n    "), F.lit(" .")).alias("value"))
+    lines = triples.select(F.split(ntriples_line(triples), " ", 2).alias("t")).select(F.col("t")[0].alias("s"), F.regexp_replace(F.col("t")[1], r" \.$", "").alias("rest"))
+    return lines.groupBy("s").agg(F.array_sort(F.collect_set("rest")).alias("rest")).select(F.concat("s", F.lit(" "), F.array_join("rest", " ;\n    "), F.lit(" .")).alias("value"))
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     """Catalogue tables, one Parquet folder each."""
     for name, table in tables.items():
         table.write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Catalogue tables that ``write_tables`` wrote."""
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}

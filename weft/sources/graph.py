@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -55,7 +55,9 @@ class Graph:
         return _union(parts)
 
     def edges(self, relation: str) -> DataFrame:
-        """(s, o) of a relation; duplicates may remain."""
+        """(s, o) of a relation; duplicates may remain. ``a`` is the type relation."""
+        if relation in ("a", TYPE):
+            return self._type_edges()
         parts = [m.table.select(F.col(m.subject).alias("s"), F.col(m.object).alias("o")) for m in self.relations.get(relation, [])]
         if self.triples is not None:
             parts.append(self.triples.where(F.col("p") == relation).select("s", "o"))
@@ -63,6 +65,16 @@ class Graph:
             raise KeyError(f"no relation {relation}")
         return _union(parts).where(F.col("s").isNotNull() & F.col("o").isNotNull())
 
+    def _type_edges(self) -> DataFrame:
+        parts = [m.table.select(F.col(m.subject).alias("s"), F.lit(t).alias("o")) for t, m in self.types.items()]
+        if self.triples is not None:
+            parts.append(self.triples.where(F.col("p") == TYPE).select("s", "o"))
+        if not parts:
+            raise KeyError("no types")
+        if len({p.schema["s"].dataType for p in parts}) > 1:  # keys of different kinds
+            parts = [p.withColumn("s", F.col("s").cast("string")) for p in parts]
+        return _union(parts).where(F.col("s").isNotNull())
+
     def in_table_of(self, type_: str, relation: str) -> str | None:
         """The column that holds the relation in the type's own table, if it alone does."""
         own, found = self.types.get(type_), self.relations.get(relation, [])
@@ -91,7 +103,3 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
-
-
-def literal(column: Column) -> Column:
-    return F.struct(F.lit("literal").alias("kind"), column.cast("string").alias("text"))
