@@ -230,9 +230,9 @@ _discount = shapes.has_value("hasType", "PROMO")
 _small = shapes.values_are("hasSize", lambda v: v <= 10)
 _check("shacl_min_count", "SELECT o_orderkey AS focus, count(l_orderkey) AS n FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey,l_partkey FROM lineitem) l ON o_orderkey=l_orderkey GROUP BY o_orderkey HAVING count(l_orderkey)<2", "Order", shapes.min_count("hasItem", 2), ("focus", "n"))
 _check("shacl_max_count", "SELECT l_orderkey AS focus, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey)>6", "Order", shapes.max_count("hasItem", 6), ("focus", "n"))
-_check("shacl_forbidden", "SELECT DISTINCT d.doc_id AS focus, toxic AS value FROM documents d JOIN labels l ON d.doc_id=l.doc_id WHERE toxic=1", "Document", shapes.values_are("hasToxic", lambda v: v != 1), ("focus", "value"))
+_check("shacl_forbidden", "SELECT DISTINCT d.doc_id AS focus, toxic AS value FROM documents d JOIN labels l ON d.doc_id=l.doc_id WHERE toxic=1", "Document", shapes.forbidden("isToxic"), ("focus", "value"), lambda g: g.map_relation("isToxic", g.relations["hasToxic"][0].table.where("toxic = 1"), "doc_id", "toxic"))
 _check("shacl_class", "SELECT DISTINCT o_orderkey AS focus, o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal>0)", "Order", shapes.of_class("placedBy", "Solvent"), ("focus", "value"), lambda g: g.map_type("Solvent", g.types["Customer"].table.where("c_acctbal > 0"), "c_custkey"))
-_check("shacl_datatype", "SELECT p_partkey AS focus, p_brand AS value FROM part WHERE try_cast(replace(p_brand,'Brand#','') AS INTEGER)>20", "Part", shapes.values_are("hasBrand", lambda v: ~(F.replace(v, F.lit("Brand#"), F.lit("")).try_cast("int") > 20)), ("focus", "value"))
+_check("shacl_datatype", "SELECT p_partkey AS focus, CASE WHEN p_size<=9 THEN p_brand ELSE p_size::VARCHAR END AS value FROM part WHERE p_size<=9", "Part", shapes.datatype("hasCode", "int"), ("focus", "value"), lambda g: g.map_relation("hasCode", g.types["Part"].table.withColumn("code", F.when(F.col("p_size") <= 9, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))), "p_partkey", "code"))
 _check("shacl_has_value", "SELECT o_orderkey AS focus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=o_orderkey AND l_returnflag='R')", "Order", shapes.has_value("hasReturnFlag", "R"))
 _check("shacl_in", "SELECT event_id AS focus, event_type AS value FROM events WHERE event_type NOT IN ('view','click','purchase')", "Event", shapes.is_in("hasEventType", "view", "click", "purchase"), ("focus", "value"))
 _check("shacl_not", "SELECT o_orderkey AS focus FROM orders WHERE o_orderstatus='F' AND o_orderpriority='5-LOW'", "Order", shapes.not_(shapes.and_(shapes.has_value("hasStatus", "F"), shapes.has_value("hasPriority", "5-LOW"))))
@@ -322,18 +322,6 @@ def related_classes(spark, sf_dir):
     return P.reachable(edges, spark.createDataFrame([("Order",)], "name string")).select(F.col("name").alias("c"))
 
 
-@query("WITH m(cls,anc,d) AS (VALUES ('Urgent','Urgent',0),('Urgent','Order',1),('Urgent','Node',2)), t(tgt,anc,d) AS (VALUES ('Vip','Vip',0),('Vip','Customer',1),('Vip','Node',2)), v(src,rel,tgt,pos) AS (VALUES ('Order','placedBy','Customer',0),('Node','relatedTo','Node',0)) SELECT rel FROM (SELECT rel, row_number() OVER (ORDER BY m.d,t.d,v.pos) AS k FROM m JOIN v ON v.src=m.anc JOIN t ON t.anc=v.tgt) x WHERE k=1")
-def relation_inference(spark, sf_dir):
-    c = Catalog().add(
-        ClassSpec("Node", valid=(("relatedTo", "Node"),)),
-        ClassSpec("Customer", parents=("Node",)),
-        ClassSpec("Vip", parents=("Customer",)),
-        ClassSpec("Order", parents=("Node",), valid=(("placedBy", "Customer"),)),
-        ClassSpec("Urgent", parents=("Order",)),
-    )
-    return spark.createDataFrame([(c.infer_relation("Urgent", "Vip"),)], "rel string")
-
-
 # --- naming, numbering, reference resolution ---
 
 
@@ -349,13 +337,6 @@ def make_unique(spark, sf_dir):
     return naming.make_unique(parts, "p_name", ["p_partkey"], alias="uname").select("p_partkey", "uname")
 
 
-@query("SELECT r_name, n_name, min(d) AS depth FROM (SELECT n_name, r_name, 1 AS d FROM nation JOIN region ON n_regionkey=r_regionkey) t GROUP BY 1,2")
-def alias_depth(spark, sf_dir):
-    named = match(graph(spark, sf_dir), [("?n", "nationName", "?n_name"), ("?n", "inRegion", "?r"), ("?r", "regionName", "?r_name")], select=["n_name", "r_name"])
-    paths = named.withColumn("path", F.concat_ws(".", "r_name", "n_name"))
-    return naming.alias_depth(paths, "n_name", "path").select("r_name", "n_name", "depth")
-
-
 @query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def keep_first(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -372,13 +353,6 @@ def category_counter(spark, sf_dir):
     return naming.counter(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type")
 
 
-@query("SELECT l_orderkey AS name, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
-def path_field_counts(spark, sf_dir):
-    g = graph(spark, sf_dir)
-    count = lambda relation, alias: g.edges(relation).groupBy(F.col("s").alias("name")).agg(F.countDistinct("o").alias(alias))
-    return count("hasItem", "parts").join(count("suppliedBy", "suppliers"), "name")
-
-
 @query("SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE 'Brand#1%'")
 def distinct_refs(spark, sf_dir):
     return match(graph(spark, sf_dir), [("?p", "hasBrand", "?p_brand")], where=F.col("p_brand").startswith("Brand#1"), select=["p_brand"])
@@ -407,13 +381,6 @@ def reference_resolution(spark, sf_dir):
     return naming.resolve(docs.select("doc_id"), "doc_id", labels, "doc_id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size IS NULL THEN 'inverse-path' WHEN p_type='PROMO' THEN 'sparql' WHEN p_size=1 THEN 'forbidden' WHEN p_retailprice<1000 THEN 'plain' ELSE 'other' END AS kind FROM part")
-def shape_classifier(spark, sf_dir):
-    no = F.lit(False)
-    kind = ingest.shape_kind(F.col("p_size"), no, F.col("p_type") == "PROMO", no, F.col("p_size") - 1, F.col("p_retailprice") < 1000, no, no, no)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", kind.alias("kind"))
-
-
 @query("SELECT c_custkey AS name, CASE WHEN bool_or(o_orderpriority='1-URGENT') THEN 'enumerationkinds' WHEN bool_or(o_orderstatus='P') THEN 'properties' ELSE 'entities' END AS bucket FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY 1")
 def bucket_assignment(spark, sf_dir):
     g = graph(spark, sf_dir)
@@ -423,14 +390,12 @@ def bucket_assignment(spark, sf_dir):
     return g.instances("Customer").join(found, "name", "left").select("name", ingest.bucket(F.coalesce("ancestry", F.array().cast("array<string>"))).alias("bucket"))
 
 
-@query("SELECT o_custkey AS name FROM orders WHERE o_orderpriority='1-URGENT' EXCEPT SELECT user_id FROM events WHERE event_type='error'")
-def hierarchy_difference(spark, sf_dir):
-    return match(graph(spark, sf_dir), [("?o", "placedBy", "?name"), ("?o", "hasPriority", "1-URGENT")], absent=[[("?name", "userDid", "error")]], select=["name"])
-
-
 def queries():
+    from . import audit_queries, ontology_queries  # noqa: F401  they add theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(ORACLES)

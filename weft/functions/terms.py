@@ -52,13 +52,16 @@ def field_name_for_qualified(iri) -> Column:
 
 
 def class_name_for(iri) -> Column:
-    name = F.regexp_replace(last_segment(local_name(iri)), "[^0-9A-Za-z_]", "_")
+    last, whole = last_segment(local_name(iri)), local_name(iri)
+    name = F.regexp_replace(F.when(last == "", whole).otherwise(last), "[^0-9A-Za-z_]", "_")
     return avoid_keyword(F.when(name.rlike("^[0-9]"), F.concat(F.lit("_"), name)).otherwise(name))
 
 
 def module_segment(name) -> Column:
-    """Snake case that keeps acronyms together."""
-    return F.lower(F.regexp_replace(_c(name), "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
+    """Snake case that keeps acronyms together; a name that a module can have."""
+    plain = F.replace(_c(name), F.lit("-"), F.lit("_"))
+    split = F.regexp_replace(plain, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
+    return avoid_keyword(F.lower(F.regexp_replace(split, "_+", "_")))
 
 
 def pascal_case(name) -> Column:

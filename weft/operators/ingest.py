@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..sources.graph import TYPE
 from .naming import first_match, make_unique
-from .paths import closure, reachable
+from .paths import closure, reachable, settle
 
 #: fixed values: standard vocabulary
 SH = "http://www.w3.org/ns/shacl#"
@@ -42,20 +42,43 @@ class OntologyAdapter(ABC):
         return bucket(ancestry)
 
 
-class ShaclAdapter(OntologyAdapter):
-    """Classes are node shapes that are classes as well."""
+class RuleAdapter(OntologyAdapter):
+    """An adapter as settings. A class has all types of ``needs``, one of ``any_of`` and
+    none of ``never``; its own id is none of ``meta``. It is abstract if it has a type
+    of ``abstract_if``, or has none of ``abstract_unless``."""
 
-    def __init__(self, namespace: str, class_types=(RDFS + "Class", OWL + "Class"), relation_types=(OWL + "ObjectProperty",), abstract_types=()) -> None:
-        self.namespace, self.class_types, self.relation_types, self.abstract_types = namespace, class_types, relation_types, abstract_types
+    def __init__(self, namespace: str, needs=(), any_of=(RDFS + "Class", OWL + "Class"), never=(), meta=(), relation_types=(OWL + "ObjectProperty",), abstract_if=(), abstract_unless=()) -> None:
+        self.namespace, self.needs, self.any_of, self.never, self.meta = namespace, needs, any_of, never, meta
+        self.relation_types, self.abstract_if, self.abstract_unless = relation_types, abstract_if, abstract_unless
+
+    @staticmethod
+    def _has(types: Column, wanted) -> Column:
+        return F.arrays_overlap(types, F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False)
 
     def is_class(self, types: Column) -> Column:
-        return F.arrays_overlap(types, F.array(*[F.lit(t) for t in (*self.class_types, *self.abstract_types)]))
+        out = self._has(types, self.any_of) & ~self._has(types, self.never)
+        for t in self.needs:
+            out = out & F.array_contains(types, t)
+        return out
+
+    def in_scope(self, iri: Column) -> Column:
+        return iri.startswith(self.namespace) & ~iri.isin(*self.meta) if self.meta else iri.startswith(self.namespace)
 
     def is_relation(self, types: Column) -> Column:
-        return F.arrays_overlap(types, F.array(*[F.lit(t) for t in self.relation_types]))
+        return self._has(types, self.relation_types)
 
     def is_abstract(self, types: Column) -> Column:
-        return F.arrays_overlap(types, F.array(*[F.lit(t) for t in self.abstract_types])) if self.abstract_types else F.lit(False)
+        return self._has(types, self.abstract_if) if not self.abstract_unless else ~self._has(types, self.abstract_unless)
+
+
+def shape_classes(namespace: str, abstract: str, meta=()) -> RuleAdapter:
+    """Node shapes that are classes or carry the ontology's own type of abstract ones."""
+    return RuleAdapter(namespace, (SH + "NodeShape",), (RDFS + "Class", OWL + "Class", abstract), meta=meta, abstract_if=(abstract,))
+
+
+def plain_classes(namespace: str) -> RuleAdapter:
+    """Classes of any kind, or node shapes; without a shape of its own one is abstract."""
+    return RuleAdapter(namespace, (), (OWL + "Class", RDFS + "Class", SH + "NodeShape"), abstract_unless=(SH + "NodeShape",))
 
 
 def bucket(ancestry: Column) -> Column:
@@ -77,14 +100,38 @@ def ancestry(triples: DataFrame) -> DataFrame:
     return closure(up).groupBy("s").agg(F.collect_set(terms.local_name(F.col("o"))).alias("ancestry"))
 
 
-def classes(triples: DataFrame, adapter: OntologyAdapter) -> DataFrame:
-    """iri, local_name, py_name, label, comment, is_abstract, bucket of each class."""
+def classes(triples: DataFrame, adapter: OntologyAdapter, base: DataFrame | None = None) -> DataFrame:
+    """iri, local_name, py_name, label, comment, is_abstract, bucket, asserted of each
+    class. ``base`` are triples of an ontology that is extended: its hierarchy counts for
+    buckets, and the nearest ancestor in it is the type that instances carry."""
     s = subjects(triples).where(adapter.in_scope(F.col("s")) & adapter.is_class(F.col("types")))
-    s = s.join(ancestry(triples), "s", "left")
+    every = triples if base is None else triples.unionByName(base, allowMissingColumns=True).distinct()
+    s = s.join(ancestry(every), "s", "left")
+    if base is None:
+        asserted = s.select(F.col("s").alias("iri"), F.col("s").alias("asserted"))
+    else:
+        asserted = nearest_in(every, s.select(F.col("s").alias("name")), base.where(F.col("p") == TYPE).select(F.col("s").alias("name")).distinct()).select(F.col("name").alias("iri"), "asserted")
     out = s.select(F.col("s").alias("iri"), terms.local_name(F.col("s")).alias("local_name"), terms.class_name_for(F.col("s")).alias("base"), "label", "comment", adapter.is_abstract(F.col("types")).alias("is_abstract"), adapter.bucket(F.coalesce("ancestry", F.array().cast("array<string>"))).alias("bucket"))
+    out = out.join(asserted, "iri", "left").withColumn("asserted", F.coalesce("asserted", "iri"))
     return make_unique(out, "base", ["iri"], ["bucket"], "py_name").drop("base")
 
 
+def nearest_in(triples: DataFrame, names: DataFrame, among: DataFrame, levels: int = 100) -> DataFrame:
+    """(name, asserted): the nearest ancestor of each (name) that is one of ``among``
+    (name); of equally near ones the smallest."""
+    up = triples.where(F.col("p") == RDFS + "subClassOf").select("s", "o").distinct()
+    level, found = settle(names.select("name", F.col("name").alias("at"))), None
+    for _ in range(levels):
+        level = settle(level.join(up, F.col("at") == F.col("s")).select("name", F.col("o").alias("at")).distinct())
+        if level.isEmpty():
+            break
+        hit = level.join(among.select(F.col("name").alias("at")), "at", "left_semi").groupBy("name").agg(F.min("at").alias("asserted"))
+        found = hit if found is None else found.unionByName(hit)
+        level = level.join(hit, "name", "left_anti")
+    empty = names.select("name", F.lit(None).cast("string").alias("asserted")).where("asserted is not null")
+    return settle(empty if found is None else found)
+
+
 def relations(triples: DataFrame, adapter: OntologyAdapter) -> DataFrame:
     s = subjects(triples).where(adapter.in_scope(F.col("s")) & adapter.is_relation(F.col("types")))
     inverse = triples.where(F.col("p") == OWL + "inverseOf").groupBy("s").agg(F.min("o").alias("inverse_of"))
@@ -133,15 +180,44 @@ def dedicated(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("dedicated", (F.col("kind") == "qualified") | (least >= 1))
 
 
+def supplementary(triples: DataFrame, known: tuple[str, ...] = ("class", "node")) -> DataFrame:
+    """(owner, path, note): what a qualified value shape says besides its class."""
+    inner = triples.where(F.col("p") == SH + "qualifiedValueShape").select(F.col("s").alias("shape"), F.col("o").alias("value_shape"))
+    more = triples.where(F.col("p").startswith(SH) & ~F.col("p").isin(*[SH + k for k in known])).select(F.col("s").alias("value_shape"), terms.local_name(F.col("p")).alias("part"))
+    notes = inner.join(more, "value_shape").groupBy("shape").agg(F.array_join(F.array_sort(F.collect_set("part")), ", ").alias("note"))
+    return property_shapes(triples).select("owner", "path", "shape").join(notes, "shape").select("owner", "path", "note")
+
+
+def attach_constraints(constraints: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attached, standalone): constraints (owner, path, ...) that share owner and path
+    with a field, with its ``field``; and those that do not."""
+    key = fields.select("owner", "path", "field").distinct()
+    return constraints.join(key, ["owner", "path"]), constraints.join(key, ["owner", "path"], "left_anti")
+
+
 def unresolved(shapes: DataFrame, class_iris: DataFrame, relation_iris: DataFrame) -> DataFrame:
-    """(owner, path, target, reason) of references that lead nowhere; none is dropped."""
-    known_r = relation_iris.select(F.col("iri").alias("path")).withColumn("known_path", F.lit(True))
-    known_c = class_iris.select(F.col("iri").alias("target")).withColumn("known_target", F.lit(True))
+    """(owner, path, target, reason) of fields that lead nowhere; none is dropped. Where
+    shapes have a ``kind``, only those of fields count: a path or target of another
+    kind (inverse, forbidden, ...) need not be a relation or class of its own."""
+    if "kind" in shapes.columns:
+        shapes = shapes.where(F.col("kind").isin("plain", "qualified"))
+    known_r = relation_iris.select(F.col("iri").alias("path")).distinct().withColumn("known_path", F.lit(True))
+    known_c = class_iris.select(F.col("iri").alias("target")).distinct().withColumn("known_target", F.lit(True))
     joined = shapes.join(known_r, "path", "left").join(known_c, "target", "left")
     reason = first_match((F.col("path").isNotNull() & F.col("known_path").isNull(), "relation-out-of-scope"), (F.col("target").isNotNull() & F.col("known_target").isNull(), "unresolved-target"))
     return joined.withColumn("reason", reason).where("reason is not null").select("owner", "path", "target", "reason")
 
 
+def resolve_targets(fields: DataFrame, *sources: tuple[str, DataFrame]) -> DataFrame:
+    """``fields`` (target, ...) with ``found_in``: the first of the named (iri) tables that
+    has the target, in the given order; null if none has."""
+    out, hits = fields, []
+    for k, (name, table) in enumerate(sources):
+        out = out.join(table.select(F.col("iri").alias("target"), F.lit(name).alias(f"__in{k}")).distinct(), "target", "left")
+        hits.append(f"__in{k}")
+    return out.withColumn("found_in", F.coalesce(*hits)).drop(*hits)
+
+
 def bnode_subgraph(triples: DataFrame, roots: DataFrame) -> DataFrame:
     """All triples below the roots (name) that are reached through blank nodes."""
     inner = triples.where(F.col("o_kind") == "bnode").select("s", "o")
@@ -219,3 +295,18 @@ def enum_of_default(ports_: DataFrame, enums: DataFrame) -> DataFrame:
     prefix = terms.dotted_parts(F.col("default.text"))[0]
     known = enums.select(F.col("enum_type").alias("__enum")).distinct()
     return ports_.join(known, prefix == F.col("__enum"), "left").withColumn("value_type", F.coalesce("value_type", "__enum")).drop("__enum")
+
+
+def block_warnings(nodes: DataFrame) -> DataFrame:
+    """(file, message): references to nodes that are not there, sub-blocks whose type is
+    no block of the corpus, and parameters without a type."""
+    missing = block_references(nodes).where("unresolved").select("file", F.concat(F.lit("no node "), "ref_id", F.lit(" for "), "block").alias("message"))
+    outside = sub_blocks(nodes).where("not resolved and block_type is not null").select("file", F.concat(F.lit("external block type "), "block_type", F.lit(" of "), "block", F.lit("."), "name").alias("message"))
+    untyped = ports(nodes).where("kind = 'parameter' and value_type is null").select("file", F.concat(F.lit("untyped parameter "), "block", F.lit("."), "name").alias("message"))
+    return missing.unionByName(outside).unionByName(untyped)
+
+
+def field_helper(kind: Column, value_type: Column) -> Column:
+    """The declaration that a port asks for: its value type, then what it is."""
+    typed = F.when(value_type.isin("Real", "Boolean", "Integer", "String"), F.lower(value_type)).when(value_type.isNotNull(), "enum").otherwise("untyped")
+    return F.when(kind == "sub_block", "subblock_field").otherwise(F.concat_ws("_", typed, kind, F.lit("field")))

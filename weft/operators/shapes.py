@@ -8,7 +8,7 @@ columns, all partitioned by focus. ``violations`` gives (focus, value, n) rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,9 +52,10 @@ def values_are(path, test: Callable[[Column], Column], **more):
     return Constraint("values", path, test, **more)
 
 
-def datatype(path, name: str, **more):
-    """Every value's text reads as this Spark type."""
-    return Constraint("datatype", path, lambda v: v.cast("string").try_cast(name).isNotNull(), **more)
+def datatype(path, name: str, declared: str | None = None, **more):
+    """Every value's text reads as this Spark type; where a graph keeps the declared
+    datatypes of its literals, they must be ``declared`` as well."""
+    return Constraint("datatype", path, lambda v: v.cast("string").try_cast(name).isNotNull(), (declared,) if declared else (), **more)
 
 
 def has_value(path, value, **more):
@@ -120,6 +121,10 @@ def _bad_values(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame | No
     values = _values(graph, focus, c.path)
     if c.kind == "class":
         return values.join(graph.instances(*c.arg).select(F.col("name").alias("value")), "value", "left_anti").select("focus", "value")
+    if c.kind == "datatype" and c.parts and isinstance(c.path, str) and graph.triples is not None and "o_dt" in graph.triples.columns:
+        typed = graph.triples.where((F.col("p") == c.path) & (F.col("o_dt") == c.parts[0])).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+        wrong = values.join(typed, ["focus", "value"], "left_anti")
+        return wrong.unionByName(values.where(~F.coalesce(c.arg(F.col("value")), F.lit(False)))).distinct()
     if c.kind in ("values", "datatype"):
         return values.where(~F.coalesce(c.arg(F.col("value")), F.lit(False)))
     if c.kind == "in":
@@ -152,6 +157,8 @@ def conforms(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
         typed = graph.instances(*known).select(F.col("name").alias("focus")).distinct().withColumn("typed", F.lit(True))
         return focus.select("focus").join(typed, "focus", "left").select("focus", F.coalesce("typed", F.lit(False)).alias("ok"))
     if c.kind in ("not", "and", "or", "xone"):
+        if not c.parts:  # nothing is asked
+            return focus.select("focus").distinct().withColumn("ok", F.lit(c.kind != "or"))
         oks = [conforms(graph, focus, p).withColumnRenamed("ok", f"ok{i}") for i, p in enumerate(c.parts)]
         both = reduce(lambda a, b: a.join(b, "focus"), oks)
         columns = [F.col(f"ok{i}") for i in range(len(oks))]
@@ -187,19 +194,32 @@ def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def conforms_to(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None) -> DataFrame:
+    """One row: whether no violation is in the report (warnings and notes do not count)."""
+    return ask(validate(graph, shapes, catalog).where("severity = 'Violation'")).select((~F.col("answer")).alias("conforms"))
+
+
 def ask(df: DataFrame) -> DataFrame:
     """One row: whether there is any row. Reads no further than the first."""
     return df.limit(1).agg((F.count("*") > 0).alias("answer"))
 
 
-def shape_of(catalog: Catalog, name: str) -> Shape:
+def shape_of(catalog: Catalog, name: str, strict: bool = False) -> Shape:
     """The shape that a class declaration stands for: a constraint per field, with
-    its declared bounds, and per exact value."""
+    its declared bounds, and per exact value. ``strict`` asks as many values of a path
+    as it has fields, and one of each qualified field, whatever they declare."""
     out = []
+    count: dict[str, int] = {}
+    for f in catalog.fields(name):
+        if (r := catalog.relation_of(name, f)) and f.exact is None and f.value is None:
+            count[r] = count.get(r, 0) + 1
     for f in catalog.fields(name):
         relation = catalog.relation_of(name, f)
-        if relation is None:
+        if relation is None or f.skipped:
             continue
+        if strict and f.exact is None and f.value is None:
+            out += [min_count(relation, count[relation])] if min_count(relation, count[relation]) not in out else []
+            f = replace(f, min=1 if f.qualified else count[relation])
         if f.exact is not None:
             out += [has_value(relation, v) for v in f.exact] or [forbidden(relation)]
             continue

@@ -18,7 +18,7 @@ def template_triples(catalog: Catalog, name: str) -> list[dict]:
     out = [{"s": "name", "p": TYPE, "param": None, "const": spec.type}]
     for f in catalog.fields(name):
         relation = catalog.relation_of(name, f)
-        if relation is None:
+        if relation is None or f.skipped:
             continue
         values = f.exact if f.exact is not None else [f.value]
         for v in values:
@@ -91,3 +91,47 @@ def mint(df: DataFrame, class_name: str, *order: str) -> DataFrame:
     from .naming import number_rows
 
     return number_rows(df, *order).withColumn("name", F.concat(F.lit(f"{class_name}_"), F.col("row") + 1)).drop("row")
+
+
+def build(values: DataFrame, catalog: Catalog, name: str) -> DataFrame:
+    """Distinct (s, p, o) of objects with nested ones: a field may hold a struct with a
+    ``name`` and fields of its own class, to any depth. The object's own triples refer to
+    the nested one by its name; the nested one's triples are added."""
+    flat, parts = values, []
+    for f in catalog.fields(name):
+        if f.name not in values.columns or values.schema[f.name].dataType.typeName() != "struct":
+            continue
+        if f.target in catalog.classes:
+            parts.append(build(values.where(F.col(f"`{f.name}`").isNotNull()).select(f"`{f.name}`.*"), catalog, f.target))
+        flat = flat.withColumn(f.name, F.col(f"`{f.name}`.name"))
+    out = expand(flat, catalog, name)
+    for p in parts:
+        out = out.unionByName(p)
+    return out.distinct() if parts else out
+
+
+def template_set(catalog: Catalog, values: tuple[str, ...] = ()) -> dict[str, dict]:
+    """Templates by kind: relations, entities, and the classes named as values."""
+    bodies = {n: template(catalog, n) for n, c in catalog.classes.items() if not c.abstract}
+    return {
+        "relations": {r: relation_template(catalog, r) for r in catalog.relations},
+        "entities": {n: t for n, t in bodies.items() if n not in values},
+        "values": {n: t for n, t in bodies.items() if n in values},
+    }
+
+
+def write_template_set(catalog: Catalog, folder: str, values: tuple[str, ...] = (), overwrite: bool = True) -> None:
+    """One YAML file a kind, in a folder of the driver; without ``overwrite`` templates
+    are added to those there."""
+    import os
+
+    import yaml
+
+    os.makedirs(folder, exist_ok=True)
+    for kind, found in template_set(catalog, values).items():
+        path = os.path.join(folder, f"{kind}.yml")
+        if not overwrite and os.path.exists(path):
+            with open(path) as file:
+                found = (yaml.safe_load(file) or {}) | found
+        with open(path, "w") as file:
+            yaml.safe_dump(json.loads(json.dumps(found, default=str)), file, sort_keys=False)
