@@ -43,7 +43,7 @@ SEGMENT = 512
 LANES = 4096
 TABLE_BYTES = 1 << 29  # of all languages' tables; beyond, tables get narrower and lists longer
 MIN_SCORE = 0.05  # of rows without a learned label that stay in a pipeline
-CONTRADICTED = 0.3  # of labelled rows that go: so much fewer phrases in another language
+CONTRADICTED = 0.5  # of labelled rows that go: another language needs half the phrases
 UNKNOWN = "und"
 
 
@@ -312,8 +312,8 @@ def keep_identified(docs: DataFrame, lang_col="lang") -> DataFrame:
     """Pipeline form: the rows whose language can be told, with their own columns.
 
     Rejected are texts that hold no evidence (null, without a letter, no language
-    learned), labelled rows that another language explains with ``CONTRADICTED``
-    fewer phrases than their own, and rows without a learned label whose score is
+    learned), labelled rows of which another language needs but half the phrases that
+    their own needs (``CONTRADICTED``), and rows without a learned label whose score is
     below ``MIN_SCORE``.
     """
     found = identify(docs, training_samples(docs, lang_col=lang_col), lang_col="__lang_pred", score_col="__lang_score", label_col=lang_col, against_col="__against")
