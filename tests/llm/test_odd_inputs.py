@@ -587,5 +587,20 @@ def test_lm_odd(spark):
     assert len(untrained) == len(TEXTS) and {r.train_tokens for r in untrained} == {0}
 
 
+def test_lm_null_and_repeated_ids(spark):
+    rows = [(None, "a b a", False), (None, "a b a", False), (3, "b", False), (3, "c c", True), (None, None, True)]
+    got = lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.held_out) for r in got) == [(1, 1, True), (2, 2, False), (3, 1, True), (4, 4, False), (4, 4, False)]
+    assert {r.train_tokens for r in got} == {10} and sum(r.doc_id is None for r in got) == 3
+
+
+def test_substrings_null_and_repeated_ids(spark):
+    """A row without an id yields to all ids, and rows of one id never yield to each other."""
+    text = " ".join(f"t{i}" for i in range(20))
+    rows = [(None, text), (None, text + " x"), (5, text), (5, "a " + text), (9, text), (None, None)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed, r.doc_id or 0) for r in got) == [(0, 0, 0), (20, 0, 5), (20, 20, 0), (20, 20, 9), (21, 0, 5), (21, 20, 0)]
+
+
 def test_schema_has_clashing_names():
     assert {"g", "part", "size", "root", "node", "hashes", "score"} <= {c.split()[0] for c in SCHEMA.split(", ")}
