@@ -41,9 +41,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows):
+def brute_components(rows, width=5, link=80):
     """doc_id -> smallest doc_id that links reach."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
@@ -55,10 +55,10 @@ def brute_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if 100 * min(len(x), len(y)) < 85 * max(len(x), len(y)):
+            if 100 * min(len(x), len(y)) < link * max(len(x), len(y)):
                 continue
             same = len(x & y)
-            if 100 * same >= 85 * (len(x) + len(y) - same):
+            if 100 * same >= link * (len(x) + len(y) - same):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: find(i) for i in sets}

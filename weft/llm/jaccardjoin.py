@@ -42,8 +42,9 @@ from ._spark import cut, planned_bytes, small_batches, text_digest, without
 from ._words import U, bounds, lower_ascii, mix, slices, span_hashes, window_hashes, word_hashes
 from .components import components
 
-WIDTH = 4
-LINK = 85  # percent
+WIDTH = 5
+LINK = 80  # percent
+OP4 = {"width": 4, "link": 85}  # the contract of the query; the pipeline's stage takes the defaults
 PARTS = 4
 SLACK = 0.15
 SIZES = (6, 5, 4, 3, 2, 1, 0)
@@ -342,7 +343,8 @@ def classes_of(docs: DataFrame, sets: DataFrame, width: int, link: int) -> DataF
 
 
 def classify(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, n_shingles, component_id) of every row; sets of ``width`` words link from
+    ``link`` percent on."""
     sets = cut(sets_of(docs, width))
     classes = classes_of(docs, sets, width, link)
     some, none = sets.where("set is not null"), sets.where("set is null")
@@ -365,7 +367,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), **OP4)
 
 
 ORACLE = {
