@@ -247,7 +247,8 @@ def test_jaccard_near_the_threshold(spark, form):
     assert got == brute_components(rows, **form)
 
 
-def test_jaccard_of_large_components(spark, monkeypatch):
+@pytest.mark.parametrize("form", [jaccardjoin.OP4, {}])
+def test_jaccard_of_large_components(spark, monkeypatch, form):
     """Components of many blocks: families of near copies, joined by a common passage
     that makes them candidates, and chains that leave the largest class."""
     monkeypatch.setattr(jaccardjoin, "BLOCK", 6)
@@ -260,10 +261,13 @@ def test_jaccard_of_large_components(spark, monkeypatch):
             n += 1
             if rnd.random() < 0.8:
                 text[rnd.randrange(40)] = f"x{rnd.randrange(10**6)}"
+    # sizes from 12 words to 40, each of which links with the next few
+    rows += [(n + k, " ".join(f"grow{i}" for i in range(12 + k))) for k in range(28)]
+    n += 28
     rows += [(n + k, f"all share these four words {k % 9}") for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccardjoin.classify(docs.unionByName(docs.where("doc_id < 3")), **jaccardjoin.OP4).collect()}
-    assert got == brute_components(rows, **jaccardjoin.OP4)
+    got = {r.doc_id: r.component_id for r in jaccardjoin.classify(docs.unionByName(docs.where("doc_id < 3")), **form).collect()}
+    assert got == brute_components(rows, **form)
 
 
 def test_jaccard_links_through_null_ids(spark):

@@ -19,8 +19,8 @@ candidates' connected components are found first, on narrow rows; then only the
 candidates' sets are gathered, by component, and links inside are found exactly. A
 component of more than ``BLOCK`` sets is split into blocks. First all meet one block of
 pivots, each set travelling once. Sets that are then in one class need no more links
-among them; only the others (sets outside their component's largest class) meet all of
-its blocks. Pairs are counted in the tasks, never emitted. Copies have one set: they
+among them; only the others (sets outside their component's largest class) meet all
+blocks of sets whose sizes are near enough. Pairs are counted in the tasks, never emitted. Copies have one set: they
 are one class from the start, known by a 64-bit hash of it.
 
 Texts without words link with nothing. Null texts are such. Rows that repeat an id
@@ -30,6 +30,7 @@ like any other, but is no component's smallest id unless there is none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -305,10 +306,12 @@ def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int
     found = cut(components(candidate_edges(docs, width, link)))
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
     # one document stands for all that have its set; ``n`` rows may repeat it
-    holder = sets.where("set is not null").groupBy("set", "doc_id", "at").agg(F.count("*").alias("n"))
-    holder = holder.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n")).alias("h"))
+    holder = sets.where("set is not null").groupBy("set", "doc_id", "at").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    holder = holder.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n", "size")).alias("h"))
+    # sizes of sets that link differ by one level at most; the hundredth more keeps rounding out of it
+    level = F.floor(F.log(F.col("h.size")) / math.log(1.01 * 100 / link)).cast("long").alias("level")
     plan = found.join(sizes, "root").select("node", "root", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    plan = cut(plan.join(holder, F.col("node") == F.col("set")).select("set", "root", "blocks", F.pmod("set", "blocks").alias("block"), F.col("h.doc_id").alias("id"), "h.at", "h.n"))
+    plan = cut(plan.join(holder, F.col("node") == F.col("set")).select("set", "root", "blocks", F.pmod("set", "blocks").alias("block"), level, F.col("h.doc_id").alias("id"), "h.at", "h.n"))
     repeated = not plan.where("n > 1").isEmpty()
     meeting = "a long, b long"
     # every block meets the pivots, block 0; most components have no other
@@ -320,19 +323,22 @@ def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int
     if large.isEmpty():
         return components(edges)
     edges = cut(edges)
-    classes = large.join(components(edges).select("node", F.col("root").alias("class")), F.col("set") == F.col("node"), "left").select("set", "root", F.coalesce("class", "set").alias("class"))
+    classes = large.join(components(edges).select("node", F.col("root").alias("class")), F.col("set") == F.col("node"), "left").select("set", large["root"], "level", F.coalesce("class", "set").alias("class"))
     main = classes.groupBy("root", "class").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
-    others = cut(classes.join(main, "root").where(F.col("class") != F.col("main")).select("root", "set"))
+    others = cut(classes.join(main, "root").where(F.col("class") != F.col("main")).select("root", "set", "level"))
     if others.isEmpty():
         return components(edges)
-    # sets outside the largest class meet everything of their component
-    count = others.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rows"))
-    whole = loaded.join(count, "root").join(others.select(F.col("set").alias("other")), F.col("set") == F.col("other"), "left")
-    whole = whole.withColumn("own", F.when(F.col("other").isNotNull(), F.pmod("set", "rows")))
-    column = whole.withColumn("i", F.explode(F.expr("sequence(0L, rows - 1)"))).select("root", "i", (F.col("block") + 1).alias("j"), "set", (F.col("block") + 1).alias("block"), "elements")
-    row = whole.where("own is not null").withColumn("j", F.explode(F.expr("sequence(1L, blocks)"))).select("root", (-1 - F.col("own")).alias("i"), "j", "set", (-1 - F.col("own")).alias("block"), "elements")
-    meet = column.withColumn("i", -1 - F.col("i")).unionByName(row)
-    return components(edges.unionByName(meet.groupBy("root", "i", "j").applyInArrow(_link_blocks(link), meeting)))
+    # sets outside the largest class meet what of their component can be similar by size:
+    # the sets of their own level of sizes and of the two beside it
+    asking = others.withColumn("at", F.explode(F.expr("sequence(level - 1, level + 1)")))
+    members = classes.groupBy("root", F.col("level").alias("at")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("columns"))
+    grid = cut(asking.groupBy("root", "at").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("rows")).join(members, ["root", "at"]))
+    whole = loaded.where("blocks > 1").select("root", "set", "level", "elements")
+    column = whole.withColumn("at", F.col("level")).join(grid, ["root", "at"]).withColumn("j", F.pmod("set", "columns") + 1).withColumn("i", F.explode(F.expr("sequence(-rows, -1L)")))
+    row = whole.join(asking.select("root", "set", "at"), ["root", "set"]).join(grid, ["root", "at"]).withColumn("i", -1 - F.pmod("set", "rows")).withColumn("j", F.explode(F.expr("sequence(1L, columns)")))
+    key = ["root", "i", "j", "at"]
+    meet = column.select(*key, "set", F.col("j").alias("block"), "elements").unionByName(row.select(*key, "set", F.col("i").alias("block"), "elements"))
+    return components(edges.unionByName(meet.groupBy(*key).applyInArrow(_link_blocks(link), meeting)))
 
 
 def classes_of(docs: DataFrame, sets: DataFrame, width: int, link: int) -> DataFrame:
