@@ -16,6 +16,7 @@ _MODULES = {
     "op8_substring_dedup": "substrings",
     "op9_url_filters": "urlfilter",
     "op10_lm_scoring": "lmscore",
+    "op11_simhash": "simhash",
 }
 
 
