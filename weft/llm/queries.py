@@ -17,6 +17,8 @@ _MODULES = {
     "op9_url_filters": "urlfilter",
     "op10_lm_scoring": "lmscore",
     "op11_simhash": "simhash",
+    "op12_token_alignment": "alignment",
+    "op13_periodic_runs": "periodic",
 }
 
 
