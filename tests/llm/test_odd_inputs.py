@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import eliasfano, exactdedup, jaccardjoin, langid, lmscore, mixing, packing, substrings, topk, urlfilter, warc
+from weft.llm import alignment, eliasfano, exactdedup, jaccardjoin, langid, lmscore, mixing, packing, periodic, simhash, substrings, topk, urlfilter, warc
 from weft.llm._spark import shared_dir
 
 from .common import SCHEMA, brute_components, brute_removed, none, odd, odd_rows, words
@@ -609,3 +609,48 @@ def test_substrings_null_and_repeated_ids(spark):
 
 def test_schema_has_clashing_names():
     assert {"g", "part", "size", "root", "node", "hashes", "score"} <= {c.split()[0] for c in SCHEMA.split(", ")}
+
+
+# --- ids that a double cannot hold, beside null ids ---
+
+BIG = 2**53 + 1
+
+
+def big(spark):
+    rows = [(None, "x"), (BIG, "x"), (BIG - 2, "x"), (None, "a b"), (BIG + 2, "c d e"), (BIG + 4, "x"), (None, None), (BIG + 6, "")]
+    return spark.createDataFrame([(i, t, "de", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+
+
+def test_big_ids_exact_dedup(spark):
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdedup.group_digests(exactdedup.digests_of(big(spark))).collect()}
+    x = {(i, BIG + 4, 4, i == BIG + 4) for i in (None, BIG, BIG - 2, BIG + 4)}
+    assert found == x | {(None, None, 1, True), (BIG + 2, BIG + 2, 1, True), (None, BIG + 6, 2, False), (BIG + 6, BIG + 6, 2, True)}
+    kept = exactdedup.drop_repeats(big(spark))
+    assert ids(kept) == sorted([None, BIG + 2, BIG + 4, BIG + 6], key=str)
+    assert kept.where("text = 'x'").count() == 1
+
+
+def test_big_ids_packing(spark):
+    assert ids(packing.pack_documents(big(spark))) == ids(big(spark))
+
+
+@pytest.mark.parametrize("run", [
+    jaccardjoin.classify, jaccardjoin.keep_one, substrings.remove_repeats, langid.keep_identified, mixing.mix,
+    lambda df: lmscore.score_documents(df.withColumn("held_out", F.lit(False))), lambda df: langid.identify(df, langid.training_samples(df)), lambda df: simhash.near_components(df), lambda df: alignment.align(df), lambda df: periodic.periodic_runs(df),
+])
+def test_big_ids_stay(spark, run):
+    """No operator gives an id that it was not given."""
+    assert set(ids(run(big(spark)))) <= set(ids(big(spark)))
+
+
+def test_big_ids_warc_and_topk(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "http://a", "x"), (BIG, "http://a", "x"), (BIG + 2, "http://b", "x"), (None, None, None)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = {(r.page_id, r.record_type, r.refers_to) for r in warc.op7_warc(spark, str(tmp_path)).collect()}
+    assert found == {(None, "revisit", BIG + 2), (BIG, "revisit", BIG + 2), (BIG + 2, "response", None), (None, "response", None)}
+    v = topk.quantised(spark.createDataFrame([(BIG, [1.0]), (None, [1.0]), (BIG + 2, [2.0])], "vec_id long, embedding array<float>"))
+    assert {r.vec_id for r in topk.search(v, v.where(f"vec_id = {BIG}")).collect()} <= {BIG + 2, None}

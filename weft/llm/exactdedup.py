@@ -19,7 +19,8 @@ A null id never wins against an id. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,29 +78,29 @@ class PerfectHash:
         return out
 
 
-def _matrix(digests: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+def _matrix(digests: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-def _look_up(rows: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
-    """One part: build its hash over the history, then check its distinct rows."""
-    keep = rows["doc_id"].to_numpy(object).copy()
-    size = rows["copies"].to_numpy(np.int64).copy()
+def _look_up(rows: pa.Table, history: pa.Table) -> pa.Table:
+    """One part: build its hash over the history, then check its distinct rows. Ids stay
+    Arrow longs: a null among them must not turn the others into floats."""
+    own = rows["doc_id"].combine_chunks()
+    size, at_winner = rows["copies"].to_numpy().astype(np.int64), np.arange(len(own))
     if len(history) and len(rows):
         keys = _matrix(history["known"])
         perfect = PerfectHash(keys)
         slot_of = perfect.slot(keys)
-        slots = np.empty_like(keys)
-        slots[slot_of] = keys
-        winner, count = np.empty(len(keys), object), np.empty(len(keys), np.int64)
-        winner[slot_of], count[slot_of] = history["winner"].to_numpy(object), history["n"].to_numpy()
+        slots, locator = np.empty_like(keys), np.empty(len(keys), np.int64)
+        slots[slot_of], locator[slot_of] = keys, np.arange(len(keys))
         asked = _matrix(rows["digest"])
         at = perfect.slot(asked)
         found = (at >= 0) & (slots[at] == asked).all(1)
-        keep[found], size[found] = winner[at[found]], count[at[found]]
-    own, keep = pd.array(rows["doc_id"], "Int64"), pd.array(keep, "Int64")
-    wins = (own == keep).fillna(False).to_numpy(bool) | (own.isna() & keep.isna())
-    return pd.DataFrame({"doc_id": own, "keep_id": keep, "group_size": size, "wins": wins, "copies": rows["copies"], "digest": rows["digest"]})
+        at_winner[found] = len(own) + locator[at[found]]
+        size[found] = history["n"].to_numpy()[locator[at[found]]]
+    keep = pa.concat_arrays([own, history["winner"].combine_chunks().cast(pa.int64())]).take(pa.array(at_winner))
+    wins = pc.or_(pc.fill_null(pc.equal(own, keep), False), pc.and_(pc.is_null(own), pc.is_null(keep)))
+    return pa.table({"doc_id": own, "keep_id": keep, "group_size": size, "wins": wins, "copies": rows["copies"], "digest": rows["digest"]})
 
 
 def _distinct(digests: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def group_digests(digests: DataFrame, history: DataFrame | None = None) -> DataF
     left = left.withColumn("way", F.pmod(F.xxhash64("doc_id", "digest"), F.coalesce("ways", F.lit(1)))).drop("ways")
     right = history.withColumn("part", part("known")).join(ways, "part", "left")
     right = right.withColumn("way", F.explode(F.expr("sequence(0L, coalesce(ways, 1) - 1L)"))).drop("ways")
-    found = left.groupBy("part", "way").cogroup(right.groupBy("part", "way")).applyInPandas(
+    found = left.groupBy("part", "way").cogroup(right.groupBy("part", "way")).applyInArrow(
         lambda a, b: _look_up(a, b), "doc_id long, keep_id long, group_size long, wins boolean, copies long, digest binary"
     )
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,14 +209,15 @@ _STRIDE = 1 << 40  # sequence numbers of a round
 
 
 def _packer(turn: int, last: bool, sequence: int):
-    def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        bins, offset = best_fit(frame["length"].to_numpy(), sequence)
-        fill = np.bincount(bins, frame["length"].to_numpy())
-        frame["sequence_id"] = turn * _STRIDE + int(key[0]) * (1 << 20) + bins
-        frame["offset"] = offset
-        frame["again"] = (fill < UNDERFULL * sequence)[bins] & (not last)
-        return frame.drop(columns="group")
+    def pack_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        # Arrow longs: beside a null id no other one may turn into a float
+        table = table.drop_columns("group").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        length = table["length"].to_numpy()
+        bins, offset = best_fit(length, sequence)
+        fill = np.bincount(bins, length)
+        again = (fill < UNDERFULL * sequence)[bins] & (not last)
+        numbers = turn * _STRIDE + key[0].as_py() * (1 << 20) + bins
+        return table.append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offset)).append_column("again", pa.array(again))
 
     return pack_group
 
@@ -238,7 +238,7 @@ def pack(pieced: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
         # rows of a checkpoint keep their place, so repeated ids spread as well
         group = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups))
         last = groups == 1
-        packed = left.withColumn("group", group).groupBy("group").applyInPandas(_packer(turn, last, sequence), _PACKED)
+        packed = left.withColumn("group", group).groupBy("group").applyInArrow(_packer(turn, last, sequence), _PACKED)
         if last:
             done.append(packed.drop("again"))
             break

@@ -260,10 +260,10 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Every record's facts, read back through the archives' index."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(folder)
-        for frame in batches:
-            for path in frame["path"]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 rows = []
                 with fs.open_input_stream(path + ".idx") as stream:
                     entries = [json.loads(line) for line in stream.read().decode().splitlines()]
@@ -277,10 +277,12 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                     number = lambda name: None if (t := headers[name].rstrip(">").rsplit(":", 1)[-1]) == "null" else int(t)  # noqa: B023,E731
                     rows.append((number("WARC-Record-ID"), int(headers["X-Payload-Length"]), digest, headers["WARC-Type"], None if response else number("WARC-Refers-To")))
                 file.close()
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                # Arrow keeps ids whole: beside a null a column of numbers would turn into doubles
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return _spread(archives).mapInPandas(
+    return _spread(archives).mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     )
 
