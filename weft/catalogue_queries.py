@@ -6,12 +6,14 @@ key of its own; its rows are edges from orders to parts and suppliers.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import terms
 from .model import Between, Catalog, ClassSpec, Field, Relation
 from .operators import ingest, naming, shapes, templates
 from .operators import paths as P
+from .operators.reach import Reach
 from .operators.rules import TypeRule, inverse_edges, new_types, sub_relation_edges, symmetric_edges
 from .operators.shapes import Shape, validate, violations
 from .plans.classquery import class_query, load_many
@@ -170,6 +172,48 @@ def path_star(spark, sf_dir):
     return path_plus(spark, sf_dir).unionByName(own).distinct()
 
 
+def _talk(spark, sf_dir: str) -> Graph:
+    """Turns as nodes: what follows a turn, its role, its conversation."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
+    node = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+    turns = t.withColumn("node", node(F.col("turn")))
+    follows = _turns(spark, sf_dir).select(node(F.col("s")).alias("s"), node(F.col("o")).alias("o"))
+    return Graph().map_relation("hasRole", turns, "node", "role").map_relation("follows", follows, "s", "o")
+
+
+_TURN = "c.conv_id||'/'||c.turn"
+_FOLLOWS = "SELECT a.conv_id||'/'||a.turn AS s, b.conv_id||'/'||b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.turn+1"
+
+
+@query(f"WITH RECURSIVE e AS ({_FOLLOWS}), r AS (SELECT {_TURN} AS s, {_TURN} AS o FROM conversations c WHERE role='system' UNION SELECT r.s,e.o FROM r JOIN e ON r.o=e.s) SELECT DISTINCT s AS name, o AS later FROM r")
+def path_from_bound(spark, sf_dir):
+    """``*`` from what another pattern has bound: only turns after those are walked."""
+    return match(_talk(spark, sf_dir), [("?name", "hasRole", "system"), ("?name", P.star("follows"), "?later")], select=["name", "later"])
+
+
+@query(f"WITH RECURSIVE e AS ({_FOLLOWS}), f AS (SELECT min(o) AS x FROM e), r AS (SELECT e.s FROM e, f WHERE e.o=f.x UNION SELECT e.s FROM r JOIN e ON e.o=r.s) SELECT DISTINCT r.s AS name, x AS later FROM r, f")
+def path_to_constant(spark, sf_dir):
+    """``+`` to a constant object is walked backwards from it."""
+    g = _talk(spark, sf_dir)
+    last = g.edges("follows").agg(F.min("o")).first()[0] or ""
+    return match(g, [("?name", P.plus("follows"), last)]).select("name", F.lit(last).alias("later"))
+
+
+@query("SELECT DISTINCT a.conv_id||'/'||a.turn AS s, b.conv_id||'/'||b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn>a.turn")
+def path_plus_labels(spark, sf_dir):
+    """``+`` by labels of chains in place of all pairs joined round by round."""
+    return Reach.of(_talk(spark, sf_dir).edges("follows")).pairs()
+
+
+@query("WITH u AS (SELECT DISTINCT o_orderkey, o_custkey FROM orders), k AS (SELECT o_custkey, count(*) AS n FROM u GROUP BY 1) SELECT o_orderkey AS name, n FROM u JOIN k USING (o_custkey)")
+def reach_in_rings(spark, sf_dir):
+    """Each customer's orders in a ring: how many each one leads to, itself included."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").distinct()
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = orders.select(F.col("o_orderkey").alias("s"), F.coalesce(F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")), F.first("o_orderkey").over(w)).alias("o"))
+    return Reach.of(nxt).pairs().groupBy(F.col("s").alias("name")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT n_nationkey AS name, k AS agent FROM nation JOIN (SELECT c_nationkey AS nk, 'c'||c_custkey AS k FROM customer UNION ALL SELECT s_nationkey, 's'||s_suppkey FROM supplier) t ON nk=n_nationkey")
 def path_alternative(spark, sf_dir):
     g = graph(spark, sf_dir)
@@ -308,18 +352,14 @@ def _round_trip(spark, sf_dir, c):
 # --- catalogue ---
 
 
-@query("WITH RECURSIVE e(s,o) AS (VALUES ('Order','Customer'),('Customer','Nation'),('Nation','Region'),('Order','Part'),('Supplier','Nation'),('Region','Nation')), r AS (SELECT 'Order' AS c UNION SELECT e.o FROM r JOIN e ON e.s=r.c) SELECT c FROM r")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_orderpriority AS s, c_mktsegment AS o FROM orders JOIN customer ON o_custkey=c_custkey UNION SELECT DISTINCT c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey=n_nationkey UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey=r_regionkey UNION SELECT r_name, n_name FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey%5=0), r AS (SELECT '1-URGENT' AS c UNION SELECT e.o FROM r JOIN e ON e.s=r.c) SELECT c FROM r")
 def related_classes(spark, sf_dir):
-    c = Catalog().add(
-        ClassSpec("Order", (Field("customer", "Customer", "placedBy"), Field("part", "Part", "hasItem"))),
-        ClassSpec("Customer", (Field("nation", "Nation", "hasNation"),)),
-        ClassSpec("Supplier", (Field("nation", "Nation", "hasNation"),)),
-        ClassSpec("Nation", (Field("region", "Region", "inRegion"),)),
-        ClassSpec("Region", valid=(("hasNation", "Nation"),)),
-        ClassSpec("Part"),
-    )
-    edges = spark.createDataFrame(c.edges(), "s string, o string")
-    return P.reachable(edges, spark.createDataFrame([("Order",)], "name string")).select(F.col("name").alias("c"))
+    """What one class leads to over all relations between classes, cycles included."""
+    g = graph(spark, sf_dir)
+    edges = P.pairs(g, P.seq(P.inverse("hasPriority"), "placedBy", "hasSegment")).unionByName(P.pairs(g, P.seq(P.inverse("hasSegment"), "hasNation", "nationName")))
+    up = P.pairs(g, P.seq(P.inverse("nationName"), "inRegion", "regionName"))
+    some = match(g, [("?n", "nationName", "?o"), ("?n", "inRegion", "?r"), ("?r", "regionName", "?s")], where=F.col("n") % 5 == 0, select=["s", "o"])
+    return P.reachable(edges.unionByName(up).unionByName(some), spark.range(1).select(F.lit("1-URGENT").alias("name"))).select(F.col("name").alias("c"))
 
 
 # --- naming, numbering, reference resolution ---

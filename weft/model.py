@@ -12,8 +12,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-MAX_LEVELS = 100
-
 
 @dataclass(frozen=True)
 class Field:
@@ -152,7 +150,7 @@ class Catalog:
     def mro(self, name: str) -> list[tuple[str, int]]:
         """(ancestor, depth): the class itself first, then nearer ones; cycle-safe."""
         depth, level, at = {name: 0}, [name], 0
-        while level and at < MAX_LEVELS:
+        while level:
             at += 1
             level = [p for c in level if c in self.classes for p in self.classes[c].parents if p not in depth and not depth.update({p: at})]
         return sorted(depth.items(), key=lambda x: x[1])
@@ -212,13 +210,9 @@ class Catalog:
     def related(self, *names: str) -> tuple[list[str], list[str]]:
         """(relations, concrete classes) that can be reached from the classes."""
         edges, seen, level = self.edges(), dict.fromkeys(names), list(names)
-        for _ in range(MAX_LEVELS):
+        while level:
             level = list(dict.fromkeys(o for s, o in edges if s in level and o not in seen))
-            if not level:
-                break
             seen |= dict.fromkeys(level)
-        else:
-            raise RecursionError(f"more than {MAX_LEVELS} levels")
         relations = [r for c in seen for a, _ in self.mro(c) if a in self.classes for r in [*(f.relation for f in self.classes[a].fields), *(x for x, _ in self.classes[a].valid)] if r]
         return list(dict.fromkeys(relations)), [c for c in seen if not self.classes[c].abstract]
 

@@ -175,17 +175,17 @@ def make_unique_among_taken(spark, sf_dir):
     return naming.make_unique(part.select("p_partkey", "p_brand", name.alias("name")), "name", ["p_partkey"], ["p_brand"], "uname").select("p_partkey", "uname")
 
 
-@query("WITH p AS (SELECT p_size::VARCHAR AS name, p_brand AS a, p_type AS b, p_size::VARCHAR AS c FROM part WHERE p_partkey%5=0), d AS (SELECT name, count(DISTINCT (a,b,c)) AS paths, count(DISTINCT c) AS d1, count(DISTINCT (b,c)) AS d2 FROM p GROUP BY name) SELECT name, CASE WHEN d1=paths THEN 1 WHEN d2=paths THEN 2 ELSE 3 END AS depth FROM d")
+@query("WITH p AS (SELECT p_size::VARCHAR AS name, p_brand AS a, p_type AS b, p_size::VARCHAR AS c FROM part), d AS (SELECT name, count(DISTINCT (a,b,c)) AS paths, count(DISTINCT c) AS d1, count(DISTINCT (b,c)) AS d2 FROM p GROUP BY name) SELECT name, CASE WHEN d1=paths THEN 1 WHEN d2=paths THEN 2 ELSE 3 END AS depth FROM d")
 def alias_depth(spark, sf_dir):
     """How many trailing segments tell apart what bears one name."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 5 = 0")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
     size = F.col("p_size").cast("string")
     return naming.alias_depth(part.select(size.alias("name"), F.concat_ws(".", "p_brand", "p_type", size).alias("path")), "name", "path").select("name", "depth").distinct()
 
 
-@query("SELECT DISTINCT p_brand, p_type, CASE WHEN (SELECT count(DISTINCT q.p_brand) FROM part q WHERE q.p_type=p.p_type AND q.p_size=1)>1 THEN p_brand||'_'||p_type ELSE p_type END AS class_name FROM part p WHERE p_size=1")
+@query("SELECT DISTINCT p_brand, p_type, CASE WHEN (SELECT count(DISTINCT q.p_brand) FROM part q WHERE q.p_type=p.p_type)>1 THEN p_brand||'_'||p_type ELSE p_type END AS class_name FROM part p")
 def qualified_literals(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 1").select("p_brand", "p_type").distinct()
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_type").distinct()
     return naming.qualify_collisions(part, "p_type", "p_brand")
 
 
@@ -197,106 +197,139 @@ def forward_references(spark, sf_dir):
     return naming.forward_references(order, refs)
 
 
-# --- catalogue tables ---
+# --- catalogue tables, made of the tables' rows ---
+
+
+def _part_tables(spark, sf_dir: str) -> dict:
+    """A brand is a class below the least type of its parts, types are below one root; sizes
+    are fields, of types those of every tenth part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = part.groupBy(F.col("p_brand").alias("class")).agg(F.min("p_type").alias("type"))
+    row = lambda df, *cs: df.select(F.col(cs[0]).alias("class"), F.lit(cs[1]).alias("ancestor") if cs[3] else F.col(cs[1]).alias("ancestor"), F.lit(cs[2]).alias("depth"))
+    types = own.select("type").distinct()
+    mro = row(own, "class", "class", 0, False).unionByName(row(own, "class", "type", 1, False)).unionByName(row(own, "class", "PartType", 2, True)).unionByName(row(types, "type", "type", 0, False)).unionByName(row(types, "type", "PartType", 1, True))
+    field = lambda df, c: df.select(F.col(c).alias("class"), F.concat(F.lit("f"), "p_size").alias("field"), F.concat(F.lit("r"), F.pmod("p_size", F.lit(3))).alias("relation"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).cast("int").alias("max"), F.col("p_size").cast("int").alias("position")).distinct()
+    related = types.where("type not like 'S%'").select(F.col("type").alias("class"), F.concat(F.lit("of"), "type").alias("relation"), F.lit("PartType").alias("target"), F.lit(0).alias("position"))
+    every = spark.range(1).select(F.lit("PartType").alias("class"), F.lit("relatedTo").alias("relation"), F.lit("PartType").alias("target"), F.lit(0).alias("position"))
+    return {"class_mro": mro, "fields": field(part, "p_brand").unionByName(field(part.where("p_partkey % 10 = 0"), "p_type")), "valid_relations": related.unionByName(every)}
 
 
-def _fleet() -> Catalog:
-    """Classes with several fields on one path, inherited fields and valid relations."""
-    f = Field
-    return Catalog().add(
-        ClassSpec("Node", valid=(("relatedTo", "Node"),)),
-        ClassSpec("Port", parents=("Node",)),
-        ClassSpec("Inlet", parents=("Port",)),
-        ClassSpec("Outlet", parents=("Port",)),
-        ClassSpec("Device", (f("label", "string", "hasLabel", max=1),), parents=("Node",), valid=(("hasPort", "Port"),)),
-        ClassSpec("Pump", (f("inlet", "Inlet"), f("outlet", "Outlet", max=2)), parents=("Device",)),
-        ClassSpec("Twin", (f("spare", "Inlet", "hasPort", max=3),), parents=("Pump",)),
-    )
+_BRAND = "SELECT p_brand AS b, min(p_type) AS t FROM part GROUP BY 1"
 
 
-@query("SELECT * FROM (VALUES ('Urgent','Vip','placedBy'), ('Urgent','Urgent','relatedTo'), ('Vip','Customer','relatedTo'), ('Vip','Lone',NULL)) t(class, target, relation)")
+@query(f"WITH k AS ({_BRAND}) SELECT k.b AS class, x.b AS target, CASE WHEN k.t LIKE 'S%' THEN 'relatedTo' ELSE 'of'||k.t END AS relation FROM k, k x UNION ALL SELECT k.b, 'Elsewhere', NULL FROM k")
 def relation_inference(spark, sf_dir):
-    c = Catalog().add(
-        ClassSpec("Node", valid=(("relatedTo", "Node"),)),
-        ClassSpec("Customer", parents=("Node",)),
-        ClassSpec("Vip", parents=("Customer",)),
-        ClassSpec("Order", parents=("Node",), valid=(("placedBy", "Customer"),)),
-        ClassSpec("Urgent", parents=("Order",)),
-        ClassSpec("Lone"),
-    )
-    wanted = spark.createDataFrame([("Urgent", "Vip"), ("Urgent", "Urgent"), ("Vip", "Customer"), ("Vip", "Lone")], "class string, target string")
-    return catalogue.infer_relations(c.tables(spark), wanted)
-
-
-@query("SELECT * FROM (VALUES ('Device','hasLabel',1,1), ('Pump','hasLabel',1,1), ('Pump','hasPort',2,2), ('Twin','hasLabel',1,1), ('Twin','hasPort',3,3)) t(class, relation, min_count, max_count)")
+    """The nearest valid relation from each brand to each, and to a class that is none."""
+    tables = _part_tables(spark, sf_dir)
+    brands = tables["class_mro"].where("depth = 2").select("class")
+    ends = brands.select(F.col("class").alias("target")).unionByName(spark.range(1).select(F.lit("Elsewhere").alias("target")))
+    return catalogue.infer_relations(tables, brands.join(F.broadcast(ends)))  # as many rows as brands
+
+
+@query("WITH f AS (SELECT DISTINCT p_brand AS class, p_size FROM part UNION SELECT DISTINCT p_type, p_size FROM part WHERE p_partkey%10=0) SELECT class, 'r'||(p_size%3) AS relation, count(*) AS min_count, min(CASE WHEN p_size%2=0 THEN p_size END)::INT AS max_count FROM f GROUP BY 1,2")
 def path_field_counts(spark, sf_dir):
-    return catalogue.path_cardinalities(_fleet().tables(spark))
+    return catalogue.path_cardinalities(_part_tables(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('Device','label'), ('Pump','inlet'), ('Pump','outlet'), ('Twin','spare')) t(class, field)")
+@query(f"WITH k AS ({_BRAND}), f AS (SELECT DISTINCT p_type, p_size FROM part WHERE p_partkey%10=0) SELECT DISTINCT p_brand AS class, 'f'||p_size AS field FROM part JOIN k ON b=p_brand WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.p_type=k.t AND f.p_size=part.p_size) UNION ALL SELECT p_type, 'f'||p_size FROM f")
 def hierarchy_difference(spark, sf_dir):
-    return catalogue.own_fields(_fleet().tables(spark))
+    return catalogue.own_fields(_part_tables(spark, sf_dir))
 
 
-@query("SELECT 'Inlet' AS target, 'own' AS found_in UNION ALL SELECT 'hasLabel', 'external' UNION ALL SELECT 'lost', NULL")
+@query("SELECT target, CASE WHEN target IN (SELECT p_type FROM part) THEN 'own' WHEN target IN (SELECT p_brand FROM part WHERE p_size>25) THEN 'scaffold' WHEN target IN (SELECT n_name FROM nation) THEN 'external' END AS found_in FROM (SELECT p_type AS target FROM part UNION SELECT p_brand FROM part UNION SELECT n_name FROM nation UNION SELECT c_mktsegment FROM customer) t")
 def resolution_order(spark, sf_dir):
-    names = _fleet().tables(spark)["classes"].select(F.col("name").alias("iri"))
-    other = spark.createDataFrame([("Inlet",), ("hasLabel",)], "iri string")
-    return ingest.resolve_targets(spark.createDataFrame([("Inlet",), ("hasLabel",), ("lost",)], "target string"), ("own", names), ("external", other))
+    """The first of several sources that knows a target, in their order; null if none does."""
+    part, nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "nation", "customer"))
+    named = lambda df, c, to: df.select(F.col(c).alias(to))
+    targets = named(part, "p_type", "target").union(named(part, "p_brand", "target")).union(named(nation, "n_name", "target")).union(named(customer, "c_mktsegment", "target")).distinct()
+    return ingest.resolve_targets(targets, ("own", named(part, "p_type", "iri")), ("scaffold", named(part.where("p_size > 25"), "p_brand", "iri")), ("external", named(nation, "n_name", "iri")))
 
 
 # --- block documents ---
 
 
+def _text(*xs):
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+
+
 def _documents(spark, sf_dir: str):
-    """An order is a block: its items are inputs, its suppliers sub-blocks of a type that
-    only some have a node for; its priority is a parameter with a dotted default."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 4")
-    line = line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("supp"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
-    own = F.concat(F.lit("Order."), "l_orderkey")
-    at = F.concat(own, F.lit(".in"), F.col("l_linenumber").cast("string"))
-    part = F.concat(own, F.lit(".sub"), F.col("l_linenumber").cast("string"))
-    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
-    port = text('{"@id":"', at, '","@type":"S231:Input","S231:isOfDataType":{"@id":"S231:Real"},"S231:value":{"@value":"', F.col("q"), '"}}')
-    sub = text('{"@id":"', part, '","@type":"Block.', F.pmod("supp", F.lit(4)), '"}')
-    g = line.groupBy("l_orderkey").agg(F.collect_list(port).alias("ports"), F.collect_list(sub).alias("subs"), F.collect_list(text('{"@id":"', at, '"}')).alias("ins"), F.collect_list(text('{"@id":"', part, '"}')).alias("parts"))
+    """An order is a block, in a document of its own. Its lines are inputs, every third a
+    boolean one; some have a label, a quantity kind and a unit. Its suppliers are sub-blocks,
+    of which two types are blocks of the corpus. Its priority is a parameter without a type
+    whose dotted default names an enumeration, or for one priority a foreign one; its clerk a
+    real parameter. What it contains lists its parameters and a leaf value as well."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("supp"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_custkey")
+    root = "ex:" + ingest.BLOCK_ROOT
+    own, i, number = _text(root + "Orders.O", F.col("l_orderkey")), F.col("l_linenumber"), F.pmod("l_linenumber", F.lit(3))
+    at, part = _text(own, ".in", i), _text(own, ".sub", i)
+    kind = F.when(number == 0, "S231:BooleanInput").otherwise("S231:RealInput")
+    more = _text(F.when(number == 1, '"qudt:hasQuantityKind":{"@id":"q:Pressure"},"qudt:hasUnit":{"@id":"unit:PA"},').otherwise(""), F.when(i % 2 == 0, _text('"S231:label":"line', i, '",')).otherwise(""))
+    port = _text('{"@id":"', at, '","@type":"', kind, '",', more, '"S231:description":"quantity ', F.col("q").cast("long"), '"}')
+    sub = _text('{"@id":"', part, '","@type":"', root, "Suppliers.T", F.pmod("supp", F.lit(4)), '"}')
+    ref = lambda x: _text('{"@id":"', x, '"}')
+    g = line.groupBy("l_orderkey").agg(*[F.array_join(F.collect_list(c), ",").alias(n) for n, c in (("ports", port), ("subs", sub), ("ins", ref(at)), ("parts", ref(part)))], F.count("*").alias("n"))
     g = g.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    ins = F.when(F.size("ins") == 1, F.col("ins")[0]).otherwise(text("[", F.array_join("ins", ","), "]"))  # one object or a list
-    level = text('{"@id":"', own, '.level","@type":"S231:Parameter","S231:value":"Levels.', F.substring("o_orderpriority", 1, 1), '"}')
-    block = text('{"@id":"', own, '","@type":["S231:Block","S231:Order"],"S231:description":"', F.col("o_orderpriority"), '","S231:hasInput":', ins, ',"S231:containsBlock":[', F.array_join("parts", ","), '],"S231:hasParameter":{"@id":"', own, '.level"}}')
-    known = F.lit('{"@id":"Block.0","@type":"S231:Block"},{"@id":"Block.1","@type":"S231:Block"},{"@id":"Levels","@type":"S231:EnumerationType"},{"@id":"Levels.1","@type":"Levels"},{"@id":"Levels.2","@type":"Levels"}')
-    return g.select(F.col("l_orderkey").cast("string").alias("file"), text('{"@graph":[', block, ",", level, ",", F.array_join("ports", ","), ",", F.array_join("subs", ","), ",", known, "]}").alias("value"))
+    level = F.substring("o_orderpriority", 1, 1)
+    default = F.when(level == "5", "Other.Types.Low.L5").otherwise(_text(ingest.BLOCK_ROOT + "Types.Levels.L", level))
+    ins = F.when(F.col("n") == 1, F.col("ins")).otherwise(_text("[", "", F.col("ins"), "]"))  # one object or a list
+    own_nodes = _text(
+        '{"@id":"', own, '.level","S231:value":"', default, '"},{"@id":"', own, '.clerk","@type":"S231:Parameter","S231:label":"clerk","S231:isOfDataType":{"@id":"S231:Real"},"S231:value":{"@value":"', F.col("o_custkey"),
+        '.5","@type":"xsd:decimal"}},{"@id":"', own, '.note","@type":"S231:Parameter"}',
+    )
+    block = _text(
+        '{"@id":"', own, '","@type":"S231:Block","S231:description":"', F.col("o_orderpriority"), '","S231:hasInput":', ins, ',"S231:hasParameter":[', ref(_text(own, ".level")), ",", ref(_text(own, ".clerk")), ",", ref(_text(own, ".lost")),
+        '],"S231:containsBlock":[', F.col("parts"), ",", ref(_text(own, ".note")), ",", ref(_text(own, ".level")), "]}",
+    )
+    types = "".join([f'{{"@id":"{root}Suppliers.T{k}","@type":"S231:Block","S231:documentation":"known"}},' for k in range(2)])
+    types += f'{{"@id":"{root}Types.Levels","@type":"S231:EnumerationType"}},' + ",".join([f'{{"@id":"{root}Types.Levels.L{k}","@type":"{root}Types.Levels"}}' for k in range(1, 5)])
+    whole = g.select(F.col("l_orderkey").cast("string").alias("file"), _text('{"@graph":[', block, ",", own_nodes, ",", F.col("ports"), ",", F.col("subs"), "]}").alias("value"))
+    return whole.unionByName(spark.range(1).select(F.lit("types").alias("file"), F.lit('{"@graph":[' + types + "]}").alias("value")))
+
 
+_LINE = "SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity)::BIGINT AS q, min(l_suppkey) AS supp, l_linenumber%3 AS m FROM lineitem GROUP BY 1,2"
+_OWN = "SELECT o_orderkey AS k, o_orderpriority AS p, o_custkey AS c FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 
-_LINE = "SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) AS q, min(l_suppkey) AS supp FROM lineitem WHERE l_linenumber<=4 GROUP BY 1,2"
 
+def _nodes(spark, sf_dir):
+    return ingest.graph_nodes(_documents(spark, sf_dir))
 
-@query(f"SELECT 'Order.'||k AS block, 'in'||i AS name, 'S231:Real' AS value_type, q AS number, 'untyped_input_field' AS helper FROM ({_LINE}) t")
+
+@query(f"SELECT 'Orders.O'||k AS block, CASE WHEN i%2=0 THEN 'line' ELSE 'in' END||i AS name, CASE WHEN m=0 THEN 'Boolean' ELSE 'Real' END AS value_type, 'quantity '||q AS description, CASE WHEN m=1 THEN 'Pressure' END AS quantitykind, CASE WHEN m=1 THEN 'PA' END AS unit, CASE WHEN m=0 THEN 'boolean_input_field' ELSE 'real_input_field' END AS helper FROM ({_LINE}) t")
 def block_ports(spark, sf_dir):
-    found = ingest.ports(ingest.graph_nodes(_documents(spark, sf_dir))).where("kind = 'input'")
-    return found.select("block", "name", "value_type", F.col("default.number").alias("number"), ingest.field_helper(F.col("kind"), F.lit(None).cast("string")).alias("helper"))
+    """Inputs with the type that their node has, label or last part of the id, and unit."""
+    return ingest.block_fields(_nodes(spark, sf_dir)).where("kind = 'input'").select("block", "name", "value_type", "description", "quantitykind", "unit", "helper")
+
+
+@query(f"SELECT 'Orders.O'||k AS block, 'clerk' AS name, 'Real' AS value_type, c+0.5 AS number, 'real_parameter_field' AS helper, c||'.5' AS text FROM ({_OWN}) t UNION ALL SELECT 'Orders.O'||k, 'level', CASE WHEN p[1]='5' THEN 'Unknown' ELSE 'Types.Levels' END, NULL, CASE WHEN p[1]='5' THEN 'unknown' ELSE 'enum' END||'_parameter_field', CASE WHEN p[1]='5' THEN 'Other.Types.Low.L5' ELSE 'L'||p[1] END FROM ({_OWN}) t")
+def block_parameters(spark, sf_dir):
+    """Parameters by their data type; one without gets the enumeration that its default
+    names, if the corpus has it, and keeps the literal."""
+    found = ingest.block_fields(_nodes(spark, sf_dir)).where("kind = 'parameter'")
+    return found.select("block", "name", "value_type", F.col("default.number").alias("number"), "helper", F.col("default.text").alias("text"))
 
 
-@query(f"SELECT 'Order.'||k AS block, 'sub'||i AS name, 'Block.'||(supp%4) AS block_type, supp%4<2 AS resolved FROM ({_LINE}) t")
+@query(f"SELECT 'Orders.O'||k AS block, 'sub'||i AS name, 'Suppliers.T'||(supp%4) AS block_type, supp%4<2 AS resolved FROM ({_LINE}) t")
 def block_sub_blocks(spark, sf_dir):
-    return ingest.sub_blocks(ingest.graph_nodes(_documents(spark, sf_dir)).where("file is not null")).select("block", "name", "block_type", "resolved")
+    return ingest.sub_blocks(_nodes(spark, sf_dir)).select("block", "name", "block_type", "resolved")
 
 
-@query(f"SELECT 'Order.'||o_orderkey AS dotted_path, o_orderpriority AS description FROM orders WHERE o_orderkey IN (SELECT k FROM ({_LINE}) t)")
+@query(f"SELECT 'Orders.O'||k AS dotted_path, 'O'||k AS class_name, p AS description FROM ({_OWN}) t UNION ALL SELECT 'Suppliers.T'||i, 'T'||i, 'known' FROM range(0, 2) r(i) WHERE EXISTS (SELECT 1 FROM lineitem)")
 def block_list(spark, sf_dir):
-    return ingest.blocks(ingest.graph_nodes(_documents(spark, sf_dir))).where("dotted_path like 'Order.%'").select("dotted_path", "description")
+    return ingest.blocks(_nodes(spark, sf_dir)).select("dotted_path", "class_name", "description")
 
 
-@query(f"SELECT 'Order.'||o_orderkey AS block, CASE WHEN o_orderkey IN (SELECT k FROM ({_LINE}) t) THEN 'Levels' END AS value_type FROM orders WHERE o_orderkey IN (SELECT k FROM ({_LINE}) t)")
+@query(f"SELECT 'Types.Levels' AS enum_type, 'L'||p[1] AS literal, count(*) AS n FROM ({_OWN}) t WHERE p[1]<>'5' GROUP BY 2")
 def block_enum_recovery(spark, sf_dir):
-    """Parameters without a type get the enumeration that their default names."""
-    nodes = ingest.graph_nodes(_documents(spark, sf_dir))
-    enums = ingest.enum_literals(nodes).select("enum_type").distinct()
-    return ingest.enum_of_default(ingest.ports(nodes).where("kind = 'parameter'"), enums).select("block", "value_type")
+    """How many parameters each literal of a recovered enumeration is the default of."""
+    nodes = _nodes(spark, sf_dir)
+    literals = ingest.enum_literals(nodes)
+    typed = ingest.enum_of_default(ingest.ports(nodes).where("kind = 'parameter'"), literals)
+    used = typed.groupBy(F.col("value_type").alias("enum_type"), F.col("default.text").alias("literal")).agg(F.count("*").alias("n"))
+    return literals.join(used, ["enum_type", "literal"]).select("enum_type", "literal", "n")
 
 
-@query(f"SELECT message, count(*) AS n FROM (SELECT 'external block type' AS message FROM ({_LINE}) t WHERE supp%4>=2 UNION ALL SELECT 'untyped parameter' FROM (SELECT DISTINCT k FROM ({_LINE}) t)) x GROUP BY 1")
+@query(f"SELECT message, count(*) AS n FROM (SELECT 'external block type' AS message FROM ({_LINE}) t WHERE supp%4>=2 UNION ALL SELECT 'unknown type of parameter' FROM ({_OWN}) t WHERE p[1]='5' UNION ALL SELECT 'unresolved parameter reference' FROM ({_OWN}) t) x GROUP BY 1")
 def block_warnings(spark, sf_dir):
-    found = ingest.block_warnings(ingest.graph_nodes(_documents(spark, sf_dir)))
-    return found.select(F.regexp_extract("message", "^(external block type|untyped parameter|no node)", 1).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
+    found = ingest.block_warnings(_nodes(spark, sf_dir))
+    return found.select(F.regexp_extract("message", "^(external block type|unknown type of parameter|unresolved parameter reference|no block or enumeration)", 1).alias("message")).groupBy("message").agg(F.count("*").alias("n"))

@@ -116,15 +116,18 @@ def classes(triples: DataFrame, adapter: OntologyAdapter, base: DataFrame | None
     return make_unique(out, "base", ["iri"], ["bucket"], "py_name").drop("base")
 
 
-def nearest_in(triples: DataFrame, names: DataFrame, among: DataFrame, levels: int = 100) -> DataFrame:
+def nearest_in(triples: DataFrame, names: DataFrame, among: DataFrame) -> DataFrame:
     """(name, asserted): the nearest ancestor of each (name) that is one of ``among``
-    (name); of equally near ones the smallest."""
+    (name); of equally near ones the smallest. Ancestors are followed until none is new,
+    so chains of any length are, and cycles end."""
     up = triples.where(F.col("p") == RDFS + "subClassOf").select("s", "o").distinct()
     level, found = settle(names.select("name", F.col("name").alias("at"))), None
-    for _ in range(levels):
-        level = settle(level.join(up, F.col("at") == F.col("s")).select("name", F.col("o").alias("at")).distinct())
+    seen = level
+    while True:
+        level = settle(level.join(up, F.col("at") == F.col("s")).select("name", F.col("o").alias("at")).distinct().join(seen, ["name", "at"], "left_anti"))
         if level.isEmpty():
             break
+        seen = settle(seen.unionByName(level))
         hit = level.join(among.select(F.col("name").alias("at")), "at", "left_semi").groupBy("name").agg(F.min("at").alias("asserted"))
         found = hit if found is None else found.unionByName(hit)
         level = level.join(hit, "name", "left_anti")
@@ -226,8 +229,13 @@ def bnode_subgraph(triples: DataFrame, roots: DataFrame) -> DataFrame:
 
 # --- control blocks (JSON-LD with one @graph array) ---
 
-#: fixed values: keys of the block vocabulary
+#: fixed values: keys, types and the root of the block vocabulary
 _REFS = {"input": "S231:hasInput", "output": "S231:hasOutput", "parameter": "S231:hasParameter", "sub_block": "S231:containsBlock"}
+_PORT_TYPES = {"S231:RealInput": "Real", "S231:RealOutput": "Real", "S231:BooleanInput": "Boolean", "S231:BooleanOutput": "Boolean", "S231:IntegerInput": "Integer", "S231:IntegerOutput": "Integer"}
+_OWN_TYPES = "S231:"
+_ID_PREFIX = "ex:"
+BLOCK_ROOT = "Buildings.Controls.OBC.ASHRAE.G36."
+UNKNOWN = "Unknown"
 
 
 def _text(node: Column, key: str) -> Column:
@@ -235,8 +243,24 @@ def _text(node: Column, key: str) -> Column:
     return F.coalesce(F.get_json_object(node, f"$['{key}']['@value']"), F.get_json_object(node, f"$['{key}']"))
 
 
-def _ref(node: Column, key: str) -> Column:
-    return F.coalesce(F.get_json_object(node, f"$['{key}']['@id']"), F.get_json_object(node, f"$['{key}']"))
+def _without(text: Column, prefix: str) -> Column:
+    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 20)).otherwise(text) if prefix else text
+
+
+def dotted_path(iri: Column, root: str = BLOCK_ROOT) -> Column:
+    """A block's id without the namespace mark and the root that all blocks lie under."""
+    return _without(_without(iri, _ID_PREFIX), root)
+
+
+def _local(node: Column, key: str, prefix: str) -> Column:
+    """Local name of a reference {"@id": ...}: after the prefix, or the last # or /."""
+    iri = F.get_json_object(node, f"$['{key}']['@id']")
+    return F.when(iri.startswith(prefix), _without(iri, prefix)).otherwise(F.substring_index(F.substring_index(iri, "#", -1), "/", -1))
+
+
+def _label(node: Column, iri: Column, root: str) -> Column:
+    """The label, or the last part of the id."""
+    return F.coalesce(F.nullif(_text(node, "S231:label"), F.lit("")), terms.dotted_parts(dotted_path(iri, root))[1])
 
 
 def as_array(value: Column) -> Column:
@@ -263,50 +287,93 @@ def block_references(nodes: DataFrame) -> DataFrame:
     return refs.join(target, ["file", "ref_id"], "left").withColumn("unresolved", F.col("target").isNull())
 
 
-def ports(nodes: DataFrame) -> DataFrame:
-    """block, kind, name, value_type, description, quantitykind, unit, default."""
+def ports(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """block, kind, name, value_type, description, quantitykind, unit, default of every
+    reference that has a node. Inputs and outputs have the type that their node's @type
+    names, parameters their data type's: a plain one, or the path of an enumeration.
+    ``Unknown`` where there is none."""
     found = block_references(nodes).where("kind <> 'sub_block' and not unresolved")
-    t = F.col("target")
-    return found.select("file", "block", "kind", "position", terms.dotted_parts(F.col("ref_id"))[1].alias("name"), terms.local_name(_ref(t, "S231:isOfDataType")).alias("value_type"), _text(t, "S231:description").alias("description"), terms.local_name(_ref(t, "qudt:hasQuantityKind")).alias("quantitykind"), terms.local_name(_ref(t, "qudt:hasUnit")).alias("unit"), terms.typed_value(_text(t, "S231:value")).alias("default"))
-
-
-def sub_blocks(nodes: DataFrame) -> DataFrame:
-    """block, name, block_type, resolved; types without a node are kept as notes."""
-    found = block_references(nodes).where("kind = 'sub_block'")
-    types = nodes.select(F.col("id").alias("block_type")).distinct().withColumn("known", F.lit(True))
-    typed = found.select("file", "block", "position", terms.dotted_parts(F.col("ref_id"))[1].alias("name"), F.element_at("target_types", 1).alias("block_type"))
-    return typed.join(types, "block_type", "left").withColumn("resolved", F.col("known").isNotNull()).drop("known")
-
-
-def blocks(nodes: DataFrame, block_type: str = "S231:Block") -> DataFrame:
+    t, declared = F.col("target"), F.get_json_object("target", "$['S231:isOfDataType']['@id']")
+    by_type = F.create_map(*[F.lit(x) for pair in _PORT_TYPES.items() for x in pair])
+    parameter = F.when(declared.startswith(_OWN_TYPES), _without(declared, _OWN_TYPES)).otherwise(dotted_path(declared, root))
+    value_type = F.when(F.col("kind") == "parameter", parameter).otherwise(F.element_at(by_type, F.try_element_at("target_types", F.lit(1))))
+    return found.select(
+        "file", dotted_path(F.col("block"), root).alias("block"), "kind", "position", _label(t, F.col("ref_id"), root).alias("name"), F.coalesce(value_type, F.lit(UNKNOWN)).alias("value_type"), _text(t, "S231:description").alias("description"),
+        _local(t, "qudt:hasQuantityKind", "q:").alias("quantitykind"), _local(t, "qudt:hasUnit", "unit:").alias("unit"), terms.typed_value(_text(t, "S231:value")).alias("default"),
+    )
+
+
+def sub_blocks(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """block, name, block_type, description, resolved. What is a port already, a leaf
+    value of the vocabulary, or has no type is no sub-block; types that are no block of the
+    corpus are kept, unresolved."""
+    refs = block_references(nodes)
+    port = refs.where("kind <> 'sub_block'").select("file", "block", "ref_id").distinct()
+    found = refs.where("kind = 'sub_block' and not unresolved").join(port, ["file", "block", "ref_id"], "left_anti")
+    own = F.try_element_at("target_types", F.lit(1))
+    found = found.where(own.isNotNull() & ~own.startswith(_OWN_TYPES))
+    typed = found.select("file", dotted_path(F.col("block"), root).alias("block"), "position", _label(F.col("target"), F.col("ref_id"), root).alias("name"), dotted_path(own, root).alias("block_type"), _text(F.col("target"), "S231:description").alias("description"))
+    return _with_known(typed, blocks(nodes, root=root).select(F.col("dotted_path").alias("block_type")), "block_type", "resolved")
+
+
+def _with_known(df: DataFrame, known: DataFrame, key: str, column: str) -> DataFrame:
+    """``df`` with ``column``: whether ``known`` has the row's key."""
+    return df.join(known.select(key).distinct().withColumn("__known", F.lit(True)), key, "left").withColumn(column, F.col("__known").isNotNull()).drop("__known")
+
+
+def blocks(nodes: DataFrame, block_type: str = "S231:Block", root: str = BLOCK_ROOT) -> DataFrame:
     own = nodes.where(F.array_contains("types", block_type))
-    return own.select("file", F.col("id").alias("dotted_path"), terms.dotted_parts(terms.local_name(F.col("id")))[1].alias("class_name"), _text(F.col("node"), "S231:description").alias("description"))
+    path = dotted_path(F.col("id"), root)
+    description = F.coalesce(F.nullif(_text(F.col("node"), "S231:documentation"), F.lit("")), _text(F.col("node"), "S231:description"))
+    return own.select("file", path.alias("dotted_path"), terms.class_name_for(terms.dotted_parts(path)[1]).alias("class_name"), description.alias("description"))
 
 
-def enum_literals(nodes: DataFrame, enum_type: str = "S231:EnumerationType") -> DataFrame:
-    """(enum_type, literal, position): nodes whose type is an enumeration's id."""
-    enums = nodes.where(F.array_contains("types", enum_type)).select(F.col("id").alias("enum_type"), "file")
-    members = nodes.select("file", F.col("id").alias("literal_id"), F.explode("types").alias("enum_type"))
-    return members.join(enums, ["file", "enum_type"]).select("enum_type", terms.dotted_parts(F.col("literal_id"))[1].alias("literal"))
+def enum_literals(nodes: DataFrame, enum_type: str = "S231:EnumerationType", root: str = BLOCK_ROOT) -> DataFrame:
+    """(enum_type, literal, description): nodes of a file whose type is the id of an
+    enumeration there; one without literals has a row without one."""
+    enums = nodes.where(F.array_contains("types", enum_type)).select(F.col("id").alias("enum_id"), "file")
+    members = nodes.select("file", F.col("id").alias("literal_id"), "node", F.explode("types").alias("enum_id"))
+    literal = F.coalesce(F.nullif(_text(F.col("node"), "S231:label"), F.lit("")), terms.dotted_parts(F.col("literal_id"))[1])
+    return enums.join(members, ["file", "enum_id"], "left").select(dotted_path(F.col("enum_id"), root).alias("enum_type"), literal.alias("literal"), _text(F.col("node"), "S231:description").alias("description"))
 
 
-def enum_of_default(ports_: DataFrame, enums: DataFrame) -> DataFrame:
-    """Untyped parameters get the enumeration that their dotted default names."""
-    prefix = terms.dotted_parts(F.col("default.text"))[0]
+def enum_of_default(ports_: DataFrame, enums: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """Parameters of unknown type get the enumeration that their dotted default names, and
+    its literal as their default; others stay as they are."""
+    prefix, literal = terms.dotted_parts(F.col("default.text"))
     known = enums.select(F.col("enum_type").alias("__enum")).distinct()
-    return ports_.join(known, prefix == F.col("__enum"), "left").withColumn("value_type", F.coalesce("value_type", "__enum")).drop("__enum")
-
-
-def block_warnings(nodes: DataFrame) -> DataFrame:
-    """(file, message): references to nodes that are not there, sub-blocks whose type is
-    no block of the corpus, and parameters without a type."""
-    missing = block_references(nodes).where("unresolved").select("file", F.concat(F.lit("no node "), "ref_id", F.lit(" for "), "block").alias("message"))
-    outside = sub_blocks(nodes).where("not resolved and block_type is not null").select("file", F.concat(F.lit("external block type "), "block_type", F.lit(" of "), "block", F.lit("."), "name").alias("message"))
-    untyped = ports(nodes).where("kind = 'parameter' and value_type is null").select("file", F.concat(F.lit("untyped parameter "), "block", F.lit("."), "name").alias("message"))
-    return missing.unionByName(outside).unionByName(untyped)
+    asks = (F.col("kind") == "parameter") & (F.col("value_type") == UNKNOWN) & (F.col("default.kind") == "string")
+    joined = ports_.join(known, asks & (dotted_path(prefix, root) == F.col("__enum")), "left")
+    hit = F.col("__enum").isNotNull()
+    default = F.when(hit, F.struct(F.col("default.kind").alias("kind"), F.col("default.number").alias("number"), literal.alias("text"))).otherwise(F.col("default"))
+    return joined.withColumn("default", default).withColumn("value_type", F.coalesce("__enum", "value_type")).drop("__enum")
+
+
+def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """(file, message): references to nodes that are not there, files without a block or an
+    enumeration, sub-blocks whose type is no block of the corpus, parameters whose type
+    stays unknown."""
+    missing = block_references(nodes).where("unresolved and kind <> 'sub_block'").select("file", F.concat(F.lit("unresolved "), "kind", F.lit(" reference: "), "ref_id").alias("message"))
+    declares = F.arrays_overlap(F.coalesce("types", F.array().cast("array<string>")), F.array(F.lit("S231:Block"), F.lit("S231:EnumerationType")))
+    bare = nodes.groupBy("file").agg(F.bool_or(declares).alias("any")).where("not any").select("file", F.lit("no block or enumeration").alias("message"))
+    outside = sub_blocks(nodes, root).where("not resolved").select("file", F.concat(F.lit("external block type "), "block_type", F.lit(" of "), "block", F.lit("."), "name").alias("message"))
+    recovered = enum_of_default(ports(nodes, root), enum_literals(nodes, root=root), root)
+    untyped = recovered.where(F.col("value_type") == UNKNOWN).select("file", F.concat(F.lit("unknown type of "), "kind", F.lit(" "), "block", F.lit("."), "name").alias("message"))
+    return missing.unionByName(bare).unionByName(outside).unionByName(untyped)
+
+
+def field_helper(kind: Column, value_type: Column, is_enum: Column | None = None) -> Column:
+    """The declaration that a port asks for: its value type, then what it is.
+    ``is_enum``: whether the type is an enumeration of the corpus."""
+    plain = value_type.isin("Real", "Boolean", "Integer")
+    enum = F.lit(False) if is_enum is None else (kind == "parameter") & is_enum
+    typed = F.when(plain, F.lower(value_type)).when(enum, "enum").otherwise("unknown")
+    return F.when(kind == "sub_block", "subblock_field").otherwise(F.concat_ws("_", typed, kind, F.lit("field")))
 
 
-def field_helper(kind: Column, value_type: Column) -> Column:
-    """The declaration that a port asks for: its value type, then what it is."""
-    typed = F.when(value_type.isin("Real", "Boolean", "Integer", "String"), F.lower(value_type)).when(value_type.isNotNull(), "enum").otherwise("untyped")
-    return F.when(kind == "sub_block", "subblock_field").otherwise(F.concat_ws("_", typed, kind, F.lit("field")))
+def block_fields(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """``ports`` with recovered enumerations, and the ``helper`` that declares each."""
+    enums = enum_literals(nodes, root=root).select("enum_type").distinct()
+    found = enum_of_default(ports(nodes, root), enums, root)
+    found = _with_known(found, enums.select(F.col("enum_type").alias("value_type")), "value_type", "is_enum")
+    return found.withColumn("helper", field_helper(F.col("kind"), F.col("value_type"), F.col("is_enum"))).drop("is_enum")

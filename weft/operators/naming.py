@@ -44,14 +44,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first.alias("__row")).select(*keys, "__row.*")
 
 
-def alias_depth(df: DataFrame, name: str, path: str, mark: str = ".", most: int = 16) -> DataFrame:
+def alias_depth(df: DataFrame, name: str, path: str, mark: str = ".") -> DataFrame:
     """``depth``: how many trailing segments of ``path`` all rows of a name need so
-    that their aliases differ; 1 where the name is its only one."""
+    that their aliases differ; 1 where the name is its only one. A name's longest path
+    bounds it: shorter ones are whole from their own length on."""
     parts = F.split(path, F.lit(f"\\{mark}"))
-    depths = df.select(name, path, F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most)))).alias("depth"))
-    alias = F.array_join(F.slice(F.split(path, F.lit(f"\\{mark}")), -F.col("depth"), F.col("depth")), mark)
+    longest = df.groupBy(name).agg(F.max(F.size(parts)).alias("__most"))
+    depths = df.select(name, path).distinct().join(longest, name).select(name, path, F.explode(F.sequence(F.lit(1), F.col("__most"))).alias("depth"))
+    size = F.least("depth", F.size(parts))
+    alias = F.array_join(F.slice(parts, -size, size), mark)
     enough = depths.groupBy(name, "depth").agg(F.countDistinct(alias).alias("aliases"), F.countDistinct(path).alias("paths")).where("aliases = paths").groupBy(name).agg(F.min("depth").alias("depth"))
-    return df.join(enough, name, "left").withColumn("depth", F.coalesce("depth", F.lit(most)))
+    return df.join(enough, name, "left").withColumn("depth", F.coalesce("depth", F.lit(1)))
 
 
 def qualify_collisions(df: DataFrame, literal: str, type_: str, alias: str = "class_name") -> DataFrame:

@@ -13,8 +13,6 @@ from ..sources.graph import TYPE, Graph
 from .paths import settle
 from .shapes import Constraint, and_, conforms, focus_of, shape_of
 
-ROUNDS = 100
-
 
 @dataclass(frozen=True)
 class TypeRule:
@@ -46,13 +44,12 @@ def new_types(graph: Graph, rules: list[TypeRule]) -> DataFrame:
 def infer_types(graph: Graph, rules: list[TypeRule]) -> tuple[Graph, DataFrame]:
     """Run rules over triples until nothing is new: (graph with types, new rows)."""
     every = None
-    for _ in range(ROUNDS):
+    while True:
         fresh = settle(new_types(graph, rules))
         if fresh.isEmpty():
             return graph, every if every is not None else fresh
         every = fresh if every is None else every.unionByName(fresh)
         graph = graph.with_triples(fresh.select(F.col("name").cast("string").alias("s"), F.lit(TYPE).alias("p"), F.col("inferred").alias("o")))
-    raise RecursionError(f"no fixed point after {ROUNDS} rounds")
 
 
 def inverse_edges(graph: Graph, relation: str) -> DataFrame:
@@ -90,7 +87,7 @@ def entail(graph: Graph, catalog: Catalog) -> DataFrame:
     table = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  as many rows as declarations
     every = settle(graph.triples.select("s", "p", "o").distinct())
     fresh = every
-    for _ in range(ROUNDS):
+    while True:
         parts = []
         if sub:
             parts.append(fresh.join(table(sub, "p string, q string"), "p").select("s", F.col("q").alias("p"), "o"))
@@ -107,4 +104,3 @@ def entail(graph: Graph, catalog: Catalog) -> DataFrame:
         if fresh.isEmpty():
             return every
         every = settle(every.unionByName(fresh))
-    raise RecursionError(f"no fixed point after {ROUNDS} rounds")

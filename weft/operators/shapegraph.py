@@ -24,6 +24,26 @@ _DATATYPES = {"string": "string", "long": "integer", "double": "decimal", "boole
 _READS_AS = {"string": "string", "boolean": "boolean", "integer": "bigint", "int": "int", "decimal": "double", "double": "double", "float": "float", "date": "date", "dateTime": "timestamp"}
 
 
+#: fixed values: parts of a shape that ``shapes_of`` turns into constraints
+_CONSTRAINTS = {
+    "property", "path", "class", "datatype", "hasValue", "value", "in", "minCount", "maxCount", "qualifiedValueShape", "qualifiedMinCount", "qualifiedMaxCount", "node", "not", "or", "xone", "and",
+    "pattern", "flags", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive",
+    "severity", "message", "deactivated", "targetClass", "targetNode", "targetSubjectsOf", "targetObjectsOf",
+}
+#: fixed values: parts that constrain nothing, and texts of a query language, which are left out
+_ADVISORY = {"name", "description", "order", "group", "defaultValue", "sparql", "prefixes", "declare", "codeIdentifier"}
+#: fixed values: parts that a node shape may have about its focus itself
+_ON_FOCUS = _CONSTRAINTS - {"path", "datatype", "hasValue", "value", "in", "minCount", "maxCount", "qualifiedValueShape", "qualifiedMinCount", "qualifiedMaxCount", "pattern", "flags", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive"}
+_TESTS = {
+    "minLength": lambda v, n: F.length(v.cast("string")) >= int(n), "maxLength": lambda v, n: F.length(v.cast("string")) <= int(n),
+    "minInclusive": lambda v, n: _number(v) >= float(n), "maxInclusive": lambda v, n: _number(v) <= float(n), "minExclusive": lambda v, n: _number(v) > float(n), "maxExclusive": lambda v, n: _number(v) < float(n),
+}
+
+
+def _number(value):
+    return value.cast("string").try_cast("double")
+
+
 def shape_rows(catalog: Catalog, *names: str, inherited: bool = True, strict: bool = False) -> list[tuple]:
     """Rows of SCHEMA: the node shape of each class, with label, comment, the nearest
     named ancestor, a property shape for each field (own ones only without
@@ -52,7 +72,10 @@ def shape_rows(catalog: Catalog, *names: str, inherited: bool = True, strict: bo
             iri(node, SH + "path", relation)
             if f.exact is not None or f.value is not None:
                 for v in f.exact if f.exact is not None else [f.value]:
-                    text(node, SH + "hasValue", v)
+                    if v in catalog.classes:  # an individual of its own
+                        iri(node, SH + "value", v)
+                    else:
+                        text(node, SH + "hasValue", v)
                 if f.exact is not None and not f.exact:
                     text(node, SH + "maxCount", 0, XSD + "integer")
                 continue
@@ -99,9 +122,11 @@ def shape_triples(spark, catalog: Catalog, *names: str, **options) -> DataFrame:
 
 
 def shapes_of(triples: DataFrame) -> list[Shape]:
-    """The shapes of a graph as constraints that ``validate`` takes. A shape whose
-    parts are not understood raises; advisory SPARQL texts are left out by name
-    (``sparql`` has no form here)."""
+    """The shapes of a graph as constraints that ``validate`` takes. A shape with a part
+    that is not understood raises, so that no data pass for want of a check; parts that
+    constrain nothing and texts of a query language (``sparql``) are left out by name.
+    ``value`` pins an individual and asks for it as ``hasValue`` does. Deactivated shapes
+    are left out. A shape without a target of its own is about its own instances."""
     about: dict[str, list[tuple]] = {}
     found = triples.select("s", "p", "o", *(["o_dt"] if "o_dt" in triples.columns else [F.lit(None).cast("string").alias("o_dt")])).limit(MAX_TRIPLES + 1).collect()
     if len(found) > MAX_TRIPLES:
@@ -132,29 +157,50 @@ def shapes_of(triples: DataFrame) -> list[Shape]:
             return paths.inverse(path_of(inner))
         if (inner := one(node, "alternativePath")) is not None:
             return paths.alt(*[path_of(o) for o, _ in items(inner)])
-        for part, make in (("oneOrMorePath", paths.plus), ("zeroOrMorePath", paths.star)):
+        for part, make in (("oneOrMorePath", paths.plus), ("zeroOrMorePath", paths.star), ("zeroOrOnePath", paths.maybe)):
             if (inner := one(node, part)) is not None:
                 return make(path_of(inner))
         if any(p == _RDF + "first" for p, _, _ in about.get(node, ())):
             return paths.seq(*[path_of(o) for o, _ in items(node)])
+        if node.startswith("_:") or any(p.startswith(SH) and p.endswith("Path") for p, _, _ in about.get(node, ())):
+            raise ValueError(f"the path {node} has no form here")
         return node
 
+    def understood(node: str, parts: set[str]) -> None:
+        for p, o, _ in about.get(node, ()):
+            part = p.removeprefix(SH)
+            if p.startswith(SH) and part not in parts | _ADVISORY and (part, o) != ("closed", "false"):
+                raise ValueError(f"{part} of the shape {node} has no form here")
+
+    off = lambda node: one(node, "deactivated") == "true"
+
     def value(o: str, dt: str | None):
         kind = (dt or "").removeprefix(XSD)
         return int(o) if kind in ("integer", "int", "long") else float(o) if kind in ("decimal", "double", "float") else o == "true" if kind == "boolean" else o
 
     def parts_of(node: str, path) -> list[Constraint]:
         """Constraints of a node (``path`` None: on the focus itself)."""
+        if off(node):
+            return []
+        understood(node, _ON_FOCUS if path is None else _CONSTRAINTS)
         level = (one(node, "severity") or SH + "Violation").removeprefix(SH)
         more = {"severity": level, "message": one(node, "message")}
         number = lambda part: None if one(node, part) is None else int(one(node, part))
-        out = [c for shape, _ in every(node, "property") for c in parts_of(shape, path_of(one(shape, "path")))] if path is None else []
+        inner = [(shape, one(shape, "path")) for shape, _ in every(node, "property")]
+        if missing := [shape for shape, at in inner if at is None]:
+            raise ValueError(f"the property shape {missing[0]} has no path")
+        out = [c for shape, at in inner for c in parts_of(shape, path_of(at))]
+        if path is not None:  # what a property shape asks of its values' properties
+            out = [shapes.node(path, c, **more) for c in out]
         if path is None:
             out += [shapes.of_type(*below(o)) for o, _ in every(node, "class")]
         else:
             out += [shapes.of_class(path, *below(o), **more) for o, _ in every(node, "class")]
             out += [shapes.datatype(path, _READS_AS.get(o.removeprefix(XSD), "string"), declared=o, **more) for o, _ in every(node, "datatype")]
-            out += [shapes.has_value(path, value(o, dt), **more) for o, dt in every(node, "hasValue")]
+            out += [shapes.has_value(path, value(o, dt), **more) for o, dt in [*every(node, "hasValue"), *every(node, "value")]]
+            mark = "".join(f"(?{c})" for c in one(node, "flags") or "")
+            out += [shapes.values_are(path, lambda v, text=mark + o: v.cast("string").rlike(text), **more) for o, _ in every(node, "pattern")]
+            out += [shapes.values_are(path, lambda v, n=o, test=test: test(v, n), **more) for part, test in _TESTS.items() for o, _ in every(node, part)]
             out += [shapes.is_in(path, *[value(o, dt) for o, dt in items(head)], **more) for head, _ in every(node, "in")]
             if (n := number("minCount")):
                 out.append(shapes.min_count(path, n, **more))
@@ -175,8 +221,11 @@ def shapes_of(triples: DataFrame) -> list[Shape]:
 
     out = []
     for s in sorted(about):
-        if (TYPE, SH + "NodeShape") in {(p, o) for p, o, _ in about[s]} and "_:" not in s:
-            targets = [o for o, _ in every(s, "targetClass")] or [s]
-            constraints = tuple(parts_of(s, None))
-            out += [Shape(s, t, constraints) for target in targets for t in below(target)] if constraints else []
+        if (TYPE, SH + "NodeShape") not in {(p, o) for p, o, _ in about[s]} or "_:" in s:
+            continue
+        constraints = tuple(parts_of(s, None))
+        ends = [(kind, o) for kind, part in (("node", "targetNode"), ("subjects", "targetSubjectsOf"), ("objects", "targetObjectsOf")) for o, _ in every(s, part)]
+        classes = [o for o, _ in every(s, "targetClass")] or ([] if ends else [s])
+        if constraints:
+            out += [Shape(s, t, constraints) for target in classes for t in below(target)] + [Shape(s, end, constraints) for end in ends]
     return out

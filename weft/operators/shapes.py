@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..model import Catalog
 from ..sources.graph import Graph
-from .paths import pairs
+from .paths import pairs, pairs_from, recursive
 
 
 @dataclass(frozen=True)
@@ -97,20 +97,29 @@ def xone(*parts, **more):
 
 @dataclass(frozen=True)
 class Shape:
+    """``target``: a class, or ("node", term), ("subjects", relation), ("objects", relation)."""
+
     name: str
-    target: str
+    target: str | tuple[str, str]
     constraints: tuple = field(default_factory=tuple)
 
 
-def focus_of(graph: Graph, target: str, catalog: Catalog | None = None) -> DataFrame:
-    """(focus): instances of the target class and of its subclasses."""
+def focus_of(graph: Graph, target: str | tuple[str, str], catalog: Catalog | None = None) -> DataFrame:
+    """(focus): instances of the target class and of its subclasses; or a node, or what
+    stands at one end of a relation."""
+    if isinstance(target, tuple):
+        kind, term = target
+        if kind == "node":
+            return graph.spark.range(1).select(F.lit(term).alias("focus"))
+        return graph.edges(term).select(F.col("s" if kind == "subjects" else "o").alias("focus")).distinct()
     types = [target] if catalog is None or target not in catalog.classes else list(dict.fromkeys(catalog.classes[c].type for c in catalog.subclasses(target)))
     known = [t for t in types if graph.triples is not None or t in graph.types]
     return graph.instances(*known).select(F.col("name").alias("focus")).distinct()
 
 
 def _values(graph: Graph, focus: DataFrame, path) -> DataFrame:
-    edge = pairs(graph, path).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+    found = pairs_from(graph, path, focus.select(F.col("focus").alias("name"))) if recursive(path) else pairs(graph, path)
+    edge = found.select(F.col("s").alias("focus"), F.col("o").alias("value"))
     return edge.join(focus.select("focus"), "focus", "left_semi")
 
 

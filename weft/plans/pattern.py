@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paths import pairs
+from ..operators.paths import pairs, pairs_from, recursive
 from ..sources.graph import Graph
 
 Pattern = tuple
@@ -25,8 +25,10 @@ def _is_variable(term) -> bool:
     return isinstance(term, str) and term.startswith("?")
 
 
-def _table(graph: Graph, pattern: Pattern) -> DataFrame:
-    """A pattern's bindings; rows may repeat."""
+def _table(graph: Graph, pattern: Pattern, bound: DataFrame | None = None) -> DataFrame:
+    """A pattern's bindings; rows may repeat. A path with ``+`` or ``*`` starts at an end
+    that is a constant, or that ``bound``, the bindings so far, name: only what is reached
+    from there is made. All pairs are, where both ends are open."""
     subject, path, object_ = pattern
     if path == "a" and not _is_variable(object_):
         df = graph.instances(object_)
@@ -35,6 +37,10 @@ def _table(graph: Graph, pattern: Pattern) -> DataFrame:
     if _is_variable(path):
         df = graph.as_triples()
         terms.append(("p", path))
+    elif (end := _known_end(subject, object_, bound)) is not None and recursive(path):
+        term = (subject, object_)[end]
+        seeds = bound.select(F.col(term[1:]).alias("name")) if _is_variable(term) else graph.spark.range(1).select(F.lit(term).alias("name"))
+        df = pairs_from(graph, path, seeds, back=end == 1)
     else:
         df = pairs(graph, path, distinct=False)
     seen: dict[str, str] = {}
@@ -48,6 +54,14 @@ def _table(graph: Graph, pattern: Pattern) -> DataFrame:
     return df.select(*[F.col(c).alias(v) for v, c in seen.items()])
 
 
+def _known_end(subject, object_, bound: DataFrame | None) -> int | None:
+    """0: the subject is known, 1: the object; a constant before a bound variable."""
+    known = [not _is_variable(t) for t in (subject, object_)]
+    if not any(known) and bound is not None:
+        known = [t[1:] in bound.columns for t in (subject, object_)]
+    return known.index(True) if any(known) else None
+
+
 def any_relation(graph: Graph, subject: str, object_: str) -> DataFrame:
     """(subject, object) of any relation: the whole triples table."""
     return graph.as_triples().select(F.col("s").alias(subject), F.col("o").alias(object_)).distinct()
@@ -61,7 +75,7 @@ def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
     while left:
         at = next((i for i, p in enumerate(left) if known & {t for t in p if _is_variable(t)}), 0)
         p = left.pop(at)
-        table, own = _table(graph, p), {t for t in p if _is_variable(t)}
+        table, own = _table(graph, p, out), {t for t in p if _is_variable(t)}
         shared = sorted(t[1:] for t in known & own)
         if out is not None and not shared:
             raise ValueError(f"{p} shares no variable with the patterns before it")

@@ -31,6 +31,11 @@ class Graph:
         self.types: dict[str, Mapped] = {}
         self.relations: dict[str, list[Mapped]] = {}
 
+    @property
+    def spark(self):
+        tables = [self.triples, *(m.table for m in self.types.values()), *(m.table for ms in self.relations.values() for m in ms)]
+        return next(t for t in tables if t is not None).sparkSession
+
     def map_type(self, name: str, table: DataFrame, key: str) -> Graph:
         self.types[name] = Mapped(table, key)
         return self
