@@ -6,6 +6,9 @@ key of its own; its rows are edges from orders to parts and suppliers.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ from .operators.rules import TypeRule, inverse_edges, new_types, sub_relation_ed
 from .operators.shapes import Shape, validate, violations
 from .plans.classquery import class_query, load_many
 from .plans.pattern import match
-from .sources.graph import Graph
+from .sources import layout
+from .sources.graph import TYPE, Graph
 
 
 def catalog() -> Catalog:
@@ -140,6 +144,46 @@ def graph_union_set(spark, sf_dir):
     return P.pairs(graph(spark, sf_dir), P.alt("hasNation", "supplierNation")).select(F.col("o").alias("nation")).distinct()
 
 
+def _customer_triples(spark, sf_dir: str):
+    """Customers and their orders' parts as triples, values as text."""
+    customer, orders, line = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem"))
+    row = lambda df, s, p, o: df.select(F.concat(F.lit(s[0]), s[1]).alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"))
+    c, o, i = ("c", "c_custkey"), ("o", "o_orderkey"), ("o", "l_orderkey")
+    parts = [
+        row(customer, c, TYPE, F.lit("Customer")), row(customer, c, "hasNation", F.col("c_nationkey")), row(customer, c, "hasSegment", F.col("c_mktsegment")), row(customer, c, "hasBalance", F.col("c_acctbal")),
+        row(orders, o, TYPE, F.lit("Order")), row(orders, o, "placedBy", F.concat(F.lit("c"), "o_custkey")), row(line, i, "hasItem", F.col("l_partkey")), row(line, i, "suppliedBy", F.col("l_suppkey")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _triple_catalog() -> Catalog:
+    f = Field
+    return Catalog().add(
+        ClassSpec("Customer", (f("nation", "string", "hasNation"), f("segment", "string", "hasSegment", value="BUILDING"), f("balance", "string", "hasBalance"))),
+        ClassSpec("Order", (f("customer", "Customer", "placedBy"), f("part", "string", "hasItem"), f("supplier", "string", "suppliedBy"))),
+    )
+
+
+@query("SELECT DISTINCT 'c'||c_custkey AS name, c_nationkey::VARCHAR AS nation FROM customer WHERE c_mktsegment='BUILDING'")
+def property_table(spark, sf_dir):
+    """A class over triples: all its fields in one aggregation by subject."""
+    g = layout.measured(Graph(_customer_triples(spark, sf_dir)))
+    return class_query(g, _triple_catalog(), "Customer", fields=["nation", "segment"])
+
+
+@query("SELECT DISTINCT 'o'||o_orderkey AS name, 'c'||o_custkey AS customer, a.l_partkey::VARCHAR AS part, b.l_suppkey::VARCHAR AS supplier FROM orders JOIN customer ON o_custkey=c_custkey AND c_mktsegment='BUILDING' JOIN lineitem a ON a.l_orderkey=o_orderkey JOIN lineitem b ON b.l_orderkey=o_orderkey")
+def stored_graph(spark, sf_dir):
+    """Triples written by relation and subject, read back, and asked for a class."""
+    name = f"weft_{uuid.uuid4().hex}"
+    return class_query(layout.store(_customer_triples(spark, sf_dir), name), _triple_catalog(), "Order")
+
+
+@query("SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, max(n) AS most_values FROM (SELECT p, s, count(*) OVER (PARTITION BY p, s) AS n FROM (SELECT DISTINCT 'hasItem' AS p, l_orderkey AS s, l_partkey AS o FROM lineitem UNION SELECT 'suppliedBy', l_orderkey, l_suppkey FROM lineitem UNION SELECT 'placedBy', o_orderkey, o_custkey FROM orders) t) u GROUP BY 1")
+def relation_statistics(spark, sf_dir):
+    kept = _customer_triples(spark, sf_dir).where(F.col("p").isin("hasItem", "suppliedBy", "placedBy"))
+    return layout.statistics_of(kept).select("p", "triples", "subjects", "most_values")
+
+
 # --- paths and closures ---
 
 

@@ -200,6 +200,8 @@ def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None)
         for c in shape.constraints:
             v = violations(graph, focus, c)
             parts.append(v.select(F.lit(shape.name).alias("shape"), F.col("focus").cast("string"), F.lit(c.kind).alias("constraint_id"), F.col("value").cast("string"), "n", F.lit(c.severity).alias("severity"), F.lit(c.message).cast("string").alias("message")))
+    if not parts:  # no shape, or none that is active
+        return graph.spark.createDataFrame([], "shape string, focus string, constraint_id string, value string, n long, severity string, message string")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

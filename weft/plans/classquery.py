@@ -3,7 +3,9 @@
 Fields that lie in the class's own table are projected; others are joined by
 subject. Pinned fields are filters that reach the scan, object fields are checked
 by a semi-join on their type, forbidden ones by an anti-join, always after the
-joins. The result has one column for the subject, ``name``, and one for each field;
+joins. Over triples of which statistics are known, fields of few values are not joined
+one by one: one aggregation by subject gathers them (a property table), and each is
+spread out again where it has several. The result has one column for the subject, ``name``, and one for each field;
 its rows are distinct.
 """
 
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog, Field
-from ..sources.graph import Graph
+from ..sources.graph import TYPE, Graph
+
+WIDE = 1000  # values of one subject that a property table holds in a row
 
 
 def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any", subclasses: bool = False, check_types: bool = True, optional: bool = False, fields: list[str] | None = None, distinct: bool = True) -> DataFrame:
@@ -43,11 +47,24 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
                     columns.append(F.col(column).alias(f.name))
         out = base.select(*columns)
     else:
-        out = graph.instances(*types)
+        out = None
     typed = lambda f: not f.literal and f.target in catalog.classes and check_types and not f.optional
     joined = [f for f in wanted if not inside.get(f.name) and f.value is None and f.exact is None and catalog.relation_of(name, f) and (optional or not f.optional)]
+    gathered: dict[str, Field] = {}
+    if out is None:
+        some = [f for f in wanted if f in joined or (f.value is not None and f.exact is None and catalog.relation_of(name, f))]
+        gathered = {f.name: f for f in some if graph.few_values(catalog.relation_of(name, f), WIDE)}
+        if gathered and not any(t in graph.types for t in types) and graph.few_values(TYPE, WIDE):
+            out = _property_table(graph, list(types), {f.name: (catalog.relation_of(name, f), f) for f in gathered.values()})
+            for f in gathered.values():
+                if f.value is None and typed(f):
+                    out = out.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
+        else:
+            gathered, out = {}, graph.instances(*types)
     for f in wanted:
         relation = catalog.relation_of(name, f)
+        if f.name in gathered:
+            continue
         if inside.get(f.name):
             if f.value is None and typed(f):
                 out = out.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
@@ -71,6 +88,30 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
     return out.distinct() if distinct else out
 
 
+def _property_table(graph: Graph, types: list[str], fields: dict[str, tuple[str, Field]]) -> DataFrame:
+    """(name, field, ...) of the subjects of the types: one scan of all relations, one
+    aggregation by subject. Pinned fields are conditions; others are spread out, after
+    those without a value are gone."""
+    p, o = F.col("p"), F.col("o")
+    is_type = F.bool_or((p == TYPE) & o.isin(*types)).alias("__type")
+    parts = []
+    for name, (relation, f) in fields.items():
+        on = p == relation
+        parts.append(F.bool_or(on & (o == F.lit(f.value))).alias(f"__{name}") if f.value is not None else F.collect_set(F.when(on, o)).alias(f"__{name}"))
+    relations = [TYPE, *dict.fromkeys(r for r, _ in fields.values())]
+    out = graph.triples.where(p.isin(*relations)).groupBy(F.col("s").alias("name")).agg(is_type, *parts).where("__type")
+    for name, (_, f) in fields.items():
+        if f.value is not None:
+            out = out.where(F.col(f"__{name}"))
+        elif not f.optional:
+            out = out.where(F.size(f"__{name}") > 0)
+    spread = [name for name, (_, f) in fields.items() if f.value is None]
+    for name in spread:
+        optional = fields[name][1].optional
+        out = out.withColumn(name, (F.explode_outer if optional else F.explode)(f"__{name}"))
+    return out.select("name", *spread)
+
+
 def _of_type(graph: Graph, catalog: Catalog, f: Field) -> DataFrame:
     """(name) of the field's class, with what that class pins."""
     pinned = [x.name for x in catalog.fields(f.target) if x.value is not None]

@@ -30,6 +30,7 @@ class Graph:
         self.triples = triples
         self.types: dict[str, Mapped] = {}
         self.relations: dict[str, list[Mapped]] = {}
+        self.statistics: dict | None = None  # of the triples' relations, where they are known
 
     @property
     def spark(self):
@@ -96,6 +97,18 @@ class Graph:
             parts.append(self.triples.select("s", "p", "o"))
         return _union(parts).distinct()
 
+    def with_statistics(self, statistics: dict) -> Graph:
+        """The same graph, with what is known of each relation of its triples."""
+        out = Graph(self.triples)
+        out.types, out.relations, out.statistics = dict(self.types), {k: list(v) for k, v in self.relations.items()}, dict(statistics)
+        return out
+
+    def few_values(self, relation: str, most: int) -> bool:
+        """Whether the relation lies in the triples alone, and is known to have no more
+        than ``most`` values of one subject."""
+        known = (self.statistics or {}).get(relation)
+        return self.triples is not None and relation not in self.relations and self.statistics is not None and (known is None or known.most_values <= most)
+
     def with_triples(self, more: DataFrame) -> Graph:
         """Set union with more triples."""
         out = Graph(more if self.triples is None else self.triples.unionByName(more, allowMissingColumns=True).distinct())
