@@ -178,6 +178,16 @@ def stored_graph(spark, sf_dir):
     return class_query(layout.store(_customer_triples(spark, sf_dir), name), _triple_catalog(), "Order")
 
 
+@query("SELECT DISTINCT 'o'||o_orderkey AS name, 'c'||o_custkey AS customer, c_nationkey::VARCHAR AS nation FROM orders JOIN customer ON o_custkey=c_custkey AND c_mktsegment='BUILDING' JOIN lineitem ON l_orderkey=o_orderkey WHERE l_partkey=(SELECT min(l_partkey) FROM lineitem)")
+def ordered_pattern(spark, sf_dir):
+    """Two patterns with a constant each: statistics say that one part has few orders, so
+    the joins begin there and not with a fifth of all customers."""
+    triples = _customer_triples(spark, sf_dir)
+    part = triples.where("p = 'hasItem'").agg(F.min(F.col("o").cast("long"))).first()[0]
+    asked = [("?customer", "hasSegment", "BUILDING"), ("?name", "placedBy", "?customer"), ("?customer", "hasNation", "?nation"), ("?name", "hasItem", str(part))]
+    return match(layout.measured(Graph(triples)), asked, select=["name", "customer", "nation"])
+
+
 @query("SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, max(n) AS most_values FROM (SELECT p, s, count(*) OVER (PARTITION BY p, s) AS n FROM (SELECT DISTINCT 'hasItem' AS p, l_orderkey AS s, l_partkey AS o FROM lineitem UNION SELECT 'suppliedBy', l_orderkey, l_suppkey FROM lineitem UNION SELECT 'placedBy', o_orderkey, o_custkey FROM orders) t) u GROUP BY 1")
 def relation_statistics(spark, sf_dir):
     kept = _customer_triples(spark, sf_dir).where(F.col("p").isin("hasItem", "suppliedBy", "placedBy"))

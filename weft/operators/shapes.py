@@ -144,10 +144,33 @@ def _bad_values(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame | No
     return values
 
 
+def _satisfied(graph: Graph, c: Constraint) -> DataFrame | None:
+    """(focus) of all nodes that conform, for a constraint that asks for something to be
+    there: a value, a type, all or one of such. None for others, to which a node without
+    values may conform. Rows may repeat."""
+    if c.kind == "hasValue" and not recursive(c.path):
+        return pairs(graph, c.path, distinct=False).where(F.col("o") == F.lit(c.arg)).select(F.col("s").alias("focus"))
+    if c.kind == "type":
+        known = [t for t in c.arg if graph.triples is not None or t in graph.types]
+        return graph.instances(*known).select(F.col("name").alias("focus")) if known else None
+    if c.kind in ("and", "or") and c.parts:
+        parts = [_satisfied(graph, p) for p in c.parts]
+        if any(p is None for p in parts):
+            return None
+        return reduce(lambda a, b: a.join(b, "focus", "left_semi") if c.kind == "and" else a.unionByName(b), parts)
+    return None
+
+
 def _counted(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
     """(focus, n): values of the path, of those that conform if qualified."""
-    values = _values(graph, focus, c.path)
-    if c.parts:
+    least = c.kind in ("minCount", "qualifiedMinCount")
+    if least and not recursive(c.path):  # the join with the focus drops other subjects
+        values = pairs(graph, c.path).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+    else:
+        values = _values(graph, focus, c.path)
+    if c.parts and (found := _satisfied(graph, c.parts[0])) is not None:
+        values = values.join(found.select(F.col("focus").alias("value")), "value", "left_semi")
+    elif c.parts:
         good = conforms(graph, values.select(F.col("value").alias("focus")).distinct(), c.parts[0]).where("ok").select(F.col("focus").alias("value"))
         values = values.join(good, "value", "left_semi")
     counts = values.groupBy("focus").agg(F.count("*").alias("n"))
@@ -197,7 +220,15 @@ def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None)
     parts = []
     for shape in shapes:
         focus = focus_of(graph, shape.target, catalog)
+        counts: dict[object, list[Constraint]] = {}
+        for c in shape.constraints:
+            if c.kind in ("minCount", "maxCount"):
+                counts.setdefault(c.path, []).append(c)
+        together = {path: same for path, same in counts.items() if len(same) > 1}
+        parts += [_count_report(graph, shape.name, focus, same) for same in together.values()]
         for c in shape.constraints:
+            if c.kind in ("minCount", "maxCount") and c.path in together:
+                continue
             v = violations(graph, focus, c)
             parts.append(v.select(F.lit(shape.name).alias("shape"), F.col("focus").cast("string"), F.lit(c.kind).alias("constraint_id"), F.col("value").cast("string"), "n", F.lit(c.severity).alias("severity"), F.lit(c.message).cast("string").alias("message")))
     if not parts:  # no shape, or none that is active
@@ -205,6 +236,15 @@ def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _count_report(graph: Graph, name: str, focus: DataFrame, same: list[Constraint]) -> DataFrame:
+    """Report rows of several bounds on the values of one path: counted once."""
+    text = lambda x: F.lit(x).cast("string")
+    n = _counted(graph, focus, replace(same[0], kind="minCount"))
+    broken = [F.when(_COUNT_FAILS[c.kind](F.col("n"), c.arg), F.struct(text(c.kind).alias("constraint_id"), text(c.severity).alias("severity"), text(c.message).alias("message"))) for c in same]
+    rows = n.select(F.col("focus").cast("string"), "n", F.explode(F.array_compact(F.array(*broken))).alias("found"))
+    return rows.select(text(name).alias("shape"), "focus", "found.constraint_id", text(None).alias("value"), "n", "found.severity", "found.message")
+
+
 def conforms_to(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None) -> DataFrame:
     """One row: whether no violation is in the report (warnings and notes do not count)."""
     return ask(validate(graph, shapes, catalog).where("severity = 'Violation'")).select((~F.col("answer")).alias("conforms"))

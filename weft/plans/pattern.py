@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.paths import pairs, pairs_from, recursive
-from ..sources.graph import Graph
+from ..sources.graph import TYPE, Graph
 
 Pattern = tuple
+EXACT = 10
 
 
 def _is_variable(term) -> bool:
@@ -67,10 +68,65 @@ def any_relation(graph: Graph, subject: str, object_: str) -> DataFrame:
     return graph.as_triples().select(F.col("s").alias(subject), F.col("o").alias(object_)).distinct()
 
 
+def _estimate(graph: Graph, pattern: Pattern) -> tuple[float, dict[str, float]]:
+    """(rows, distinct values of each variable) of a pattern, by the statistics. A path's
+    are unknown: it counts as all triples."""
+    subject, path, object_ = pattern
+    every = sum(k.triples for k in graph.statistics.values()) or 1
+    known = graph.statistics.get(TYPE if path == "a" else path) if isinstance(path, str) else None
+    if known is None and isinstance(path, str) and not _is_variable(path):
+        return 0.0, {t: 0.0 for t in pattern if _is_variable(t)}
+    rows, subjects, objects = (known.triples, known.subjects, known.objects) if known else (every, every, every)
+    n = float(rows)
+    for term, distinct in ((subject, subjects), (object_, objects)):
+        if not _is_variable(term):
+            n /= max(1, distinct)
+    values = {t: min(n, float(d)) for t, d in ((subject, subjects), (object_, objects)) if _is_variable(t)}
+    if _is_variable(path):
+        values[path] = min(n, float(len(graph.statistics)))
+    return n, values
+
+
+def _joined(a: tuple[float, dict[str, float]], b: tuple[float, dict[str, float]]) -> tuple[float, dict[str, float]]:
+    n = a[0] * b[0]
+    for v in a[1].keys() & b[1].keys():
+        n /= max(1.0, a[1][v], b[1][v])
+    values = {v: min(n, *(side[1][v] for side in (a, b) if v in side[1])) for v in a[1].keys() | b[1].keys()}
+    return n, values
+
+
+def join_order(graph: Graph, patterns: Sequence[Pattern]) -> list[Pattern]:
+    """The order whose intermediate results are smallest in sum, by the graph's statistics;
+    each pattern shares a variable with those before it where one does. Up to ``EXACT`` patterns
+    the best one of all, kept for each set of patterns; beyond, the best next one each time.
+    Without statistics: most constants first."""
+    if not graph.statistics or any(isinstance(p[1], str) and p[1] in graph.relations for p in patterns):
+        return sorted(patterns, key=lambda p: -sum(not _is_variable(t) for t in (p[0], p[2])))
+    sizes = [_estimate(graph, p) for p in patterns]
+    # cost, order and estimate of the best way to join each set
+    best = {frozenset([i]): (size[0], [i], size) for i, size in enumerate(sizes)}
+    if len(patterns) > EXACT:
+        start = min(best.values(), key=lambda x: (x[0], x[1]))
+        best = {frozenset(start[1]): start}
+    for _ in range(len(patterns) - 1):
+        grown: dict[frozenset, tuple] = {}
+        for chosen, (cost, order, size) in best.items():
+            rest = [i for i in range(len(patterns)) if i not in chosen]
+            near = [i for i in rest if sizes[i][1].keys() & size[1].keys()]
+            for i in near or rest:
+                both = _joined(size, sizes[i])
+                way = (cost + both[0], [*order, i], both)
+                key = chosen | {i}
+                if key not in grown or way[:2] < grown[key][:2]:
+                    grown[key] = way
+        best = grown if len(patterns) <= EXACT else dict([min(grown.items(), key=lambda x: x[1][:2])])
+    return [patterns[i] for i in min(best.values(), key=lambda x: x[:2])[1]]
+
+
 def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
     """Joined in an order in which each pattern shares a variable with those
-    before it, most constants first."""
-    left = sorted(patterns, key=lambda p: -sum(not _is_variable(t) for t in (p[0], p[2])))
+    before it; see ``join_order``."""
+    left = join_order(graph, patterns)
     out, known = None, set()
     while left:
         at = next((i for i, p in enumerate(left) if known & {t for t in p if _is_variable(t)}), 0)
