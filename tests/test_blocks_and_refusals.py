@@ -136,3 +136,47 @@ def test_long_chains_are_followed(spark):
     paths_ = [("x", ".".join(["same"] * 20)), ("x", ".".join(["other", *["same"] * 19])), ("y", "a.b"), ("y", "b")]
     assert {tuple(r) for r in naming.alias_depth(spark.createDataFrame(paths_, "n string, p string"), "n", "p").select("n", "depth").collect()} == {("x", 20), ("y", 2)}
     assert F is not None
+
+
+def test_only_changed_files_are_parsed(spark, tmp_path):
+    import os
+
+    from weft.sources import files
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    document = lambda n: json.dumps({"@graph": [{"@id": f"ex:B{n}", "@type": "S231:Block"}]})
+    for k in range(6):
+        (folder / f"{k}.jsonld").write_text(document(k))
+    first = files.manifest(spark, str(folder)).cache()
+    assert first.count() == 6
+    parsed = ingest.graph_nodes(files.read_documents(spark, str(folder)))
+    rows = spark.createDataFrame(parsed.collect(), parsed.schema)  # as they were: a cached plan would answer for the new files too
+    assert rows.count() == 6
+    (folder / "1.jsonld").write_text(document("one"))
+    os.remove(folder / "2.jsonld")
+    (folder / "9.jsonld").write_text(document(9))
+    name = lambda path: path.rsplit("/", 1)[-1]
+    second = files.manifest(spark, str(folder), first)
+    state = files.stale(second, first).cache()
+    assert {(name(r.file), r.state) for r in state.collect()} == {("1.jsonld", "changed"), ("2.jsonld", "gone"), ("9.jsonld", "new")}
+    changed = files.read_changed(spark, state)
+    assert {name(f) for f in changed.inputFiles()} == {"1.jsonld", "9.jsonld"}
+    strip = lambda c: F.regexp_extract(c, "([^/]*)$", 1).alias("file")  # noqa: E731  path forms of readers differ
+    now = files.refreshed(rows.withColumn("file", strip("file")), state.withColumn("file", strip("file")), ingest.graph_nodes(changed).withColumn("file", strip("file")))
+    whole = ingest.graph_nodes(files.read_documents(spark, str(folder))).withColumn("file", strip("file"))
+    assert sorted(map(str, now.collect())) == sorted(map(str, whole.collect()))
+    assert files.read_changed(spark, state.limit(0)).count() == 0
+
+
+def test_template_sets_are_read_back(tmp_path):
+    from weft.operators import templates
+
+    c = Catalog().add(ClassSpec("Unit"), ClassSpec("Thing", (Field("unit", "Unit", "hasUnit"),)))
+    templates.write_template_set(c, f"{tmp_path}/t", ("Unit",))
+    read = templates.read_template_set(f"{tmp_path}/t")
+    assert read == json.loads(json.dumps(templates.template_set(c, ("Unit",)), default=str)) and set(read["values"]) == {"Unit"}
+    assert templates.read_template_set(f"{tmp_path}/none") == {"relations": {}, "entities": {}, "values": {}}
+    (tmp_path / "t" / "entities.yml").write_text("Unit: {}")
+    with pytest.raises(ValueError, match="Unit"):
+        templates.read_template_set(f"{tmp_path}/t")

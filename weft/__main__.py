@@ -16,7 +16,7 @@ from .sources import files
 def tables(spark: SparkSession, source: str, kind: str, namespace: str = "", abstract: str = "", base: str | None = None) -> dict:
     if kind == "blocks":
         nodes = ingest.graph_nodes(files.read_documents(spark, source))
-        found = {"blocks": ingest.blocks, "ports": ingest.ports, "sub_blocks": ingest.sub_blocks, "enum_literals": ingest.enum_literals, "warnings": ingest.block_warnings}
+        found = {"blocks": ingest.blocks, "ports": ingest.block_fields, "sub_blocks": ingest.sub_blocks, "enum_literals": ingest.enum_literals, "warnings": ingest.block_warnings}
         return {name: make(nodes) for name, make in found.items()} | {"sources": files.checksums(spark, source)}
     read = lambda path: (files.read_ntriples if path.endswith(".nt") else files.read_turtle)(spark, path)
     triples = read(source).cache()

@@ -12,6 +12,7 @@ from .operators.ingest import OWL, RDFS, SH
 from .operators.rules import entail, new_types, rules_of
 from .operators.shapes import conforms_to, validate
 from .plans.classquery import objects
+from .sources import files
 from .sources.graph import TYPE, Graph
 
 NS = "http://example.org/parts#"
@@ -333,3 +334,16 @@ def block_enum_recovery(spark, sf_dir):
 def block_warnings(spark, sf_dir):
     found = ingest.block_warnings(_nodes(spark, sf_dir))
     return found.select(F.regexp_extract("message", "^(external block type|unknown type of parameter|unresolved parameter reference|no block or enumeration)", 1).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'Orders.O'||k AS dotted_path, p AS description FROM ({_OWN}) t UNION ALL SELECT 'Suppliers.T'||i, 'known' FROM range(0, 2) r(i) WHERE EXISTS (SELECT 1 FROM lineitem)")
+def incremental_ingest(spark, sf_dir):
+    """Block documents after changes: of the earlier state every 50th was another text, every
+    51st was not there yet, and some are gone since. Only those are parsed anew."""
+    now = _documents(spark, sf_dir)
+    number = F.col("file").try_cast("long")
+    old = now.where((number % 51 != 0) | number.isNull()).withColumn("value", F.when(number % 50 == 0, F.replace("value", F.lit("Orders.O"), F.lit("Orders.Old"))).otherwise(F.col("value")))
+    old = old.unionByName(now.where(number % 49 == 0).select(F.concat(F.lit("gone"), "file").alias("file"), F.replace("value", F.lit("Orders.O"), F.lit("Orders.Gone")).alias("value")))
+    recorded = old.select("file", F.sha2("value", 256).alias("sha256"))
+    nodes, _ = files.refresh_documents(now, recorded, ingest.graph_nodes(old), ingest.graph_nodes)
+    return ingest.blocks(nodes).select("dotted_path", "description")

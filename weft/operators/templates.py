@@ -135,3 +135,25 @@ def write_template_set(catalog: Catalog, folder: str, values: tuple[str, ...] =
                 found = (yaml.safe_load(file) or {}) | found
         with open(path, "w") as file:
             yaml.safe_dump(json.loads(json.dumps(found, default=str)), file, sort_keys=False)
+
+
+def read_template_set(folder: str) -> dict[str, dict]:
+    """The templates that ``write_template_set`` wrote, by kind; kinds without a file are
+    empty. A name that two kinds have is refused: it would name two templates."""
+    import os
+
+    import yaml
+
+    found, seen = {}, {}
+    for kind in ("relations", "entities", "values"):
+        path = os.path.join(folder, f"{kind}.yml")
+        if os.path.exists(path):
+            with open(path) as file:
+                found[kind] = yaml.safe_load(file) or {}
+        else:
+            found[kind] = {}
+        for name in found[kind]:
+            if name in seen:
+                raise ValueError(f"{name} is a template of {seen[name]} and of {kind}")
+            seen[name] = kind
+    return found

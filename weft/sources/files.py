@@ -175,6 +175,44 @@ def stale(now: DataFrame, recorded: DataFrame) -> DataFrame:
     return a.join(b, "file", "full").withColumn("state", state).where("state is not null").select("file", "state")
 
 
+def manifest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """(file, modified, length, sha256) of the files there. What has the time and length of
+    its row in ``known``, an earlier manifest, keeps its checksum: only other files are read."""
+    here = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = here.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), "length")
+    if known is None:
+        return here.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), "length", F.sha2("content", 256).alias("sha256"))
+    same = listed.join(known.select("file", "modified", "length", "sha256"), ["file", "modified", "length"])
+    other = [r.file for r in listed.join(same, "file", "left_anti").select("file").collect()]  # names of changed files: a listing, as Spark itself holds
+    if not other:
+        return same
+    read = spark.read.format("binaryFile").load(other).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), "length", F.sha2("content", 256).alias("sha256"))
+    return same.unionByName(read)
+
+
+def read_changed(spark: SparkSession, state: DataFrame) -> DataFrame:
+    """(file, value) of the files that ``stale`` names as new or changed; no other is opened."""
+    names = [r.file for r in state.where("state <> 'gone'").select("file").collect()]
+    if not names:
+        return spark.createDataFrame([], "file string, value string")
+    return spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def refreshed(rows: DataFrame, state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``rows`` (file, ...) brought up to date: rows of files that changed or are gone make
+    way for ``fresh``, the rows of those that changed or are new."""
+    return rows.join(state.select("file"), "file", "left_anti").select(*rows.columns).unionByName(fresh)
+
+
+def refresh_documents(documents: DataFrame, recorded: DataFrame, rows: DataFrame, parse) -> tuple[DataFrame, DataFrame]:
+    """(rows, checksums) of (file, value) documents: only those whose checksum is not as in
+    ``recorded`` (file, sha256) go through ``parse``; ``rows`` are what it gave before."""
+    now = documents.select("file", F.sha2("value", 256).alias("sha256"))
+    state = stale(now, recorded)
+    todo = documents.join(state.where("state <> 'gone'").select("file"), "file", "left_semi")
+    return refreshed(rows, state, parse(todo)), now
+
+
 def _written(kind, value, data_type, lang):
     """A term as text. Blank nodes are labelled by a hash, so labels of different
     files stay apart."""
