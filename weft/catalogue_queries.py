@@ -17,6 +17,7 @@ from .model import Between, Catalog, ClassSpec, Field, Relation
 from .operators import ingest, naming, shapes, templates
 from .operators import paths as P
 from .operators.reach import Reach
+from .operators.revalidate import revalidate
 from .operators.rules import TypeRule, inverse_edges, new_types, sub_relation_edges, symmetric_edges
 from .operators.shapes import Shape, validate, violations
 from .plans.classquery import class_query, load_many
@@ -351,6 +352,22 @@ def validation_report(spark, sf_dir):
     return report.groupBy("severity", "constraint_id").agg(F.count("*").alias("n"))
 
 
+_AFTER = "WITH it AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey%100<>0), seg AS (SELECT c_custkey AS c, CASE WHEN c_custkey%50=0 THEN 'NONE' ELSE c_mktsegment END AS m FROM customer)"
+
+
+@query(f"{_AFTER} SELECT 'o'||o_orderkey AS focus, 'minCount' AS constraint_id, 0 AS n FROM orders WHERE o_orderkey NOT IN (SELECT k FROM it) UNION ALL SELECT 'o'||o_orderkey, 'maxCount', 2 FROM orders WHERE o_orderkey%97=0 UNION ALL SELECT 'o'||o_orderkey, 'qualifiedMinCount', 0 FROM orders WHERE o_custkey NOT IN (SELECT c FROM seg WHERE m='BUILDING')")
+def incremental_validation(spark, sf_dir):
+    """A report brought up to date: some orders lost their items, some got a second
+    customer, some customers changed their segment. Only what that reaches is checked."""
+    before = _customer_triples(spark, sf_dir).distinct()
+    number = F.substring("s", 2, 20).cast("long")
+    moved = (F.col("p") == "hasSegment") & (number % 50 == 0)
+    after = before.where(~((F.col("p") == "hasItem") & (number % 100 == 0))).withColumn("o", F.when(moved, "NONE").otherwise(F.col("o")))
+    after = after.unionByName(before.where((F.col("p") == TYPE) & (F.col("o") == "Order") & (number % 97 == 0)).select("s", F.lit("placedBy").alias("p"), F.lit("c0").alias("o")))
+    order = Shape("OrderShape", "Order", (shapes.min_count("hasItem", 1), shapes.max_count("placedBy", 1), shapes.qualified_min("placedBy", shapes.has_value("hasSegment", "BUILDING"), 1)))
+    return revalidate(before, after, [order], validate(Graph(before), [order])).select("focus", "constraint_id", "n")
+
+
 # --- rules ---
 
 

@@ -215,11 +215,13 @@ def violations(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
     return conforms(graph, focus, c).where(~F.col("ok")).select("focus", none("string").alias("value"), none("long").alias("n"))
 
 
-def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None) -> DataFrame:
-    """The report: shape, focus, constraint_id, value, n, severity, message."""
+def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The report: shape, focus, constraint_id, value, n, severity, message. ``only``
+    (focus): the nodes that are looked at, of those that the shapes are about."""
     parts = []
     for shape in shapes:
         focus = focus_of(graph, shape.target, catalog)
+        focus = focus if only is None else focus.join(only, "focus", "left_semi")
         counts: dict[object, list[Constraint]] = {}
         for c in shape.constraints:
             if c.kind in ("minCount", "maxCount"):
