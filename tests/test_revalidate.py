@@ -56,3 +56,19 @@ def test_only_touched_nodes_are_checked(spark, monkeypatch):
     asked = [Shape("counts", "A", (shapes.min_count("p", 1), shapes.max_count("q", 0)))]
     revalidate.revalidate(before, after, asked, validate(Graph(before), asked)).collect()
     assert seen == [{"n2"}]
+
+
+def test_entailment_after_changes(spark):
+    """Deleted triples take with them what rests on them alone, cycles of inverses too."""
+    from weft.model import Catalog, ClassSpec, Relation
+    from weft.operators.rules import entail, entail_changes
+
+    c = Catalog().add(
+        ClassSpec("Top"), ClassSpec("A", parents=("Top",)), ClassSpec("B", parents=("A",)), Relation("above"), Relation("near", subproperty_of="above", domain="A", range="B", inverse_of="by"), Relation("by", inverse_of="near"), Relation("like", symmetric=True)
+    )
+    before = [("x", "near", "y"), ("x", "near", "z"), ("u", "by", "x"), ("p", "like", "q"), ("y", TYPE, "A"), ("w", TYPE, "B")]
+    after = [("x", "near", "z"), ("q", "like", "p"), ("y", TYPE, "A"), ("w", TYPE, "Top"), ("n", "above", "m"), ("x", "above", "y")]
+    frame = lambda x: spark.createDataFrame(x, "s string, p string, o string")
+    for old, new in ((before, after), (after, before), (before, before[:1]), (before, before)):
+        full = entail(Graph(frame(new)), c)
+        assert rows(entail_changes(entail(Graph(frame(old)), c), frame(old), frame(new), c)) == rows(full)

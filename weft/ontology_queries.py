@@ -9,7 +9,7 @@ from .catalogue_queries import catalog, graph, query
 from .model import Catalog, ClassSpec, Field, Relation
 from .operators import catalogue, ingest, naming, shapegraph, templates
 from .operators.ingest import OWL, RDFS, SH
-from .operators.rules import entail, new_types, rules_of
+from .operators.rules import entail, entail_changes, new_types, rules_of
 from .operators.shapes import conforms_to, validate
 from .plans.classquery import objects
 from .sources import files
@@ -143,6 +143,21 @@ def entailment(spark, sf_dir):
     return entail(Graph(edges), c).withColumn("p", F.when(F.col("p") == TYPE, "type").otherwise(F.col("p")))
 
 
+_MOVED = "SELECT o_orderkey AS k, CASE WHEN o_orderkey%10=0 THEN 'x'||o_custkey ELSE 'c'||o_custkey END AS c FROM orders WHERE o_orderkey%7<>0"
+
+
+@query(f"SELECT 'o'||k AS s, p, o FROM (SELECT k, 'placedBy' AS p, c AS o FROM ({_MOVED}) a UNION ALL SELECT k, 'involves', c FROM ({_MOVED}) b UNION ALL SELECT k, 'type', t FROM ({_MOVED}) d, (VALUES ('Order'),('Thing')) v(t)) u UNION ALL SELECT c, 'placed', 'o'||k FROM ({_MOVED}) e UNION ALL SELECT DISTINCT c, 'type', t FROM ({_MOVED}) f, (VALUES ('Customer'),('Thing')) v(t)")
+def incremental_entailment(spark, sf_dir):
+    """Consequences brought up to date: some orders are gone, some have another customer.
+    A customer's types go only if no order that stays says so."""
+    c = Catalog().add(ClassSpec("Thing"), ClassSpec("Order", parents=("Thing",)), ClassSpec("Customer", parents=("Thing",)), Relation("involves"), Relation("placedBy", subproperty_of="involves", domain="Order", range="Customer", inverse_of="placed"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    edge = lambda df, mark: df.select(F.concat(F.lit("o"), "o_orderkey").alias("s"), F.lit("placedBy").alias("p"), F.concat(mark, "o_custkey").alias("o"))
+    before = edge(orders, F.lit("c"))
+    after = edge(orders.where("o_orderkey % 7 <> 0"), F.when(F.col("o_orderkey") % 10 == 0, "x").otherwise("c"))
+    return entail_changes(entail(Graph(before), c), before, after, c).withColumn("p", F.when(F.col("p") == TYPE, "type").otherwise(F.col("p")))
+
+
 # --- objects and naming ---
 
 
@@ -218,13 +233,14 @@ def _part_tables(spark, sf_dir: str) -> dict:
 _BRAND = "SELECT p_brand AS b, min(p_type) AS t FROM part GROUP BY 1"
 
 
-@query(f"WITH k AS ({_BRAND}) SELECT k.b AS class, x.b AS target, CASE WHEN k.t LIKE 'S%' THEN 'relatedTo' ELSE 'of'||k.t END AS relation FROM k, k x UNION ALL SELECT k.b, 'Elsewhere', NULL FROM k")
+@query(f"WITH k AS ({_BRAND}), u AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), w AS (SELECT DISTINCT x.p_brand AS class, y.p_brand AS target FROM u x JOIN u y ON x.p_type=y.p_type AND x.p_size=y.p_size) SELECT class, target, CASE WHEN k.t LIKE 'S%' THEN 'relatedTo' ELSE 'of'||k.t END AS relation FROM w JOIN k ON k.b=class UNION ALL SELECT b, 'Elsewhere', NULL FROM k")
 def relation_inference(spark, sf_dir):
-    """The nearest valid relation from each brand to each, and to a class that is none."""
-    tables = _part_tables(spark, sf_dir)
-    brands = tables["class_mro"].where("depth = 2").select("class")
-    ends = brands.select(F.col("class").alias("target")).unionByName(spark.range(1).select(F.lit("Elsewhere").alias("target")))
-    return catalogue.infer_relations(tables, brands.join(F.broadcast(ends)))  # as many rows as brands
+    """The nearest valid relation from each brand to those with a part of the same type and
+    size, and to a class that is none."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_type", "p_size").distinct()
+    near = part.select(F.col("p_brand").alias("class"), "p_type", "p_size").join(part.select(F.col("p_brand").alias("target"), "p_type", "p_size"), ["p_type", "p_size"]).select("class", "target").distinct()
+    lost = part.select(F.col("p_brand").alias("class"), F.lit("Elsewhere").alias("target")).distinct()
+    return catalogue.infer_relations(_part_tables(spark, sf_dir), near.unionByName(lost))
 
 
 @query("WITH f AS (SELECT DISTINCT p_brand AS class, p_size FROM part UNION SELECT DISTINCT p_type, p_size FROM part WHERE p_partkey%10=0) SELECT class, 'r'||(p_size%3) AS relation, count(*) AS min_count, min(CASE WHEN p_size%2=0 THEN p_size END)::INT AS max_count FROM f GROUP BY 1,2")

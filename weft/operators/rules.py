@@ -72,22 +72,18 @@ def sub_relation_edges(graph: Graph, catalog: Catalog, relation: str) -> DataFra
     return reduce(lambda a, b: a.unionByName(b), [graph.edges(r).select("s", "o") for r in known]).distinct()
 
 
-def entail(graph: Graph, catalog: Catalog) -> DataFrame:
-    """All triples that follow from subclasses, sub-relations, domains, ranges,
-    inverses and symmetry; (s, p, o), set semantics, known ones included.
-
-    Schema tables are closed first, so one pass per kind is enough until types and
-    edges settle."""
-    spark = graph.triples.sparkSession
+def _consequences(spark, catalog: Catalog):
+    """What follows in one step from (s, p, o): a function of a table, which gives none
+    if the catalogue declares nothing that a triple could follow from. Each consequence
+    rests on one triple."""
     up = [(c, a) for c in catalog.classes for a, d in catalog.mro(c) if d]
     rel = catalog.relations.values()
     sub = [(r.name, r.subproperty_of) for r in rel if r.subproperty_of]
     swap = [(r.name, r.inverse_of) for r in rel if r.inverse_of] + [(r.inverse_of, r.name) for r in rel if r.inverse_of] + [(r.name, r.name) for r in rel if r.symmetric]
     typed = [(r.name, r.domain, "s") for r in rel if r.domain] + [(r.name, r.range, "o") for r in rel if r.range]
     table = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  as many rows as declarations
-    every = settle(graph.triples.select("s", "p", "o").distinct())
-    fresh = every
-    while True:
+
+    def step(fresh: DataFrame) -> DataFrame | None:
         parts = []
         if sub:
             parts.append(fresh.join(table(sub, "p string, q string"), "p").select("s", F.col("q").alias("p"), "o"))
@@ -97,10 +93,50 @@ def entail(graph: Graph, catalog: Catalog) -> DataFrame:
             parts.append(fresh.join(table(typed, "p string, c string, side string"), "p").select(F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o")))
         if up:
             parts.append(fresh.where(F.col("p") == TYPE).join(table(up, "o string, c string"), "o").select("s", "p", F.col("c").alias("o")))
-        if not parts:
-            return every
-        found = reduce(lambda a, b: a.unionByName(b), parts).distinct()
-        fresh = settle(found.join(every, ["s", "p", "o"], "left_anti"))
+        return reduce(lambda a, b: a.unionByName(b), parts).distinct() if parts else None
+
+    return step
+
+
+def _grown(every: DataFrame, fresh: DataFrame, step) -> DataFrame:
+    """``every`` with ``fresh`` (none of it known) and all that follows from it; only what
+    the last round found is taken further."""
+    every = settle(every.unionByName(fresh))
+    while (found := step(fresh)) is not None:
+        fresh = settle(found.join(every, _KEY, "left_anti"))
         if fresh.isEmpty():
-            return every
+            break
         every = settle(every.unionByName(fresh))
+    return every
+
+
+_KEY = ["s", "p", "o"]
+
+
+def entail(graph: Graph, catalog: Catalog) -> DataFrame:
+    """All triples that follow from subclasses, sub-relations, domains, ranges,
+    inverses and symmetry; (s, p, o), set semantics, known ones included.
+
+    Schema tables are closed first, so one pass per kind is enough until types and
+    edges settle."""
+    asserted = settle(graph.triples.select(*_KEY).distinct())
+    return _grown(asserted.limit(0), asserted, _consequences(asserted.sparkSession, catalog))
+
+
+def entail_changes(entailed: DataFrame, before: DataFrame, after: DataFrame, catalog: Catalog) -> DataFrame:
+    """What ``entail`` gives of the triples ``after``, from what it gave of ``before``.
+
+    Whatever follows from triples that are gone is taken away first; what is still
+    asserted, or follows from a triple that stays, comes back; then the new triples and
+    those that came back are taken further. Triples that no change touches are only
+    compared, never derived again."""
+    old, new, entailed = (settle(t.select(*_KEY).distinct()) for t in (before, after, entailed))
+    step = _consequences(entailed.sparkSession, catalog)
+    gone = settle(old.join(new, _KEY, "left_anti"))
+    doubtful = _grown(gone.limit(0), gone, lambda fresh: None if (found := step(fresh)) is None else found.join(entailed, _KEY, "left_semi"))
+    kept = settle(entailed.join(doubtful, _KEY, "left_anti"))
+    back = [new]
+    if (rests := step(kept)) is not None:
+        back.append(rests.join(doubtful, _KEY, "left_semi"))
+    fresh = settle(reduce(lambda a, b: a.unionByName(b), back).distinct().join(kept, _KEY, "left_anti"))
+    return _grown(kept, fresh, step)
