@@ -247,11 +247,15 @@ def test_jaccard_near_the_threshold(spark, form):
     assert got == brute_components(rows, **form)
 
 
+@pytest.mark.parametrize("few", [1, 10**6])
 @pytest.mark.parametrize("form", [jaccardjoin.OP4, {}])
-def test_jaccard_of_large_components(spark, monkeypatch, form):
+def test_jaccard_of_large_components(spark, monkeypatch, form, few):
     """Components of many blocks: families of near copies, joined by a common passage
-    that makes them candidates, and chains that leave the largest class."""
+    that makes them candidates, and chains that leave the largest class; with sketches in
+    many blocks, and without them."""
     monkeypatch.setattr(jaccardjoin, "BLOCK", 6)
+    monkeypatch.setattr(jaccardjoin, "SKETCHES", 3)
+    monkeypatch.setattr(jaccardjoin, "FEW", few)
     rnd = random.Random(8)
     rows, n = [], 0
     for family in range(5):
@@ -279,6 +283,23 @@ def test_jaccard_links_through_null_ids(spark):
     assert got == {(4, 96): 4, (None, 96): 4, (9, 96): 4, (None, 0): None, (None, 1): None, (7, 2): 7}
 
 
+def test_sketches_part_no_sets_that_link():
+    """At every size, also where the cells of two sizes differ, sets that link may link by
+    their sketches; unlike sets and sets that share half may not."""
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 9, 60, 128, 129, 500, 1030, 5000):
+        whole = rng.integers(0, 2**63, size, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([whole[: size - cut], rng.integers(0, 2**63, more, dtype=np.uint64)])) for cut in {0, size // 20, size // 9, size // 5, size // 2, size} for more in {0, size // 20, size // 9, size // 5, size // 2}]
+        sets = [s for s in sets if len(s)]
+        rows, n = jaccardjoin.sketch_rows([jaccardjoin.sketch(s) for s in sets]), np.array([len(s) for s in sets])
+        for link in (80, 85, 100):
+            may, links = jaccardjoin.may_link(rows, n, rows, n, link), jaccardjoin.block_links(sets, sets, link)
+            assert (may | ~links).all()
+            if size >= 60:
+                same = jaccardjoin.intersections(sets, sets)
+                assert not (may & (100 * same < 60 * (n[:, None] + n[None, :] - same))).any()
+
+
 def test_block_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (5, 40, 90, 3)]

@@ -15,9 +15,13 @@ the agreeing groups is then strong, and what both hold there has that size.
 
 Sets that share a signature are candidates. A task links what shares a signature in
 its own rows, so a signature that many sets hold is one row of each flush. The
-candidates' connected components are found first, on narrow rows; then only the
-candidates' sets are gathered, by component, and links inside are found exactly. A
-component of more than ``BLOCK`` sets is split into blocks. First all meet one block of
+candidates' connected components are found first, on narrow rows. Passages that many
+documents share join them into components far larger than their links, so a component
+of more than ``FEW`` sets is divided by sketches: a sketch holds the parity of the
+elements in each of its cells, and two sketches differ in no more cells than their sets
+in elements. Sets whose sketches differ in too many cells for a link stay apart, and
+none that link do. Only then the candidates' sets are gathered, by component, and links
+inside are found exactly. A component of more than ``BLOCK`` sets is split into blocks. First all meet one block of
 pivots, each set travelling once. Sets that are then in one class need no more links
 among them; only the others (sets outside their component's largest class) meet all
 blocks of sets whose sizes are near enough. Pairs are counted in the tasks, never emitted. Copies have one set: they
@@ -51,6 +55,9 @@ SLACK = 0.15
 SIZES = (6, 5, 4, 3, 2, 1, 0)
 BAND = 1.4
 BLOCK = 1024
+FEW = 16
+SKETCHES = 2048  # of one task and side, ...
+SKETCH_BYTES = 4 << 20  # ... or fewer, if they are large
 FLUSH = 1_000_000
 SHARD_BYTES = 8 << 20
 COLUMNS = 4096
@@ -79,6 +86,29 @@ def set_hash(elements: np.ndarray) -> int:
     return int(mix(np.array([total & (2**64 - 1)], U)).view(np.int64)[0])
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of a set's elements over cells: a power of two of them, 256 at least and
+    from twice to four times the elements."""
+    cells = max(256, 1 << (2 * len(elements) - 1).bit_length())
+    count = np.bincount((mix(elements ^ U(0xD1B54A32D192ED03)) & U(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_rows(sketches: list[bytes]) -> np.ndarray:
+    """One row of 64-bit words a sketch, all folded to the cells of the smallest."""
+    width = min(len(s) for s in sketches)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, "<u8").reshape(-1, width // 8), axis=0) for s in sketches])
+
+
+def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, link: int) -> np.ndarray:
+    """Boolean matrix: where the sketches leave a link possible. Sets link when they differ
+    in (100 - link) of (100 + link) parts of their sizes' sum at most."""
+    cells = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        cells += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return cells * (100 + link) <= (size_a[:, None] + size_b[None, :]) * (100 - link)
+
+
 class Bands:
     """Size bands and the scheme of each, for linking at ``link`` percent."""
 
@@ -131,20 +161,23 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH, digests: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set, at) of every row, and its text's digest if wanted;
-    ``set`` is null where it is empty; ``at`` is a hash of the text."""
+    """(doc_id, n_shingles, set, sketch, at) of every row, and its text's digest if wanted;
+    ``set`` and ``sketch`` are null where it is empty; ``at`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.zeros(batch.num_rows, np.int64)
             name = np.zeros(batch.num_rows, np.int64)
+            drawn = [None] * batch.num_rows
             for row, elements in shingle_sets(batch.column(1), width):
-                size[row], name[row] = len(elements), set_hash(elements) if len(elements) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0), *batch.columns[2:]], names=["doc_id", "n_shingles", "set", "at", "digest"][: 1 + batch.num_columns])
+                if len(elements):
+                    size[row], name[row], drawn[row] = len(elements), set_hash(elements), sketch(elements)
+            own = [batch.column(0), pa.array(size), pa.array(name, mask=size == 0), pa.array(drawn, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=["doc_id", "n_shingles", "set", "sketch", "at", "digest"][: 2 + batch.num_columns])
 
     small_batches(docs.sparkSession)
     more = [text_digest().alias("digest")] if digests else []
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("at"), *more).mapInArrow(run, "doc_id long, n_shingles long, set long, at long" + ", digest binary" * digests)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("at"), *more).mapInArrow(run, "doc_id long, n_shingles long, set long, sketch binary, at long" + ", digest binary" * digests)
 
 
 def _five(signatures: np.ndarray) -> bytes:
@@ -282,6 +315,59 @@ def _link_blocks(link: int):
     return run
 
 
+def _join_sketches(link: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Sketches of one block, or of two, of a component's sets: (set, size, side, sketch).
+        A star for each component of those that may link."""
+        names, size = table["set"].to_numpy(), table["size"].to_numpy()
+        side, rows = table["side"].to_numpy(), sketch_rows(table["sketch"].to_pylist())
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # 0: on both
+        root, step = np.arange(len(names)), max(1, (1 << 19) // max(1, len(right)))
+        for low in range(0, len(left), step):
+            part = left[low : low + step]
+            at = np.nonzero(may_link(rows[part], size[part], rows[right], size[right], link))
+            x, y = part[at[0]], right[at[1]]
+            while (root[x] != root[y]).any():
+                np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+                while (root[root] != root).any():
+                    root = root[root]
+        other = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"a": names[root[other]], "b": names[other]})
+
+    return run
+
+
+def _level(size, link: int):
+    """Sizes of sets that link differ by one level at most; the hundredth more keeps
+    rounding out of it."""
+    return F.floor(F.log(size) / math.log(1.01 * 100 / link)).cast("long")
+
+
+def divided(found: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """(node, root) of ``found``, components of more than ``FEW`` sets divided by sketches.
+    A component's sets meet by blocks of one level of sizes, and of the next one."""
+    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
+    large = found.join(sizes.where(F.col("members") > FEW), "root").select("node", "root")
+    drawn = sets.where("set is not null").groupBy("set").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    drawn = cut(large.join(drawn, F.col("node") == F.col("set")).select("root", "set", "size", _level(F.col("size"), link).alias("level"), "sketch"))
+    if drawn.isEmpty():
+        return found
+    needed = F.greatest(F.count("*") / SKETCHES, F.sum(F.length("sketch")) / SKETCH_BYTES)
+    grid = drawn.groupBy("root", "level").agg(F.ceil(needed).cast("long").alias("blocks"))
+    above = grid.select("root", (F.col("level") - 1).alias("level"), F.col("blocks").alias("above"))
+    below = grid.select("root", (F.col("level") + 1).alias("level"), F.col("blocks").alias("below"))
+    grid = cut(grid.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left"))
+    placed = drawn.join(grid, ["root", "level"]).withColumn("own", F.pmod(F.xxhash64("set"), "blocks"))
+    # (at, i, j, side): blocks i and j of level ``at``, or i of it and -1 - j of the next one
+    meets = """concat(
+        transform(sequence(0L, blocks - 1), k -> struct(level as at, least(own, k) as i, greatest(own, k) as j, case when k = own then 0 when own < k then 1 else 2 end as side)),
+        if(above is null, array(), transform(sequence(0L, above - 1), k -> struct(level as at, own as i, -1 - k as j, 1 as side))),
+        if(below is null, array(), transform(sequence(0L, below - 1), k -> struct(level - 1 as at, k as i, -1 - own as j, 2 as side))))"""
+    meet = placed.select("root", "set", "size", "sketch", F.explode(F.expr(meets)).alias("m")).select("root", "m.*", "set", "size", "sketch")
+    joined = components(meet.groupBy("root", "at", "i", "j").applyInArrow(_join_sketches(link), "a long, b long"))
+    return cut(found.join(sizes.where(F.col("members") <= FEW), "root").select("node", "root").unionByName(joined))
+
+
 def _elements_of(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
     """``wanted`` (set, id, at, ...) with each set's ``elements``, from its holder's
     text; once, also where rows repeat the holder."""
@@ -303,13 +389,12 @@ def _elements_of(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool)
 
 def link_classes(docs: DataFrame, sets: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """(node, root) of every set that links with a different one."""
-    found = cut(components(candidate_edges(docs, width, link)))
+    found = divided(cut(components(candidate_edges(docs, width, link))), sets, link)
     sizes = found.groupBy("root").agg(F.count("*").alias("members"))
     # one document stands for all that have its set; ``n`` rows may repeat it
     holder = sets.where("set is not null").groupBy("set", "doc_id", "at").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
     holder = holder.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "n", "size")).alias("h"))
-    # sizes of sets that link differ by one level at most; the hundredth more keeps rounding out of it
-    level = F.floor(F.log(F.col("h.size")) / math.log(1.01 * 100 / link)).cast("long").alias("level")
+    level = _level(F.col("h.size"), link).alias("level")
     plan = found.join(sizes, "root").select("node", "root", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
     plan = cut(plan.join(holder, F.col("node") == F.col("set")).select("set", "root", "blocks", F.pmod("set", "blocks").alias("block"), level, F.col("h.doc_id").alias("id"), "h.at", "h.n"))
     repeated = not plan.where("n > 1").isEmpty()
