@@ -104,9 +104,10 @@ def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarra
     """Boolean matrix: where the sketches leave a link possible. Sets link when they differ
     in (100 - link) of (100 + link) parts of their sizes' sum at most."""
     cells = np.zeros((len(a), len(b)), np.int64)
+    least = np.abs(size_a[:, None] - size_b[None, :])
     for k in range(a.shape[1]):
         cells += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return cells * (100 + link) <= (size_a[:, None] + size_b[None, :]) * (100 - link)
+    return np.maximum(cells, least) * (100 + link) <= (size_a[:, None] + size_b[None, :]) * (100 - link)
 
 
 class Bands:
