@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .catalogue_queries import catalog, graph, query
 from .model import Catalog, ClassSpec, Field, Relation
 from .operators import catalogue, ingest, naming, shapegraph, templates
+from .operators.canonical import canonical
 from .operators.ingest import OWL, RDFS, SH
 from .operators.rules import entail, entail_changes, new_types, rules_of
 from .operators.shapes import conforms_to, validate
@@ -114,6 +115,21 @@ def blank_subgraph(spark, sf_dir):
     return triples.where(F.col("p") == SH + "property").select(F.col("s").alias("name"), F.col("o").alias("s")).join(inside, "s").groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query("SELECT p, count(*) AS n, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_linenumber, unnest(['line','part','quantity']) AS p, unnest([0, l_partkey, trunc(l_quantity)::BIGINT]) AS o FROM lineitem) GROUP BY p")
+def canonical_copies(spark, sf_dir):
+    """Order lines as blank nodes, labelled in two ways: after naming both copies are one graph."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    text = lambda c: F.col(c).cast("string")
+
+    def copy(label):
+        return canonical(_rows(lines, (F.concat(F.lit(NS), text("l_orderkey")), "line", label, "bnode"), (label, "part", F.concat(F.lit(NS + "part"), text("l_partkey")), "iri"), (label, "quantity", text("quantity"), "literal")))
+
+    at = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    one, two = copy(F.concat(F.lit("_:"), at)), copy(F.concat(F.lit("other#_:"), F.md5(at.cast("binary"))))
+    both = one.withColumn("here", F.lit(1)).unionByName(two.withColumn("here", F.lit(2))).groupBy("s", "p", "o", "o_kind").agg(F.count_if(F.col("here") == 1).alias("a"), F.count_if(F.col("here") == 2).alias("b"))
+    return both.groupBy("p").agg(F.sum("a").alias("n"), F.sum(F.least("a", "b")).alias("shared"))
+
+
 # --- shape graphs, rules, entailment ---
 
 
