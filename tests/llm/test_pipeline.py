@@ -33,22 +33,56 @@ def test_order():
 
 
 def test_rejected_languages_go(spark, steps):
-    """By a plain parse with the same samples: no letters, or a label that another
-    language contradicts."""
+    """By a plain parse with samples of the half that a text is not in: no letters, or a
+    label that another language contradicts."""
     from weft.llm import langid
 
     before, after = steps[0]
-    samples = langid.training_samples(spark.read.parquet(f"{SF}/documents.parquet"))
-    automata = {name: langid.SuffixAutomaton(text) for name, text in samples.items()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    side = {r.doc_id: r.side for r in docs.select("doc_id", langid.half().alias("side")).collect()}
+    halves = [langid.training_samples(docs.where(langid.half() != k)) for k in (0, 1)]
+    halves = [{name: langid.SuffixAutomaton(text) for name, text in samples.items()} for samples in halves]
     want = set()
     for r in before:
         if any(c.isalpha() for c in r.text or ""):
-            count = {name: a.phrases(langid.normalise(r.text) + " ") for name, a in automata.items()}
+            count = {name: a.phrases(langid.normalise(r.text) + " ") for name, a in halves[side[r.doc_id]].items()}
             if r.lang in count and 1 - min(count.values()) / count[r.lang] < langid.CONTRADICTED:
                 want.add(r.doc_id)
     assert {r.doc_id for r in after} == want
 
 
+def test_mislabelled_texts_go(spark):
+    """Texts whose label is exchanged go, the others stay: their own labels teach nothing
+    about them, for they are judged by the other half."""
+    from pyspark.sql import functions as F
+
+    from weft.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 200").dropDuplicates(["text"])
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    after = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, names[(k + 1) % len(names)])]), F.col("lang"))
+    wrong = docs.where("doc_id % 25 = 0").withColumn("lang", after)
+    kept = {r.doc_id for r in langid.keep_identified(docs.where("doc_id % 25 <> 0").unionByName(wrong)).select("doc_id").collect()}
+    rows = docs.select("doc_id").collect()
+    bad = {r.doc_id for r in rows if r.doc_id % 25 == 0}
+    good = {r.doc_id for r in rows} - bad
+    assert len(bad) > 10 and len(bad & kept) <= 0.2 * len(bad) and len(good - kept) <= 0.02 * len(good)
+
+
+def test_private_names_pass_through(spark):
+    """Columns named as the stages' own helpers keep their values."""
+    from weft.llm import exactdedup, jaccardjoin, langid
+
+    text = "one two three four five six seven eight"
+    rows = [(k, text if k < 3 else f"{text} {k}{k} other words again {k}", "en", "s", 8) for k in range(5)]
+    extra = ["__digest", "__id", "__at", "__lang_pred", "__lang_score", "__against"]
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in extra]) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in extra)}")
+    for stage in (exactdedup.drop_repeats, jaccardjoin.keep_one, langid.keep_identified):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in extra)
+
+
 def test_largest_id_of_equal_texts_stays(steps):
     before, after = steps[1]
     last = {}

@@ -70,15 +70,24 @@ def text_digest():
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
 
+def own_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
     """``docs`` less the rows named by ``gone`` (doc_id, digest); of each of
     ``twice`` (alike) one row stays. An id, or none, may stand at several texts, so
-    it names no row alone."""
-    names = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__at")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__at"))
-    plain = docs.withColumn("__digest", text_digest()).join(names(gone), same, "left_anti")
+    it names no row alone. Columns of any names pass through."""
+    own, id_, at = (own_name(docs, n) for n in ("__digest", "__id", "__at"))
+    names = lambda df: df.select(F.col("doc_id").alias(id_), F.col("digest").alias(at)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(at))
+    plain = docs.withColumn(own, text_digest()).join(names(gone), same, "left_anti")
     twice = cut(names(twice))
     if twice.isEmpty():
-        return plain.drop("__digest")
-    once = plain.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return plain.join(twice, same, "left_anti").unionByName(once).drop("__digest")
+        return plain.drop(own)
+    once = plain.join(twice, same, "left_semi").dropDuplicates(["doc_id", own])
+    return plain.join(twice, same, "left_anti").unionByName(once).drop(own)
