@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -238,9 +238,38 @@ BLOCK_ROOT = "Buildings.Controls.OBC.ASHRAE.G36."
 UNKNOWN = "Unknown"
 
 
-def _text(node: Column, key: str) -> Column:
-    """A key's value as text; of {"@value": v} it is v."""
-    return F.coalesce(F.get_json_object(node, f"$['{key}']['@value']"), F.get_json_object(node, f"$['{key}']"))
+#: fixed values: keys of a node that the columns of ports and sub-blocks are made of
+_PARTS = ("S231:label", "S231:description", "S231:value", "S231:isOfDataType", "qudt:hasQuantityKind", "qudt:hasUnit")
+_REFERENCE = "array<struct<ref_id:string,block:string,kind:string,position:int,ref:string,target:string,target_types:array<string>>>"
+SALTS = 64  # parts that the rows of one key are spread over, where few keys have most rows
+
+
+def _fields(node: Column, keys) -> Column:
+    """A node's keys as texts, by one parse; objects and arrays stay JSON text."""
+    return F.from_json(node, ", ".join(f"`{k}` string" for k in keys))
+
+
+def _text(node: Column, key: str, fields: Column | None = None) -> Column:
+    """A key's value as text; of {"@value": v} it is v. ``fields``: the node's, parsed already."""
+    inner = F.get_json_object(node, f"$['{key}']['@value']")
+    if fields is None:
+        return F.coalesce(inner, F.get_json_object(node, f"$['{key}']"))
+    value = fields[key]
+    return F.when(value.startswith("{"), F.coalesce(inner, value)).otherwise(value)
+
+
+def _reference(node: Column, key: str, fields: Column) -> Column:
+    """The id that a key refers to, {"@id": id}."""
+    return F.when(F.substring(fields[key], 1, 1).isin("{", "["), F.get_json_object(node, f"$['{key}']['@id']"))
+
+
+def _mentions(text: Column, *words: str) -> Column:
+    """Whether a JSON text may hold one of the words: cheaper than to parse it. Escaped
+    letters may spell any word."""
+    out = F.contains(text, F.lit("\\u"))
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def _without(text: Column, prefix: str) -> Column:
@@ -252,15 +281,15 @@ def dotted_path(iri: Column, root: str = BLOCK_ROOT) -> Column:
     return _without(_without(iri, _ID_PREFIX), root)
 
 
-def _local(node: Column, key: str, prefix: str) -> Column:
+def _local(node: Column, key: str, prefix: str, fields: Column) -> Column:
     """Local name of a reference {"@id": ...}: after the prefix, or the last # or /."""
-    iri = F.get_json_object(node, f"$['{key}']['@id']")
+    iri = _reference(node, key, fields)
     return F.when(iri.startswith(prefix), _without(iri, prefix)).otherwise(F.substring_index(F.substring_index(iri, "#", -1), "/", -1))
 
 
-def _label(node: Column, iri: Column, root: str) -> Column:
+def _label(node: Column, iri: Column, root: str, fields: Column) -> Column:
     """The label, or the last part of the id."""
-    return F.coalesce(F.nullif(_text(node, "S231:label"), F.lit("")), terms.dotted_parts(dotted_path(iri, root))[1])
+    return F.coalesce(F.nullif(_text(node, "S231:label", fields), F.lit("")), terms.dotted_parts(dotted_path(iri, root))[1])
 
 
 def as_array(value: Column) -> Column:
@@ -268,23 +297,61 @@ def as_array(value: Column) -> Column:
     return F.from_json(F.when(value.startswith("["), value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), "array<string>")
 
 
-def graph_nodes(documents: DataFrame) -> DataFrame:
-    """(file, id, types, node) of each node of (file, value) documents."""
-    nodes = documents.select("file", F.explode(F.from_json(F.get_json_object("value", "$['@graph']"), "array<string>")).alias("node"))
-    types = F.from_json(F.when(F.get_json_object("node", "$['@type']").startswith("["), F.get_json_object("node", "$['@type']")).otherwise(F.concat(F.lit('["'), F.get_json_object("node", "$['@type']"), F.lit('"]'))), "array<string>")
-    return nodes.select("file", F.get_json_object("node", "$['@id']").alias("id"), types.alias("types"), "node")
+def graph_nodes(documents: DataFrame, mentioning: str | None = None) -> DataFrame:
+    """(file, id, types, node) of each node of (file, value) documents; with ``mentioning``
+    only of documents whose text may hold that word."""
+    if mentioning is not None:
+        documents = documents.where(_mentions(F.col("value"), mentioning))
+    # outer, then filtered: of an inner explode Spark infers a filter that parses each text once more
+    nodes = documents.select("file", F.posexplode_outer(F.from_json(F.get_json_object("value", "$['@graph']"), "array<string>")).alias("at", "node")).where("at is not null")
+    named = nodes.select("file", "node", _fields(F.col("node"), ("@id", "@type")).alias("own"))
+    type_ = F.col("own")["@type"]
+    types = F.when(type_.startswith("["), F.from_json(type_, "array<string>")).when(type_.isNotNull(), F.array(type_))
+    return named.select("file", F.col("own")["@id"].alias("id"), types.alias("types"), "node")
 
 
 def block_references(nodes: DataFrame) -> DataFrame:
-    """(file, block, kind, id, unresolved): left join on (file, id); misses stay."""
-    refs = None
-    for kind, key in _REFS.items():
-        value = F.get_json_object("node", f"$['{key}']")
-        part = nodes.where(value.isNotNull()).select("file", F.col("id").alias("block"), F.lit(kind).alias("kind"), F.posexplode(as_array(value)).alias("position", "ref"))
-        refs = part if refs is None else refs.unionByName(part)
-    refs = refs.withColumn("ref_id", F.coalesce(F.get_json_object("ref", "$['@id']"), F.col("ref")))
-    target = nodes.select("file", F.col("id").alias("ref_id"), F.col("node").alias("target"), F.col("types").alias("target_types"))
-    return refs.join(target, ["file", "ref_id"], "left").withColumn("unresolved", F.col("target").isNull())
+    """(file, block, kind, id, unresolved): each reference with the nodes of its file that have
+    its id; misses stay. Nodes and references are made in one pass and meet in a window."""
+    holds = F.when(_mentions(F.col("node"), *_REFS.values()), F.col("node"))
+    held = nodes.select("file", "id", "types", "node", _fields(holds, _REFS.values()).alias("held"))
+    null = F.lit(None).cast("string")
+
+    def row(ref_id, block=null, kind=null, position=F.lit(None).cast("int"), ref=null, target=null, types=F.lit(None).cast("array<string>")):
+        return F.struct(ref_id.alias("ref_id"), block.alias("block"), kind.alias("kind"), position.alias("position"), ref.alias("ref"), target.alias("target"), types.alias("target_types"))
+
+    def refs(kind, key):
+        each = F.transform(as_array(F.col("held")[key]), lambda x, i: row(F.coalesce(F.get_json_object(x, "$['@id']"), x), F.col("id"), F.lit(kind), i, x))
+        return F.coalesce(each, F.array().cast(_REFERENCE))
+
+    every = held.select("file", F.explode(F.concat(F.array(row(F.col("id"), target=F.col("node"), types=F.col("types"))), *[refs(k, key) for k, key in _REFS.items()])).alias("r")).select("file", "r.*")
+    at = Window.partitionBy("file", "ref_id")
+    targets = F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "target_types"))).over(at)
+    found = every.withColumn("targets", F.when(F.col("ref_id").isNotNull() & F.col("file").isNotNull(), targets)).where("kind is not null")
+    found = found.select("file", "ref_id", "block", "kind", "position", "ref", F.explode_outer("targets").alias("found"))
+    return found.select("file", "ref_id", "block", "kind", "position", "ref", "found.*").withColumn("unresolved", F.col("target").isNull())
+
+
+def _described(refs: DataFrame, root: str) -> DataFrame:
+    """References with the columns of ``ports`` and ``sub_blocks``; ``block_type`` is that of
+    sub-blocks alone."""
+    port = F.bool_or(F.col("kind") != "sub_block").over(Window.partitionBy("file", "ref_id", "block")) & F.col("block").isNotNull()
+    refs = refs.withColumn("is_port", port).withColumn("fields", _fields(F.col("target"), _PARTS))
+    t, fields = F.col("target"), F.col("fields")
+    own = F.try_element_at("target_types", F.lit(1))
+    declared = _reference(t, "S231:isOfDataType", fields)
+    by_type = F.create_map(*[F.lit(x) for pair in _PORT_TYPES.items() for x in pair])
+    parameter = F.when(declared.startswith(_OWN_TYPES), _without(declared, _OWN_TYPES)).otherwise(dotted_path(declared, root))
+    value_type = F.when(F.col("kind") == "parameter", parameter).otherwise(F.element_at(by_type, own))
+    inside = (F.col("kind") == "sub_block") & ~F.col("unresolved") & ~F.col("is_port") & ~own.startswith(_OWN_TYPES)
+    return refs.select(
+        "file", dotted_path(F.col("block"), root).alias("block"), "kind", "position", "ref_id", "unresolved", F.when(inside, dotted_path(own, root)).alias("block_type"),
+        _label(t, F.col("ref_id"), root, fields).alias("name"), F.coalesce(value_type, F.lit(UNKNOWN)).alias("value_type"), _text(t, "S231:description", fields).alias("description"),
+        _local(t, "qudt:hasQuantityKind", "q:", fields).alias("quantitykind"), _local(t, "qudt:hasUnit", "unit:", fields).alias("unit"), terms.typed_value(_text(t, "S231:value", fields)).alias("default"),
+    )
+
+
+_PORT_COLUMNS = ("file", "block", "kind", "position", "name", "value_type", "description", "quantitykind", "unit", "default")
 
 
 def ports(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
@@ -292,33 +359,40 @@ def ports(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
     reference that has a node. Inputs and outputs have the type that their node's @type
     names, parameters their data type's: a plain one, or the path of an enumeration.
     ``Unknown`` where there is none."""
-    found = block_references(nodes).where("kind <> 'sub_block' and not unresolved")
-    t, declared = F.col("target"), F.get_json_object("target", "$['S231:isOfDataType']['@id']")
-    by_type = F.create_map(*[F.lit(x) for pair in _PORT_TYPES.items() for x in pair])
-    parameter = F.when(declared.startswith(_OWN_TYPES), _without(declared, _OWN_TYPES)).otherwise(dotted_path(declared, root))
-    value_type = F.when(F.col("kind") == "parameter", parameter).otherwise(F.element_at(by_type, F.try_element_at("target_types", F.lit(1))))
-    return found.select(
-        "file", dotted_path(F.col("block"), root).alias("block"), "kind", "position", _label(t, F.col("ref_id"), root).alias("name"), F.coalesce(value_type, F.lit(UNKNOWN)).alias("value_type"), _text(t, "S231:description").alias("description"),
-        _local(t, "qudt:hasQuantityKind", "q:").alias("quantitykind"), _local(t, "qudt:hasUnit", "unit:").alias("unit"), terms.typed_value(_text(t, "S231:value")).alias("default"),
-    )
+    return _described(block_references(nodes), root).where("kind <> 'sub_block' and not unresolved").select(*_PORT_COLUMNS)
 
 
 def sub_blocks(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
     """block, name, block_type, description, resolved. What is a port already, a leaf
     value of the vocabulary, or has no type is no sub-block; types that are no block of the
     corpus are kept, unresolved."""
-    refs = block_references(nodes)
-    port = refs.where("kind <> 'sub_block'").select("file", "block", "ref_id").distinct()
-    found = refs.where("kind = 'sub_block' and not unresolved").join(port, ["file", "block", "ref_id"], "left_anti")
-    own = F.try_element_at("target_types", F.lit(1))
-    found = found.where(own.isNotNull() & ~own.startswith(_OWN_TYPES))
-    typed = found.select("file", dotted_path(F.col("block"), root).alias("block"), "position", _label(F.col("target"), F.col("ref_id"), root).alias("name"), dotted_path(own, root).alias("block_type"), _text(F.col("target"), "S231:description").alias("description"))
-    return _with_known(typed, blocks(nodes, root=root).select(F.col("dotted_path").alias("block_type")), "block_type", "resolved")
+    typed = _described(block_references(nodes), root).where("block_type is not null").select("file", "block", "position", "name", "block_type", "description")
+    return _with_known(typed, _known_types(nodes, root), "block_type", "resolved")
+
+
+def _known_types(nodes: DataFrame, root: str) -> DataFrame:
+    """(block_type) that nodes have and that are blocks of the corpus: one pass, so that of all
+    blocks only those are left that a node names as its type."""
+    own = F.try_element_at("types", F.lit(1))
+    named = F.struct(F.when(~own.startswith(_OWN_TYPES), dotted_path(own, root)).alias("block_type"), F.lit(False).alias("declared"))
+    declared = F.struct(F.when(F.array_contains("types", "S231:Block"), dotted_path(F.col("id"), root)).alias("block_type"), F.lit(True).alias("declared"))
+    each = nodes.select(F.explode(F.array(named, declared)).alias("t")).select("t.*").where("block_type is not null")
+    return each.groupBy("block_type").agg(F.bool_or("declared").alias("is"), F.bool_or(~F.col("declared")).alias("asked")).where("is and asked").select("block_type")
 
 
 def _with_known(df: DataFrame, known: DataFrame, key: str, column: str) -> DataFrame:
-    """``df`` with ``column``: whether ``known`` has the row's key."""
-    return df.join(known.select(key).distinct().withColumn("__known", F.lit(True)), key, "left").withColumn(column, F.col("__known").isNotNull()).drop("__known")
+    """``df`` with ``column``: whether ``known`` has the row's key. Rows of a key are spread by
+    a salt: types are few, and each of millions of rows."""
+    salted = _salted(df)
+    return salted.join(_each_salt(known.select(key).distinct()).withColumn("__known", F.lit(True)), [key, "__salt"], "left").withColumn(column, F.col("__known").isNotNull()).drop("__known", "__salt")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int"))
+
+
+def _each_salt(known: DataFrame) -> DataFrame:
+    return known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def blocks(nodes: DataFrame, block_type: str = "S231:Block", root: str = BLOCK_ROOT) -> DataFrame:
@@ -341,25 +415,31 @@ def enum_of_default(ports_: DataFrame, enums: DataFrame, root: str = BLOCK_ROOT)
     """Parameters of unknown type get the enumeration that their dotted default names, and
     its literal as their default; others stay as they are."""
     prefix, literal = terms.dotted_parts(F.col("default.text"))
-    known = enums.select(F.col("enum_type").alias("__enum")).distinct()
     asks = (F.col("kind") == "parameter") & (F.col("value_type") == UNKNOWN) & (F.col("default.kind") == "string")
-    joined = ports_.join(known, asks & (dotted_path(prefix, root) == F.col("__enum")), "left")
-    hit = F.col("__enum").isNotNull()
+    known = _each_salt(enums.select(F.col("enum_type").alias("__asked")).distinct()).withColumn("__hit", F.lit(True))
+    joined = _salted(ports_).withColumn("__asked", F.when(asks, dotted_path(prefix, root))).join(known, ["__asked", "__salt"], "left")
+    hit = F.col("__hit").isNotNull()
     default = F.when(hit, F.struct(F.col("default.kind").alias("kind"), F.col("default.number").alias("number"), literal.alias("text"))).otherwise(F.col("default"))
-    return joined.withColumn("default", default).withColumn("value_type", F.coalesce("__enum", "value_type")).drop("__enum")
+    return joined.withColumn("default", default).withColumn("value_type", F.when(hit, F.col("__asked")).otherwise(F.col("value_type"))).select(*ports_.columns)
 
 
-def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame | None = None) -> DataFrame:
     """(file, message): references to nodes that are not there, files without a block or an
     enumeration, sub-blocks whose type is no block of the corpus, parameters whose type
-    stays unknown."""
-    missing = block_references(nodes).where("unresolved and kind <> 'sub_block'").select("file", F.concat(F.lit("unresolved "), "kind", F.lit(" reference: "), "ref_id").alias("message"))
+    stays unknown. ``enums``: the corpus' ``enum_literals``, where they are known already."""
     declares = F.arrays_overlap(F.coalesce("types", F.array().cast("array<string>")), F.array(F.lit("S231:Block"), F.lit("S231:EnumerationType")))
     bare = nodes.groupBy("file").agg(F.bool_or(declares).alias("any")).where("not any").select("file", F.lit("no block or enumeration").alias("message"))
-    outside = sub_blocks(nodes, root).where("not resolved").select("file", F.concat(F.lit("external block type "), "block_type", F.lit(" of "), "block", F.lit("."), "name").alias("message"))
-    recovered = enum_of_default(ports(nodes, root), enum_literals(nodes, root=root), root)
-    untyped = recovered.where(F.col("value_type") == UNKNOWN).select("file", F.concat(F.lit("unknown type of "), "kind", F.lit(" "), "block", F.lit("."), "name").alias("message"))
-    return missing.unionByName(bare).unionByName(outside).unionByName(untyped)
+    refs = _described(block_references(nodes), root).select("file", "block", "kind", "position", "ref_id", "unresolved", "block_type", "name", "value_type", "default")
+    refs = _with_known(refs, _known_types(nodes, root), "block_type", "resolved")
+    refs = enum_of_default(refs, enum_literals(nodes, root=root) if enums is None else enums, root)
+    port = F.col("kind") != "sub_block"
+    message = (
+        F.when(port & F.col("unresolved"), F.concat(F.lit("unresolved "), "kind", F.lit(" reference: "), "ref_id"))
+        .when(F.col("block_type").isNotNull() & ~F.col("resolved"), F.concat(F.lit("external block type "), "block_type", F.lit(" of "), "block", F.lit("."), "name"))
+        .when(port & ~F.col("unresolved") & (F.col("value_type") == UNKNOWN), F.concat(F.lit("unknown type of "), "kind", F.lit(" "), "block", F.lit("."), "name"))
+    )
+    found = port & F.col("unresolved") | F.col("block_type").isNotNull() & ~F.col("resolved") | port & (F.col("value_type") == UNKNOWN)
+    return refs.where(found).select("file", message.alias("message")).unionByName(bare)
 
 
 def field_helper(kind: Column, value_type: Column, is_enum: Column | None = None) -> Column:
@@ -371,9 +451,10 @@ def field_helper(kind: Column, value_type: Column, is_enum: Column | None = None
     return F.when(kind == "sub_block", "subblock_field").otherwise(F.concat_ws("_", typed, kind, F.lit("field")))
 
 
-def block_fields(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
-    """``ports`` with recovered enumerations, and the ``helper`` that declares each."""
-    enums = enum_literals(nodes, root=root).select("enum_type").distinct()
+def block_fields(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame | None = None) -> DataFrame:
+    """``ports`` with recovered enumerations, and the ``helper`` that declares each.
+    ``enums``: the corpus' ``enum_literals``, where they are known already."""
+    enums = (enum_literals(nodes, root=root) if enums is None else enums).select("enum_type").distinct()
     found = enum_of_default(ports(nodes, root), enums, root)
     found = _with_known(found, enums.select(F.col("enum_type").alias("value_type")), "value_type", "is_enum")
     return found.withColumn("helper", field_helper(F.col("kind"), F.col("value_type"), F.col("is_enum"))).drop("is_enum")
