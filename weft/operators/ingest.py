@@ -184,11 +184,11 @@ def dedicated(shapes: DataFrame) -> DataFrame:
 
 
 def supplementary(triples: DataFrame, known: tuple[str, ...] = ("class", "node")) -> DataFrame:
-    """(owner, path, note): what a qualified value shape says besides its class."""
+    """Distinct (owner, path, note): what a qualified value shape says besides its class."""
     inner = triples.where(F.col("p") == SH + "qualifiedValueShape").select(F.col("s").alias("shape"), F.col("o").alias("value_shape"))
     more = triples.where(F.col("p").startswith(SH) & ~F.col("p").isin(*[SH + k for k in known])).select(F.col("s").alias("value_shape"), terms.local_name(F.col("p")).alias("part"))
     notes = inner.join(more, "value_shape").groupBy("shape").agg(F.array_join(F.array_sort(F.collect_set("part")), ", ").alias("note"))
-    return property_shapes(triples).select("owner", "path", "shape").join(notes, "shape").select("owner", "path", "note")
+    return property_shapes(triples).select("owner", "path", "shape").join(notes, "shape").select("owner", "path", "note").distinct()
 
 
 def attach_constraints(constraints: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
