@@ -81,8 +81,7 @@ def _item_types(g: Graph) -> Graph:
 
 
 def _same_nation(g: Graph) -> Graph:
-    same = match(g, [("?customer", "hasNation", "?n"), ("?supplier", "supplierNation", "?n")], select=["customer", "supplier"])
-    return g.map_relation("sameNation", same, "customer", "supplier")
+    return g.map_path("sameNation", P.seq("hasNation", P.inverse("supplierNation")))
 
 
 def _turns(spark, sf_dir: str):

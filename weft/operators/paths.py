@@ -83,6 +83,17 @@ def _pairs(graph: Graph, path, nodes: DataFrame | None) -> DataFrame:
     return closed.unionByName(own.select(F.col("name").alias("s"), F.col("name").alias("o"))).distinct()
 
 
+def holding(graph: Graph, df: DataFrame, source: str, path, target: str) -> DataFrame:
+    """Rows whose ``source`` the path joins with their ``target``; they repeat where it does so
+    in several ways. A sequence is walked from the rows, so pairs of other nodes are never made."""
+    steps = path.parts if isinstance(path, Path) and path.kind == "seq" and not recursive(path) else (path,)
+    out = df.withColumn("__at", F.col(source))
+    for p in steps[:-1]:
+        out = out.join(pairs(graph, p, distinct=False).select(F.col("s").alias("__at"), F.col("o").alias("__to")), "__at").drop("__at").withColumnRenamed("__to", "__at")
+    last = pairs(graph, steps[-1], distinct=False).select(F.col("s").alias("__s"), F.col("o").alias("__o"))
+    return out.join(last, (F.col("__at") == F.col("__s")) & (F.col(target) == F.col("__o")), "left_semi").drop("__at")
+
+
 def recursive(path) -> bool:
     """Whether a path holds ``+`` or ``*``, or a step that may be left out."""
     return isinstance(path, Path) and (path.kind in ("plus", "star", "maybe") or any(recursive(p) for p in path.parts))

@@ -68,7 +68,7 @@ def sub_relation_edges(graph: Graph, catalog: Catalog, relation: str) -> DataFra
     while level:
         level = [r.name for r in catalog.relations.values() if r.subproperty_of in level and r.name not in below]
         below += level
-    known = [r for r in below if graph.triples is not None or r in graph.relations]
+    known = [r for r in below if graph.triples is not None or r in graph.relations or r in graph.paths]
     return reduce(lambda a, b: a.unionByName(b), [graph.edges(r).select("s", "o") for r in known]).distinct()
 
 

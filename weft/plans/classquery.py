@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog, Field
+from ..operators.paths import holding
 from ..sources.graph import TYPE, Graph
 
 WIDE = 1000  # values of one subject that a property table holds in a row
@@ -80,6 +81,9 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
                 step = step.distinct()  # repeated edges would multiply
             out = out.join(step, "name", "left" if f.optional else "inner")
     for b in catalog.between(name):
+        if b.relation in graph.paths and b.relation not in graph.relations and graph.triples is None:
+            out = holding(graph, out, b.source, graph.paths[b.relation], b.target)
+            continue
         edge = graph.edges(b.relation).select(F.col("s").alias(b.source), F.col("o").alias(b.target)).distinct()
         out = out.join(edge, [b.source, b.target])
     out = reduce(lambda df, f: _exact(graph, df, catalog.relation_of(name, f), f, match), [f for f in wanted if f.exact is not None], out)

@@ -30,6 +30,7 @@ class Graph:
         self.triples = triples
         self.types: dict[str, Mapped] = {}
         self.relations: dict[str, list[Mapped]] = {}
+        self.paths: dict = {}  # relations that stand for a path
         self.statistics: dict | None = None  # of the triples' relations, where they are known
 
     @property
@@ -45,6 +46,12 @@ class Graph:
         self.relations.setdefault(name, []).append(Mapped(table, subject, object_))
         return self
 
+    def map_path(self, name: str, path) -> Graph:
+        """A relation that stands for a path over others. Between bound ends it is walked;
+        its pairs are made only where one asks for its edges."""
+        self.paths[name] = path
+        return self
+
     def map_table(self, type_: str, table: DataFrame, key: str, **relations: str) -> Graph:
         self.map_type(type_, table, key)
         for relation, column in relations.items():
@@ -67,6 +74,10 @@ class Graph:
         parts = [m.table.select(F.col(m.subject).alias("s"), F.col(m.object).alias("o")) for m in self.relations.get(relation, [])]
         if self.triples is not None:
             parts.append(self.triples.where(F.col("p") == relation).select("s", "o"))
+        if relation in self.paths:
+            from ..operators.paths import pairs
+
+            parts.append(pairs(self, self.paths[relation]))
         if not parts:
             raise KeyError(f"no relation {relation}")
         return _union(parts).where(F.col("s").isNotNull() & F.col("o").isNotNull())
@@ -84,7 +95,7 @@ class Graph:
     def in_table_of(self, type_: str, relation: str) -> str | None:
         """The column that holds the relation in the type's own table, if it alone does."""
         own, found = self.types.get(type_), self.relations.get(relation, [])
-        if own and len(found) == 1 and self.triples is None and found[0].table is own.table and found[0].subject == own.subject:
+        if own and len(found) == 1 and relation not in self.paths and self.triples is None and found[0].table is own.table and found[0].subject == own.subject:
             return found[0].object
         return None
 
@@ -93,6 +104,7 @@ class Graph:
         text = lambda c: F.col(c).cast("string")
         parts = [m.table.select(text(m.subject).alias("s"), F.lit(TYPE).alias("p"), F.lit(t).alias("o")) for t, m in self.types.items()]
         parts += [m.table.where(F.col(m.object).isNotNull()).select(text(m.subject).alias("s"), F.lit(r).alias("p"), text(m.object).alias("o")) for r, ms in self.relations.items() for m in ms]
+        parts += [self.edges(r).select(text("s").alias("s"), F.lit(r).alias("p"), text("o").alias("o")) for r in self.paths if r not in self.relations]
         if self.triples is not None:
             parts.append(self.triples.select("s", "p", "o"))
         return _union(parts).distinct()
@@ -101,18 +113,20 @@ class Graph:
         """The same graph, with what is known of each relation of its triples."""
         out = Graph(self.triples)
         out.types, out.relations, out.statistics = dict(self.types), {k: list(v) for k, v in self.relations.items()}, dict(statistics)
+        out.paths = dict(self.paths)
         return out
 
     def few_values(self, relation: str, most: int) -> bool:
         """Whether the relation lies in the triples alone, and is known to have no more
         than ``most`` values of one subject."""
         known = (self.statistics or {}).get(relation)
-        return self.triples is not None and relation not in self.relations and self.statistics is not None and (known is None or known.most_values <= most)
+        return self.triples is not None and relation not in self.relations and relation not in self.paths and self.statistics is not None and (known is None or known.most_values <= most)
 
     def with_triples(self, more: DataFrame) -> Graph:
         """Set union with more triples."""
         out = Graph(more if self.triples is None else self.triples.unionByName(more, allowMissingColumns=True).distinct())
         out.types, out.relations = dict(self.types), {k: list(v) for k, v in self.relations.items()}
+        out.paths = dict(self.paths)
         return out
 
 
