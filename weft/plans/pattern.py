@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paths import pairs, pairs_from, recursive
+from ..operators.paths import Path, pairs, pairs_from, recursive
 from ..sources.graph import TYPE, Graph
 
 Pattern = tuple
@@ -140,6 +140,49 @@ def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
     return out
 
 
+def _steps(patterns: Sequence[Pattern]) -> list[Pattern]:
+    """Sequences and inverse steps as patterns of their own, over variables of their own."""
+    out: list[Pattern] = []
+    todo, at = list(patterns), 0
+    while todo:
+        s, path, o = todo.pop(0)
+        plain = isinstance(path, Path) and not recursive(path)
+        if plain and path.kind == "inverse":
+            todo.insert(0, (o, path.parts[0], s))
+        elif plain and path.kind == "seq" and "a" not in path.parts:
+            ends = [s, *(f"?__step{at + k}" for k in range(1, len(path.parts))), o]
+            at += len(path.parts)
+            todo[:0] = [(ends[k], p, ends[k + 1]) for k, p in enumerate(path.parts)]
+        else:
+            out.append((s, path, o))
+    return out
+
+
+def _holding(graph: Graph, patterns: Sequence[Pattern], keep: Sequence[str], bound: DataFrame | None) -> DataFrame:
+    """Bindings of ``keep`` for which the patterns hold; rows may repeat. They start at the
+    ``bound`` ones, if given. Other variables only have to exist: each is dropped, and rows made
+    distinct, as soon as no pattern left names it."""
+    left = join_order(graph, patterns if bound is not None else _steps(patterns))
+    if bound is None:  # from the far end: what is kept comes last
+        left = sorted(left, key=lambda p: any(t[1:] in keep for t in p if _is_variable(t)))
+    out, known = bound, set() if bound is None else {f"?{c}" for c in bound.columns}
+    while left:
+        at = next((i for i, p in enumerate(left) if known & {t for t in p if _is_variable(t)}), 0)
+        p = left.pop(at)
+        table, own = _table(graph, p, out), {t for t in p if _is_variable(t)}
+        shared = sorted(t[1:] for t in known & own)
+        if out is not None and not shared:
+            raise ValueError(f"{p} shares no variable with the patterns before it")
+        out = table if out is None else out.join(table, shared, "left_semi" if own <= known else "inner")
+        known |= own
+        asked = {f"?{c}" for c in keep} | {t for q in left for t in q if _is_variable(t)}
+        if known - asked:
+            known &= asked
+            out = out.select(*sorted(t[1:] for t in known))
+            out = out.distinct() if left and bound is None else out
+    return out.select(*keep)
+
+
 def match(graph: Graph, patterns: Sequence[Pattern], *, where: Callable | None = None, absent: Sequence = (), present: Sequence = (), select: Sequence[str] | None = None) -> DataFrame:
     """Distinct bindings. ``absent``: groups of patterns of which none may hold.
     ``present``: alternatives; each entry is a list of groups of which one must.
@@ -150,11 +193,13 @@ def match(graph: Graph, patterns: Sequence[Pattern], *, where: Callable | None =
 
     def group(g) -> tuple[DataFrame, list[str]]:
         inner, condition = g if isinstance(g, tuple) else (g, None)
-        df = bindings(graph, inner)
+        own = {x[1:] for p in inner for x in p if _is_variable(x)}
+        shared = [c for c in out.columns if c in own]
         if condition is not None:
-            df = df.where(condition)
-        shared = [c for c in df.columns if c in out.columns]
-        return df.select(*shared), shared
+            return bindings(graph, inner).where(condition).select(*shared), shared
+        # what ties several variables is looked for at the bindings there are, not for all nodes
+        bound = out.select(*shared).distinct() if len(shared) > 1 and len(inner) > 1 else None
+        return _holding(graph, inner, shared, bound), shared
 
     for g in absent:
         df, shared = group(g)
