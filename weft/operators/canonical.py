@@ -5,7 +5,8 @@ A node's label is refined by hashes of its neighbourhood until no class of equal
 divides any more. What neighbours add to a label is a sum, so a node with any number of
 triples is pre-aggregated like every other. Ties inside a connected set of blank nodes
 are then split: one node of its least tied class is marked and labels are refined again.
-Equal sets (two nodes with the same triples, say) are numbered.
+Equal sets (two nodes with the same triples, say) are numbered. A node that no other blank
+node is linked with keeps its first label: neither rounds nor components concern it.
 
 Rounds are as the longest way between blank nodes. Where nodes are tied by refinement and
 yet not symmetric (regular graphs of unlike structure), the marked node may decide the
@@ -29,7 +30,16 @@ def _sums(*parts: Column) -> list[Column]:
 
 
 def _label(*parts: str) -> Column:
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]), 256).alias("label")
+    return _digest(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]).alias("label")
+
+
+def _digest(*parts: Column) -> Column:
+    """16 bytes: labels are most of what is shuffled and stored."""
+    return F.unhex(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
+
+
+def _named(*parts: Column) -> Column:
+    return F.concat(F.lit("_:c"), F.lower(F.hex(_digest(*parts)))).alias("name")
 
 
 def _refined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -57,34 +67,65 @@ def _connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return found
 
 
-def blank_names(triples: DataFrame) -> DataFrame:
-    """(node, name) of every blank node; the names are the same for every relabelled copy."""
+def _ends(triples: DataFrame) -> tuple[Column, Column]:
+    """Whether a triple's subject and object are blank nodes."""
+    return _node_kind(F.col("s")) == "bnode", F.coalesce(F.col("o_kind") == "bnode", F.lit(False)) if "o_kind" in triples.columns else F.lit(False)
+
+
+def blank_names(triples: DataFrame, repeats: bool = True) -> DataFrame:
+    """(node, name) of every blank node; the names are the same for every relabelled copy.
+    Without ``repeats`` no triple is there twice, so none is looked for."""
+    return _names(triples, repeats)[0]
+
+
+def _names(triples: DataFrame, repeats: bool) -> tuple[DataFrame, bool]:
+    """``blank_names``, and whether any triple links two blank nodes."""
     none = F.lit(None).cast("string")
     col = lambda c: F.col(c) if c in triples.columns else none
     kind = F.coalesce(col("o_kind"), F.lit("iri"))
-    rows = triples.select("s", "p", "o", kind.alias("kind"), col("o_dt").alias("dt"), col("o_lang").alias("lang"), (_node_kind(F.col("s")) == "bnode").alias("from"), (kind == "bnode").alias("to")).distinct().where("from or to")
-    # what a blank node sees that is not blank stays the same in all rounds
-    outward = rows.where("from and not to").select(F.col("s").alias("node"), F.xxhash64(F.lit("out"), "p", "kind", "o", "dt", "lang").alias("x"))
-    inward = rows.where("to and not from").select(F.col("o").alias("node"), F.xxhash64(F.lit("in"), "p", "s").alias("x"))
+    start, end = _ends(triples)
+    rows = triples.select("s", "p", "o", kind.alias("kind"), col("o_dt").alias("dt"), col("o_lang").alias("lang"), start.alias("from"), end.alias("to")).where("from or to")
+    rows = rows.distinct() if repeats else rows
+    # what a blank node sees that is not blank stays the same in all rounds; a link has none of it
+    x = F.when(F.col("from"), F.xxhash64(F.lit("out"), "p", "kind", "o", "dt", "lang")).otherwise(F.xxhash64(F.lit("in"), "p", "s"))
+    sees = lambda node, x: F.struct(node.alias("node"), x.alias("x"))
+    null, s, o = F.lit(None).cast("long"), F.col("s"), F.col("o")
+    seen = rows.select(F.explode(F.when(F.col("from") & F.col("to"), F.array(sees(s, null), sees(o, null))).otherwise(F.array(sees(F.when(F.col("from"), s).otherwise(o), x)))).alias("e")).select("e.*")
+    linked = F.bool_or(F.col("x").isNull()).alias("linked")
+    sums = [F.sum(F.when(F.col("x").isNotNull(), F.xxhash64(F.lit(seed), "x")).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    every = stored(seen.groupBy("node").agg(*sums, linked).select("node", _label("sum1", "sum2"), "linked"))
+    alone = _alone(every.where("not linked").select("node", "label"))
+    labels = every.where("linked").select("node", "label")
+    if labels.isEmpty():
+        return alone, False
     both = rows.where("from and to")
     links = stored(
         both.select(F.col("s").alias("node"), F.col("o").alias("other"), F.xxhash64(F.lit("out"), "p", F.col("s") == F.col("o")).alias("salt"))
         .unionByName(both.select(F.col("o").alias("node"), F.col("s").alias("other"), F.xxhash64(F.lit("in"), "p", F.col("s") == F.col("o")).alias("salt")))
     )
-    nodes = rows.where("from").select(F.col("s").alias("node")).unionByName(rows.where("to").select(F.col("o").alias("node"))).distinct()
-    fixed = outward.unionByName(inward).groupBy("node").agg(*_sums("x"))
-    labels = _refined(stored(nodes.join(fixed, "node", "left").select("node", _label("sum1", "sum2"))), links)
+    labels = _refined(labels, links)
     component = _connected(labels, links)
     while True:
         tied = labels.join(component, "node").groupBy("component", "label").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1")
         marked = stored(tied.groupBy("component").agg(F.min(F.struct("label", "node")).alias("m")).select("m.node", F.lit("marked").alias("mark")))
         if marked.isEmpty():
             break
-        labels = _refined(stored(labels.join(marked, "node", "left").select("node", F.when(F.col("mark").isNull(), F.col("label")).otherwise(F.sha2(F.concat("label", "mark"), 256)).alias("label"))), links)
+        labels = _refined(stored(labels.join(marked, "node", "left").select("node", F.when(F.col("mark").isNull(), F.col("label")).otherwise(_digest(F.hex("label"), F.col("mark"))).alias("label"))), links)
     labels = labels.join(component, "node")
     whole = stored(labels.groupBy("component").agg(*_sums("label"), F.count("*").alias("n")).select("component", _label("sum1", "sum2", "n").alias("whole")))
     placed = stored(_placed(whole))
-    return labels.join(placed, "component").select("node", F.concat(F.lit("_:c"), F.substring(F.sha2(F.concat_ws("|", "whole", "label", F.col("copy").cast("string")), 256), 1, 32)).alias("name"))
+    named = labels.join(placed, "component").select("node", _named(F.hex("whole"), F.hex("label"), F.col("copy").cast("string")))
+    return stored(alone.unionByName(named)), True
+
+
+def _alone(labels: DataFrame) -> DataFrame:
+    """(node, name) of nodes without links: only those of one label have to be numbered."""
+    shared = stored(labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"))
+    if shared.isEmpty():
+        return labels.select("node", _named(F.lit("alone"), F.hex("label"), F.lit("0")))
+    tied = labels.join(shared, "label", "left_semi")
+    copies = stored(_placed(stored(tied.select(F.col("node").alias("component"), F.col("label").alias("whole"))))).select(F.col("component").alias("node"), "copy")
+    return labels.join(copies, "node", "left").select("node", _named(F.lit("alone"), F.hex("label"), F.coalesce("copy", F.lit(0)).cast("string")))
 
 
 def _placed(whole: DataFrame) -> DataFrame:
@@ -94,15 +135,19 @@ def _placed(whole: DataFrame) -> DataFrame:
     return numbered.join(first, "whole").select("component", "whole", (F.col("row") - F.col("first")).alias("copy"))
 
 
-def canonical(triples: DataFrame) -> DataFrame:
-    """The same triples, blank nodes renamed by ``blank_names``."""
-    names = stored(blank_names(triples))
-    blank = _node_kind(F.col("s")) == "bnode"
-    out = triples.join(names.select(F.col("node").alias("__s"), F.col("name").alias("__sn")), blank & (F.col("s") == F.col("__s")), "left")
-    if "o_kind" in triples.columns:
-        out = out.join(names.select(F.col("node").alias("__o"), F.col("name").alias("__on")), (F.col("o_kind") == "bnode") & (F.col("o") == F.col("__o")), "left")
-        out = out.withColumn("o", F.coalesce("__on", "o"))
-    return out.withColumn("s", F.coalesce("__sn", "s")).select(*triples.columns)
+def canonical(triples: DataFrame, repeats: bool = True) -> DataFrame:
+    """The same triples, blank nodes renamed by ``blank_names``. Triples with one blank end, all
+    there are without links, meet their names in one join."""
+    names, linked = _names(triples, repeats)
+    start, end = _ends(triples)
+    own = names.select(F.col("node").alias("__at"), F.col("name").alias("__name"))
+    rows = triples.withColumn("__from", F.coalesce(start, F.lit(False))).withColumn("__to", end)
+    out = rows.withColumn("__end", F.when(~F.col("__from") & F.col("__to"), F.col("o")).otherwise(F.col("s"))).join(own, (F.col("__from") | F.col("__to")) & (F.col("__end") == F.col("__at")), "left")
+    out = out.withColumn("s", F.when(F.col("__from"), F.coalesce("__name", "s")).otherwise(F.col("s"))).withColumn("o", F.when(~F.col("__from") & F.col("__to"), F.coalesce("__name", "o")).otherwise(F.col("o")))
+    if linked:
+        other = names.select(F.col("node").alias("__o"), F.col("name").alias("__on"))
+        out = out.join(other, F.col("__from") & F.col("__to") & (F.col("o") == F.col("__o")), "left").withColumn("o", F.coalesce("__on", "o"))
+    return out.select(*triples.columns)
 
 
 def graph_difference(before: DataFrame, after: DataFrame) -> DataFrame:
