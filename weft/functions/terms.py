@@ -71,7 +71,7 @@ def pascal_case(name) -> Column:
 def dotted_parts(path) -> tuple[Column, Column]:
     """What is before and after the last dot; before is '' without one."""
     path = _c(path)
-    return F.regexp_extract(path, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(path, r"([^.]*)$", 1)
+    return F.regexp_extract(path, r"^(.*)\.([^.]*)$", 1), F.substring_index(path, ".", -1)
 
 
 def variable_name(name) -> Column:

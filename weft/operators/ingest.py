@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -240,7 +241,6 @@ UNKNOWN = "Unknown"
 
 #: fixed values: keys of a node that the columns of ports and sub-blocks are made of
 _PARTS = ("S231:label", "S231:description", "S231:value", "S231:isOfDataType", "qudt:hasQuantityKind", "qudt:hasUnit")
-_REFERENCE = "array<struct<ref_id:string,block:string,kind:string,position:int,ref:string,target:string,target_types:array<string>>>"
 SALTS = 64  # parts that the rows of one key are spread over, where few keys have most rows
 
 
@@ -297,34 +297,56 @@ def as_array(value: Column) -> Column:
     return F.from_json(F.when(value.startswith("["), value).otherwise(F.concat(F.lit("["), value, F.lit("]"))), "array<string>")
 
 
+#: fixed values: all keys that a node is asked for, read when its document is parsed
+_NODE = ("@id", "@type", "S231:documentation", *_PARTS, *_REFS.values())
+
+
 def graph_nodes(documents: DataFrame, mentioning: str | None = None) -> DataFrame:
-    """(file, id, types, node) of each node of (file, value) documents; with ``mentioning``
-    only of documents whose text may hold that word."""
+    """(file, id, types, node, fields) of each node of (file, value) documents; ``fields`` are
+    its keys that are asked for, as texts. With ``mentioning`` only of documents whose text may
+    hold that word."""
     if mentioning is not None:
         documents = documents.where(_mentions(F.col("value"), mentioning))
+    schema = ", ".join(f"`{k}`: string" for k in _NODE)
+    nodes = documents.select("file", F.get_json_object("value", "$['@graph']").alias("graph"))
+    # a document is parsed as a whole: as texts, and as keys. What is no object has no keys there
+    nodes = nodes.select("file", F.from_json("graph", "array<string>").alias("texts"), F.from_json("graph", f"array<struct<{schema}>>").alias("keys"))
+    keys = F.when(F.size("keys") == F.size("texts"), F.col("keys"))
     # outer, then filtered: of an inner explode Spark infers a filter that parses each text once more
-    nodes = documents.select("file", F.posexplode_outer(F.from_json(F.get_json_object("value", "$['@graph']"), "array<string>")).alias("at", "node")).where("at is not null")
-    named = nodes.select("file", "node", _fields(F.col("node"), ("@id", "@type")).alias("own"))
-    type_ = F.col("own")["@type"]
+    nodes = nodes.select("file", F.posexplode_outer(F.arrays_zip(F.col("texts").alias("node"), F.coalesce(keys, F.transform("texts", lambda x: _fields(x, _NODE))).alias("fields"))).alias("at", "n")).where("at is not null")
+    nodes = nodes.select("file", F.col("n")["node"].alias("node"), F.coalesce(F.col("n")["fields"], _fields(F.col("n")["node"], _NODE)).alias("fields"))
+    type_ = F.col("fields")["@type"]
     types = F.when(type_.startswith("["), F.from_json(type_, "array<string>")).when(type_.isNotNull(), F.array(type_))
-    return named.select("file", F.col("own")["@id"].alias("id"), types.alias("types"), "node")
+    return nodes.select("file", F.col("fields")["@id"].alias("id"), types.alias("types"), "node", "fields")
+
+
+def _with_fields(nodes: DataFrame) -> DataFrame:
+    return nodes if "fields" in nodes.columns else nodes.withColumn("fields", _fields(F.col("node"), _NODE))
 
 
 def block_references(nodes: DataFrame) -> DataFrame:
     """(file, block, kind, id, unresolved): each reference with the nodes of its file that have
     its id; misses stay. Nodes and references are made in one pass and meet in a window."""
-    holds = F.when(_mentions(F.col("node"), *_REFS.values()), F.col("node"))
-    held = nodes.select("file", "id", "types", "node", _fields(holds, _REFS.values()).alias("held"))
+    return _references(nodes, F.col("node"), "string")
+
+
+def _references(nodes: DataFrame, target: Column, target_type: str, kinds=tuple(_REFS)) -> DataFrame:
+    """References of the kinds with what ``target`` makes of each node."""
     null = F.lit(None).cast("string")
 
-    def row(ref_id, block=null, kind=null, position=F.lit(None).cast("int"), ref=null, target=null, types=F.lit(None).cast("array<string>")):
+    def row(ref_id, block=null, kind=null, position=F.lit(None).cast("int"), ref=null, target=F.lit(None).cast(target_type), types=F.lit(None).cast("array<string>")):
         return F.struct(ref_id.alias("ref_id"), block.alias("block"), kind.alias("kind"), position.alias("position"), ref.alias("ref"), target.alias("target"), types.alias("target_types"))
 
     def refs(kind, key):
-        each = F.transform(as_array(F.col("held")[key]), lambda x, i: row(F.coalesce(F.get_json_object(x, "$['@id']"), x), F.col("id"), F.lit(kind), i, x))
-        return F.coalesce(each, F.array().cast(_REFERENCE))
-
-    every = held.select("file", F.explode(F.concat(F.array(row(F.col("id"), target=F.col("node"), types=F.col("types"))), *[refs(k, key) for k, key in _REFS.items()])).alias("r")).select("file", "r.*")
+        each = F.transform(as_array(F.col("fields")[key]), lambda x, i: row(F.coalesce(F.get_json_object(x, "$['@id']"), x), F.col("id"), F.lit(kind), i, x))
+        return F.when(F.col("fields")[key].isNotNull(), each)
+
+    every = F.array(row(F.col("id"), target=target, types=F.col("types")))
+    none = F.filter(every, lambda x: F.lit(False))
+    held = reduce(lambda a, b: F.coalesce(a, b), [F.col("fields")[_REFS[k]] for k in kinds])
+    # most nodes refer to nothing: they are a row as they are
+    every = F.when(held.isNull(), every).otherwise(F.concat(every, *[F.coalesce(refs(k, _REFS[k]), none) for k in kinds]))
+    every = _with_fields(nodes).select("file", F.explode(every).alias("r")).select("file", "r.*")
     at = Window.partitionBy("file", "ref_id")
     targets = F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "target_types"))).over(at)
     found = every.withColumn("targets", F.when(F.col("ref_id").isNotNull() & F.col("file").isNotNull(), targets)).where("kind is not null")
@@ -332,41 +354,58 @@ def block_references(nodes: DataFrame) -> DataFrame:
     return found.select("file", "ref_id", "block", "kind", "position", "ref", "found.*").withColumn("unresolved", F.col("target").isNull())
 
 
-def _described(refs: DataFrame, root: str) -> DataFrame:
+#: fixed values: what is read of a node
+_READ = ("label", "description", "value", "declared", "quantitykind", "unit")
+
+
+def _described(nodes: DataFrame, root: str, kinds=tuple(_REFS), wanted: tuple[str, ...] = _READ) -> DataFrame:
     """References with the columns of ``ports`` and ``sub_blocks``; ``block_type`` is that of
-    sub-blocks alone."""
-    port = F.bool_or(F.col("kind") != "sub_block").over(Window.partitionBy("file", "ref_id", "block")) & F.col("block").isNotNull()
-    refs = refs.withColumn("is_port", port).withColumn("fields", _fields(F.col("target"), _PARTS))
-    t, fields = F.col("target"), F.col("fields")
+    sub-blocks alone. What is read of a node is made before references meet it; what is not
+    wanted is null."""
+    t, fields = F.col("node"), F.col("fields")
+    of_type = _reference(t, "S231:isOfDataType", fields)
+    read = {
+        "label": F.nullif(_text(t, "S231:label", fields), F.lit("")), "description": _text(t, "S231:description", fields), "value": _text(t, "S231:value", fields),
+        "declared": of_type, "quantitykind": _local(t, "qudt:hasQuantityKind", "q:", fields), "unit": _local(t, "qudt:hasUnit", "unit:", fields),
+    }
+    read = {n: c if n in wanted else F.lit(None).cast("string") for n, c in read.items()}
+    refs = _references(nodes, F.struct(*[c.alias(n) for n, c in read.items()]), f"struct<{','.join(f'{n}:string' for n in read)}>", kinds)
+    if "sub_block" in kinds and len(kinds) > 1:
+        port = F.bool_or(F.col("kind") != "sub_block").over(Window.partitionBy("file", "ref_id", "block")) & F.col("block").isNotNull()
+    else:
+        port = F.lit(kinds != ("sub_block",)) & F.col("block").isNotNull()
+    refs = refs.withColumn("is_port", port)
+    t, name = F.col("target"), terms.dotted_parts(dotted_path(F.col("ref_id"), root))[1]
     own = F.try_element_at("target_types", F.lit(1))
-    declared = _reference(t, "S231:isOfDataType", fields)
+    declared = t["declared"]
     by_type = F.create_map(*[F.lit(x) for pair in _PORT_TYPES.items() for x in pair])
     parameter = F.when(declared.startswith(_OWN_TYPES), _without(declared, _OWN_TYPES)).otherwise(dotted_path(declared, root))
     value_type = F.when(F.col("kind") == "parameter", parameter).otherwise(F.element_at(by_type, own))
     inside = (F.col("kind") == "sub_block") & ~F.col("unresolved") & ~F.col("is_port") & ~own.startswith(_OWN_TYPES)
     return refs.select(
         "file", dotted_path(F.col("block"), root).alias("block"), "kind", "position", "ref_id", "unresolved", F.when(inside, dotted_path(own, root)).alias("block_type"),
-        _label(t, F.col("ref_id"), root, fields).alias("name"), F.coalesce(value_type, F.lit(UNKNOWN)).alias("value_type"), _text(t, "S231:description", fields).alias("description"),
-        _local(t, "qudt:hasQuantityKind", "q:", fields).alias("quantitykind"), _local(t, "qudt:hasUnit", "unit:", fields).alias("unit"), terms.typed_value(_text(t, "S231:value", fields)).alias("default"),
+        F.coalesce(t["label"], name).alias("name"), F.coalesce(value_type, F.lit(UNKNOWN)).alias("value_type"), t["description"].alias("description"),
+        t["quantitykind"].alias("quantitykind"), t["unit"].alias("unit"), terms.typed_value(t["value"]).alias("default"),
     )
 
 
+PORTS = ("input", "output", "parameter")
 _PORT_COLUMNS = ("file", "block", "kind", "position", "name", "value_type", "description", "quantitykind", "unit", "default")
 
 
-def ports(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+def ports(nodes: DataFrame, root: str = BLOCK_ROOT, kinds: tuple[str, ...] = PORTS) -> DataFrame:
     """block, kind, name, value_type, description, quantitykind, unit, default of every
     reference that has a node. Inputs and outputs have the type that their node's @type
     names, parameters their data type's: a plain one, or the path of an enumeration.
     ``Unknown`` where there is none."""
-    return _described(block_references(nodes), root).where("kind <> 'sub_block' and not unresolved").select(*_PORT_COLUMNS)
+    return _described(nodes, root, kinds).where("not unresolved").select(*_PORT_COLUMNS)
 
 
 def sub_blocks(nodes: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
     """block, name, block_type, description, resolved. What is a port already, a leaf
     value of the vocabulary, or has no type is no sub-block; types that are no block of the
     corpus are kept, unresolved."""
-    typed = _described(block_references(nodes), root).where("block_type is not null").select("file", "block", "position", "name", "block_type", "description")
+    typed = _described(nodes, root, wanted=("label", "description")).where("block_type is not null").select("file", "block", "position", "name", "block_type", "description")
     return _with_known(typed, _known_types(nodes, root), "block_type", "resolved")
 
 
@@ -396,9 +435,10 @@ def _each_salt(known: DataFrame) -> DataFrame:
 
 
 def blocks(nodes: DataFrame, block_type: str = "S231:Block", root: str = BLOCK_ROOT) -> DataFrame:
-    own = nodes.where(F.array_contains("types", block_type))
+    own = _with_fields(nodes).where(F.array_contains("types", block_type))
     path = dotted_path(F.col("id"), root)
-    description = F.coalesce(F.nullif(_text(F.col("node"), "S231:documentation"), F.lit("")), _text(F.col("node"), "S231:description"))
+    text = lambda key: _text(F.col("node"), key, F.col("fields"))
+    description = F.coalesce(F.nullif(text("S231:documentation"), F.lit("")), text("S231:description"))
     return own.select("file", path.alias("dotted_path"), terms.class_name_for(terms.dotted_parts(path)[1]).alias("class_name"), description.alias("description"))
 
 
@@ -429,7 +469,7 @@ def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame |
     stays unknown. ``enums``: the corpus' ``enum_literals``, where they are known already."""
     declares = F.arrays_overlap(F.coalesce("types", F.array().cast("array<string>")), F.array(F.lit("S231:Block"), F.lit("S231:EnumerationType")))
     bare = nodes.groupBy("file").agg(F.bool_or(declares).alias("any")).where("not any").select("file", F.lit("no block or enumeration").alias("message"))
-    refs = _described(block_references(nodes), root).select("file", "block", "kind", "position", "ref_id", "unresolved", "block_type", "name", "value_type", "default")
+    refs = _described(nodes, root, wanted=("label", "value", "declared")).select("file", "block", "kind", "position", "ref_id", "unresolved", "block_type", "name", "value_type", "default")
     refs = _with_known(refs, _known_types(nodes, root), "block_type", "resolved")
     refs = enum_of_default(refs, enum_literals(nodes, root=root) if enums is None else enums, root)
     port = F.col("kind") != "sub_block"
@@ -451,10 +491,10 @@ def field_helper(kind: Column, value_type: Column, is_enum: Column | None = None
     return F.when(kind == "sub_block", "subblock_field").otherwise(F.concat_ws("_", typed, kind, F.lit("field")))
 
 
-def block_fields(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame | None = None) -> DataFrame:
-    """``ports`` with recovered enumerations, and the ``helper`` that declares each.
+def block_fields(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame | None = None, kinds: tuple[str, ...] = PORTS) -> DataFrame:
+    """``ports`` of the kinds with recovered enumerations, and the ``helper`` that declares each.
     ``enums``: the corpus' ``enum_literals``, where they are known already."""
     enums = (enum_literals(nodes, root=root) if enums is None else enums).select("enum_type").distinct()
-    found = enum_of_default(ports(nodes, root), enums, root)
+    found = enum_of_default(ports(nodes, root, kinds), enums, root)
     found = _with_known(found, enums.select(F.col("enum_type").alias("value_type")), "value_type", "is_enum")
     return found.withColumn("helper", field_helper(F.col("kind"), F.col("value_type"), F.col("is_enum"))).drop("is_enum")
