@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.graph import Graph
 
 LEVELS = 24  # edges that a walk follows one by one
+PART_BYTES = 8 << 20  # of stored input that one task joins or makes distinct
 
 
 @dataclass(frozen=True)
@@ -146,6 +147,25 @@ def _walk(graph: Graph, path, frontier: DataFrame, back: bool) -> DataFrame:
     return frontier.join(found, F.col("at") == F.col("via")).select("origin", F.col("end").alias("at")).distinct()
 
 
+def parts_for(*tables: DataFrame, times: int = 1) -> int | None:
+    """Into how many parts rows of the tables are dealt: by the bytes of what they read, so that
+    what one task holds does not grow with the input. ``times``: rows that are made of one.
+    None where the bytes are unknown."""
+    size = 0
+    for table in tables:
+        leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size += sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 52 or not tables:
+        return None
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size * times // PART_BYTES))
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows brought together by the keys, before they are joined or made distinct by them: both
+    then need no exchange of their own, and no task combines what a large split holds."""
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
 def checkpoint_dir(spark) -> str:
     """The shared folder of checkpoints. Only a local session that names none gets a
     temporary one."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Catalog, Field
-from ..operators.paths import holding
+from ..operators.paths import dealt, holding, parts_for
 from ..sources.graph import TYPE, Graph
 
 WIDE = 1000  # values of one subject that a property table holds in a row
@@ -56,10 +56,8 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
         some = [f for f in wanted if f in joined or (f.value is not None and f.exact is None and catalog.relation_of(name, f))]
         gathered = {f.name: f for f in some if graph.few_values(catalog.relation_of(name, f), WIDE)}
         if gathered and not any(t in graph.types for t in types) and graph.few_values(TYPE, WIDE):
-            out = _property_table(graph, list(types), {f.name: (catalog.relation_of(name, f), f) for f in gathered.values()})
-            for f in gathered.values():
-                if f.value is None and typed(f):
-                    out = out.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
+            checks = {f.name: _of_type(graph, catalog, f).withColumnRenamed("name", f.name) for f in gathered.values() if f.value is None and typed(f)}
+            out = _property_table(graph, list(types), {f.name: (catalog.relation_of(name, f), f) for f in gathered.values()}, checks)
         else:
             gathered, out = {}, graph.instances(*types)
     for f in wanted:
@@ -72,30 +70,40 @@ def class_query(graph: Graph, catalog: Catalog, name: str, *, match: str = "any"
         elif f.value is not None and f.exact is None and relation:
             only = graph.edges(relation).where(F.col("o") == F.lit(f.value)).select(F.col("s").alias("name"))
             out = out.join(only, "name", "left_semi")
-        elif f in joined:
-            step = graph.edges(relation).select(F.col("s").alias("name"), F.col("o").alias(f.name))
-            if typed(f):
-                # edges are narrow: their objects are checked before they are joined
-                step = step.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi")
-            if len(joined) > 1:
-                step = step.distinct()  # repeated edges would multiply
+    steps = {}
+    for f in joined:
+        if f.name not in gathered:
+            step = graph.edges(catalog.relation_of(name, f)).select(F.col("s").alias("name"), F.col("o").alias(f.name))
+            # edges are narrow: their objects are checked before they are joined
+            steps[f.name] = step.join(_of_type(graph, catalog, f).withColumnRenamed("name", f.name), f.name, "left_semi") if typed(f) else step
+    # of distinct subjects and edges the joined rows are distinct: they are many more, and are not compared
+    unique = bool(gathered or (distinct and steps))
+    if distinct and steps:
+        parts = parts_for(out, *steps.values())
+        out = dealt(out, parts, "name").distinct()
+        steps = {c: dealt(step, parts, "name").distinct() for c, step in steps.items()}
+    for f in joined:
+        if f.name in steps:
+            step = steps[f.name] if distinct or len(joined) == 1 else steps[f.name].distinct()  # repeated edges would multiply
             out = out.join(step, "name", "left" if f.optional else "inner")
     for b in catalog.between(name):
         if b.relation in graph.paths and b.relation not in graph.relations and graph.triples is None:
-            out = holding(graph, out, b.source, graph.paths[b.relation], b.target)
+            out, unique = holding(graph, out, b.source, graph.paths[b.relation], b.target), False
             continue
         edge = graph.edges(b.relation).select(F.col("s").alias(b.source), F.col("o").alias(b.target)).distinct()
         out = out.join(edge, [b.source, b.target])
     out = reduce(lambda df, f: _exact(graph, df, catalog.relation_of(name, f), f, match), [f for f in wanted if f.exact is not None], out)
     order = [c for c in ["name", *(f.name for f in wanted)] if c in out.columns]
     out = out.select(*order, *[c for c in out.columns if c not in order])
-    return out.distinct() if distinct else out
+    unique = unique and not any(f.exact for f in wanted)
+    return out.distinct() if distinct and not unique else out
 
 
-def _property_table(graph: Graph, types: list[str], fields: dict[str, tuple[str, Field]]) -> DataFrame:
-    """(name, field, ...) of the subjects of the types: one scan of all relations, one
+def _property_table(graph: Graph, types: list[str], fields: dict[str, tuple[str, Field]], checks: dict[str, DataFrame]) -> DataFrame:
+    """(name, field, ...) of the subjects of the types, distinct: one scan of all relations, one
     aggregation by subject. Pinned fields are conditions; others are spread out, after
-    those without a value are gone."""
+    those without a value are gone. Fields with ``checks``, a table of their values, are spread
+    and checked before others multiply their rows."""
     p, o = F.col("p"), F.col("o")
     is_type = F.bool_or((p == TYPE) & o.isin(*types)).alias("__type")
     parts = []
@@ -110,9 +118,11 @@ def _property_table(graph: Graph, types: list[str], fields: dict[str, tuple[str,
         elif not f.optional:
             out = out.where(F.size(f"__{name}") > 0)
     spread = [name for name, (_, f) in fields.items() if f.value is None]
-    for name in spread:
+    for name in sorted(spread, key=lambda n: n not in checks):
         optional = fields[name][1].optional
-        out = out.withColumn(name, (F.explode_outer if optional else F.explode)(f"__{name}"))
+        out = out.withColumn(name, (F.explode_outer if optional else F.explode)(f"__{name}")).drop(f"__{name}")
+        if name in checks:
+            out = out.join(checks[name], name, "left_semi")
     return out.select("name", *spread)
 
 
