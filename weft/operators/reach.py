@@ -18,7 +18,6 @@ an entry for each two chains.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,27 +81,32 @@ def _links(edges: DataFrame, rounds: int = MATCHINGS) -> DataFrame:
 
 def _numbered(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, chain, pos): the first node of each node's chain, and its place there.
-    Rings are cut before their least node."""
+    Rings are cut before their least node.
+
+    Each node looks back over twice as many places each round: ``pos`` of them, up to ``at``, of
+    which ``least`` is the least node, ``near`` and ``far`` places back. A node that lies at two
+    places is on a ring, and all of that are known to be within two times round it."""
     at = nodes.select("node").join(links.select(F.col("o").alias("node"), F.col("s").alias("at")), "node", "left")
-    start = F.col("at").isNull()
-    state = stored(at.select("node", F.coalesce("at", "node").alias("at"), F.when(start, 0).otherwise(1).cast("long").alias("pos"), F.least("node", F.coalesce("at", "node")).alias("least"), (~start).alias("open")))
-    before = None
-    for turn in count():
-        left = state.where("open").count()
-        # a place that is still open after as many steps as there are such places lies on a ring
-        if not left or (left == before and 1 << turn >= left):
-            break
-        before = left
-        far = state.select(F.col("node").alias("at"), F.col("at").alias("__at"), F.col("pos").alias("__pos"), F.col("least").alias("__least"), F.col("open").alias("__open"))
+    open_ = F.col("at").isNotNull()
+    one = F.when(open_, 1).otherwise(0).cast("long")
+    first = F.coalesce("at", "node")
+    state = stored(at.select("node", first.alias("at"), one.alias("pos"), first.alias("least"), one.alias("near"), one.alias("far"), open_.alias("open")))
+    while not state.where("open").isEmpty():
+        far = state.select(F.col("node").alias("at"), *[F.col(c).alias(f"__{c}") for c in ("at", "pos", "least", "near", "far", "open")])
         # one join for all rows: a union would add up partitions round after round
         go = lambda new, old: F.when(F.col("open"), new).otherwise(F.col(old)).alias(old)
-        state = stored(state.join(far, "at").select("node", go(F.col("__at"), "at"), go(F.col("pos") + F.col("__pos"), "pos"), go(F.least("least", "__least"), "least"), go(F.col("__open"), "open")))
-    done = state.where("not open").select("node", F.col("at").alias("chain"), "pos")
-    if not left:
-        return done
-    ring = stored(state.where("open").select("node", "least"))
-    inside = links.join(ring.select(F.col("node").alias("o"), "least"), "o").where(F.col("o") != F.col("least")).select("s", "o")
-    return stored(done.unionByName(_numbered(ring, stored(inside))))
+        near = F.when(F.col("least") <= F.col("__least"), F.col("near")).otherwise(F.col("pos") + F.col("__near"))
+        last = F.when(F.col("__least") <= F.col("least"), F.col("pos") + F.col("__far")).otherwise(F.col("far"))
+        state = stored(state.join(far, "at").select("node", go(F.col("__at"), "at"), go(F.col("pos") + F.col("__pos"), "pos"), go(F.least("least", "__least"), "least"), go(near, "near"), go(last, "far"), go(F.col("__open") & (near == last), "open")))
+    ring = F.col("near") < F.col("far")
+    on_ring = F.when(F.col("node") == F.col("least"), 0).otherwise(F.col("near"))
+    return state.select("node", F.when(ring, F.col("least")).otherwise(F.col("at")).alias("chain"), F.when(ring, on_ring).otherwise(F.col("pos")).cast("long").alias("pos"))
+
+
+def _branches(edges: DataFrame) -> bool:
+    """Whether a node begins or ends several edges; of paths and rings none does."""
+    both = [edges.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").limit(1).select("n") for c in "so"]
+    return not both[0].union(both[1]).isEmpty()
 
 
 def _front(entries: DataFrame) -> DataFrame:
@@ -135,11 +139,18 @@ class Reach:
         """Labels of (s, o); rows may repeat. Rows with a null are no edges."""
         edges = stored(edges.select("s", "o").where("s is not null and o is not null").distinct())
         names = edges.select(F.col("s").alias("name")).union(edges.select("o")).distinct()
-        between, members, cyclic = condense(edges)
-        every = names.join(members, "name", "left").select("name", F.coalesce("node", "name").alias("node"))
-        every = stored(every.join(cyclic.withColumn("cyclic", F.lit(True)), "node", "left").select("name", "node", F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
-        place = _numbered(every.select("node").distinct(), _links(between))
-        nodes = stored(every.join(place, "node").select("name", "chain", "pos", "cyclic"))
+        if not _branches(edges):
+            # paths and rings are chains as they are: nothing is merged, no edge is chosen
+            between = edges.where("s <> o")
+            place = stored(_numbered(names.select(F.col("name").alias("node")), between))
+            own = edges.where("s = o").select(F.col("s").alias("node"), F.lit(True).alias("cyclic"))
+            nodes = place.join(own, "node", "left").select(F.col("node").alias("name"), "chain", "pos", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+        else:
+            between, members, cyclic = condense(edges)
+            every = names.join(members, "name", "left").select("name", F.coalesce("node", "name").alias("node"))
+            every = stored(every.join(cyclic.withColumn("cyclic", F.lit(True)), "node", "left").select("name", "node", F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
+            place = _numbered(every.select("node").distinct(), _links(between))
+            nodes = stored(every.join(place, "node").select("name", "chain", "pos", "cyclic"))
         s, o = (place.select(*[F.col(c).alias(f"__{side}_{c}") for c in ("node", "chain", "pos")]) for side in "so")
         both = between.join(s, F.col("s") == F.col("__s_node")).join(o, F.col("o") == F.col("__o_node"))
         direct = both.select(F.col("__s_chain").alias("chain"), F.col("__s_pos").alias("last"), F.col("__o_chain").alias("to"), F.col("__o_pos").alias("first"))
@@ -152,10 +163,13 @@ class Reach:
 
     def ahead(self, seeds: DataFrame) -> DataFrame:
         """(s, o): what each of (name) reaches by one edge or more."""
-        own = seeds.select("name").distinct().join(self.nodes, "name")
+        return self._ahead(seeds.select("name").distinct().join(self.nodes, "name"))
+
+    def _ahead(self, own: DataFrame) -> DataFrame:
         later = own.select(F.col("name").alias("s"), F.col("chain").alias("to"), (F.col("pos") + F.when(F.col("cyclic"), 0).otherwise(1)).alias("first"))
         far = own.join(self.entries, "chain").where("last >= pos").select(F.col("name").alias("s"), "to", "first")
-        spans = later.unionByName(far).groupBy("s", "to").agg(F.min("first").alias("first"))
+        # dealt by the chain that they are joined with next
+        spans = later.unionByName(far).repartition("to").groupBy("s", "to").agg(F.min("first").alias("first"))
         return spans.join(self.nodes, F.col("to") == F.col("chain")).where("pos >= first").select("s", F.col("name").alias("o"))
 
     def behind(self, seeds: DataFrame) -> DataFrame:
@@ -168,7 +182,7 @@ class Reach:
 
     def pairs(self) -> DataFrame:
         """(s, o) of all that reach each other: as many rows as there are."""
-        return self.ahead(self.nodes)
+        return self._ahead(self.nodes)
 
     def holding(self, asked: DataFrame) -> DataFrame:
         """Those of (s, o) that hold; no pair but the asked ones is made."""
