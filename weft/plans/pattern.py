@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.paths import Path, pairs, pairs_from, recursive
+from ..operators.paths import Path, dealt, pairs, pairs_from, parts_for, recursive
 from ..sources.graph import TYPE, Graph
 
 Pattern = tuple
@@ -123,11 +123,20 @@ def join_order(graph: Graph, patterns: Sequence[Pattern]) -> list[Pattern]:
     return [patterns[i] for i in min(best.values(), key=lambda x: x[:2])[1]]
 
 
+def _large(df: DataFrame) -> bool:
+    """Whether Spark will not send a table to all tasks, by its own estimate."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most
+
+
 def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
     """Joined in an order in which each pattern shares a variable with those
-    before it; see ``join_order``."""
+    before it; see ``join_order``. Large tables are dealt by what they share, in as many parts as
+    their bytes ask for: rows that join are many more, and are made distinct there."""
     left = join_order(graph, patterns)
-    out, known = None, set()
+    plain = [p for p in left if not recursive(p[1])]
+    parts = parts_for(*[_table(graph, p) for p in plain]) if len(plain) > 1 else None
+    out, known, by = None, set(), None
     while left:
         at = next((i for i, p in enumerate(left) if known & {t for t in p if _is_variable(t)}), 0)
         p = left.pop(at)
@@ -135,6 +144,9 @@ def bindings(graph: Graph, patterns: Sequence[Pattern]) -> DataFrame:
         shared = sorted(t[1:] for t in known & own)
         if out is not None and not shared:
             raise ValueError(f"{p} shares no variable with the patterns before it")
+        if out is not None and parts and _large(table) and _large(out):
+            out, by = out if by == shared else dealt(out, parts, *shared), shared
+            table = dealt(table, parts, *shared)
         out = table if out is None else out.join(table, shared, "left_semi" if own <= known else "inner")
         known |= own
     return out
