@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..model import Catalog
 from ..sources.graph import TYPE, Graph
 from . import paths
-from .paths import Path, pairs_from, settle
+from .paths import Path, dealt, pairs_from, parts_for, settle
 from .shapes import Constraint, Shape, validate
 
 
@@ -63,13 +63,32 @@ def touched(graph: Graph, c: Constraint, changed: DataFrame) -> DataFrame | None
     return _union([p for p in parts if p is not None])
 
 
+def _relations(path) -> set[str]:
+    if isinstance(path, str):
+        return {TYPE if path == "a" else path}
+    return set() if path is None else set().union(*map(_relations, path.parts))
+
+
+def asked(c: Constraint) -> set[str]:
+    """The relations that a constraint looks at; types are always looked at."""
+    return _relations(c.path).union({TYPE}, *[asked(p) for p in c.parts if isinstance(p, Constraint)])
+
+
+def _changed(before: DataFrame, after: DataFrame, relations: set[str]) -> DataFrame:
+    """(s, p, o) of the relations that only one of the two holds; rows of both may repeat. One
+    aggregation for both."""
+    key = ["s", "p", "o"]
+    side = lambda df, there: df.where(F.col("p").isin(*sorted(relations))).select(*key, F.lit(there).alias("there"))
+    both = dealt(side(before, False).unionByName(side(after, True)), parts_for(before, after), *key)
+    return both.groupBy(*key).agg(F.min("there").alias("__least"), F.max("there").alias("__most")).where("__least = __most").select(*key)
+
+
 def revalidate(before: DataFrame, after: DataFrame, shapes: list[Shape], report: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """The report of triples ``after``, from the ``report`` of triples ``before``: the rows
     that ``validate`` gives of them. Shapes and catalogue are the same for both."""
-    key = ["s", "p", "o"]
-    old, new = before.select(*key).distinct(), after.select(*key).distinct()
-    changed = settle(old.join(new, key, "left_anti").unionByName(new.join(old, key, "left_anti")))
-    both, graph, parts = Graph(old.unionByName(new)), Graph(after), []
+    relations = {TYPE}.union(*[asked(c) for shape in shapes for c in shape.constraints], [s.target[1] for s in shapes if not isinstance(s.target, str)])
+    changed = settle(_changed(before, after, relations))
+    both, graph, parts = Graph(before.select("s", "p", "o").unionByName(after.select("s", "p", "o"))), Graph(after), []
     for shape in shapes:
         found = [t for c in shape.constraints if (t := touched(both, c, changed)) is not None]
         if isinstance(shape.target, str):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..model import Catalog
 from ..sources.graph import Graph
-from .paths import pairs, pairs_from, recursive
+from .paths import dealt, pairs, pairs_from, parts_for, recursive
 
 
 @dataclass(frozen=True)
@@ -161,19 +161,24 @@ def _satisfied(graph: Graph, c: Constraint) -> DataFrame | None:
     return None
 
 
-def _counted(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
-    """(focus, n): values of the path, of those that conform if qualified."""
+def _counted(graph: Graph, focus: DataFrame, c: Constraint, few: bool = False) -> DataFrame:
+    """(focus, n): values of the path, of those that conform if qualified. ``few``: whether
+    the focus nodes are known to be few, so values of others are dropped first."""
     least = c.kind in ("minCount", "qualifiedMinCount")
-    if least and not recursive(c.path):  # the join with the focus drops other subjects
-        values = pairs(graph, c.path).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+    if recursive(c.path):
+        values, parts = _values(graph, focus, c.path), None
     else:
-        values = _values(graph, focus, c.path)
+        values = pairs(graph, c.path, distinct=False).select(F.col("s").alias("focus"), F.col("o").alias("value"))
+        parts = parts_for(values)
+        if few or not least:  # else the join with the focus drops other subjects
+            values = values.join(focus.select("focus"), "focus", "left_semi")
     if c.parts and (found := _satisfied(graph, c.parts[0])) is not None:
         values = values.join(found.select(F.col("focus").alias("value")), "value", "left_semi")
     elif c.parts:
         good = conforms(graph, values.select(F.col("value").alias("focus")).distinct(), c.parts[0]).where("ok").select(F.col("focus").alias("value"))
         values = values.join(good, "value", "left_semi")
-    counts = values.groupBy("focus").agg(F.count("*").alias("n"))
+    # dealt by subject: equal values meet there, and are counted there
+    counts = (values if recursive(c.path) else dealt(values, parts, "focus").distinct()).groupBy("focus").agg(F.count("*").alias("n"))
     if c.kind in ("maxCount", "qualifiedMaxCount"):
         return counts  # a focus without values cannot have too many
     return focus.select("focus").join(counts, "focus", "left").select("focus", F.coalesce("n", F.lit(0)).alias("n"))
@@ -201,11 +206,12 @@ def conforms(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
     return focus.select("focus").distinct().join(bad, "focus", "left").select("focus", F.col("bad").isNull().alias("ok"))
 
 
-def violations(graph: Graph, focus: DataFrame, c: Constraint) -> DataFrame:
-    """(focus, value, n); ``value`` for constraints on values, ``n`` for counts."""
+def violations(graph: Graph, focus: DataFrame, c: Constraint, few: bool = False) -> DataFrame:
+    """(focus, value, n); ``value`` for constraints on values, ``n`` for counts. ``few``:
+    whether the focus nodes are known to be few."""
     none = lambda kind: F.lit(None).cast(kind)
     if c.kind in _COUNT_FAILS:
-        return _counted(graph, focus, c).where(_COUNT_FAILS[c.kind](F.col("n"), c.arg)).select("focus", none("string").alias("value"), "n")
+        return _counted(graph, focus, c, few).where(_COUNT_FAILS[c.kind](F.col("n"), c.arg)).select("focus", none("string").alias("value"), "n")
     if c.kind == "hasValue":
         has = _values(graph, focus, c.path).where(F.col("value") == F.lit(c.arg))
         return focus.select("focus").join(has, "focus", "left_anti").select("focus", none("string").alias("value"), none("long").alias("n"))
@@ -227,21 +233,21 @@ def validate(graph: Graph, shapes: list[Shape], catalog: Catalog | None = None,
             if c.kind in ("minCount", "maxCount"):
                 counts.setdefault(c.path, []).append(c)
         together = {path: same for path, same in counts.items() if len(same) > 1}
-        parts += [_count_report(graph, shape.name, focus, same) for same in together.values()]
+        parts += [_count_report(graph, shape.name, focus, same, only is not None) for same in together.values()]
         for c in shape.constraints:
             if c.kind in ("minCount", "maxCount") and c.path in together:
                 continue
-            v = violations(graph, focus, c)
+            v = violations(graph, focus, c, only is not None)
             parts.append(v.select(F.lit(shape.name).alias("shape"), F.col("focus").cast("string"), F.lit(c.kind).alias("constraint_id"), F.col("value").cast("string"), "n", F.lit(c.severity).alias("severity"), F.lit(c.message).cast("string").alias("message")))
     if not parts:  # no shape, or none that is active
         return graph.spark.createDataFrame([], "shape string, focus string, constraint_id string, value string, n long, severity string, message string")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _count_report(graph: Graph, name: str, focus: DataFrame, same: list[Constraint]) -> DataFrame:
+def _count_report(graph: Graph, name: str, focus: DataFrame, same: list[Constraint], few: bool = False) -> DataFrame:
     """Report rows of several bounds on the values of one path: counted once."""
     text = lambda x: F.lit(x).cast("string")
-    n = _counted(graph, focus, replace(same[0], kind="minCount"))
+    n = _counted(graph, focus, replace(same[0], kind="minCount"), few)
     broken = [F.when(_COUNT_FAILS[c.kind](F.col("n"), c.arg), F.struct(text(c.kind).alias("constraint_id"), text(c.severity).alias("severity"), text(c.message).alias("message"))) for c in same]
     rows = n.select(F.col("focus").cast("string"), "n", F.explode(F.array_compact(F.array(*broken))).alias("found"))
     return rows.select(text(name).alias("shape"), "focus", "found.constraint_id", text(None).alias("value"), "n", "found.severity", "found.message")
