@@ -29,10 +29,11 @@ class RelationStatistics:
     most_values: int  # of one subject
 
 
-def statistics_of(triples: DataFrame) -> DataFrame:
+def statistics_of(triples: DataFrame, distinct: bool = False) -> DataFrame:
     """(p, triples, subjects, objects, most_values): a row for each relation; distinct
-    objects are an estimate. Counting combines before it shuffles."""
-    per = triples.groupBy("p", "s").agg(F.count_distinct("o").alias("n"))
+    objects are an estimate. Counting combines before it shuffles. ``distinct``: whether the
+    triples are known to be."""
+    per = triples.groupBy("p", "s").agg((F.count("*") if distinct else F.count_distinct("o")).alias("n"))
     subjects = per.groupBy("p").agg(F.sum("n").alias("triples"), F.count("*").alias("subjects"), F.max("n").alias("most_values"))
     objects = triples.groupBy("p").agg(F.approx_count_distinct("o").alias("objects"))
     return subjects.join(objects, "p").select("p", "triples", "subjects", "objects", "most_values")
@@ -59,10 +60,10 @@ def store(triples: DataFrame, name: str, buckets: int | None = None, path: str |
     if buckets is None:
         size = int(str(triples._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = int(min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))) if size < 1 << 52 else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # dealt as the buckets are, so a task writes one file for each relation
-    dealt = triples.where("s is not null and p is not null and o is not null").select(*kept, "p").distinct().repartition(buckets, "s")
+    # dealt as the buckets are, so a task writes one file for each relation; equal triples meet there
+    dealt = triples.where("s is not null and p is not null and o is not null").select(*kept, "p").repartition(buckets, "s").distinct()
     dealt.write.format("parquet").partitionBy("p").bucketBy(buckets, "s").sortBy("s").mode("overwrite").option("path", path).saveAsTable(name)
-    statistics_of(spark.table(name)).write.format("parquet").mode("overwrite").option("path", f"{path}-statistics").saveAsTable(f"{name}_statistics")
+    statistics_of(spark.table(name), distinct=kept == ["s", "o"]).write.format("parquet").mode("overwrite").option("path", f"{path}-statistics").saveAsTable(f"{name}_statistics")
     return open_stored(spark, name)
 
 
