@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.paths import stored
 from .graph import SCHEMA, TYPE
 
 _TERM = r'(<[^>]*>|_:[^\s<"]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
@@ -208,7 +209,7 @@ def refresh_documents(documents: DataFrame, recorded: DataFrame, rows: DataFrame
     """(rows, checksums) of (file, value) documents: only those whose checksum is not as in
     ``recorded`` (file, sha256) go through ``parse``; ``rows`` are what it gave before."""
     now = documents.select("file", F.sha2("value", 256).alias("sha256"))
-    state = stale(now, recorded)
+    state = stored(stale(now, recorded))  # asked twice, and told from whole texts
     todo = documents.join(state.where("state <> 'gone'").select("file"), "file", "left_semi")
     return refreshed(rows, state, parse(todo)), now
 
