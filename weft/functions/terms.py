@@ -97,7 +97,8 @@ def typed_value(text) -> Column:
     point or exponent is a double if it reads as one, else a long, else it stays."""
     text = _c(text)
     whole = text.try_cast("bigint")
-    real = text.try_cast("double")
+    # a cast that fails is slow: words other than NaN and Infinity are not tried
+    real = F.when(text.rlike(r"^[\x00-\x20]*[-+.0-9NnIi]"), text.try_cast("double"))
     kind = F.when(text.isNull(), None).when(text.rlike("[.eE]") & real.isNotNull(), "double").when(whole.isNotNull(), "long").when(F.lower(text).isin("true", "false"), "boolean").otherwise("string")
     return F.struct(kind.alias("kind"), real.alias("number"), text.alias("text"))
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..sources.graph import TYPE
+from .documents import DECLARES, FACT, UNKNOWN, told
+from .documents import OWN_TYPES as _OWN_TYPES
+from .documents import PORT_TYPES as _PORT_TYPES
+from .documents import REFS as _REFS
 from .naming import first_match, make_unique
-from .paths import closure, reachable, settle
+from .paths import closure, reachable, settle, stored
 
 #: fixed values: standard vocabulary
 SH = "http://www.w3.org/ns/shacl#"
@@ -231,12 +235,8 @@ def bnode_subgraph(triples: DataFrame, roots: DataFrame) -> DataFrame:
 # --- control blocks (JSON-LD with one @graph array) ---
 
 #: fixed values: keys, types and the root of the block vocabulary
-_REFS = {"input": "S231:hasInput", "output": "S231:hasOutput", "parameter": "S231:hasParameter", "sub_block": "S231:containsBlock"}
-_PORT_TYPES = {"S231:RealInput": "Real", "S231:RealOutput": "Real", "S231:BooleanInput": "Boolean", "S231:BooleanOutput": "Boolean", "S231:IntegerInput": "Integer", "S231:IntegerOutput": "Integer"}
-_OWN_TYPES = "S231:"
 _ID_PREFIX = "ex:"
 BLOCK_ROOT = "Buildings.Controls.OBC.ASHRAE.G36."
-UNKNOWN = "Unknown"
 
 
 #: fixed values: keys of a node that the columns of ports and sub-blocks are made of
@@ -374,8 +374,13 @@ def _described(nodes: DataFrame, root: str, kinds=tuple(_REFS), wanted: tuple[st
         port = F.bool_or(F.col("kind") != "sub_block").over(Window.partitionBy("file", "ref_id", "block")) & F.col("block").isNotNull()
     else:
         port = F.lit(kinds != ("sub_block",)) & F.col("block").isNotNull()
-    refs = refs.withColumn("is_port", port)
-    t, name = F.col("target"), terms.dotted_parts(dotted_path(F.col("ref_id"), root))[1]
+    return _told(refs.withColumn("is_port", port), root)
+
+
+def _told(refs: DataFrame, root: str) -> DataFrame:
+    """The columns of ``ports`` and ``sub_blocks``, of references that have met their nodes."""
+    column = lambda n: F.col("target")[n] if n in refs.schema["target"].dataType.names else F.lit(None).cast("string")
+    t, name = {n: column(n) for n in _READ}, terms.dotted_parts(dotted_path(F.col("ref_id"), root))[1]
     own = F.try_element_at("target_types", F.lit(1))
     declared = t["declared"]
     by_type = F.create_map(*[F.lit(x) for pair in _PORT_TYPES.items() for x in pair])
@@ -415,7 +420,12 @@ def _known_types(nodes: DataFrame, root: str) -> DataFrame:
     own = F.try_element_at("types", F.lit(1))
     named = F.struct(F.when(~own.startswith(_OWN_TYPES), dotted_path(own, root)).alias("block_type"), F.lit(False).alias("declared"))
     declared = F.struct(F.when(F.array_contains("types", "S231:Block"), dotted_path(F.col("id"), root)).alias("block_type"), F.lit(True).alias("declared"))
-    each = nodes.select(F.explode(F.array(named, declared)).alias("t")).select("t.*").where("block_type is not null")
+    return _both(nodes.select(F.explode(F.array(named, declared)).alias("t")).select("t.*"))
+
+
+def _both(types: DataFrame) -> DataFrame:
+    """(block_type) that are named as well as declared."""
+    each = types.where("block_type is not null")
     return each.groupBy("block_type").agg(F.bool_or("declared").alias("is"), F.bool_or(~F.col("declared")).alias("asked")).where("is and asked").select("block_type")
 
 
@@ -467,11 +477,28 @@ def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame |
     """(file, message): references to nodes that are not there, files without a block or an
     enumeration, sub-blocks whose type is no block of the corpus, parameters whose type
     stays unknown. ``enums``: the corpus' ``enum_literals``, where they are known already."""
-    declares = F.arrays_overlap(F.coalesce("types", F.array().cast("array<string>")), F.array(F.lit("S231:Block"), F.lit("S231:EnumerationType")))
-    bare = nodes.groupBy("file").agg(F.bool_or(declares).alias("any")).where("not any").select("file", F.lit("no block or enumeration").alias("message"))
-    refs = _described(nodes, root, wanted=("label", "value", "declared")).select("file", "block", "kind", "position", "ref_id", "unresolved", "block_type", "name", "value_type", "default")
-    refs = _with_known(refs, _known_types(nodes, root), "block_type", "resolved")
-    refs = enum_of_default(refs, enum_literals(nodes, root=root) if enums is None else enums, root)
+    refs = _described(nodes, root, wanted=_WARNED)
+    enums = enum_literals(nodes, root=root) if enums is None else enums
+    return _said(refs, _known_types(nodes, root), enums, root).unionByName(_bare(nodes))
+
+
+_BARE = "no block or enumeration"
+
+
+def _bare(nodes: DataFrame) -> DataFrame:
+    declares = F.arrays_overlap(F.coalesce("types", F.array().cast("array<string>")), F.array(*map(F.lit, DECLARES)))
+    return nodes.groupBy("file").agg(F.bool_or(declares).alias("any")).where("not any").select("file", F.lit(_BARE).alias("message"))
+
+
+#: what is read of a node to say what is wrong with a reference to it
+_WARNED = ("label", "value", "declared")
+
+
+def _said(refs: DataFrame, known: DataFrame, enums: DataFrame, root: str) -> DataFrame:
+    """(file, message) of the references with which something is wrong."""
+    refs = refs.select("file", "block", "kind", "position", "ref_id", "unresolved", "block_type", "name", "value_type", "default")
+    refs = _with_known(refs, known, "block_type", "resolved")
+    refs = enum_of_default(refs, enums, root)
     port = F.col("kind") != "sub_block"
     message = (
         F.when(port & F.col("unresolved"), F.concat(F.lit("unresolved "), "kind", F.lit(" reference: "), "ref_id"))
@@ -479,7 +506,32 @@ def block_warnings(nodes: DataFrame, root: str = BLOCK_ROOT, enums: DataFrame |
         .when(port & ~F.col("unresolved") & (F.col("value_type") == UNKNOWN), F.concat(F.lit("unknown type of "), "kind", F.lit(" "), "block", F.lit("."), "name"))
     )
     found = port & F.col("unresolved") | F.col("block_type").isNotNull() & ~F.col("resolved") | port & (F.col("value_type") == UNKNOWN)
-    return refs.where(found).select("file", message.alias("message")).unionByName(bare)
+    return refs.where(found).select("file", message.alias("message"))
+
+
+def document_warnings(documents: DataFrame, root: str = BLOCK_ROOT) -> DataFrame:
+    """``block_warnings`` of (file, value) documents, a file each. They are read once: references
+    that may be wrong, with the nodes of their document that they lead to, are found where it is
+    parsed, without an exchange; what the corpus declares is joined to them. Documents of another
+    shape than ``documents.facts`` takes are set aside and go ``block_warnings``' way."""
+    bodies = documents.select("file", F.col("value").cast("binary").alias("body"))
+    facts = stored(bodies.mapInArrow(told, f"file {documents.schema['file'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in FACT.items())))
+    of = lambda what: facts.where(F.col("what") == what)
+    named = lambda refs: refs.select("block_type", F.lit(False).alias("declared"))
+    declaring = lambda nodes, id, types, kind: nodes.where(F.array_contains(types, kind)).select(dotted_path(F.col(id), root).alias("block_type"), F.lit(True).alias("declared"))
+    target = F.when(F.col("met"), F.struct(*_WARNED))
+    refs = _told(of("ref").withColumn("target", target).withColumn("unresolved", F.col("met").isNull()), root)
+    asked, bare = named(refs), of("bare").select("file", F.lit(_BARE).alias("message"))
+    types, enums = (declaring(of("type"), "text", "target_types", k) for k in DECLARES)
+    rest = of("rest").select("file", F.col("body").cast("string").alias("value"))
+    if not rest.isEmpty():
+        nodes = graph_nodes(rest)
+        more = _described(nodes, root, wanted=_WARNED)
+        refs, asked, bare = refs.unionByName(more), asked.unionByName(named(more)), bare.unionByName(_bare(nodes))
+        types, enums = (known.unionByName(declaring(nodes, "id", "types", k)) for known, k in zip((types, enums), DECLARES))
+    # stored, so that their sizes are known: few types are not worth an exchange of the references
+    known, enums = stored(_both(asked.unionByName(types))), stored(enums.select(F.col("block_type").alias("enum_type")).distinct())
+    return _said(refs, known, enums, root).unionByName(bare)
 
 
 def field_helper(kind: Column, value_type: Column, is_enum: Column | None = None) -> Column:
