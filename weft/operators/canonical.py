@@ -16,7 +16,9 @@ for 64-bit clashes of two hashes at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import _node_kind
@@ -24,9 +26,18 @@ from .naming import number_rows
 from .paths import stored
 
 
-def _sums(*parts: Column) -> list[Column]:
+def _halves(seed: int, *parts: Column) -> list[Column]:
+    """A hash as two numbers of 32 bits: 2^31 of them add up to a long."""
+    h = F.xxhash64(F.lit(seed), *parts)
+    return [h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32)]
+
+
+def _sums(*parts, where: Column | None = None, over=None) -> list[Column]:
     """Two sums of hashes: what is added up in any order."""
-    return [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    parts = [F.col(c) if isinstance(c, str) else c for c in parts]
+    add = lambda h: F.sum(h if where is None else F.when(where, h))
+    total = lambda h: add(h) if over is None else add(h).over(over)
+    return [F.concat_ws(",", *[total(h) for h in _halves(seed, *parts)]).alias(f"sum{seed}") for seed in (1, 2)]
 
 
 def _label(*parts: str) -> Column:
@@ -35,11 +46,21 @@ def _label(*parts: str) -> Column:
 
 def _digest(*parts: Column) -> Column:
     """16 bytes: labels are most of what is shuffled and stored."""
-    return F.unhex(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
+    return F.unhex(_digits(*parts))
+
+
+def _digits(*parts: Column) -> Column:
+    """The digest in lower-case digits."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
 def _named(*parts: Column) -> Column:
-    return F.concat(F.lit("_:c"), F.lower(F.hex(_digest(*parts)))).alias("name")
+    return F.concat(F.lit("_:c"), _digits(*parts)).alias("name")
+
+
+def _seen(out: Column, kind, dt, lang) -> Column:
+    """What a blank node sees of a triple whose other end is not blank."""
+    return F.when(out, F.xxhash64(F.lit("out"), "p", kind, "o", dt, lang)).otherwise(F.xxhash64(F.lit("in"), "p", "s"))
 
 
 def _refined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -87,12 +108,12 @@ def _names(triples: DataFrame, repeats: bool) -> tuple[DataFrame, bool]:
     rows = triples.select("s", "p", "o", kind.alias("kind"), col("o_dt").alias("dt"), col("o_lang").alias("lang"), start.alias("from"), end.alias("to")).where("from or to")
     rows = rows.distinct() if repeats else rows
     # what a blank node sees that is not blank stays the same in all rounds; a link has none of it
-    x = F.when(F.col("from"), F.xxhash64(F.lit("out"), "p", "kind", "o", "dt", "lang")).otherwise(F.xxhash64(F.lit("in"), "p", "s"))
+    x = _seen(F.col("from"), "kind", "dt", "lang")
     sees = lambda node, x: F.struct(node.alias("node"), x.alias("x"))
     null, s, o = F.lit(None).cast("long"), F.col("s"), F.col("o")
     seen = rows.select(F.explode(F.when(F.col("from") & F.col("to"), F.array(sees(s, null), sees(o, null))).otherwise(F.array(sees(F.when(F.col("from"), s).otherwise(o), x)))).alias("e")).select("e.*")
     linked = F.bool_or(F.col("x").isNull()).alias("linked")
-    sums = [F.sum(F.when(F.col("x").isNotNull(), F.xxhash64(F.lit(seed), "x")).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    sums = _sums("x", where=F.col("x").isNotNull())
     every = stored(seen.groupBy("node").agg(*sums, linked).select("node", _label("sum1", "sum2"), "linked"))
     alone = _alone(every.where("not linked").select("node", "label"))
     labels = every.where("linked").select("node", "label")
@@ -135,9 +156,13 @@ def _placed(whole: DataFrame) -> DataFrame:
     return numbered.join(first, "whole").select("component", "whole", (F.col("row") - F.col("first")).alias("copy"))
 
 
-def canonical(triples: DataFrame, repeats: bool = True) -> DataFrame:
+def canonical(triples: DataFrame, repeats: bool = True, at: tuple[str, str] | None = None) -> DataFrame:
     """The same triples, blank nodes renamed by ``blank_names``. Triples with one blank end, all
-    there are without links, meet their names in one join."""
+    there are without links, meet their names in one join. ``at`` names a column with the one
+    blank end of each of distinct triples and one with a hash of it: dealt by that hash, triples
+    are named where they lie."""
+    if at is not None:
+        return _canonical_at(triples, *at)
     names, linked = _names(triples, repeats)
     start, end = _ends(triples)
     own = names.select(F.col("node").alias("__at"), F.col("name").alias("__name"))
@@ -150,6 +175,50 @@ def canonical(triples: DataFrame, repeats: bool = True) -> DataFrame:
     return out.select(*triples.columns)
 
 
+def _canonical_at(triples: DataFrame, at: str, place: str) -> DataFrame:
+    """Triples with one blank end each. Only nodes that share a label leave their place."""
+    none = F.lit(None).cast("string")
+    col = lambda c: F.col(c) if c in triples.columns else none
+    start, _ = _ends(triples)
+    rows = triples.withColumn("__out", start).withColumn("__x", _seen(F.col("__out"), F.coalesce(col("o_kind"), F.lit("iri")), col("o_dt"), col("o_lang")))
+    labels = rows.groupBy(place, F.col(at).alias("node")).agg(*_sums("__x")).select(place, "node", _label("sum1", "sum2"))
+    half = F.xxhash64("label").alias("__half")  # of what a label takes; labels are told apart below
+    shared = stored(labels.groupBy(half).agg(F.count("*").alias("n")).where("n > 1").select("__half"))
+    rows = rows.select("*", *_sums("__x", over=Window.partitionBy(place, at)))
+    name = _named(F.lit("alone"), F.upper(_digits(F.col("sum1"), F.col("sum2"))), F.lit("0"))
+    if not shared.isEmpty():
+        tied = stored(labels.withColumn("__half", half).join(shared, "__half", "left_semi").drop("__half"))
+        # joined by the hash alone, as rows are dealt by it and not by the node
+        names = stored(_alone(tied.select("node", "label")).join(tied.drop("label"), "node").groupBy(place).agg(F.collect_list(F.struct("node", "name")).alias("__names")))
+        rows = rows.join(names, place, "left")
+        name = F.coalesce(F.try_element_at(F.filter("__names", lambda x: x["node"] == F.col(at)), F.lit(1))["name"], name)
+    end = lambda c, blank: F.when(blank, name).otherwise(F.col(c)).alias(c)
+    ends = {"s": end("s", F.col("__out")), "o": end("o", ~F.col("__out"))}
+    return rows.select(*[ends.get(c, F.col(c)) for c in triples.columns if c not in (at, place)])
+
+
+BUCKETS = 256  # of the triples of a relation, whose sums are compared before they are
+
+
+def shared_triples(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(p, n, shared): the triples of each relation of one graph, and how many of them the other
+    has as well. Triples are compared one by one in those buckets alone whose two sums of hashes
+    differ; equal graphs move sums."""
+    both = one.select("s", "p", "o", "o_kind", F.lit(1).alias("here")).unionByName(two.select("s", "p", "o", "o_kind", F.lit(2).alias("here")))
+    halves = [h for seed in (1, 2) for h in _halves(seed, F.col("s"), F.col("p"), F.col("o"), F.col("o_kind"))]
+    both = both.withColumn("bucket", F.pmod(halves[0], F.lit(BUCKETS)))
+    counts = [F.count_if(F.col("here") == k).alias(n) for k, n in ((1, "a"), (2, "b"))]
+    sums = [F.sum(F.when(F.col("here") == 1, h).otherwise(-h)).alias(f"d{k}") for k, h in enumerate(halves)]
+    even = reduce(lambda x, y: x & y, [F.col(f"d{k}") == 0 for k in range(len(halves))])
+    told = stored(both.groupBy("p", "bucket").agg(*counts, *sums).withColumn("same", (F.col("a") == F.col("b")) & even))
+    found = told.select("p", F.col("a").alias("n"), F.when(F.col("same"), F.col("a")).otherwise(0).alias("shared"))
+    differ = told.where("not same").select("p", "bucket")
+    if not differ.isEmpty():
+        each = both.join(differ, ["p", "bucket"], "left_semi").groupBy("s", "p", "o", "o_kind").agg(*counts)
+        found = found.unionByName(each.groupBy("p").agg(F.lit(0).cast("long").alias("n"), F.sum(F.least("a", "b")).alias("shared")))
+    return found.groupBy("p").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared")).where("n > 0")
+
+
 def graph_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """(s, p, o, o_kind, change): triples removed and added, blank nodes by their names; empty
     for two copies of one graph."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
@@ -160,7 +160,7 @@ def parts_for(*tables: DataFrame, times: int = 1) -> int | None:
     return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-size * times // PART_BYTES))
 
 
-def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, parts: int | None, *keys: str | Column) -> DataFrame:
     """Rows brought together by the keys, before they are joined or made distinct by them: both
     then need no exchange of their own, and no task combines what a large split holds."""
     return df.repartition(parts, *keys) if parts else df.repartition(*keys)
